@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from patchweave.llm import chat
+from patchweave.llm import chat, exact_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op5_arc_to_warc": warc.op5_arc_to_warc,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLE = {
+    "op5_arc_to_warc": warc.OP5_SQL,
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }
