@@ -1,10 +1,11 @@
 """Toxicity by cumulative-link ordinal regression.
 
-P(grade <= k) = sigmoid(threshold_k - w.x): all thresholds share the weights w over sparse text features, which are
-the presence of words and of character 4-grams of words (with their ends marked). The report is the expected grade.
+P(grade <= k) = sigmoid(threshold_k - w.x): all thresholds share the weights w over sparse text features: words and
+character 4-grams of words (with their ends marked), by the number of distinct words that have them. The report is
+the expected grade.
 
-Grades come from the labels: 0 where toxic is 0; a toxic document is grade 2 where its density of indicator features
-(those that the model uses) is above the median of the toxic training documents, else grade 1.
+Grades come from the labels: 0 where toxic is 0; a toxic document is grade 2 where it has more indicator features
+(those that the labels tie to toxicity) than the median of the toxic training documents, else grade 1.
 
 Training takes at most MAX_PER_CLASS labelled documents of each class, chosen by a hash of doc_id, and MAX_FEATURES
 features; both bounds are parameters. Scoring reads whole texts of all documents and is one pass without a shuffle.
@@ -21,7 +22,8 @@ import itertools
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,18 +40,30 @@ MIN_DOCUMENTS = 3
 #: Features whose rates in the two classes differ by fewer standard errors are left out.
 MIN_Z = 4.0
 #: Features are kept if the log odds ratio is at least this and they occur in this share of the toxic sample.
-MIN_LOG_ODDS, MIN_SHARE = 4.0, 0.04
+MIN_LOG_ODDS, MIN_SHARE = 2.0, 0.02
+#: A gram in that many distinct words of a text is a feature of its own, for each of these numbers.
+LEVELS = (1, 2, 3, 5)
 _WORDS = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a word: itself and the character 4-grams of ^word$."""
+    """Hashed grams of a word: itself and the character 4-grams of ^word$."""
     marked = f"^{word}$"
     grams = {marked, *(marked[i : i + 4] for i in range(len(marked) - 3))}
     return [zlib.crc32(g.encode()) & 0x7FFFFFFF for g in grams]
 
 
+def level(gram: int, k: int) -> int:
+    """The feature of a gram in k distinct words at least."""
+    return gram if k == 1 else (gram ^ k * 0x2545F491) & 0x7FFFFFFF
+
+
+def features(grams: Iterable[int]) -> set[int]:
+    """Features of a text from the grams of its distinct words."""
+    return {level(g, k) for g, n in Counter(grams).items() for k in LEVELS if n >= k}
+
+
 def words(text: str | None) -> set[str]:
     return set(_WORDS.findall((text or "").lower()))
 
@@ -126,7 +140,7 @@ def calibrate(model: OrdinalModel, rows: list[tuple[set[int], bool]]) -> float:
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [sorted({f for w in words(t) for f in word_features(w)}) for t in b.column("text").to_pylist()]
+        out = [sorted(features(g for w in words(t) for g in word_features(w))) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.list_(pa.int32()))], names=["toxic", "features"])
 
 
@@ -154,13 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
             kept, hits = [], []
             for fs in b.column("features").to_pylist():
                 kept.append([at[f] for f in fs if f in at])
-                hits.append(len(kept[-1]) / max(1, len(fs)))
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(kept, pa.list_(pa.int32())), pa.array(hits, pa.float64())], names=["toxic", "at", "density"])
+                hits.append(len(kept[-1]))
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(kept, pa.list_(pa.int32())), pa.array(hits, pa.int32())], names=["toxic", "at", "hits"])
 
-    rows = sample.mapInArrow(project, "toxic int, at array<int>, density double").collect()
-    rows.sort(key=lambda r: (r.toxic, r.density, r["at"]))
-    middle = float(np.median([r.density for r in rows if r.toxic]))
-    model = fit([r["at"] for r in rows], [0 if not r.toxic else 1 + int(r.density > middle) for r in rows], columns)
+    rows = sample.mapInArrow(project, "toxic int, at array<int>, hits int").collect()
+    rows.sort(key=lambda r: (r.toxic, r.hits, r["at"]))
+    middle = float(np.median([r.hits for r in rows if r.toxic]))
+    model = fit([r["at"] for r in rows], [0 if not r.toxic else 1 + int(r.hits > middle) for r in rows], columns)
     model.cut = calibrate(model, [({columns[i] for i in r["at"]}, bool(r.toxic)) for r in rows])
     return model
 
@@ -169,6 +183,7 @@ def _scorer(model: OrdinalModel):
     """text -> (expected grade, grade); remembers the words' features, a bounded number of them."""
     cache: dict[str, tuple[int, ...]] = {}
     weights = model.weights
+    grams = {level(f, k) for f in weights for k in LEVELS}  # level() undoes itself
 
     def score(text: str | None) -> tuple[float, int]:
         ws = words(text)
@@ -177,8 +192,8 @@ def _scorer(model: OrdinalModel):
             cache.clear()
             new = ws
         for w in new:
-            cache[w] = tuple(f for f in word_features(w) if f in weights)
-        return model.expected({f for w in ws for f in cache[w]})
+            cache[w] = tuple(g for g in word_features(w) if g in grams)
+        return model.expected(features(g for w in ws for g in cache[w]) & weights.keys())
 
     return score
 
