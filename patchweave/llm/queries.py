@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from patchweave.llm import chat, exact_dedup, toxicity, warc
+from patchweave.llm import chat, exact_dedup, pii, secrets, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_pii": pii.op3_pii,
     "op5_arc_to_warc": warc.op5_arc_to_warc,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat.op10_chat_format,
 }
