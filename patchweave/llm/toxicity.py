@@ -44,7 +44,7 @@ MIN_LOG_ODDS, MIN_SHARE = 2.0, 0.02
 #: A gram in that many distinct words of a text is a feature of its own, for each of these numbers.
 LEVELS = (1, 2, 3, 5)
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+_CACHE = 500_000
 
 
 def word_features(word: str) -> list[int]:
@@ -187,13 +187,12 @@ def _scorer(model: OrdinalModel):
 
     def score(text: str | None) -> tuple[float, int]:
         ws = words(text)
-        new = ws - cache.keys()
-        if len(cache) + len(new) > _CACHE:
+        if len(cache) > _CACHE:
             cache.clear()
-            new = ws
-        for w in new:
-            cache[w] = tuple(g for g in word_features(w) if g in grams)
-        return model.expected(features(g for w in ws for g in cache[w]) & weights.keys())
+        for w in ws:
+            if w not in cache:
+                cache[w] = tuple(g for g in word_features(w) if g in grams)
+        return model.expected({f for f in features(g for w in ws for g in cache[w]) if f in weights})
 
     return score
 
