@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from patchweave.llm import chat, exact_dedup, pii, secrets, toxicity, warc
+from patchweave.llm import chat, exact_dedup, mixing, packing, pii, secrets, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_mix_sources": mixing.op2_mix_sources,
     "op3_pii": pii.op3_pii,
+    "op4_pack": packing.op4_pack,
     "op5_arc_to_warc": warc.op5_arc_to_warc,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
