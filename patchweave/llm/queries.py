@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchweave.llm import chat, exact_dedup, mixing, packing, pii, secrets, toxicity, warc
+from patchweave.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, secrets, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_pack": packing.op4_pack,
     "op5_arc_to_warc": warc.op5_arc_to_warc,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat.op10_chat_format,
