@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchweave.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, secrets, toxicity, warc
+from patchweave.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, secrets, topk_search, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,12 +12,14 @@ QUERIES = {
     "op5_arc_to_warc": warc.op5_arc_to_warc,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_topk_search": topk_search.op8_topk_search,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLE = {
     "op5_arc_to_warc": warc.OP5_SQL,
+    "op8_topk_search": topk_search.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }
