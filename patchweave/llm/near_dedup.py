@@ -10,8 +10,9 @@ built. A bucket whose classes now lie in one component can add nothing. Only in
 different components are compared with each other. So no pair of a bucket that could join two components is skipped,
 and a bucket of many near copies costs as many comparisons as it has classes.
 
-Chance of a miss: a pair at the threshold shares a band of 4 minima with probability 0.316, so all 32 bands miss it
-with 5e-6; its signature estimate of 128 minima lies below SKIP_BELOW, 5 standard deviations off, with 3e-7.
+Chance of a miss: a pair at the threshold shares a band of 7 minima with probability 0.133, so all 64 bands miss it
+with 1e-4 (3e-7 at a similarity of 0.8); its estimate from 128 minima lies below SKIP_BELOW, 5 standard deviations
+off, with 3e-7. Long bands keep documents apart that share a passage only.
 
 Defined results: null and empty texts, and texts of white space alone, have no shingles and link with nothing; rows
 repeated with the same doc_id share one verdict; rows without doc_id join their class but never represent it, and a
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from patchweave.llm.common import documents, drop_table, with_ids, write_table
 
 SHINGLE = 5
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 64, 7
 MINIMA = BANDS * ROWS
+#: Minima that are kept for the estimate of a pair's similarity.
+KEPT = 128
 #: In hundredths: the similarity from which documents are linked.
 LINK = 75
 #: Pairs whose signatures agree in a smaller share of their minima are not verified.
@@ -108,30 +111,36 @@ def minima(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of minima."""
+    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
+    return _mix((rows * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        counts, keys, signatures = [], [], []
+        counts, keys, signatures, bands = [], [], [], []
         for t in b.column("text").to_pylist():
             s = shingles(t)
             counts.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            signatures.append(minima(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "set_key", "signature"])
+            least = minima(s) if len(s) else None
+            signatures.append(None if least is None else least[:KEPT].tobytes())
+            bands.append(None if least is None else band_keys(least).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "n_shingles", "set_key", "signature", "bands"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(b.num_rows, BANDS, ROWS)
-            keys = _mix((sig.astype(np.uint64) * _BAND[None]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[None])
-            nodes = np.repeat(b.column("node").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes)], names=["bucket", "node"])
+            keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column("node").to_numpy(), BANDS))], names=["bucket", "node"])
 
 
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, MINIMA) for c in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, KEPT) for c in ("sig_a", "sig_b"))
             near = pa.array((x == y).mean(axis=1) >= SKIP_BELOW)
             yield b.select(["a", "b"]).filter(near)
 
@@ -191,11 +200,11 @@ def components(links: DataFrame, tag: str = "op6-stars") -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketch = write_table(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, signature binary"), "op6-sketch")
-    classes = write_table(sketch.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min("signature").alias("signature")), "op6-classes")
+    sketch = write_table(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, signature binary, bands binary"), "op6-sketch")
+    classes = write_table(sketch.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min("signature").alias("signature"), F.min("bands").alias("bands")), "op6-classes")
     nodes = classes.filter("node is not null")
 
-    all_buckets = nodes.select("node", "signature").mapInArrow(_bands, "bucket long, node long")
+    all_buckets = nodes.select("node", "bands").mapInArrow(_bands, "bucket long, node long")
     ends = all_buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     buckets = write_table(all_buckets.join(ends, "bucket"), "op6-buckets")
     stars = buckets.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b")
