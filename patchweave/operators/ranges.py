@@ -18,24 +18,43 @@ EVENTS = "array<struct<introduced:string,fixed:string,last_affected:string,limit
 ANY_EARLIER = "any earlier version"
 
 
-def _events_sql(comparer: str, events: str, keys: str | None) -> str:
-    """Sorted events with their keys: array<struct<rank,key,i,kind,bound>>. keys: an array of keys, or None for native ones."""
-    bound = "coalesce(nullif(e.introduced, ''), nullif(e.fixed, ''), nullif(e.last_affected, ''))"
+_BOUND = "coalesce(nullif(e.introduced, ''), nullif(e.fixed, ''), nullif(e.last_affected, ''))"
+
+
+def bounds(events: str) -> Column:
+    """The version of each event of a column, null for a limit."""
+    return F.coalesce(F.expr(f"transform({events}, e -> {_BOUND})"), F.array().cast("array<string>"))
+
+
+def native_keys(comparer: str | None, versions: str) -> Column:
+    """Keys of a column of version arrays by a fixed native comparer, or by the one that the column comparer names. The
+    key's expression occurs once, whatever the number of versions."""
+    return F.expr(f"transform({versions}, v -> {V.NATIVE[comparer]('v') if comparer else V.native_key('comparer', 'v')})")
+
+
+def _events_sql(events: str, keys: str) -> str:
+    """Sorted events with their keys, an array in the order of the events: array<struct<rank,key,i,kind,bound,zero>>."""
+    bound = _BOUND
     kind = "case when e.introduced <> '' then 'introduced' when e.fixed <> '' then 'fixed' when e.last_affected <> '' then 'last_affected' else 'limit' end"
-    value = f"{keys}[i]" if keys else V.native_key(comparer, bound)
+    value = f"get({keys}, i)"
     rank = f"case when {bound} is null then 2 when {bound} = '0' then 0 else 1 end"
     return f"array_sort(transform({events}, (e, i) -> named_struct('rank', {rank}, 'key', case when {bound} <> '0' then {value} else '' end, 'i', i, 'kind', {kind}, 'bound', {bound}, 'zero', case when {bound} = '0' then {value} end)))"
 
 
-def evaluate(rows: DataFrame, version: str, comparer: str, events: str, range_type: str | None = None, key: str | None = None, event_keys: str | None = None, out: str = "outcome") -> DataFrame:
+def evaluate(rows: DataFrame, version: str, events: str, comparer: str | None = None, range_type: str | None = None, key: str | None = None, event_keys: str | None = None, out: str = "outcome") -> DataFrame:
     """Adds out: struct(kind 'hit' | 'miss' | 'error', cause, introduced, fixed, last_affected, reason).
 
-    Columns are given by name; key and event_keys name columns with keys where they aren't those of a native comparer.
-    Causes of an error: 'advisory' for an unreadable bound or a range without events, 'target' for an unreadable
-    version that a bound had to be compared with. A range of type GIT is always a miss.
+    Columns are given by name; keys come from a fixed native comparer, or from the columns key and event_keys. Causes
+    of an error: 'advisory' for an unreadable bound or a range without events, 'target' for an unreadable version that
+    a bound had to be compared with. A range of type GIT is always a miss.
     """
-    k = f"`{key}`" if key else V.native_key(f"`{comparer}`", f"`{version}`")
-    rows = rows.withColumn("__v", F.expr(k)).withColumn("__e", F.expr(_events_sql(f"`{comparer}`", f"`{events}`", f"`{event_keys}`" if event_keys else None)))
+    if comparer:
+        rows = rows.withColumn("__all", F.concat(F.array(version), bounds(events))).withColumn("__k", native_keys(comparer, "__all"))
+        rows = rows.withColumn("__v", F.get("__k", F.lit(0))).withColumn("__ek", F.expr("slice(__k, 2, size(__k))")).drop("__all", "__k")
+        event_keys = "__ek"
+    else:
+        rows = rows.withColumn("__v", F.col(key))
+    rows = rows.withColumn("__e", F.expr(_events_sql(f"`{events}`", f"`{event_keys}`")))
     git = F.col(range_type) == "GIT" if range_type else F.lit(False)
     rows = rows.withColumn("__bad", F.expr("get(transform(filter(__e, e -> e.rank = 1 and e.key is null), e -> e.bound), 0)"))
     at = "case when e.bound = '0' and e.kind <> 'introduced' then e.zero else e.key end"
@@ -67,7 +86,7 @@ def evaluate(rows: DataFrame, version: str, comparer: str, events: str, range_ty
         .when(hit, outcome("hit", why=reason, introduced=F.col("__last.bound"), fixed=fixed, last_affected=last))
         .otherwise(outcome("miss"))
     )
-    return rows.withColumn(out, result).drop("__v", "__e", "__bad", "__last", "__next")
+    return rows.withColumn(out, result).drop("__v", "__e", "__bad", "__last", "__next", *(["__ek"] if comparer else []))
 
 
 OUTCOME = StructType([StructField(n, StringType()) for n in ("kind", "cause", "introduced", "fixed", "last_affected", "reason")])

@@ -14,7 +14,7 @@ def compare(a, b):
 
 def run(spark, cases, comparer="semver"):
     df = spark.createDataFrame([(i, v, comparer, [dict(zip(("introduced", "fixed", "last_affected", "limit"), e)) for e in es]) for i, (v, es) in enumerate(cases)], f"i int, version string, comparer string, events {R.EVENTS}")
-    return [tuple(r.outcome) for r in R.evaluate(df, "version", "comparer", "events").orderBy("i").collect()]
+    return [tuple(r.outcome) for r in R.evaluate(df, "version", "events", comparer).orderBy("i").collect()]
 
 
 def test_random_ranges(spark):
