@@ -1,4 +1,353 @@
 """Registered queries over the driver's tables, each with its SQL twin."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from patchweave.functions import names as N
+from patchweave.functions import severity as S
+from patchweave.functions import versions as V
+from patchweave.operators import matching as M
+from patchweave.operators import ranges as R
+from patchweave.plans import derive as D
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str, name: str | None = None):
+    """Registers a query and its twin."""
+
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        ORACLE[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- matching, by each ordering ----
+
+
+def match(spark: SparkSession, sf_dir: str, comparer: str) -> DataFrame:
+    """name, version, advisory_id, installs, fixed, last_affected of every affected installed version. Versions are
+    distinct before the join, so the hottest package costs its versions and not its installs."""
+    inv, adv = D.installed(spark, sf_dir, comparer), D.advisories(spark, sf_dir, comparer)
+    if comparer in V.NATIVE:
+        # Keys are computed once per version and once per advisory, and only compared after the join.
+        inv = inv.withColumn("key", V.key(comparer, "version"))
+        adv = adv.withColumn("bounds", R.bounds("events")).withColumn("keys", R.native_keys(comparer, "bounds")).drop("bounds")
+        out = R.evaluate(inv.join(adv, "name"), "version", "events", key="key", event_keys="keys")
+    elif comparer in V.PYTHON:
+        kind = F.lit(comparer)
+        inv = inv.withColumn("key", F.get(V.python_keys(kind, F.array("version")), F.lit(0)))
+        adv = adv.withColumn("keys", V.python_keys(kind, R.bounds("events")))
+        out = R.evaluate(inv.join(adv, "name"), "version", "events", key="key", event_keys="keys")
+    else:
+        out = inv.join(adv, "name").withColumn("outcome", R.evaluate_maven("version", "events"))
+    return out.filter("outcome.kind = 'hit'").select("name", "version", "advisory_id", "installs", "outcome.fixed", "outcome.last_affected")
+
+
+for _c in D.SHAPES:
+    query(D.match_sql(_c), f"match_{_c}")(lambda spark, sf_dir, c=_c: match(spark, sf_dir, c))
+
+
+@query(
+    """
+WITH p AS (SELECT p_partkey, CAST(p_size % 5 AS INT) AS v, CAST(p_partkey % 4 AS INT) AS lo, CAST(p_partkey % 7 AS INT) AS hi, CAST(p_partkey % 6 AS INT) AS kind FROM part)
+SELECT CASE WHEN kind = 4 THEN 'error' WHEN kind = 5 THEN 'miss' WHEN kind = 3 THEN 'hit'
+    WHEN v >= lo AND (hi < lo OR (kind < 2 AND hi = lo) OR v < hi OR (kind = 2 AND v = hi)) AND NOT (kind < 2 AND hi = lo) THEN 'hit' ELSE 'miss' END AS kind, count(*) AS n
+FROM p GROUP BY 1
+"""
+)
+def range_walk(spark, sf_dir):
+    p = D.table(spark, sf_dir, "part")
+    ver = lambda c: F.concat(c.cast("string"), F.lit(".0.0"))
+    kind = F.col("p_partkey") % 6
+    none = F.lit(None).cast("string")
+    ev = lambda i=none, f=none, la=none: F.struct(i.alias("introduced"), f.alias("fixed"), la.alias("last_affected"), none.alias("limit"))
+    lo, hi = ver(F.col("p_partkey") % 4), ver(F.col("p_partkey") % 7)
+    events = F.when(kind < 2, F.array(ev(i=lo), ev(f=hi))).when(kind == 2, F.array(ev(i=lo), ev(la=hi))).when(kind == 3, F.array(ev(i=F.lit("0")))).when(kind == 4, F.array(ev(i=F.lit("x.y")))).otherwise(F.array(ev(i=F.lit("9.0.0"))))
+    rows = p.select(ver(F.col("p_size") % 5).alias("version"), events.alias("events"))
+    return R.evaluate(rows, "version", "events", "semver").groupBy("outcome.kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """
+WITH i AS (SELECT DISTINCT concat('pkg-', l_partkey % 500) AS name, l_linenumber % 4 AS a, l_suppkey % 10 AS b FROM lineitem),
+l AS (SELECT concat('GHSA-', p_partkey) AS advisory_id, concat('pkg-', p_partkey % 500) AS name, p_size % 4 AS a, p_partkey % 10 AS b FROM part)
+SELECT i.name, concat(i.a, '.', i.b, '.0') AS version, advisory_id FROM i JOIN l ON i.name = l.name AND ((i.a = l.a AND i.b = l.b) OR (i.a = l.b AND i.b = l.a))
+"""
+)
+def enumerated_versions(spark, sf_dir):
+    li, p = D.table(spark, sf_dir, "lineitem"), D.table(spark, sf_dir, "part")
+    inv = li.select(F.concat(F.lit("pkg-"), F.col("l_partkey") % 500).alias("name"), F.concat((F.col("l_linenumber") % 4).cast("string"), F.lit("."), (F.col("l_suppkey") % 10).cast("string"), F.lit(".0")).alias("version")).distinct()
+    a, b = (F.col("p_size") % 4).cast("string"), (F.col("p_partkey") % 10).cast("string")
+    listed = F.array_distinct(F.array(F.concat(F.lit("v"), a, F.lit("."), b, F.lit(".0")), F.concat(b, F.lit("."), a, F.lit(".0+build"))))
+    adv = p.select(F.concat(F.lit("GHSA-"), "p_partkey").alias("advisory_id"), F.concat(F.lit("pkg-"), F.col("p_partkey") % 500).alias("name"), F.explode(listed).alias("listed"))
+    # Equal under the ordering, not as strings: an equi-join on keys.
+    left, right = inv.withColumn("key", V.key("semver", "version")), adv.withColumn("key", V.key("semver", "listed"))
+    return left.join(right, ["name", "key"]).select("name", "version", "advisory_id").distinct()
+
+
+@query(
+    """
+WITH s AS (SELECT s_suppkey, concat('bin-', s_suppkey % 7) AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 3 = 1 THEN concat('bin-', s_suppkey % 7) ELSE concat('src-', s_suppkey % 5) END AS src FROM supplier),
+n AS (SELECT s_suppkey AS package_id, 0 AS name_ord, name AS norm_name FROM s UNION ALL SELECT s_suppkey, 1, src FROM s WHERE src <> name)
+SELECT package_id, name_ord, norm_name FROM n
+"""
+)
+def two_name_lookup(spark, sf_dir):
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("bin-"), (k % 7).cast("string"))
+    src = F.when(k % 3 == 1, name).when(k % 3 == 2, F.concat(F.lit("src-"), (k % 5).cast("string")))
+    inv = D.table(spark, sf_dir, "supplier").select(k.alias("package_id"), F.lit("Debian:12").alias("ecosystem"), name.alias("name"), F.lit("1.0").alias("version"), src.alias("source_name"), F.lit(None).cast("string").alias("source_version"))
+    return M.lookup_names(inv).select("package_id", "name_ord", "norm_name")
+
+
+_GUARD_SQL = """
+WITH p AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Conan' WHEN 1 THEN 'npm' WHEN 2 THEN 'Ubuntu:22.04:LTS' WHEN 3 THEN 'Oracle Linux:8' WHEN 4 THEN 'Rocky Linux:8' ELSE 'Go' END AS e,
+  CASE o_orderkey % 5 WHEN 0 THEN '1.0+esm1' WHEN 1 THEN '1-1.ksplice1.el8' WHEN 2 THEN '1-1.module_el8' WHEN 3 THEN '1.0~FIPS2' ELSE '1.0.0' END AS v FROM orders)
+SELECT e AS ecosystem, v AS version, CASE WHEN e = 'Conan' THEN 'no version ordering for the ecosystem' WHEN e = 'npm' THEN 'the database does not cover the ecosystem'
+  WHEN v IN ('1.0+esm1', '1.0~FIPS2') THEN 'a build of a separate maintenance line' WHEN e = 'Oracle Linux:8' AND v = '1-1.ksplice1.el8' THEN 'a build of a separate maintenance line'
+  WHEN v = '1-1.module_el8' THEN 'a module build of an unknown stream' END AS skip_reason, count(*) AS n
+FROM p GROUP BY ALL
+"""
+
+
+@query(_GUARD_SQL)
+def coverage_skip(spark, sf_dir):
+    pick = lambda m, options: F.get(F.array(*map(F.lit, options)), (F.col("o_orderkey") % m).cast("int"))
+    inv = D.table(spark, sf_dir, "orders").select(
+        pick(6, ["Conan", "npm", "Ubuntu:22.04:LTS", "Oracle Linux:8", "Rocky Linux:8", "Go"]).alias("ecosystem"),
+        pick(5, ["1.0+esm1", "1-1.ksplice1.el8", "1-1.module_el8", "1.0~FIPS2", "1.0.0"]).alias("version"),
+        F.lit(None).cast("string").alias("module_stream"),
+    )
+    covered = spark.createDataFrame([("Ubuntu:22.04:LTS",), ("Oracle Linux:8",), ("Rocky Linux:8",), ("Go",)], "ecosystem string")
+    return M.guard(inv.groupBy("ecosystem", "version", "module_stream").agg(F.count(F.lit(1)).alias("n")), covered).select("ecosystem", "version", "skip_reason", "n")
+
+
+@query(
+    """
+WITH h AS (SELECT CAST(p_partkey % 97 AS BIGINT) AS package_id, concat('GHSA-', p_partkey) AS advisory_id, concat('CVE-2024-', p_partkey % 120) AS alias, CAST(p_size % 11 AS DOUBLE) AS score FROM part),
+m AS (SELECT package_id, alias, min((score = 0, -score, advisory_id)) AS best, count(*) AS members FROM h GROUP BY ALL)
+SELECT package_id, best[3] AS advisory_id, members, concat_ws(',', alias, list_aggregate(list_sort((SELECT list(advisory_id) FROM h WHERE h.package_id = m.package_id AND h.alias = m.alias)), 'string_agg', ',')) AS identifiers FROM m
+"""
+)
+def alias_groups(spark, sf_dir):
+    k = F.col("p_partkey")
+    hits = D.table(spark, sf_dir, "part").select(
+        (k % 97).alias("package_id"), F.lit("GHSA").alias("database"), F.concat(F.lit("GHSA-"), k.cast("string")).alias("advisory_id"), F.array(F.concat(F.lit("CVE-2024-"), (k % 120).cast("string"))).alias("aliases"), F.nullif((F.col("p_size") % 11).cast("double"), F.lit(0.0)).alias("score")
+    )
+    grouped = M.group_advisories(hits)
+    members = grouped.groupBy("package_id", "group_no").agg(F.count(F.lit(1)).alias("members"))
+    return grouped.filter("winner").join(members, ["package_id", "group_no"]).select("package_id", "advisory_id", "members", F.array_join("identifiers", ",").alias("identifiers"))
+
+
+_VECTOR_SQL = """
+SELECT p_partkey, ['N','A','L','P'][1 + p_partkey % 4] AS av, ['L','H'][1 + p_partkey % 2] AS ac, ['N','L','H'][1 + p_size % 3] AS pr, ['N','R'][1 + p_size % 2] AS ui,
+  ['U','C'][1 + (p_partkey // 4) % 2] AS s, ['H','L','N'][1 + p_partkey % 3] AS c, ['H','L','N'][1 + p_size % 3] AS i, ['N','L','H'][1 + (p_partkey // 3) % 3] AS a FROM part
+"""
+_CVSS_SQL = f"""
+WITH v AS ({_VECTOR_SQL}), w AS (SELECT *, CASE av WHEN 'N' THEN 0.85::DOUBLE WHEN 'A' THEN 0.62 WHEN 'L' THEN 0.55 ELSE 0.2 END AS wav, CASE ac WHEN 'L' THEN 0.77::DOUBLE ELSE 0.44 END AS wac, CASE ui WHEN 'N' THEN 0.85::DOUBLE ELSE 0.62 END AS wui,
+  CASE WHEN pr = 'N' THEN 0.85::DOUBLE WHEN pr = 'L' THEN CASE s WHEN 'C' THEN 0.68 ELSE 0.62 END ELSE CASE s WHEN 'C' THEN 0.5 ELSE 0.27 END END AS wpr,
+  CASE c WHEN 'H' THEN 0.56::DOUBLE WHEN 'L' THEN 0.22 ELSE 0 END AS wc, CASE i WHEN 'H' THEN 0.56::DOUBLE WHEN 'L' THEN 0.22 ELSE 0 END AS wi, CASE a WHEN 'H' THEN 0.56::DOUBLE WHEN 'L' THEN 0.22 ELSE 0 END AS wa FROM v),
+x AS (SELECT *, 1 - (1 - wc) * (1 - wi) * (1 - wa) AS isc FROM w),
+y AS (SELECT *, CASE s WHEN 'C' THEN 7.52::DOUBLE * (isc - 0.029) - 3.25::DOUBLE * pow(isc - 0.02, 15) ELSE 6.42::DOUBLE * isc END AS impact FROM x),
+z AS (SELECT *, least(CASE s WHEN 'C' THEN 1.08::DOUBLE ELSE 1 END * (impact + 8.22::DOUBLE * wav * wac * wpr * wui), 10) AS t FROM y),
+q AS (SELECT *, CAST(floor(t * 100000 + 0.5) AS BIGINT) AS n FROM z),
+f AS (SELECT p_partkey, CASE WHEN impact <= 0 THEN 0 WHEN n % 10000 = 0 THEN n / 100000 ELSE (n // 10000 + 1) / 10 END AS score FROM q)
+"""
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    k, z = F.col("p_partkey"), F.col("p_size")
+    pick = lambda options, i: F.get(F.split(F.lit(options), ""), (i % len(options)).cast("int"))
+    parts = [("AV", pick("NALP", k)), ("AC", pick("LH", k)), ("PR", pick("NLH", z)), ("UI", pick("NR", z)), ("S", pick("UC", F.floor(k / 4))), ("C", pick("HLN", k)), ("I", pick("HLN", z)), ("A", pick("NLH", F.floor(k / 3)))]
+    text = F.concat_ws("/", F.lit("CVSS:3.1"), *(F.concat(F.lit(n + ":"), v) for n, v in parts))
+    return D.table(spark, sf_dir, "part").select("p_partkey", text.alias("vector"))
+
+
+@query(_CVSS_SQL + "SELECT p_partkey, CAST(round(score * 10) AS INT) AS tenths, CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' WHEN score >= 0.1 THEN 'low' ELSE 'none' END AS band FROM f")
+def cvss3_score(spark, sf_dir):
+    # Vectors repeat: each distinct one is scored once.
+    v = _vectors(spark, sf_dir)
+    scored = v.select("vector").distinct().withColumn("score", S.cvss3_score(F.col("vector")))
+    return v.join(scored, "vector").select("p_partkey", F.round(F.col("score") * 10).cast("int").alias("tenths"), S.band_of(F.col("score")).alias("band"))
+
+
+@query(
+    """
+WITH w AS (SELECT ['Critical','Urgent','Important','High','Moderate','Medium','Low','bogus'][1 + c_custkey % 8] AS word FROM customer)
+SELECT word, CASE WHEN word IN ('Critical','Urgent') THEN 'critical' WHEN word IN ('Important','High') THEN 'high' WHEN word IN ('Moderate','Medium') THEN 'medium' WHEN word = 'Low' THEN 'low' ELSE 'unknown' END AS band,
+  word IN ('Critical','Urgent','Important','High') AS at_or_above_high, count(*) AS n FROM w GROUP BY ALL
+"""
+)
+def vendor_word_band(spark, sf_dir):
+    words = F.array(*map(F.lit, ["Critical", "Urgent", "Important", "High", "Moderate", "Medium", "Low", "bogus"]))
+    w = D.table(spark, sf_dir, "customer").select(F.get(words, (F.col("c_custkey") % 8).cast("int")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    band = S.band_of(S.vector_score(F.lit("VENDOR_WORD"), F.col("word")))
+    return w.select("word", band.alias("band"), S.at_or_above(band, "high").alias("at_or_above_high"), "n")
+
+
+@query(
+    """
+WITH f AS (SELECT o_orderkey AS finding_id, concat('CVE-2024-', o_custkey % 300) AS cve, CASE WHEN o_totalprice > 200000 THEN 7.5 ELSE 4.0 END AS score FROM orders),
+r AS (SELECT concat('CVE-2024-', c_custkey % 200) AS cve, 'NVD' AS source, CAST(c_nationkey AS DOUBLE) / 2.5 AS score, NULL::DOUBLE AS epss, false AS kev FROM customer
+  UNION ALL SELECT concat('CVE-2024-', s_suppkey % 200), 'EPSS', NULL, CAST(s_suppkey % 10 AS DOUBLE) / 10, false FROM supplier
+  UNION ALL SELECT concat('CVE-2024-', s_suppkey % 50), 'KEV', NULL, NULL, true FROM supplier WHERE s_suppkey % 2 = 0),
+b AS (SELECT cve, max(score) AS score, max(epss) AS max_epss, bool_or(kev) AS kev, count(*) AS ratings FROM r GROUP BY cve)
+SELECT finding_id, cve, greatest(f.score, coalesce(b.score, 0)) AS score, max_epss, coalesce(kev, false) AS kev, coalesce(ratings, 0) AS ratings FROM f LEFT JOIN b USING (cve)
+"""
+)
+def rating_join(spark, sf_dir):
+    """A rating may raise a score; one without a score (EPSS, KEV) cannot. Ratings fold by CVE before the join."""
+    cve = lambda c, m: F.concat(F.lit("CVE-2024-"), (F.col(c) % m).cast("string"))
+    f = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), cve("o_custkey", 300).alias("cve"), F.when(F.col("o_totalprice") > 200000, 7.5).otherwise(4.0).alias("score"))
+    s, null = D.table(spark, sf_dir, "supplier"), F.lit(None).cast("double")
+    nvd = D.table(spark, sf_dir, "customer").select(cve("c_custkey", 200).alias("cve"), (F.col("c_nationkey").cast("double") / 2.5).alias("rated"), null.alias("epss"), F.lit(False).alias("kev"))
+    epss = s.select(cve("s_suppkey", 200).alias("cve"), null.alias("rated"), ((F.col("s_suppkey") % 10).cast("double") / 10).alias("epss"), F.lit(False).alias("kev"))
+    kev = s.filter("s_suppkey % 2 = 0").select(cve("s_suppkey", 50).alias("cve"), null.alias("rated"), null.alias("epss"), F.lit(True).alias("kev"))
+    by_cve = nvd.unionByName(epss).unionByName(kev).groupBy("cve").agg(F.max("rated").alias("rated"), F.max("epss").alias("max_epss"), F.bool_or("kev").alias("kev"), F.count(F.lit(1)).alias("ratings"))
+    return f.join(by_cve, "cve", "left").select("finding_id", "cve", F.greatest("score", F.coalesce("rated", F.lit(0.0))).alias("score"), "max_epss", F.coalesce("kev", F.lit(False)).alias("kev"), F.coalesce("ratings", F.lit(0)).alias("ratings"))
+
+
+@query(
+    """
+WITH r AS (SELECT l_orderkey AS finding_id, CASE WHEN l_linenumber % 4 = 0 THEN '1.2.3' ELSE '' END AS fixed, ['wont-fix','not-fixed','unknown',''][CAST(1 + l_suppkey % 4 AS INT)] AS fix_state FROM lineitem),
+s AS (SELECT finding_id, bool_or(fixed <> '') AS f, bool_or(fixed = '' AND fix_state = 'wont-fix') AS w, bool_or(fixed = '' AND fix_state = 'not-fixed') AS n FROM r GROUP BY 1)
+SELECT finding_id, CASE WHEN f THEN 'fixed' WHEN w THEN 'wont-fix' WHEN n THEN 'not-fixed' ELSE 'unknown' END AS fix_state, NOT f AS unfixable FROM s
+"""
+)
+def fix_state(spark, sf_dir):
+    states = F.array(*map(F.lit, ["wont-fix", "not-fixed", "unknown", ""]))
+    r = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), F.when(F.col("l_linenumber") % 4 == 0, "1.2.3").otherwise("").alias("fixed"), F.get(states, (F.col("l_suppkey") % 4).cast("int")).alias("fix_state"))
+    kinds = r.groupBy("finding_id").agg(F.collect_set(F.struct("fixed", "fix_state")).alias("ratings"))  # at most 8 different ones
+    return kinds.select("finding_id", M.fix_state("ratings").alias("fix_state"), (~F.exists("ratings", lambda x: x["fixed"] != "")).alias("unfixable"))
+
+
+_SUMMARY_SQL = """
+WITH f AS (SELECT CAST(o_custkey % 50 AS BIGINT) AS target_id, CAST(floor(o_totalprice) AS BIGINT) % 6 AS b, o_orderstatus = 'F' AS fixable, o_orderpriority LIKE '1%' AS kev, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS epss FROM orders),
+s AS (SELECT target_id, count(*) AS findings, CAST(count_if(b = 5) AS BIGINT) AS critical, CAST(count_if(b = 4) AS BIGINT) AS high, CAST(count_if(b = 0) AS BIGINT) AS unknown, CAST(count_if(NOT fixable) AS BIGINT) AS unfixable, CAST(count_if(kev) AS BIGINT) AS kev, max(epss) AS max_epss FROM f GROUP BY 1)
+"""
+
+
+@query(_SUMMARY_SQL + "SELECT * FROM s")
+def summary(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders")
+    band = F.floor("o_totalprice").cast("long") % 6
+    f = o.select((F.col("o_custkey") % 50).alias("target_id"), band.alias("b"), (F.col("o_orderstatus") == "F").alias("fixable"), F.col("o_orderpriority").startswith("1").alias("kev"), ((F.col("o_orderkey") % 100).cast("double") / 100).alias("epss"))
+    return f.groupBy("target_id").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("b") == 5).alias("critical"), F.count_if(F.col("b") == 4).alias("high"), F.count_if(F.col("b") == 0).alias("unknown"), F.count_if(~F.col("fixable")).alias("unfixable"), F.count_if("kev").alias("kev"), F.max("epss").alias("max_epss"))
+
+
+@query(_SUMMARY_SQL + "SELECT target_id, CASE WHEN findings < 5 THEN 2 WHEN unknown > 60 THEN 1 WHEN kev > 40 THEN 1 WHEN max_epss >= 0.99 THEN 1 WHEN critical > 0 THEN 1 ELSE 0 END AS verdict FROM s")
+def verdict(spark, sf_dir):
+    """Exit code per target: an incomplete scan outranks findings; then the gates in their order."""
+    c = F.col
+    rule = F.when(c("findings") < 5, 2).when(c("unknown") > 60, 1).when(c("kev") > 40, 1).when(c("max_epss") >= 0.99, 1).when(c("critical") > 0, 1).otherwise(0)
+    return summary(spark, sf_dir).select("target_id", rule.alias("verdict"))
+
+
+@query(
+    """
+WITH e AS (SELECT n_nationkey AS release, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE concat('20', 15 + n_nationkey % 12, '-06-01') END AS eol_from FROM nation)
+SELECT c_custkey, eol_from <> '' AS known, coalesce(TRY_CAST(eol_from AS DATE) < DATE '2024-01-01', false) AS eol FROM customer JOIN e ON c_nationkey = release
+"""
+)
+def eol_status(spark, sf_dir):
+    k = F.col("n_nationkey")
+    eol = D.table(spark, sf_dir, "nation").select(k.alias("release"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("20"), (15 + k % 12).cast("string"), F.lit("-06-01"))).alias("eol_from"))
+    past = F.try_to_date("eol_from", "yyyy-MM-dd") < F.lit("2024-01-01").cast("date")
+    return D.table(spark, sf_dir, "customer").join(F.broadcast(eol), F.col("c_nationkey") == F.col("release")).select("c_custkey", (F.col("eol_from") != "").alias("known"), F.coalesce(past, F.lit(False)).alias("eol"))  # nation: a fixed catalogue
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def last_write_wins(spark, sf_dir):
+    """An aggregate with partial folding instead of a window: a hot key costs no sort."""
+    last = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id"))
+    return D.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(last.alias("x")).select("user_id", "event_type", "x.event_id", "x.value")
+
+
+@query("SELECT concat('CVE-', l_partkey % 1000) AS cve, l_orderkey * 10 + l_linenumber AS notice, CAST(l_quantity AS INT) % 5 AS claims FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey % 1000 ORDER BY CAST(l_quantity AS INT) % 5 = 0, CAST(l_quantity AS INT) % 5, l_orderkey * 10 + l_linenumber) = 1")
+def narrowest_notice(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("CVE-"), (F.col("l_partkey") % 1000).cast("string")).alias("cve"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("notice"), (F.col("l_quantity").cast("int") % 5).alias("claims"))
+    best = F.min(F.struct((F.col("claims") == 0).alias("none"), "claims", "notice"))
+    return rows.groupBy("cve").agg(best.alias("b")).select("cve", "b.notice", "b.claims")
+
+
+@query("WITH g AS (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_tax) > 1) SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.l_partkey = l.l_partkey AND g.l_suppkey = l.l_suppkey)")
+def ambiguity_drop(spark, sf_dir):
+    li, key = D.table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"]
+    ambiguous = li.groupBy(*key).agg(F.count_distinct("l_tax").alias("n")).filter("n > 1")
+    return li.join(ambiguous, key, "left_anti").select("l_orderkey", "l_linenumber")
+
+
+@query(
+    """
+WITH seed AS (SELECT c_custkey % 500 AS cve, ['NVD','EPSS','KEV','RedHat'][1 + c_custkey % 4] AS source, max(c_acctbal) AS score FROM customer GROUP BY ALL),
+fresh AS (SELECT s_suppkey % 500 AS cve, 'NVD' AS source, max(s_acctbal) AS score FROM supplier GROUP BY ALL)
+SELECT * FROM fresh UNION ALL SELECT * FROM seed s WHERE source NOT IN ('EPSS','KEV') AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.cve = s.cve AND f.source = s.source)
+"""
+)
+def seed_merge(spark, sf_dir):
+    sources = F.array(*map(F.lit, ["NVD", "EPSS", "KEV", "RedHat"]))
+    seed = D.table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 500).alias("cve"), F.get(sources, (F.col("c_custkey") % 4).cast("int")).alias("source")).agg(F.max("c_acctbal").alias("score"))
+    fresh = D.table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 500).alias("cve"), F.lit("NVD").alias("source")).agg(F.max("s_acctbal").alias("score"))
+    from patchweave.operators.incremental import merge_seed
+
+    return merge_seed(seed, fresh, ["cve", "source"])
+
+
+@query("WITH t AS (SELECT DISTINCT o_orderpriority AS provider, date_trunc('day', o_orderdate) AS d FROM orders) SELECT provider, CAST(CAST(min(d) AS DATE) AS VARCHAR) AS data_as_of, min(d) < TIMESTAMP '1993-01-01' AS stale FROM t GROUP BY 1")
+def db_age(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("provider")).agg(F.min(F.col("o_orderdate").cast("date")).alias("data_as_of"))
+    return o.select("provider", F.col("data_as_of").cast("string").alias("data_as_of"), (F.col("data_as_of") < F.lit("1993-01-01").cast("date")).alias("stale"))
+
+
+@query(
+    """
+SELECT s_suppkey, 'npm' AS type, CASE WHEN s_suppkey % 2 = 0 THEN '@scope' END AS namespace, concat('name', s_suppkey) AS name, CASE WHEN s_suppkey % 3 > 0 THEN concat('1.', s_suppkey, '+x') END AS version, CASE WHEN s_suppkey % 5 = 0 THEN 'a b' END AS arch, 'npm' AS ecosystem FROM supplier
+"""
+)
+def purl_parse(spark, sf_dir):
+    k = F.col("s_suppkey")
+    text = k.cast("string")
+    purl = F.concat(F.lit("pkg:NPM/"), F.when(k % 2 == 0, "%40scope/").otherwise(""), F.lit("name"), text, F.when(k % 3 > 0, F.concat(F.lit("@1."), text, F.lit("+x"))).otherwise(""), F.when(k % 5 == 0, "?arch=a%20b&arch=second").otherwise(""), F.lit("#sub/path"))
+    p = D.table(spark, sf_dir, "supplier").select("s_suppkey", N.parse_purl(purl).alias("p"))
+    return p.select("s_suppkey", "p.type", "p.namespace", "p.name", "p.version", F.try_element_at("p.qualifiers", F.lit("arch")).alias("arch"), N.purl_ecosystem(F.col("p.type")).alias("ecosystem"))
+
+
+@query(
+    """
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN regexp_replace(lower(concat('My__Pkg.-', p_brand)), '[-_.]+', '-', 'g') WHEN 1 THEN lower(concat('My__Pkg.-', p_brand)) ELSE concat('My__Pkg.-', p_brand) END AS norm_name FROM part
+"""
+)
+def name_normalize(spark, sf_dir):
+    eco = F.get(F.array(F.lit("PyPI"), F.lit("NuGet"), F.lit("npm")), (F.col("p_partkey") % 3).cast("int"))
+    return D.table(spark, sf_dir, "part").select("p_partkey", N.normalize_name(eco, F.concat(F.lit("My__Pkg.-"), "p_brand")).alias("norm_name"))
+
+
+@query(
+    """
+WITH d AS (SELECT c_custkey, ['alpine','debian','ubuntu','rhel','sles','opensuse-leap','amzn','plan9'][1 + c_custkey % 8] AS id FROM customer)
+SELECT c_custkey, CASE id WHEN 'alpine' THEN 'Alpine:v22.4' WHEN 'debian' THEN 'Debian:22' WHEN 'ubuntu' THEN 'Ubuntu:22.4.1' WHEN 'rhel' THEN 'Red Hat:22' WHEN 'sles' THEN 'SLES:22.SP4' WHEN 'opensuse-leap' THEN 'openSUSE Leap:22.4.1' WHEN 'amzn' THEN 'Amazon Linux:22' END AS ecosystem FROM d
+"""
+)
+def distro_ecosystem(spark, sf_dir):
+    ids = F.array(*map(F.lit, ["alpine", "debian", "ubuntu", "rhel", "sles", "opensuse-leap", "amzn", "plan9"]))
+    return D.table(spark, sf_dir, "customer").select("c_custkey", N.distro_ecosystem(F.get(ids, (F.col("c_custkey") % 8).cast("int")), F.lit("22.4.1")).alias("ecosystem"))
+
+
+@query("SELECT l_partkey, l_suppkey, sha256(concat(l_partkey, chr(0), l_suppkey, chr(0), min(l_shipdate::DATE))) AS fingerprint FROM lineitem GROUP BY l_partkey, l_suppkey")
+def sarif_fingerprint(spark, sf_dir):
+    g = D.table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_shipdate").cast("date")).alias("d"))
+    return g.select("l_partkey", "l_suppkey", F.sha2(F.concat_ws("\0", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("d").cast("string")), 256).alias("fingerprint"))
+
+
+@query("SELECT r_name AS family, count(DISTINCT n_name) AS ecosystems, count(c_custkey) AS packages, count(c_custkey) FILTER (c_acctbal > 0) AS covered FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def coverage_summary(spark, sf_dir):
+    per = D.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("c_custkey").alias("packages"), F.count_if(F.col("c_acctbal") > 0).alias("covered"))
+    n = D.table(spark, sf_dir, "nation").join(F.broadcast(D.table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # a fixed catalogue
+    rows = per.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "right")
+    return rows.groupBy(F.col("r_name").alias("family")).agg(F.count_distinct("n_name").alias("ecosystems"), F.coalesce(F.sum("packages"), F.lit(0)).alias("packages"), F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"))
