@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from patchweave.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from patchweave.llm.common import documents, write_table
+from patchweave.llm.common import bounded_batches, documents, write_table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the ordinal model, trained on the given labels, calls toxic."""
+    bounded_batches(spark)
     return toxicity.keep_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -30,6 +30,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it again, so a lost executor costs a reread only."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    bounded_batches(spark)
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
@@ -54,5 +55,13 @@ def with_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "
     return df.join(ids, key, how)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts can be long: batches of a thousand rows instead of Spark's ten thousand bound what a worker holds at once. A session that sets its own number keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

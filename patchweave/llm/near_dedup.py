@@ -5,7 +5,7 @@ are one class; a class is represented by its smallest doc_id. Links are pairs of
 * union, counted on the full sets; MinHash only proposes candidates.
 
 Candidates without all pairs of a bucket: in each bucket of a band every class is compared with the bucket's smallest
-and largest class. Signatures rule out what is far from the threshold, full sets decide the rest, and components are
+class and with its most central one, that with the most bucket mates over all bands. Signatures rule out what is far from the threshold, full sets decide the rest, and components are
 built. A bucket whose classes now lie in one component can add nothing. Only in the other buckets, classes of
 different components are compared with each other. So no pair of a bucket that could join two components is skipped,
 and a bucket of many near copies costs as many comparisons as it has classes.
@@ -205,15 +205,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nodes = classes.filter("node is not null")
 
     all_buckets = nodes.select("node", "bands").mapInArrow(_bands, "bucket long, node long")
-    ends = all_buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    buckets = write_table(all_buckets.join(ends, "bucket"), "op6-buckets")
-    stars = buckets.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b")
+    shared = all_buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = write_table(all_buckets.join(shared, "bucket"), "op6-members")
+    # The class with the most bucket mates, as the original of many edited copies has, is the one to compare with.
+    mates = members.groupBy("node").agg(F.sum("size").alias("mates"))
+    ends = members.join(mates, "node").groupBy("bucket").agg(F.min("node").alias("low"), F.max_by("node", "mates").alias("central"))
+    buckets = members.join(ends, "bucket")
+    stars = buckets.select(F.explode(F.array("low", "central")).alias("x"), "node").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
     tried = write_table(stars.filter("a < b").distinct(), "op6-tried")
     links = _links(docs, nodes, tried)
 
     # Buckets that still hold several components: their classes are compared across components.
     roots = components(links)
-    held = buckets.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    held = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("bucket")
     held = write_table(held.join(mixed, "bucket"), "op6-mixed")
     left, right = (held.select("bucket", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")

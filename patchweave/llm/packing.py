@@ -34,7 +34,7 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Texts that are tokenised together.
 BATCH = 64
-_CACHE = 2_000_000
+_CACHE = 1_400_000
 _LONGEST_CACHED = 48
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
