@@ -5,10 +5,12 @@ are one class; a class is represented by its smallest doc_id. Links are pairs of
 * union, counted on the full sets; MinHash only proposes candidates.
 
 Candidates without all pairs of a bucket: in each bucket of a band every class is compared with the bucket's smallest
-class and with its most central one, that with the most bucket mates over all bands. Signatures rule out what is far from the threshold, full sets decide the rest, and components are
-built. A bucket whose classes now lie in one component can add nothing. Only in the other buckets, classes of
-different components are compared with each other. So no pair of a bucket that could join two components is skipped,
-and a bucket of many near copies costs as many comparisons as it has classes.
+class and with its most central one, that with the most bucket mates over all bands. Signatures rule out what is far
+from the threshold, full sets decide the rest, and components are built. A bucket whose classes now lie in one
+component can add nothing. In the other buckets classes of different components are compared with each other, where
+exact counts leave room for a link: a shingle that no other set in those buckets has can't be common, and what two
+sets share within the central one is at most what either shares with it. So no pair of a bucket that could join two
+components is skipped, and a bucket of many near copies costs as many comparisons as it has classes.
 
 Chance of a miss: a pair at the threshold shares a band of 7 minima with probability 0.133, so all 64 bands miss it
 with 1e-4 (3e-7 at a similarity of 0.8); its estimate from 128 minima lies below SKIP_BELOW, 5 standard deviations
@@ -150,30 +152,61 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["node", "members"])
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         linked = []
         for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
             x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            common = int((y[at] == x).sum())
+            common = _shared(x, y)
             linked.append(100 * common >= LINK * (len(x) + len(y) - common))
         yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b), a written table, those that are linked."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for node, data in zip(b.column("node").to_pylist(), b.column("members").to_pylist(), strict=True):
+            values = np.frombuffer(data, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), node))], names=["shingle", "node"])
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes = [_shared(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("central"), b.column("node"), pa.array(sizes, pa.int64())], names=["central", "node", "common"])
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """node and members (its shingles) for the classes in ids, a written table with doc_id."""
+    return write_table(with_ids(docs, ids).mapInArrow(_sets, "node long, members binary"), "op6-sets")
+
+
+def _private(sets: DataFrame) -> DataFrame:
+    """node, n (size of its set) and own: how many of its shingles no other set of the table has."""
+    single = sets.mapInArrow(_members, "shingle long, node long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).filter("df = 1")
+    own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    sizes = sets.select("node", (F.octet_length("members") / 8).cast("long").alias("n")).distinct()
+    return sizes.join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Of candidate pairs (a, b), a written table, those that are linked. sets: where they are known already."""
     sig = nodes.select("node", "signature")
     near = pairs.join(sig.withColumnsRenamed({"node": "a", "signature": "sig_a"}), "a").join(sig.withColumnsRenamed({"node": "b", "signature": "sig_b"}), "b")
     near = write_table(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate, "a long, b long"), "op6-near")
-    ids = write_table(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "op6-ids")
-    sets = write_table(with_ids(docs, ids).mapInArrow(_sets, "node long, members binary"), "op6-sets")
+    if sets is None:
+        ids = write_table(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "op6-ids")
+        sets = _sets_of(docs, ids)
     both = near.join(sets.withColumnsRenamed({"node": "b", "members": "set_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "members": "set_a"}), "a")
     out = write_table(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long").distinct(), "op6-links")
-    for t in (near, ids, sets):
-        drop_table(t)
+    drop_table(near)
+    drop_table(sets)
     return out
 
 
@@ -210,21 +243,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # The class with the most bucket mates, as the original of many edited copies has, is the one to compare with.
     mates = members.groupBy("node").agg(F.sum("size").alias("mates"))
     ends = members.join(mates, "node").groupBy("bucket").agg(F.min("node").alias("low"), F.max_by("node", "mates").alias("central"))
-    buckets = members.join(ends, "bucket")
+    buckets = write_table(members.drop("size").join(ends, "bucket"), "op6-buckets")
     stars = buckets.select(F.explode(F.array("low", "central")).alias("x"), "node").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
     tried = write_table(stars.filter("a < b").distinct(), "op6-tried")
     links = _links(docs, nodes, tried)
 
     # Buckets that still hold several components: their classes are compared across components.
     roots = components(links)
-    held = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    held = buckets.select("bucket", "central", "node").join(roots, "node", "left").select("bucket", "central", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("bucket")
     held = write_table(held.join(mixed, "bucket"), "op6-mixed")
-    left, right = (held.select("bucket", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
-    across = left.join(right, "bucket").filter("a < b and root_a <> root_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    sets = _sets_of(docs, write_table(held.select(F.col("node").alias("doc_id")).distinct(), "op6-ids"))
+    # Upper bounds of what two sets share: shingles that no other set here has are left out; of the rest, what lies in
+    # the bucket's central set is bounded by what either shares with that one.
+    spokes = held.select("central", "node").distinct().join(sets.withColumnsRenamed({"members": "set_a"}), "node").join(sets.withColumnsRenamed({"node": "central", "members": "set_b"}), "central")
+    spokes = spokes.select("central", "node", "set_a", "set_b").mapInArrow(_common, "central long, node long, common long").distinct()
+    held = write_table(held.join(_private(sets), "node").join(spokes, ["central", "node"]), "op6-bounded")
+    left, right = (held.select("bucket", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "own", "common"))) for x in "ab")
+    outside = lambda x: F.greatest(F.lit(0), F.col(f"n_{x}") - F.col(f"common_{x}") - F.col(f"own_{x}"))
+    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"), F.least("common_a", "common_b") + F.least(outside("a"), outside("b")))
+    possible = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (100 * most >= LINK * (F.col("n_a") + F.col("n_b") - most))
+    across = left.withColumnRenamed("bucket", "bucket_a").join(right, (F.col("bucket_a") == F.col("bucket")) & possible).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     across = write_table(across, "op6-across")
     if across.limit(1).count():
-        more = _links(docs, nodes, across)
+        more = _links(docs, nodes, across, sets)
         if more.limit(1).count():
             roots = components(links.union(more))
 
