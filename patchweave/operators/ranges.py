@@ -41,10 +41,16 @@ def _events_sql(events: str, keys: str) -> str:
     return f"array_sort(transform({events}, (e, i) -> named_struct('rank', {rank}, 'key', case when {bound} <> '0' then {value} else '' end, 'i', i, 'kind', {kind}, 'bound', {bound}, 'zero', case when {bound} = '0' then {value} end)))"
 
 
-def evaluate(rows: DataFrame, version: str, events: str, comparer: str | None = None, range_type: str | None = None, key: str | None = None, event_keys: str | None = None, out: str = "outcome") -> DataFrame:
+def prepared(events: str, event_keys: str) -> Column:
+    """Sorted events with their keys, which depend on the advisory alone: compute them before a join."""
+    return F.expr(_events_sql(f"`{events}`", f"`{event_keys}`"))
+
+
+def evaluate(rows: DataFrame, version: str, events: str | None = None, comparer: str | None = None, range_type: str | None = None, key: str | None = None, event_keys: str | None = None, ready: str | None = None, out: str = "outcome") -> DataFrame:
     """Adds out: struct(kind 'hit' | 'miss' | 'error', cause, introduced, fixed, last_affected, reason).
 
-    Columns are given by name; keys come from a fixed native comparer, or from the columns key and event_keys. Causes
+    Columns are given by name; keys come from a fixed native comparer, or from the columns key and event_keys, or key
+    and ready (of prepared()). Causes
     of an error: 'advisory' for an unreadable bound or a range without events, 'target' for an unreadable version that
     a bound had to be compared with. A range of type GIT is always a miss.
     """
@@ -54,7 +60,7 @@ def evaluate(rows: DataFrame, version: str, events: str, comparer: str | None =
         event_keys = "__ek"
     else:
         rows = rows.withColumn("__v", F.col(key))
-    rows = rows.withColumn("__e", F.expr(_events_sql(f"`{events}`", f"`{event_keys}`")))
+    rows = rows.withColumn("__e", F.col(ready) if ready else prepared(events, event_keys))
     git = F.col(range_type) == "GIT" if range_type else F.lit(False)
     rows = rows.withColumn("__bad", F.expr("get(transform(filter(__e, e -> e.rank = 1 and e.key is null), e -> e.bound), 0)"))
     at = "case when e.bound = '0' and e.kind <> 'introduced' then e.zero else e.key end"

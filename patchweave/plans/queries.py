@@ -37,13 +37,14 @@ def match(spark: SparkSession, sf_dir: str, comparer: str) -> DataFrame:
     if comparer in V.NATIVE:
         # Keys are computed once per version and once per advisory, and only compared after the join.
         inv = inv.withColumn("key", V.key(comparer, "version"))
-        adv = adv.withColumn("bounds", R.bounds("events")).withColumn("keys", R.native_keys(comparer, "bounds")).drop("bounds")
-        out = R.evaluate(inv.join(adv, "name"), "version", "events", key="key", event_keys="keys")
+        adv = adv.withColumn("bounds", R.bounds("events")).withColumn("keys", R.native_keys(comparer, "bounds"))
     elif comparer in V.PYTHON:
         kind = F.lit(comparer)
         inv = inv.withColumn("key", F.get(V.python_keys(kind, F.array("version")), F.lit(0)))
         adv = adv.withColumn("keys", V.python_keys(kind, R.bounds("events")))
-        out = R.evaluate(inv.join(adv, "name"), "version", "events", key="key", event_keys="keys")
+    if comparer != "maven":
+        adv = adv.select("advisory_id", "name", R.prepared("events", "keys").alias("ready"))
+        out = R.evaluate(inv.join(adv, "name"), "version", key="key", ready="ready")
     else:
         out = inv.join(adv, "name").withColumn("outcome", R.evaluate_maven("version", "events"))
     return out.filter("outcome.kind = 'hit'").select("name", "version", "advisory_id", "installs", "outcome.fixed", "outcome.last_affected")
