@@ -95,6 +95,28 @@ def evaluate(rows: DataFrame, version: str, events: str | None = None, comparer:
     return rows.withColumn(out, result).drop("__v", "__e", "__bad", "__last", "__next", *(["__ek"] if comparer else []))
 
 
+def intervals(ready: str) -> Column:
+    """Of a column of prepared() events the intervals of keys that are inside, so that a join compares columns only:
+    array<struct<low (null: no lower end),high (null: no upper end),closed (high belongs to it),introduced,fixed,
+    last_affected>>; empty where a bound can't be read or nothing is introduced."""
+    later = f"filter({ready}, (y, m) -> m > n and y.rank < 2)"
+    nxt = f"get({later}, 0)"
+    upper = f"get(filter({later}, y -> y.kind <> 'introduced'), 0)"
+    at = lambda e: f"coalesce({e}.zero, {e}.key)"
+    closed = f"forall(filter({later}, y -> {at('y')} = {at('z')}), y -> y.kind = 'last_affected')"
+    body = f"named_struct('low', case when x.rank = 1 then x.key end, 'high', {at('z')}, 'closed', {closed}, 'introduced', x.bound, 'fixed', case when u.kind = 'fixed' then u.bound end, 'last_affected', case when u.kind = 'last_affected' then u.bound end)"
+    one = f"case when x.kind = 'introduced' then get(transform(array({nxt}), z -> get(transform(array({upper}), u -> {body}), 0)), 0) end"
+    readable = f"forall({ready}, e -> e.rank = 2 or (e.rank = 0 and (e.kind = 'introduced' or e.zero is not null)) or e.key is not null)"
+    return F.expr(f"case when {readable} then filter(transform({ready}, (x, n) -> {one}), i -> i is not null) else filter(array(named_struct('low', '', 'high', '', 'closed', false, 'introduced', '', 'fixed', '', 'last_affected', '')), i -> false) end")
+
+
+def inside(key: str, interval: str) -> Column:
+    """Whether a key lies in an interval of intervals(). A version without a key is inside only where no bound has to be
+    compared with it."""
+    k, i = F.col(key), lambda f: F.col(f"{interval}.{f}")
+    return (i("low").isNull() | (k >= i("low"))) & (i("high").isNull() | (k < i("high")) | (i("closed") & (k == i("high"))))
+
+
 OUTCOME = StructType([StructField(n, StringType()) for n in ("kind", "cause", "introduced", "fixed", "last_affected", "reason")])
 
 

@@ -43,10 +43,10 @@ def match(spark: SparkSession, sf_dir: str, comparer: str) -> DataFrame:
         inv = inv.withColumn("key", F.get(V.python_keys(kind, F.array("version")), F.lit(0)))
         adv = adv.withColumn("keys", V.python_keys(kind, R.bounds("events")))
     if comparer != "maven":
-        adv = adv.select("advisory_id", "name", R.prepared("events", "keys").alias("ready"))
-        out = R.evaluate(inv.join(adv, "name"), "version", key="key", ready="ready")
-    else:
-        out = inv.join(adv, "name").withColumn("outcome", R.evaluate_maven("version", "events"))
+        # Intervals are worked out per advisory; the join itself compares columns in generated code.
+        adv = adv.select("advisory_id", "name", R.prepared("events", "keys").alias("ready")).select("advisory_id", "name", F.explode(R.intervals("ready")).alias("i"))
+        return inv.join(adv, (inv.name == adv.name) & R.inside("key", "i")).select(inv.name, "version", "advisory_id", "installs", "i.fixed", "i.last_affected")
+    out = inv.join(adv, "name").withColumn("outcome", R.evaluate_maven("version", "events"))
     return out.filter("outcome.kind = 'hit'").select("name", "version", "advisory_id", "installs", "outcome.fixed", "outcome.last_affected")
 
 

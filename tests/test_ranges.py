@@ -53,3 +53,26 @@ def test_maven(spark):
     df = spark.createDataFrame([("1.0-rc1", [{"introduced": "0"}, {"fixed": "1.0"}]), ("1.0", [{"introduced": "0"}, {"fixed": "1.0"}])], f"v string, e {R.EVENTS}")
     assert [r.o.kind for r in df.select(R.evaluate_maven("v", "e").alias("o")).collect()] == ["hit", "miss"]
     assert V.maven_compare("1.0-rc1", "1.0") < 0
+
+
+def test_intervals_agree_with_the_walk(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    version = lambda: f"{rng.randint(0, 1)}.{rng.randint(0, 2)}.0"
+    names = ("introduced", "fixed", "last_affected", "limit")
+    cases = []
+    for _ in range(400):
+        es = [tuple(("0" if rng.random() < 0.1 else version()) if n == k else None for n in names) for k in rng.choices(names, weights=[3, 2, 2, 1], k=rng.randint(0, 6))]
+        cases.append((version(), es))
+    df = spark.createDataFrame([(i, v, [dict(zip(names, e)) for e in es]) for i, (v, es) in enumerate(cases)], f"i int, version string, events {R.EVENTS}")
+    df = df.withColumn("key", V.key("semver", "version")).withColumn("b", R.bounds("events")).withColumn("keys", R.native_keys("semver", "b"))
+    df = df.withColumn("ready", R.prepared("events", "keys")).select("i", "key", F.explode(R.intervals("ready")).alias("x")).filter(R.inside("key", "x"))
+    got = {}
+    for r in df.collect():
+        assert r.i not in got  # intervals of a range are disjoint
+        got[r.i] = (r.x.introduced, r.x.fixed, r.x.last_affected)
+    for i, (v, es) in enumerate(cases):
+        kind, _, *bounds, _ = R.walk(v, [dict(zip(names, e)) for e in es], compare)
+        if kind != "error":
+            assert got.get(i) == (tuple(bounds) if kind == "hit" else None), (v, es)
