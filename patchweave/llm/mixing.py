@@ -8,10 +8,11 @@ epoch, up to the target (the block at the boundary is cut). These block slots ar
 Output shards: a tree halves the shards; at each node the quotas of the left half are one draw of the multivariate
 hypergeometric distribution, seeded by the node, so that any task can walk to its own shards and reruns agree. The
 draws give each shard an interval of each source's permuted slots, so shards hold disjoint blocks; within a shard
-blocks are shuffled by a hash.
+blocks are shuffled by a hash. The report tells where each document's blocks went; mixed_rows() puts its rows out in
+this order, shard after shard, and cuts a document where its blocks went to several shards.
 
-A slot's rank is found without a window over a whole source: blocks are counted in buckets of a hash, buckets are
-summed up, and only the blocks of one bucket are ranked together.
+A slot's rank is found without a window over a whole source or shard: blocks are counted in buckets of a hash, buckets
+are summed up, and only the blocks of one bucket are ranked together.
 
 Defined results: a null text has size 0 and is never taken; sources are ordered by code point with null last, and a
 null source is a source; with no words at all every target is 0; a document's copies (rows that repeat) are documents
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from patchweave.llm.common import WORD, documents, write_table
 
@@ -36,6 +38,8 @@ BLOCK_WORDS = 1_024
 MAX_EPOCHS = 3
 SHARD_WORDS = 20_000_000
 BUCKET_BLOCKS = 4_096
+#: Slots of a shard that mixed_rows() puts into one partition.
+PART_SLOTS = 4_096
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Sources are a catalogue of names: their totals are collected, and more of them than this is an error.
 MAX_SOURCES = 200_000
@@ -106,6 +110,11 @@ def _sized(docs: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shard_words: int = SHARD_WORDS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(sized, slots): sized has doc_id, source, size, source_size, target; slots has a row per block taken: doc_id,
     source, size, epoch, block, from_word, words, shard, position (in the shard, from 0 and gapless)."""
+    return _plan(docs, weights, shard_words, seed)[:2]
+
+
+def _plan(docs: DataFrame, weights: tuple[float, ...], shard_words: int, seed: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """What plan() returns, the number of shards, and the most slots that one can have."""
     spark = docs.sparkSession
     sized = write_table(_sized(docs), "op2-sized")
     blocks_of = F.ceil(F.col("size") / BLOCK_WORDS).cast("long")
@@ -144,7 +153,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shard_words: int
     )
     taken = write_table(ranked.select("doc_id", "source_no", "size", "epoch", "block", (F.col("block") * BLOCK_WORDS).alias("from_word"), "words", "slot"), "op2-taken")
     quotas = {r.source_no: r.n for r in taken.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return _with_targets(sized, sources), _to_shards(taken, sources, [quotas.get(i, 0) for i in range(len(totals))], int(math.fsum(goal)), shard_words, seed)
+    total = sum(quotas.values())
+    shards = max(1, min(total or 1, round(int(math.fsum(goal)) / shard_words)))
+    slots = _to_shards(taken, sources, np.array([quotas.get(i, 0) for i in range(len(totals))], np.int64), shards, seed)
+    return _with_targets(sized, sources), slots, shards, total // shards + 1
 
 
 def _with_targets(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -152,12 +164,11 @@ def _with_targets(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return sized.join(s, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
-def _to_shards(taken: DataFrame, sources: DataFrame, quotas: list[int], words: int, shard_words: int, seed: int) -> DataFrame:
+def _to_shards(taken: DataFrame, sources: DataFrame, quotas: np.ndarray, shards: int, seed: int) -> DataFrame:
     """Gives each slot its shard, by the tree's intervals, and its place there."""
-    spark, total = taken.sparkSession, sum(quotas)
-    shards = max(1, min(total or 1, round(words / shard_words)))
-    per_shard = max(1, total // shards)
-    shared = spark.sparkContext.broadcast(np.array(quotas, np.int64))  # at most MAX_SOURCES numbers
+    spark, per_shard = taken.sparkSession, max(1, int(quotas.sum()) // shards)
+    step = min(per_shard, BUCKET_BLOCKS)
+    shared = spark.sparkContext.broadcast(quotas)  # at most MAX_SOURCES numbers
 
     def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,30 +180,39 @@ def _to_shards(taken: DataFrame, sources: DataFrame, quotas: list[int], words: i
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), shard, np.int64)), pa.array(starts[at]), pa.array(starts[at] + counts[at])], names=["source_no", "shard", "low", "high"])
 
     held = spark.range(0, shards, 1, max(1, min(shards // 64, 10_000))).mapInArrow(intervals, "source_no int, shard long, low long, high long")
-    # Which interval a slot lies in: intervals are cut at multiples of per_shard, and within such a stretch (of bounded
-    # length) the last interval that starts at or before the slot is carried on.
-    stretch = lambda c: F.floor(F.col(c) / per_shard).cast("long")
-    marks = held.withColumn("stretch", F.explode(F.sequence(stretch("low"), F.floor((F.col("high") - 1) / per_shard).cast("long")))).select(
-        "source_no", "stretch", F.greatest("low", F.col("stretch") * per_shard).alias("slot"), F.lit(0).alias("is_slot"), F.col("shard").alias("mark")
+    # Which interval a slot lies in: intervals are cut at multiples of step, and within such a stretch the last interval
+    # that starts at or before the slot is carried on.
+    stretch = lambda c: F.floor(F.col(c) / step).cast("long")
+    marks = held.withColumn("stretch", F.explode(F.sequence(stretch("low"), F.floor((F.col("high") - 1) / step).cast("long")))).select(
+        "source_no", "stretch", F.greatest("low", F.col("stretch") * step).alias("slot"), F.lit(0).alias("is_slot"), F.col("shard").alias("mark")
     )
     slots = taken.withColumn("stretch", stretch("slot")).withColumn("is_slot", F.lit(1)).withColumn("mark", F.lit(None).cast("long"))
     carried = Window.partitionBy("source_no", "stretch").orderBy("slot", "is_slot")
-    placed = slots.unionByName(marks, allowMissingColumns=True).withColumn("shard", F.last("mark", True).over(carried)).filter("is_slot = 1")
-    placed = placed.withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy(_hash(F.lit(seed), "shard", "source_no", "slot"), "source_no", "slot")) - 1)
+    placed = slots.unionByName(marks, allowMissingColumns=True).withColumn("shard", F.last("mark", True).over(carried)).filter("is_slot = 1").drop("is_slot", "mark", "stretch")
+    # The place: buckets are stretches of the hash by which a shard is sorted.
+    bits = max(1, math.ceil(math.log2(per_shard / BUCKET_BLOCKS)))
+    placed = write_table(placed.withColumn("h", _hash(F.lit(seed), "shard", "source_no", "slot")).withColumn("bucket", F.shiftright("h", 64 - bits)), "op2-placed")
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
+    rank = Window.partitionBy("shard", "bucket").orderBy("h", "source_no", "slot")
+    placed = placed.join(base, ["shard", "bucket"]).withColumn("position", F.col("n_before") + F.row_number().over(rank) - 1)
     names = F.broadcast(sources.select("source_no", "source"))
     return placed.join(names, "source_no").select("doc_id", "source", "size", "epoch", "block", "from_word", "words", "shard", "position")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, taken."""
-    sized, slots = plan(docs)
-    taken = slots.groupBy("doc_id", "source", "size").agg(F.sum("words").alias("taken"))
-    # Rows that repeat doc_id, source and size share what their blocks got.
+def report(docs: DataFrame, shard_words: int = SHARD_WORDS, seed: int = 1) -> DataFrame:
+    """A row per document: doc_id, size, source_size, target, taken, first_shard (null where nothing is taken), n_shards
+    and positions_hash, a digest of where in the shards its blocks are."""
+    sized, slots = plan(docs, shard_words=shard_words, seed=seed)
+    place = F.bit_xor(F.xxhash64("shard", "position", "epoch", "block")).alias("positions_hash")  # no two slots share shard and position
+    taken = slots.groupBy("doc_id", "source", "size").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"), F.count_distinct("shard").alias("n_shards"), place)
+    # Rows that repeat doc_id, source and size share what their blocks got, and their places.
     rows = sized.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("n"))
     joined = rows.join(taken.withColumnsRenamed({"doc_id": "__d", "source": "__s", "size": "__z"}), F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")), "left")
     each = joined.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     total = F.coalesce("taken", F.lit(0))
-    return each.select("doc_id", "size", "source_size", "target", (F.floor(total / F.col("n")) + F.when(F.col("i") <= total % F.col("n"), 1).otherwise(0)).cast("long").alias("taken"))
+    share = (F.floor(total / F.col("n")) + F.when(F.col("i") <= total % F.col("n"), 1).otherwise(0)).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", share.alias("taken"), "first_shard", F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"), "positions_hash")
 
 
 _WORD = re.compile(WORD)
@@ -211,7 +231,7 @@ def _piece(text: str, first: int, n: int) -> str:
 
 
 def _layers(parts: list[dict]) -> list[list[dict]]:
-    """The parts of one epoch; a block that repeated rows brought in twice goes to a layer of its own."""
+    """The parts of one epoch in one shard; a block that repeated rows brought in twice goes to a layer of its own."""
     out: list[list[dict]] = []
     at, nth = None, 0
     for x in parts:
@@ -222,15 +242,16 @@ def _layers(parts: list[dict]) -> list[list[dict]]:
     return out
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The mix as rows with the columns of docs: a document once for each epoch that takes words of it, its text cut to
-    the words taken (runs of blocks stay together) and n_chars to match."""
-    sized, slots = plan(docs)
-    runs = slots.groupBy("doc_id", "source", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("parts"))
+def mixed_rows(docs: DataFrame, shard_words: int = SHARD_WORDS, seed: int = 1) -> DataFrame:
+    """The mix as rows with the columns of docs: a document once for each epoch and shard that takes words of it, its
+    text cut to the words taken (runs of blocks stay together) and n_chars to match. Rows come shard after shard, in
+    the order of their first blocks' positions; a partition holds a stretch of one shard."""
+    sized, slots, shards, most = _plan(docs, WEIGHTS, shard_words, seed)
+    runs = slots.groupBy("doc_id", "source", "size", "epoch", "shard").agg(F.array_sort(F.collect_list(F.struct("from_word", "position", "words"))).alias("parts"))
     # parts: at most the blocks of one document.
-    whole = runs.groupBy("doc_id", "source", "size").agg(F.collect_list("parts").alias("epochs"))
+    whole = runs.groupBy("doc_id", "source", "size").agg(F.collect_list(F.struct("shard", "parts")).alias("runs"))
     key = ["__doc", "__source", "__size"]
-    right = whole.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]), F.col("epochs").alias("__epochs"))
+    right = whole.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]), F.col("runs").alias("__runs"))
     left = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     joined = left.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col(key[0])) & F.col("source").cast("string").eqNullSafe(F.col(key[1])) & (F.col("__n") == F.col(key[2])))
     if sized.groupBy("doc_id", "source", "size").count().filter("count > 1").limit(1).count():
@@ -241,10 +262,9 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            take, texts = [], []
-            for i, (text, size, epochs) in enumerate(zip(b.column(text_at).to_pylist(), b.column("__n").to_pylist(), b.column("__epochs").to_pylist(), strict=True)):
-                layers = [layer for parts in epochs for layer in _layers(parts)]
-                for parts in sorted(layers, key=lambda p: (-sum(x["words"] for x in p), p[0]["from_word"])):
+            take, texts, shard, position = [], [], [], []
+            for i, (text, size, runs) in enumerate(zip(b.column(text_at).to_pylist(), b.column("__n").to_pylist(), b.column("__runs").to_pylist(), strict=True)):
+                for held, parts in ((r["shard"], layer) for r in runs for layer in _layers(r["parts"])):
                     if sum(x["words"] for x in parts) >= size:
                         texts.append(text)
                     else:
@@ -256,14 +276,20 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
                                 joined_parts.append([x["from_word"], x["words"]])
                         texts.append("\n".join(_piece(text, *p) for p in joined_parts))
                     take.append(i)
+                    shard.append(held)
+                    position.append(min(x["position"] for x in parts))
             rows = b.select(names).take(pa.array(take, pa.int64()))
             columns = list(rows.columns)
             columns[text_at] = pa.array(texts, pa.string())
             if n_chars is not None:
                 columns[n_chars] = pa.array([len(t) for t in texts], pa.int64()).cast(columns[n_chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shard, pa.int64()), pa.array(position, pa.int64())], names=[*names, "__shard", "__position"])
 
-    return joined.select(*names, "__n", "__epochs").mapInArrow(run, docs.schema)
+    placed = StructType([*docs.schema.fields, StructField("__shard", LongType()), StructField("__position", LongType())])
+    rows = joined.select(*names, "__n", "__runs").mapInArrow(run, placed)
+    stretches = -(-most // PART_SLOTS)
+    part = F.col("__shard") * stretches + F.floor(F.col("__position") / PART_SLOTS)
+    return rows.repartitionById(shards * stretches, part.cast("int")).sortWithinPartitions("__shard", "__position").select(names)
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -117,6 +117,31 @@ def test_mixing(spark, monkeypatch):
     assert mixing.report(docs.filter("false")).count() == 0 and mixing.mixed_rows(docs.filter("false")).count() == 0
 
 
+def test_mixing_puts_out_what_was_dealt(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_SLOTS", 16)
+    rng = random.Random(7)
+    docs = documents(spark, [(i, " ".join(f"d{i}w{k}" for k in range(rng.choice([5, 300, 2_500]))), rng.choice("abc")) for i in range(120)])
+    _, slots = mixing.plan(docs, shard_words=15_000)
+    slots = slots.collect()
+    shards = defaultdict(list)
+    for r in slots:
+        shards[r.shard].append(r.position)
+    assert len(shards) > 3 and all(sorted(p) == list(range(len(p))) for p in shards.values())
+    dealt = defaultdict(list)
+    for r in slots:
+        dealt[r.doc_id].append(r)
+    for r in mixing.report(docs, shard_words=15_000).collect():
+        of = dealt[r.doc_id]
+        assert (r.first_shard, r.n_shards) == (min((x.shard for x in of), default=None), len({x.shard for x in of}))
+        assert (r.positions_hash is None) == (not of)
+    firsts = {}
+    for r in slots:
+        at = (r.shard, r.epoch, r.doc_id)
+        firsts[at] = min(firsts.get(at, (r.shard, r.position)), (r.shard, r.position))
+    want = [at[2] for at in sorted(firsts, key=firsts.get)]
+    assert [r.doc_id for r in mixing.mixed_rows(docs, shard_words=15_000).collect()] == want
+
+
 # ---- 4 ----
 
 
