@@ -17,8 +17,8 @@ with 1e-4 (3e-7 at a similarity of 0.8); its estimate from 128 minima lies below
 off, with 3e-7. Long bands keep documents apart that share a passage only.
 
 Defined results: null and empty texts, and texts of white space alone, have no shingles and link with nothing; rows
-repeated with the same doc_id share one verdict; rows without doc_id join their class but never represent it, and a
-class of such rows alone has a null component_id and stays; texts of any length are read whole; an empty table gives
+repeated with the same doc_id share one verdict; rows without doc_id join their class but never represent it, are
+dropped or kept by their class, and a class of such rows alone has a null component_id and stays; texts of any length are read whole; an empty table gives
 an empty result; further columns are ignored by the report and kept by keep_rows().
 """
 
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from patchweave.llm.common import documents, drop_table, with_ids, write_table
 
@@ -119,13 +120,17 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return _mix((rows * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def _set_key(values: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts, keys, signatures, bands = [], [], [], []
         for t in b.column("text").to_pylist():
             s = shingles(t)
             counts.append(len(s))
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            keys.append(_set_key(s))
             least = minima(s) if len(s) else None
             signatures.append(None if least is None else least[:KEPT].tobytes())
             bands.append(None if least is None else band_keys(least).tobytes())
@@ -232,6 +237,11 @@ def components(links: DataFrame, tag: str = "op6-stars") -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept."""
+    return _verdicts(docs).drop("set_key")
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """near_groups() with set_key, which equal sets share; null where a text has no shingles."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketch = write_table(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, signature binary, bands binary"), "op6-sketch")
     classes = write_table(sketch.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min("signature").alias("signature"), F.min("bands").alias("bands")), "op6-classes")
@@ -276,14 +286,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
         "n_shingles",
         F.when(F.col("grouped"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("grouped"), F.col("doc_id").eqNullSafe(F.col("component"))).otherwise(True).alias("kept"),
+        "set_key",
     )
 
 
 def keep_rows(docs: DataFrame) -> DataFrame:
     """docs with one document of each group, all columns."""
-    dropped = write_table(near_groups(docs).filter("not kept").select("doc_id"), "op6-dropped")
+    dropped = write_table(_verdicts(docs).filter("not kept").select("doc_id", "set_key"), "op6-dropped")
     out = with_ids(docs, dropped.filter("doc_id is not null").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "left_anti")
-    return out.filter("doc_id is not null") if dropped.filter("doc_id is null").limit(1).count() else out
+    nameless = dropped.filter("doc_id is null").select(F.col("set_key").alias("__set_key")).distinct()
+    if not nameless.limit(1).count():
+        return out
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = pa.array([_set_key(shingles(t)) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "__set_key"])
+
+    # Rows without doc_id are decided by their sets.
+    tagged = docs.filter("doc_id is null").mapInArrow(tag, StructType([*docs.schema.fields, StructField("__set_key", BinaryType())]))
+    return out.filter("doc_id is not null").unionByName(tagged.join(nameless, "__set_key", "left_anti").select(docs.columns))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -76,3 +76,11 @@ def test_empty_null_ids_and_extra_columns(spark):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in N.near_groups(df).collect())
     assert got == sorted([("None", 2, 3, False), ("3", 2, 3, True), ("None", 1, None, True), ("9", 1, 9, True), ("9", 1, 9, True)])
     assert N.keep_rows(df.filter("doc_id is not null")).columns == df.columns
+
+
+def test_rows_without_id_are_kept_by_their_sets(spark):
+    rows = [(None, "a b c d e f", 1), (3, "a b c d e f", 2), (None, "only here it is", 3), (9, "q", 4), (9, "q", 4), (None, None, 5), (None, " ", 6), (None, "A b c d e f", 7), (None, "another one", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    kept = N.keep_rows(df)
+    assert kept.columns == df.columns
+    assert sorted(r.component_id for r in kept.collect()) == [2, 3, 4, 4, 5, 6, 8]
