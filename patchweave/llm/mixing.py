@@ -15,9 +15,9 @@ A slot's rank is found without a window over a whole source or shard: blocks are
 are summed up, and only the blocks of one bucket are ranked together.
 
 Defined results: a null text has size 0 and is never taken; sources are ordered by code point with null last, and a
-null source is a source; with no words at all every target is 0; a document's copies (rows that repeat) are documents
-of their own, and ties of hash are broken by doc_id and size; a null doc_id is dealt as any other; an empty table
-gives an empty result; further columns are ignored by the plan and kept by mixed_rows().
+null source is a source; with no words at all every target is 0; a document is its doc_id, source and text: rows that
+repeat all three are documents of their own, and rows that share less are told apart by a digest of the text; ties of
+hash are broken by doc_id and digest; a null doc_id is dealt as any other; an empty table gives an empty result; further columns are ignored by the plan and kept by mixed_rows().
 """
 
 from __future__ import annotations
@@ -103,13 +103,18 @@ def _hash(*columns: str | Column) -> Column:
     return F.xxhash64(*columns)
 
 
+def _digest() -> Column:
+    """Of the text's bytes; a null text is as an empty one, of which nothing is taken either."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _digest().alias("digest"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shard_words: int = SHARD_WORDS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(sized, slots): sized has doc_id, source, size, source_size, target; slots has a row per block taken: doc_id,
-    source, size, epoch, block, from_word, words, shard, position (in the shard, from 0 and gapless)."""
+    """(sized, slots): sized has doc_id, source, digest, size, source_size, target; slots has a row per block taken:
+    doc_id, source, digest, size, epoch, block, from_word, words, shard, position (in the shard, from 0 and gapless)."""
     return _plan(docs, weights, shard_words, seed)[:2]
 
 
@@ -136,14 +141,14 @@ def _plan(docs: DataFrame, weights: tuple[float, ...], shard_words: int, seed: i
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - F.when(F.col("rest") > 0, 0).otherwise(1))))
         .filter("epoch >= 0 and (epoch < epochs or rest > 0)")
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks_of - 1)))
-        .select("doc_id", "source_no", "size", "epoch", "block", F.least(F.lit(BLOCK_WORDS).cast("long"), F.col("size") - F.col("block") * BLOCK_WORDS).alias("words"), _hash(F.lit(seed), "epoch", "doc_id", "block", "size").alias("h"), n_buckets.alias("n_buckets"), "epochs", "rest", "blocks")
+        .select("doc_id", "source_no", "digest", "size", "epoch", "block", F.least(F.lit(BLOCK_WORDS).cast("long"), F.col("size") - F.col("block") * BLOCK_WORDS).alias("words"), _hash(F.lit(seed), "epoch", "doc_id", "block", "digest").alias("h"), n_buckets.alias("n_buckets"), "epochs", "rest", "blocks")
         .withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 8), "n_buckets"))
     )
     key = ["source_no", "epoch", "bucket"]
     counted = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
     before = Window.partitionBy("source_no", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w_before"))
-    rank = Window.partitionBy(*key).orderBy("h", "doc_id", "block", "size")
+    rank = Window.partitionBy(*key).orderBy("h", "doc_id", "block", "digest")
     ranked = (
         dealt.join(base, key)
         .withColumn("slot", F.col("epoch") * F.col("blocks") + F.col("n_before") + F.row_number().over(rank) - 1)
@@ -151,7 +156,7 @@ def _plan(docs: DataFrame, weights: tuple[float, ...], shard_words: int, seed: i
         .withColumn("words", F.when(F.col("epoch") < F.col("epochs"), F.col("words")).otherwise(F.least("words", F.col("rest") - (F.col("w_upto") - F.col("words")))))
         .filter("words > 0")
     )
-    taken = write_table(ranked.select("doc_id", "source_no", "size", "epoch", "block", (F.col("block") * BLOCK_WORDS).alias("from_word"), "words", "slot"), "op2-taken")
+    taken = write_table(ranked.select("doc_id", "source_no", "digest", "size", "epoch", "block", (F.col("block") * BLOCK_WORDS).alias("from_word"), "words", "slot"), "op2-taken")
     quotas = {r.source_no: r.n for r in taken.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(quotas.values())
     shards = max(1, min(total or 1, round(int(math.fsum(goal)) / shard_words)))
@@ -197,7 +202,7 @@ def _to_shards(taken: DataFrame, sources: DataFrame, quotas: np.ndarray, shards:
     rank = Window.partitionBy("shard", "bucket").orderBy("h", "source_no", "slot")
     placed = placed.join(base, ["shard", "bucket"]).withColumn("position", F.col("n_before") + F.row_number().over(rank) - 1)
     names = F.broadcast(sources.select("source_no", "source"))
-    return placed.join(names, "source_no").select("doc_id", "source", "size", "epoch", "block", "from_word", "words", "shard", "position")
+    return placed.join(names, "source_no").select("doc_id", "source", "digest", "size", "epoch", "block", "from_word", "words", "shard", "position")
 
 
 def report(docs: DataFrame, shard_words: int = SHARD_WORDS, seed: int = 1) -> DataFrame:
@@ -205,10 +210,10 @@ def report(docs: DataFrame, shard_words: int = SHARD_WORDS, seed: int = 1) -> Da
     and positions_hash, a digest of where in the shards its blocks are."""
     sized, slots = plan(docs, shard_words=shard_words, seed=seed)
     place = F.bit_xor(F.xxhash64("shard", "position", "epoch", "block")).alias("positions_hash")  # no two slots share shard and position
-    taken = slots.groupBy("doc_id", "source", "size").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"), F.count_distinct("shard").alias("n_shards"), place)
-    # Rows that repeat doc_id, source and size share what their blocks got, and their places.
-    rows = sized.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("n"))
-    joined = rows.join(taken.withColumnsRenamed({"doc_id": "__d", "source": "__s", "size": "__z"}), F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")), "left")
+    taken = slots.groupBy("doc_id", "source", "digest").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"), F.count_distinct("shard").alias("n_shards"), place)
+    # Rows that repeat doc_id, source and text share what their blocks got, and their places.
+    rows = sized.groupBy("doc_id", "source", "digest", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("n"))
+    joined = rows.join(taken.withColumnsRenamed({"doc_id": "__d", "source": "__s", "digest": "__t"}), F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("digest") == F.col("__t")), "left")
     each = joined.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     total = F.coalesce("taken", F.lit(0))
     share = (F.floor(total / F.col("n")) + F.when(F.col("i") <= total % F.col("n"), 1).otherwise(0)).cast("long")
@@ -247,14 +252,14 @@ def mixed_rows(docs: DataFrame, shard_words: int = SHARD_WORDS, seed: int = 1) -
     text cut to the words taken (runs of blocks stay together) and n_chars to match. Rows come shard after shard, in
     the order of their first blocks' positions; a partition holds a stretch of one shard."""
     sized, slots, shards, most = _plan(docs, WEIGHTS, shard_words, seed)
-    runs = slots.groupBy("doc_id", "source", "size", "epoch", "shard").agg(F.array_sort(F.collect_list(F.struct("from_word", "position", "words"))).alias("parts"))
+    runs = slots.groupBy("doc_id", "source", "digest", "size", "epoch", "shard").agg(F.array_sort(F.collect_list(F.struct("from_word", "position", "words"))).alias("parts"))
     # parts: at most the blocks of one document.
-    whole = runs.groupBy("doc_id", "source", "size").agg(F.collect_list(F.struct("shard", "parts")).alias("runs"))
-    key = ["__doc", "__source", "__size"]
-    right = whole.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]), F.col("runs").alias("__runs"))
-    left = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    joined = left.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col(key[0])) & F.col("source").cast("string").eqNullSafe(F.col(key[1])) & (F.col("__n") == F.col(key[2])))
-    if sized.groupBy("doc_id", "source", "size").count().filter("count > 1").limit(1).count():
+    whole = runs.groupBy("doc_id", "source", "digest", "size").agg(F.collect_list(F.struct("shard", "parts")).alias("runs"))
+    key = ["__doc", "__source", "__digest"]
+    right = whole.select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "source", "digest"), key, strict=True)), F.col("size").alias("__n"), F.col("runs").alias("__runs"))
+    left = docs.withColumn("__text", _digest())
+    joined = left.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col(key[0])) & F.col("source").cast("string").eqNullSafe(F.col(key[1])) & (F.col("__text") == F.col(key[2])))
+    if sized.groupBy("doc_id", "source", "digest").count().filter("count > 1").limit(1).count():
         joined = joined.dropDuplicates(key)  # rows that repeat: their slots are told apart below
     names = docs.columns
     n_chars = next((i for i, c in enumerate(names) if c == "n_chars"), None)

@@ -142,6 +142,13 @@ def test_mixing_puts_out_what_was_dealt(spark, monkeypatch):
     assert [r.doc_id for r in mixing.mixed_rows(docs, shard_words=15_000).collect()] == want
 
 
+def test_mixing_tells_texts_apart_that_share_id_and_size(spark):
+    texts = ["one two three", "four five six", "seven eight nine", "one two three", "b c", "d e"]
+    docs = documents(spark, [(None if len(t) > 3 else 4, t, "a") for t in texts])
+    assert sorted(r.text for r in mixing.mixed_rows(docs).collect()) == sorted(texts)  # a single source is taken once, whole
+    assert [(r.size, r.taken) for r in mixing.report(docs).orderBy("size").collect()] == [(2, 2)] * 2 + [(3, 3)] * 4
+
+
 # ---- 4 ----
 
 
