@@ -7,10 +7,11 @@ that yields nothing, or less than it declares, is an error.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchweave.functions import names as N
+from patchweave.functions import versions as V
 from patchweave.operators import matching as M
 from patchweave.operators import ranges as R
 
@@ -21,9 +22,11 @@ EOL_DISTROS = {"alpine-linux": "alpine", "debian": "debian", "ubuntu": "ubuntu",
 
 _OSV = (
     "id string, summary string, modified string, withdrawn string, aliases array<string>, upstream array<string>, related array<string>, "
-    f"affected array<struct<package:struct<name:string,ecosystem:string,purl:string>,ranges:array<struct<type:string,events:{R.EVENTS}>>,versions:array<string>,severity:array<struct<type:string,score:string>>>>, "
+    f"affected array<struct<package:struct<name:string,ecosystem:string,purl:string>,ranges:array<struct<type:string,events:{R.EVENTS}>>,versions:array<string>>>, "
     "severity array<struct<type:string,score:string>>"
 )
+#: A summary's leading severity word, by which distributions without CVSS vectors rate.
+_WORD = "^(Critical|Important|Moderate|Low):"
 
 
 class FeedError(ValueError):
@@ -38,24 +41,45 @@ def _some(df: DataFrame, what: str) -> DataFrame:
 
 def osv_records(spark: SparkSession, path: str) -> DataFrame:
     """OSV records that count: not withdrawn, no malware, no plain errata; modified as a timestamp, related ids only of
-    distributions' own records."""
+    distributions' own records; those without a vector are rated by the word that leads their summary."""
     r = spark.read.schema(_OSV).json(path, multiLine=True)
     database = N.database_of(F.col("id"))
     r = r.filter("id is not null and coalesce(withdrawn, '') = ''").filter(~database.isin("MAL", "ALBA", "ALEA"))
-    none = F.array().cast("array<string>")
+    none, unrated = F.array().cast("array<string>"), F.array().cast("array<struct<type:string,score:string>>")
+    word = F.regexp_extract(F.coalesce("summary", F.lit("")), _WORD, 1)
+    by_word = F.when(database.isin(*DISTRO_AUTHORED) & (word != ""), F.array(F.struct(F.lit("VENDOR_WORD").alias("type"), word.alias("score")))).otherwise(unrated)
+    severity = F.coalesce("severity", unrated)
     return r.select(
         database.alias("database"), F.col("id").alias("advisory_id"), "summary", F.try_to_timestamp("modified").alias("modified"),
         F.coalesce("aliases", none).alias("aliases"), F.coalesce("upstream", none).alias("upstream"),
-        F.when(database.isin(*DISTRO_AUTHORED), F.coalesce("related", none)).otherwise(none).alias("related"), "affected", "severity",
+        F.when(database.isin(*DISTRO_AUTHORED), F.coalesce("related", none)).otherwise(none).alias("related"), "affected", F.when(F.size(severity) > 0, severity).otherwise(by_word).alias("severity"),
     )
 
 
+def _repaired(ranges: str) -> Column:
+    """Alpine's bounds written 1.2.r3 are 1.2-r3, where that is a version and what is written is none."""
+    one = lambda f: f"get(transform(array(named_struct('v', e.{f}, 'w', regexp_replace(e.{f}, '(?s)^(.*)[.]r', '$1-r'))), p -> case when p.v <> p.w and {V.apk_key('p.v')} is null and {V.apk_key('p.w')} is not null then p.w else p.v end), 0)"
+    fields = ", ".join(f"'{f}', {one(f)}" for f in ("introduced", "fixed", "last_affected", "limit"))
+    return F.expr(f"transform({ranges}, r -> named_struct('type', r.type, 'events', transform(r.events, e -> named_struct({fields})), 'fix_state', r.fix_state))")
+
+
+def _stream(summary: str) -> Column:
+    """The one name:stream that a summary names; null where it names none or several."""
+    rest = F.regexp_replace(F.coalesce(summary, F.lit("")), _WORD + r"[\t\n\f\r ]*", "")
+    named = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[A-Za-z][\w-]*:[A-Za-z0-9][\w.]*"), F.lit(0)))
+    return F.when(F.size(named) == 1, F.get(named, F.lit(0)))
+
+
 def osv_affected(records: DataFrame) -> DataFrame:
-    """An entry per affected package: Packagist mirrors fold into Packagist, Ubuntu's lineage keys and GIT ranges go."""
-    e = records.select("database", "advisory_id", F.posexplode("affected").alias("aff_ord", "a"))
+    """An entry per affected package: Packagist mirrors fold into Packagist, Ubuntu's lineage keys and GIT ranges go;
+    Rocky's and AlmaLinux's entries fixed by a module build have the stream that the summary names."""
+    e = records.select("database", "advisory_id", "summary", F.posexplode("affected").alias("aff_ord", "a"))
     eco = F.regexp_replace("a.package.ecosystem", "^Packagist:.+", "Packagist")
     ranges = F.transform(F.filter(F.coalesce("a.ranges", F.array().cast(f"array<struct<type:string,events:{R.EVENTS}>>")), lambda r: r["type"] != "GIT"), lambda r: F.struct(r["type"].alias("type"), r["events"].alias("events"), F.lit(None).cast("string").alias("fix_state")))
-    e = e.select("database", "advisory_id", "aff_ord", eco.alias("ecosystem"), F.col("a.package.name").alias("name"), ranges.cast(M.RANGES).alias("ranges"), F.coalesce("a.versions", F.array().cast("array<string>")).alias("versions"), F.lit(None).cast("string").alias("module_stream"))
+    e = e.select("database", "advisory_id", "aff_ord", eco.alias("ecosystem"), F.col("a.package.name").alias("name"), ranges.cast(M.RANGES).alias("ranges"), F.coalesce("a.versions", F.array().cast("array<string>")).alias("versions"), "summary")
+    e = e.withColumn("ranges", F.when(F.col("ecosystem").startswith("Alpine"), _repaired("ranges")).otherwise(F.col("ranges")))
+    tagged = F.col("ecosystem").rlike("^(Rocky Linux|AlmaLinux)(:|$)") & F.expr("exists(ranges, r -> exists(r.events, e -> e.fixed rlike 'module[+_]el'))")
+    e = e.withColumn("module_stream", F.when(tagged, _stream("summary"))).drop("summary")
     lineage = F.col("ecosystem").rlike("^Ubuntu:(Pro|.*:(Pro|FIPS|ESM))")
     return e.filter((F.col("name") != "") & ~lineage & ((F.size("ranges") > 0) | (F.size("versions") > 0)))
 

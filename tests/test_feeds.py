@@ -26,6 +26,29 @@ def test_osv(spark, tmp_path):
     assert [e.fixed for e in rows[0].ranges[0].events] == [None, "1.0.0"] and len(rows[0].ranges) == 1
 
 
+def test_osv_streams_bounds_and_words(spark, tmp_path):
+    aff = lambda eco, fixed: {"package": {"name": "n", "ecosystem": eco}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": fixed}]}]}
+    el = "1-1.module+el8.5.0+1"
+    recs = [
+        {"id": "RLSA-1", "summary": "Moderate: python38:3.8 security update", "affected": [aff("Rocky Linux:8", el), aff("Rocky Linux:8", "1-1.el8"), aff("npm", el)]},
+        {"id": "ALSA-2", "summary": "Important: nodejs:20 and nodejs:20 update", "affected": [aff("AlmaLinux:9", "1-1.module_el9")], "severity": [{"type": "CVSS_V3", "score": "x"}]},
+        {"id": "RLSA-3", "summary": "Low: idm:DL1 and idm:client update", "affected": [aff("Rocky Linux:8", el)]},
+        {"id": "RLSA-4", "summary": "Important: varnish security update", "affected": [aff("Rocky Linux", el)]},
+        {"id": "ALPINE-5", "affected": [aff("Alpine:v3.19", "1.2.3.r4"), aff("Alpine:v3.19", "1.2-r3"), aff("Alpine:v3.19", "a.b.rc"), aff("Wolfi", "1.2.r3")]},
+        {"id": "GHSA-6", "summary": "Low: a:b", "affected": [aff("Go", "1.0.0")]},
+    ]
+    d = tmp_path / "osv"
+    d.mkdir()
+    for r in recs:
+        (d / f"{r['id']}.json").write_text(json.dumps(r))
+    records = S.osv_records(spark, str(d)).cache()
+    rows = {(r.advisory_id, r.aff_ord): r for r in S.osv_affected(records).collect()}
+    assert {k: r.module_stream for k, r in rows.items() if r.module_stream} == {("RLSA-1", 0): "python38:3.8", ("ALSA-2", 0): "nodejs:20"}
+    assert [rows["ALPINE-5", i].ranges[0].events[1].fixed for i in range(4)] == ["1.2.3-r4", "1.2-r3", "a.b.rc", "1.2.r3"]
+    words = {r.advisory_id: [tuple(s) for s in r.severity] for r in records.collect()}
+    assert words == {"RLSA-1": [("VENDOR_WORD", "Moderate")], "ALSA-2": [("CVSS_V3", "x")], "RLSA-3": [("VENDOR_WORD", "Low")], "RLSA-4": [("VENDOR_WORD", "Important")], "ALPINE-5": [], "GHSA-6": []}
+
+
 def test_ratings(spark, tmp_path):
     nvd = {"totalResults": 2, "vulnerabilities": [{"cve": {"id": "CVE-1", "metrics": {"cvssMetricV31": [{"cvssData": {"vectorString": "CVSS:3.1/AV:N"}}], "cvssMetricV2": [{"cvssData": {"vectorString": "AV:N"}}]}}}, {"cve": {"id": "CVE-2", "metrics": {}}}]}
     (r,) = S.nvd_ratings(spark, put(tmp_path, "nvd.json", nvd)).collect()
