@@ -135,8 +135,13 @@ class _Reader:
         self.all, self.masked = hashlib.sha256(), hashlib.sha256()
         self.pending = ""
 
-    def feed(self, chunk: str) -> None:
+    def feed(self, chunk: str, start: int | None, end: int | None) -> None:
+        """start and end: the chunk's loss span; what it holds is read from the text, whatever the role."""
         self.chars += len(chunk)
+        if start is not None:
+            said = unescape(chunk[start:end])
+            self.loss += len(said)
+            self.masked.update(said.encode())
         self.pending += chunk
         try:
             turns = list(parse([self.pending]))
@@ -145,9 +150,6 @@ class _Reader:
         for role, text in turns:
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                self.loss += len(text)
-                self.masked.update(text.encode())
         self.pending = ""
 
     def row(self, conv: int | None) -> tuple:
@@ -165,20 +167,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         rows = []
-        for c, text in zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist(), strict=True):
+        for c, text, start, end in zip(*(b.column(n).to_pylist() for n in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
             if reader is None or c != conv:
                 if reader is not None:
                     rows.append(reader.row(conv))
                 conv, reader = c, _Reader()
-            reader.feed(text)
+            reader.feed(text, start, end)
         yield batch(rows)
     if reader is not None:
         yield batch([reader.row(conv)])
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """A row per conversation of format_turns, recovered by the parser from the formatted text alone. The rows have to be in the order in which format_turns gives them."""
-    return segments.select("conv_id", "formatted").mapInArrow(_read, TURNS)
+    """A row per conversation of format_turns, recovered from the formatted text: turns by the parser, the loss by its spans. The rows have to be in the order in which format_turns gives them."""
+    return segments.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(_read, TURNS)
 
 
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:

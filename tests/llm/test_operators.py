@@ -304,3 +304,14 @@ def test_chat_tables(spark, tmp_path):
     assert got[None].n_turns == 2 and got[None].turns_sha256 == sha("\ny\nuser\nx\n")
     assert got[2].loss_chars == 400_000 and set(got) == {1, 2, None, -7}
     assert got[-7].loss_sha256 == sha("</s>[INST] ok [/INST]") and math.isclose(got[-7].n_turns, 2)
+
+
+def test_chat_loss_is_read_under_the_mask(spark):
+    text = "</s>\\ yes"
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    segments = chat.format_turns(turns)
+    digest = lambda x: (len(x), hashlib.sha256(x.encode()).hexdigest())
+    (r,) = chat.read_back(segments).collect()
+    assert (r.loss_chars, r.loss_sha256) == digest(text)
+    (r,) = chat.read_back(segments.withColumn("loss_end", F.col("loss_end") - 1)).collect()
+    assert (r.loss_chars, r.loss_sha256) == digest(text[:-1])
