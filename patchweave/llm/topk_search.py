@@ -6,6 +6,9 @@ code is taken in the round and at the segment where it is met first, so none com
 within m * (r + 1) - 1 bits has been met (pigeonhole), so a query is done once k verified neighbours lie within that
 distance. The rest go on to round r + 1.
 
+The index is written once. Values that many codes share are split into pieces, which a probe visits all; joins state
+their shuffle, and each round's finished queries are appended to one table, so nothing grows on the driver.
+
 Equal codes are one entry with a count, and equal queries are searched once; of a code's vectors only the k + 1 with
 the smallest ids can be among the k nearest, so many equal vectors cost nothing.
 
@@ -28,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import write_table
+from patchweave.llm.common import MAX_BROADCAST_IDS, drop_table, new_path, write_table
 
 BITS = 64
 #: Probes that a batch holds at most.
 BATCH = 200_000
+#: Codes that share a segment's value and stay in one group of the join; hotter values are split by a hash.
+BUCKET_CODES = 1_024
 
 
 def code(column: str) -> Column:
@@ -73,36 +78,64 @@ def _probes(parts: list[tuple[int, int]], radius: int):
     return run
 
 
+def _indexed(codes: DataFrame, parts: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(index, hot): a row per code and segment, and the values that are split: segment, value, pieces (at most one row
+    for BUCKET_CODES rows of the index)."""
+    of_segment = F.explode(F.array(*(F.struct(F.lit(s).alias("segment"), _value("code", *p).alias("value")) for s, p in enumerate(parts))))
+    rows = codes.select(of_segment.alias("x"), "code", "first_id", "n").select("x.segment", "x.value", "code", "first_id", "n")
+    sizes = rows.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > BUCKET_CODES)
+    hot = write_table(sizes.select("segment", "value", F.ceil(F.col("held") / BUCKET_CODES).cast("int").alias("pieces")), "op8-hot")
+    piece = F.coalesce(F.pmod(F.xxhash64("code"), F.col("pieces")), F.lit(0)).cast("int")
+    return write_table(_with_pieces(rows, hot).withColumn("piece", piece).drop("pieces"), "op8-index"), hot
+
+
+def _with_pieces(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows with pieces, null for values that aren't split; hot is broadcast only where it is counted to be small."""
+    side = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_IDS else hot.hint("shuffle_hash")
+    return rows.join(side, ["segment", "value"], "left")
+
+
 def nearest_codes(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """For each query code q the k first codes by (distance, first_id) of a written table codes (code, first_id, n):
-    q, code, distance, n."""
-    parts = segments(codes.count())
-    index = codes.select(F.explode(F.array(*(F.struct(F.lit(s).alias("segment"), _value("code", *p).alias("value")) for s, p in enumerate(parts)))).alias("x"), "code", "first_id", "n").select("x.segment", "x.value", "code", "first_id", "n")
+    q, code, distance, first_id, n."""
+    spark, n_codes = codes.sparkSession, codes.count()
+    parts = segments(n_codes)
+    index, hot = _indexed(codes, parts)
+    # A stated number keeps the tasks of a join whose probes are few bytes and many comparisons.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = lambda p: F.bit_count(_value("q", *p).bitwiseXOR(_value("code", *p)))
-    order = Window.partitionBy("q").orderBy("distance", "first_id")
-    done, active, found = [], queries.select("q", F.lit(BITS).alias("bound")), None
-    for radius in range(max(length for _, length in parts) + 1):
-        probes = active.mapInArrow(_probes(parts, radius), "segment int, value long, q long, bound int")
+    # A query's own row (without a code) leads its candidates, so that a query that met none is kept, too.
+    order = Window.partitionBy("q").orderBy(F.col("code").isNotNull(), "distance", "first_id")
+    whole = Window.partitionBy("q")
+    where, last = new_path(spark, "op8-rounds"), max(length for _, length in parts)
+    schema = "q long, code long, distance int, first_id long, n long, done boolean, bound int"
+    own = lambda df: df.select("q", *(F.lit(None).cast(t).alias(c) for c, t in (("code", "long"), ("distance", "int"), ("first_id", "long"), ("n", "long"))))
+    active, found = queries.select("q", F.lit(BITS).alias("bound")), None
+    for radius in range(last + 1):
         # Met here first: nearer segments don't exist, and equally near ones come later.
         first = F.lit(True)
         for i, p in enumerate(parts):
             first = first & F.when(F.col("segment") > i, near(p) > radius).otherwise(near(p) >= radius)
-        hits = probes.join(index, ["segment", "value"]).filter(first).select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), "first_id", "n", "bound").filter("distance <= bound").drop("bound")
-        pool = hits if found is None else hits.unionByName(found.join(active.select("q"), "q", "left_semi"))
-        best = write_table(pool.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k).drop("i"), "op8-best")
+        probes = _with_pieces(active.mapInArrow(_probes(parts, radius), "segment int, value long, q long, bound int"), hot)
+        probes = probes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+        key = ["segment", "value", "piece"]
+        met = probes.repartition(tasks, *key).hint("merge").join(index, key)
+        hits = met.withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")).filter(F.col("distance") <= F.col("bound")).filter(first).select("q", "code", "distance", "first_id", "n")
+        pool = hits.unionByName(own(active))
+        pool = pool if found is None else pool.unionByName(found)
+        best = pool.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1)
         covered = min(BITS, len(parts) * (radius + 1) - 1)
-        state = best.groupBy("q").agg(F.sum(F.when(F.col("distance") <= covered, F.col("n")).otherwise(0)).alias("sure"), F.count(F.lit(1)).alias("codes"), F.max("distance").alias("worst"))
-        status = active.select("q").join(state, "q", "left")
-        last = radius == max(length for _, length in parts)
-        left = write_table(status.filter(F.lit(not last) & (F.coalesce("sure", F.lit(0)) < k)).select("q", F.when(F.col("codes") >= k, F.col("worst")).otherwise(BITS).cast("int").alias("bound")), "op8-active")
-        done.append(best.join(left.select("q"), "q", "left_anti"))
-        found, active = best, left
-        if not left.limit(1).count():
+        sure = F.coalesce(F.sum(F.when(F.col("distance") <= covered, F.col("n"))).over(whole), F.lit(0))
+        bound = F.when(F.count("code").over(whole) >= k, F.max("distance").over(whole)).otherwise(BITS).cast("int")
+        at = f"{where}/round={radius}"
+        best.select("q", "code", "distance", "first_id", "n", (F.lit(radius == last) | (sure >= k) | (F.count("code").over(whole) >= n_codes)).alias("done"), bound.alias("bound")).write.parquet(at)
+        left = spark.read.schema(schema).parquet(at).filter("not done")
+        active, found = left.filter("code is null").select("q", "bound"), left.filter("code is not null").select("q", "code", "distance", "first_id", "n")
+        if not active.limit(1).count():
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    for old in (index, hot):
+        drop_table(old)
+    return spark.read.schema(schema).parquet(where).filter("done and code is not null").select("q", "code", "distance", "first_id", "n")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -114,10 +147,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     near = nearest_codes(codes, asked.select(F.col("code").alias("q")).distinct(), k + 1)
     # The k + 1 smallest ids of a code; the limit is applied before the shuffle, too.
     few = rows.withColumn("i", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("i") <= k + 1).drop("i")
-    hits = near.select("q", "code", "distance").join(few, "code")
+    hits = near.select("q", "code", "distance").hint("merge").join(few, "code")
     best = hits.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).filter(F.col("i") <= k + 1)
     lists = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("hits"))  # k + 1 entries
-    answered = asked.join(lists, asked.code == lists.q)
+    answered = asked.join(lists.hint("merge"), asked.code == lists.q)
     kept = F.slice(F.filter("hits", lambda h: h["id"] != F.col("id")), 1, k)
     return answered.select(F.col("id").alias("query_id"), F.posexplode(kept).alias("i", "h")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("h.id").alias("neighbor_id"), F.col("h.distance").alias("distance"))
 

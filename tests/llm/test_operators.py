@@ -240,6 +240,21 @@ def test_topk(spark):
     assert topk_search.top_k(few, few, 10).count() == 6 and topk_search.top_k(few.filter("false"), few.filter("false")).count() == 0
 
 
+def test_topk_with_a_hot_segment(spark, monkeypatch):
+    """Most codes share a segment's value, so that it is split into pieces; results stay exact."""
+    monkeypatch.setattr(topk_search, "BUCKET_CODES", 16)
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (400, 64))
+    bits[:300, :32] = 1
+    df = spark.createDataFrame([(i, [float(2 * b - 1) for b in row]) for i, row in enumerate(bits)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk_search.top_k(df, df.filter("vec_id % 20 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.neighbor_id))
+    for q in range(0, 400, 20):
+        far = (bits != bits[q]).sum(1)
+        assert got[q] == sorted((int(far[i]), i) for i in range(400) if i != q)[:5]
+
+
 # ---- 9 ----
 
 
