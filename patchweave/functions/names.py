@@ -48,9 +48,30 @@ def source_rpm_name(label: Column) -> Column:
 
 
 def module_stream(label: Column) -> Column:
-    """name:stream of name:stream:version:context."""
-    parts = F.split(label, ":")
-    return F.when(F.size(parts) >= 2, F.concat_ws(":", parts[0], parts[1]))
+    """name:stream of name:stream:version:context; null where a label has fewer parts or empty ones."""
+    parts = F.split(label, ":", 4)
+    return F.when((F.size(parts) == 4) & (parts[0] != "") & (parts[1] != ""), F.concat_ws(":", parts[0], parts[1]))
+
+
+def nevra(text: Column) -> Column:
+    """struct(name, evr) of name-epoch:version-release: the name ends at the last dash before the first colon; without
+    a colon all is the name and evr is empty."""
+    pattern = "^([^:]*)-([^:-]*:.*)$"
+    split = text.rlike(pattern)
+    return F.struct(F.when(split, F.regexp_extract(text, pattern, 1)).otherwise(text).alias("name"), F.when(split, F.regexp_extract(text, pattern, 2)).otherwise("").alias("evr"))
+
+
+def nvr(text: Column) -> Column:
+    """struct(name, version, release) of name-version-release; null where a part is missing."""
+    pattern = "^(.+)-([^-]+)-([^-]+)$"
+    t = F.trim(text)
+    return F.when(t.rlike(pattern), F.struct(*(F.regexp_extract(t, pattern, i + 1).alias(n) for i, n in enumerate(("name", "version", "release")))))
+
+
+def evr(epoch: Column, version: Column, release: Column) -> Column:
+    """epoch:version-release, without an epoch of 0."""
+    e = F.coalesce(epoch.cast("string"), F.lit(""))
+    return F.concat(F.when(e.isin("", "0"), "").otherwise(F.concat(e, F.lit(":"))), version, F.lit("-"), release)
 
 
 def database_of(advisory_id: Column) -> Column:
@@ -58,25 +79,61 @@ def database_of(advisory_id: Column) -> Column:
     return F.regexp_extract(advisory_id, "^([^-]+)-", 1)
 
 
-def distro_ecosystem(distro: Column, version: Column) -> Column:
-    """The ecosystem key of a distribution by os-release ID and VERSION_ID; null where it isn't supported."""
-    major = F.substring_index(version, ".", 1)
-    minor = F.regexp_extract(version, r"^[0-9]+\.([0-9]+)", 1)
-    some = F.length(version) > 0
-    two = F.regexp_extract(version, r"^([0-9]+\.[0-9]+)", 1)
-    lts = (major.cast("int") % 2 == 0) & (minor == "04")
-    return (
-        F.when((distro == "alpine") & (two != ""), F.concat(F.lit("Alpine:v"), two))
+#: Os-release IDs whose key is their name and a numbered major release.
+_BY_MAJOR = {"debian": "Debian", "rhel": "Red Hat", "rocky": "Rocky Linux", "almalinux": "AlmaLinux", "ol": "Oracle Linux"}
+
+
+def distro_ecosystem(distro: Column, version: Column, pretty: Column | None = None) -> Column:
+    """The ecosystem key of a distribution by os-release ID, VERSION_ID and PRETTY_NAME; null where the distribution or
+    the release is none that advisories are keyed by. Ubuntu's pretty name tells a long-term release; without one
+    April releases of even years are."""
+    v = F.coalesce(version, F.lit(""))
+    name = F.coalesce(pretty, F.lit("")) if pretty is not None else F.lit("")
+    major, minor = F.regexp_extract(v, "^([0-9]+)(?:[.].*)?$", 1), F.regexp_extract(v, "^[0-9]+[.]([0-9]+)(?:[.].*)?$", 1)
+    two = v.rlike("^[0-9]+[.][0-9]+$")
+    lts = F.contains(name, F.lit("LTS")) | ((name == "") & (minor == "04") & (major.try_cast("int") % 2 == 0))
+    key = (
+        F.when((distro == "alpine") & (minor != ""), F.concat(F.lit("Alpine:v"), major, F.lit("."), minor))
         .when(distro == "wolfi", "Wolfi")
         .when(distro == "chainguard", "Chainguard")
-        .when((distro == "debian") & some, F.concat(F.lit("Debian:"), major))
-        .when((distro == "ubuntu") & some, F.concat(F.lit("Ubuntu:"), version, F.when(lts, ":LTS").otherwise("")))
-        .when((distro == "rhel") & some, F.concat(F.lit("Red Hat:"), major))
-        .when((distro == "rocky") & some, F.concat(F.lit("Rocky Linux:"), major))
-        .when((distro == "almalinux") & some, F.concat(F.lit("AlmaLinux:"), major))
-        .when((distro == "amzn") & some, F.concat(F.lit("Amazon Linux:"), major))
-        .when((distro == "ol") & some, F.concat(F.lit("Oracle Linux:"), major))
-        .when((distro == "fedora") & some, F.concat(F.lit("Fedora:"), major))
-        .when((distro == "sles") & some, F.concat(F.lit("SLES:"), major, F.when((minor != "") & (minor != "0"), F.concat(F.lit(".SP"), minor)).otherwise("")))
-        .when((distro == "opensuse-leap") & some, F.concat(F.lit("openSUSE Leap:"), version))
+        .when((distro == "ubuntu") & v.rlike("^[0-9]{2}[.][0-9]{2}$"), F.concat(F.lit("Ubuntu:"), v, F.when(lts, ":LTS").otherwise("")))
+        .when((distro == "amzn") & v.isin("2", "2023"), F.concat(F.lit("Amazon Linux:"), v))
+        .when((distro == "fedora") & v.rlike("^[0-9]+$"), F.concat(F.lit("Fedora:"), v))
+        .when((distro == "sles") & two & (major.try_cast("int") >= 16), F.concat(F.lit("SLES:"), v))
+        .when((distro == "sles") & two, F.concat(F.lit("SLES:"), major, F.when(minor != "0", F.concat(F.lit(".SP"), minor)).otherwise("")))
+        .when((distro == "opensuse-leap") & two, F.concat(F.lit("openSUSE Leap:"), v))
+    )
+    for d, family in _BY_MAJOR.items():
+        key = key.when((distro == d) & (major != ""), F.concat(F.lit(family + ":"), major))
+    return key
+
+
+def eol_cycle(ecosystem: Column) -> Column:
+    """The release of an ecosystem key as end-of-life catalogues write it; null for keys without a release. A SLES
+    service pack is a second number, and none is 0."""
+    release = F.regexp_replace(F.split_part(ecosystem, F.lit(":"), F.lit(2)), "^v", "")
+    sles = F.when(F.contains(release, F.lit(".SP")), F.replace(release, F.lit(".SP"), F.lit("."))).when(F.contains(release, F.lit(".")), release).otherwise(F.concat(release, F.lit(".0")))
+    return F.when(release != "", F.when(ecosystem.startswith("SLES:"), sles).otherwise(release))
+
+
+def distro_purl(purl: Column, version: Column, document_ecosystem: Column, has_distro: Column) -> Column:
+    """struct(ecosystem, version, source_name, module_stream, skip) of a parsed rpm, deb or apk package URL.
+
+    A document that names a distribution gives the ecosystem; else the qualifier distro (id-version) does, or, for rpm,
+    the Red Hat repository. rpm and deb prepend a non-zero epoch. upstream names the source, rpmmod the module stream.
+    skip: source packages and public keys. ecosystem is null where nothing tells it."""
+    kind = purl["type"]
+    q = lambda name: F.coalesce(F.try_element_at(purl["qualifiers"], F.lit(name)), F.lit(""))
+    named = "^(.+)-([^-]+)$"
+    stated = distro_ecosystem(F.regexp_extract(q("distro"), named, 1), F.regexp_extract(q("distro"), named, 2))
+    redhat = F.regexp_extract(q("repository_id"), "^rhel-([0-9]+)-", 1)
+    by_repository = F.when((kind == "rpm") & (redhat != ""), F.concat(F.lit("Red Hat:"), redhat))
+    ecosystem = F.when(has_distro, document_ecosystem).otherwise(F.coalesce(stated, by_repository))
+    own = F.coalesce(purl["version"], F.lit(""))
+    epoch = F.when(kind.isin("rpm", "deb") & ~q("epoch").isin("", "0"), F.concat(q("epoch"), F.lit(":"))).otherwise("")
+    source = F.when(kind == "rpm", source_rpm_name(q("upstream"))).otherwise(F.nullif(F.substring_index(q("upstream"), "@", 1), F.lit("")))
+    skip = (kind == "rpm") & ((q("arch") == "src") | ((purl["name"] == "gpg-pubkey") & (q("arch") == "")))
+    return F.when(
+        kind.isin("rpm", "deb", "apk"),
+        F.struct(ecosystem.alias("ecosystem"), F.when(own == "", version).otherwise(F.concat(epoch, own)).alias("version"), source.alias("source_name"), F.when(kind == "rpm", module_stream(q("rpmmod"))).alias("module_stream"), skip.alias("skip")),
     )

@@ -29,7 +29,7 @@ def _pick(value: Column, table: dict[str, float]) -> Column:
 
 def cvss3_score(vector: Column) -> Column:
     """Base score of a CVSS:3.0 or CVSS:3.1 vector; null if it is no such vector or a metric is repeated or unknown."""
-    parts = F.filter(F.slice(F.split(vector, "/"), 2, 1_000), lambda p: p != "")
+    parts = F.filter(F.slice(F.split(vector, "/"), F.lit(2), F.size(F.split(vector, "/"))), lambda p: p != "")
     keys = F.transform(parts, lambda p: F.substring_index(p, ":", 1))
     sound = vector.rlike("^CVSS:3[.][01]/") & F.forall(parts, lambda p: p.rlike("^[^:]+:.+$")) & (F.size(F.array_distinct(keys)) == F.size(keys))
     metric = lambda k: F.regexp_extract(vector, f"/{k}:([^/]*)", 1)

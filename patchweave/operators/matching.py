@@ -9,18 +9,27 @@ a hit, a miss or an error with its cause, so that what could not be checked neve
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from patchweave.functions import names as N
 from patchweave.functions import versions as V
 from patchweave.operators import ranges as R
+from patchweave.operators.components import components
 
 RANGES = f"array<struct<type:string,events:{R.EVENTS},fix_state:string>>"
 #: range_ord of the list of single versions, which comes after all ranges.
 LISTED = 1_000_000
+#: Builds of maintenance lines that the databases don't describe.
+_UBUNTU_LINE = r"(?i)[~+](esm|fips)[0-9]"
+_ORACLE_LINE = r"(?i)\.ksplice[0-9]+\.|_fips$"
+#: Most rows that are broadcast.
+SMALL = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast only where it is counted to be small."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def skip_reason(coverage: Column) -> Column:
@@ -30,15 +39,15 @@ def skip_reason(coverage: Column) -> Column:
     return (
         F.when(V.comparer_of(e).isNull(), "no version ordering for the ecosystem")
         .when(~coverage, "the database does not cover the ecosystem")
-        .when(v.rlike(r"(?i)[~+](esm|fips)[0-9]"), "a build of a separate maintenance line")
-        .when(e.startswith("Oracle Linux:") & v.rlike(r"(?i)\.ksplice[0-9]+\.|_fips$"), "a build of a separate maintenance line")
+        .when(v.rlike(_UBUNTU_LINE), "a build of a separate maintenance line")
+        .when(e.startswith("Oracle Linux:") & v.rlike(_ORACLE_LINE), "a build of a separate maintenance line")
         .when(v.rlike(r"module\+el|module_el") & (F.coalesce("module_stream", F.lit("")) == ""), "a module build of an unknown stream")
     )
 
 
 def guard(inventory: DataFrame, ecosystems: DataFrame) -> DataFrame:
-    """inventory with skip_reason; ecosystems: the covered ones, a catalogue of some dozens."""
-    known = F.broadcast(ecosystems.select(F.col("ecosystem").alias("__covered")).distinct())
+    """inventory with skip_reason; ecosystems: the covered ones."""
+    known = _small(ecosystems.select(F.col("ecosystem").alias("__covered")).distinct())
     joined = inventory.join(known, inventory.ecosystem == F.col("__covered"), "left")
     return joined.withColumn("skip_reason", skip_reason(F.col("__covered").isNotNull())).drop("__covered")
 
@@ -83,21 +92,26 @@ def outcomes(pairs: DataFrame) -> DataFrame:
     each = rows.withColumn("__r", F.explode(F.concat(numbered, listed))).select("*", F.col("__r.pos").alias("range_ord"), F.col("__r.col.type").alias("range_type"), F.col("__r.col.events").alias("events"), F.col("__r.col.fix_state").alias("fix_state"))
     bounds = F.transform("events", lambda e: F.when(cut, F.struct(*(cut_module(e[n]).alias(n) for n in ("introduced", "fixed", "last_affected", "limit")))).otherwise(e))
     each = each.withColumn("events", bounds)
-    maven = each.filter("comparer = 'maven'")
     # All versions of a row get their keys at once: its own, the bounds, the listed ones.
     no = F.array().cast("array<string>")
-    keyed = each.filter("comparer <> 'maven'").withColumn("__b", R.bounds("events"))
+    keyed = each.withColumn("__b", R.bounds("events"))
     keyed = keyed.withColumn("__all", F.concat(F.array("compared_as"), "__b", F.when(F.col("range_ord") == LISTED, F.coalesce("versions", no)).otherwise(no)))
     by_python = F.col("comparer").isin(*V.PYTHON)
     keyed = keyed.withColumn("__k", F.when(by_python, V.python_keys("comparer", F.when(by_python, F.col("__all")))).otherwise(R.native_keys(None, "__all")))
+    # Maven's plain versions have keys; a row with any other is compared pairwise.
+    pairwise = (F.col("comparer") == "maven") & F.exists("__k", lambda k: k.isNull())
+    maven, keyed = keyed.filter(pairwise), keyed.filter(~pairwise)
     keyed = keyed.withColumn("__vk", F.get("__k", F.lit(0))).withColumn("__ek", F.expr("slice(__k, 2, size(__b))")).withColumn("__lk", F.expr("slice(__k, 2 + size(__b), size(__k))"))
     nulls = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     bounds_none = ("introduced", "fixed", "last_affected")
     unread = F.struct(F.lit("error").alias("kind"), F.lit("target").alias("cause"), *nulls(*bounds_none), F.format_string("the version %s could not be read", "compared").alias("reason"))
+    # Of the listed versions those that can't be read are left out and counted, unless one that can is the hit.
+    unreadable = F.expr("size(filter(__lk, k -> k is null))")
+    some_unread = F.struct(F.lit("error").alias("kind"), F.lit("advisory").alias("cause"), *nulls(*bounds_none), F.format_string("%d of %d listed versions could not be read", unreadable, F.size("__lk")).alias("reason"))
     listed_hit = F.struct(F.lit("hit").alias("kind"), *nulls("cause", *bounds_none), F.format_string("%s is listed as affected", "compared").alias("reason"))
     miss = F.struct(F.lit("miss").alias("kind"), *nulls("cause", *bounds_none, "reason"))
     a = R.evaluate(keyed, "compared_as", "events", range_type="range_type", key="__vk", event_keys="__ek")
-    in_list = F.when(F.col("__vk").isNull(), unread).when(F.expr("exists(__lk, k -> k = __vk)"), listed_hit).otherwise(miss)
+    in_list = F.when(F.col("__vk").isNull(), unread).when(F.expr("exists(__lk, k -> k = __vk)"), listed_hit).when(unreadable > 0, some_unread).otherwise(miss)
     a = a.withColumn("outcome", F.when(F.col("range_ord") == LISTED, in_list).otherwise(F.col("outcome")))
     m = maven.filter(f"range_ord <> {LISTED} and range_type <> 'GIT'").withColumn("outcome", R.evaluate_maven("compared_as", "events"))
     cols = [*keep, "range_ord", "fix_state", "outcome", "module"]
@@ -126,43 +140,59 @@ def first_outcomes(found: DataFrame) -> DataFrame:
     return rows.withColumn("skip", skip).drop("o")
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def group_numbers(id_lists: pd.Series) -> pd.Series:
-    """For the id lists of one package's advisories: the group of each, as the position of its first member. Lists that
-    share an id, directly or through others, are one group."""
-
-    def groups(lists) -> list[int]:
-        parent = list(range(len(lists)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        owner: dict[str, int] = {}
-        for i, ids in enumerate(lists):
-            for x in ids:
-                j = find(owner.setdefault(x, i))
-                k = find(i)
-                parent[max(j, k)] = min(j, k)
-        return [find(i) for i in range(len(lists))]
-
-    return pd.Series([None if x is None else groups(x) for x in id_lists])
+def affected_versions(installed: DataFrame, advisories: DataFrame, comparer: str) -> DataFrame:
+    """The hits alone, for one ordering and many packages: installed (name, version, any others) with each advisory
+    (advisory_id, name, events) that holds the version, and fixed and last_affected, its evidence.
+
+    Keys are worked out once per version, intervals once per advisory, and the join compares columns in generated code.
+    Versions and bounds of Maven that have no key are compared pairwise, apart."""
+    cols = [F.col(f"i.{c}").alias(c) for c in installed.columns]
+    if comparer in V.PYTHON:
+        kind = F.lit(comparer)
+        inv = installed.withColumn("key", F.get(V.python_keys(kind, F.array("version")), F.lit(0)))
+        adv = advisories.withColumn("keys", V.python_keys(kind, R.bounds("events")))
+    else:
+        inv = installed.withColumn("key", V.key(comparer, "version"))
+        adv = advisories.withColumn("bounds", R.bounds("events")).withColumn("keys", R.native_keys(comparer, "bounds"))
+    plain = F.forall("keys", lambda k: k.isNotNull())
+    keyed = adv.filter(plain) if comparer == "maven" else adv
+    ready = keyed.select("advisory_id", "name", R.prepared("events", "keys").alias("ready")).select("advisory_id", "name", F.explode(R.intervals("ready")).alias("x"))
+    left = (inv.filter("key is not null") if comparer == "maven" else inv).alias("i")
+    hits = left.join(ready.alias("a"), (F.col("i.name") == F.col("a.name")) & R.inside("i.key", "a.x")).select(*cols, "a.advisory_id", "a.x.fixed", "a.x.last_affected")
+    if comparer != "maven":
+        return hits
+    odd, others = inv.filter("key is null"), adv.filter(~plain)
+    pairs = odd.alias("i").join(adv.alias("a"), "name").unionByName(inv.filter("key is not null").alias("i").join(others.alias("a"), "name"))
+    walked = pairs.select(*installed.columns, "advisory_id", R.evaluate_maven("version", "events").alias("o")).filter("o.kind = 'hit'")
+    return hits.unionByName(walked.select(*installed.columns, "advisory_id", "o.fixed", "o.last_affected"))
+
+
+def listed_versions(installed: DataFrame, listed: DataFrame, comparer: str) -> DataFrame:
+    """installed (name, version) whose version equals, in a native ordering, one of listed (advisory_id, name, listed):
+    an equi-join on keys."""
+    left, right = installed.withColumn("key", V.key(comparer, "version")), listed.withColumn("key", V.key(comparer, "listed"))
+    return left.join(right, ["name", "key"]).select(*installed.columns, "advisory_id").distinct()
 
 
 def group_advisories(hits: DataFrame) -> DataFrame:
-    """hits (package_id, database, advisory_id, aliases, score) with group_no, the number of the record's group within
-    its package, and winner, whether it is the one displayed: rated before unrated, the highest score, then database
-    and id in ascending order. The records of one package are gathered, not those of an advisory."""
-    record = F.struct("database", "advisory_id", "aliases", "score")
-    packages = hits.groupBy("package_id").agg(F.array_sort(F.collect_list(record)).alias("records"))
-    ids = F.transform("records", lambda r: F.array_distinct(F.concat(F.array(r["advisory_id"]), F.coalesce(r["aliases"], F.array().cast("array<string>")))))
-    rows = packages.withColumn("numbers", group_numbers(ids)).select("package_id", F.explode(F.arrays_zip("records", "numbers")).alias("x"))
-    flat = rows.select("package_id", "x.records.*", F.col("x.numbers").alias("group_no"))
+    """hits (package_id, database, advisory_id, aliases, score) with group_no, the record that names the group within
+    its package, identifiers (all that its records bear), and winner, whether it is the one displayed: rated before
+    unrated, the highest score, then database and id in ascending order.
+
+    Records that share an identifier, directly or through others, are one group: components over links between a
+    record and the identifiers that it shares with another, so no package's records are gathered. Most packages have no
+    shared identifier at all and take no part in the rounds."""
+    none = F.array().cast("array<string>")
+    rows = hits.withColumn("record", F.concat_ws("\0", "database", "advisory_id")).withColumn("ids", F.array_distinct(F.concat(F.array("advisory_id"), F.coalesce("aliases", none))))
+    bears = rows.select("package_id", "record", F.explode("ids").alias("id")).filter("id <> ''")
+    shared = bears.groupBy("package_id", "id").agg(F.min("record").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    node = lambda r: F.struct(F.col("package_id").alias("p"), F.col(r).alias("r"))
+    edges = bears.join(shared, ["package_id", "id"]).filter("record <> least").select(node("record").alias("a"), node("least").alias("b"))
+    roots = components(edges).select(F.col("node.p").alias("package_id"), F.col("node.r").alias("record"), F.col("root.r").alias("root"))
+    flat = rows.join(roots, ["package_id", "record"], "left").withColumn("group_no", F.coalesce("root", "record")).drop("root")
     rank = F.struct(F.col("score").isNull(), -F.coalesce("score", F.lit(0.0)), "database", "advisory_id")
-    best = flat.groupBy("package_id", "group_no").agg(F.min(rank).alias("best"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("advisory_id"), F.coalesce("aliases", F.array().cast("array<string>"))))))).alias("identifiers"))
-    return flat.join(best, ["package_id", "group_no"]).withColumn("winner", rank == F.col("best")).drop("best")
+    best = flat.groupBy("package_id", "group_no").agg(F.min(rank).alias("best"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("identifiers"))  # the ids of one vulnerability
+    return flat.join(best, ["package_id", "group_no"]).withColumn("winner", rank == F.col("best")).drop("best", "record", "ids")
 
 
 def fix_state(ratings: str) -> Column:

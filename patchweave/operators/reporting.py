@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchweave.functions import severity as S
+from patchweave.operators.findings import ordered_findings, other_ids, severity_text, sources_disagree
 
 
 @dataclass(frozen=True)
@@ -73,7 +74,62 @@ def verdict(g: Gates) -> Column:
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    return findings.orderBy("target_id", "ecosystem", "name", "version", "advisory_id", "location")
+    return ordered_findings(findings)
+
+
+#: The JSON report's version, and its lists that are written empty rather than left out.
+JSON_SCHEMA = 8
+_LISTS = ("ratings", "enrichment")
+
+
+def json_records(findings: DataFrame, skips: DataFrame, summary: DataFrame) -> DataFrame:
+    """target_id, part ('summary', 'finding' or 'skip'), position and a JSON text: the parts of a report in its order.
+    A report's writer needs no more than one of them at a time."""
+    by = ["ecosystem", "name", "version", "advisory_id"]
+    package = F.struct("name", "version", "ecosystem", F.nullif("location", F.lit("")).alias("location"))
+    empty = F.array().cast("array<string>")
+    lists = [F.coalesce(F.col(c), F.array().cast(findings.schema[c].dataType)) if c in findings.columns else empty for c in _LISTS]
+    finding = F.struct(package.alias("package"), F.struct(F.col("advisory_id").alias("id"), F.array_remove("identifiers", F.col("advisory_id")).alias("aliases")).alias("advisory"), F.col("band").alias("severity"), F.coalesce("score", F.lit(0.0)).alias("score"), F.struct(F.nullif("fixed", F.lit("")).alias("fixed")).alias("evidence"), *(x.alias(c) for x, c in zip(lists, _LISTS, strict=True)), (F.coalesce("fixed", F.lit("")) == "").alias("unfixable"), F.col("fix_state").alias("fixState"))
+    f = findings.select("target_id", F.lit("finding").alias("part"), F.struct(*by, F.coalesce("location", F.lit("")).alias("location")).alias("at"), F.to_json(finding).alias("text"))
+    none = F.lit("")
+    k = skips.select("target_id", F.lit("skip").alias("part"), F.struct(none.alias("ecosystem"), F.col("package").alias("name"), none.alias("version"), F.coalesce("advisory_id", none).alias("advisory_id"), F.col("reason").alias("location")).alias("at"), F.to_json(F.struct(F.struct(F.col("package").alias("name")).alias("package"), F.nullif("advisory_id", none).alias("advisoryId"), "reason", "cause")).alias("text"))
+    s = summary.select("target_id", F.lit("summary").alias("part"), F.struct(*(none.alias(c) for c in ("ecosystem", "name", "version", "advisory_id", "location"))).alias("at"), F.to_json(F.struct(F.lit(JSON_SCHEMA).alias("schemaVersion"), F.struct(*(c for c in summary.columns if c != "target_id")).alias("summary"))).alias("text"))
+    return s.unionByName(f).unionByName(k).select("target_id", "part", F.col("at").alias("position"), "text")
+
+
+def json_document(records: DataFrame, target_id) -> str:
+    """One target's report. It is a file for one reader: read row by row on the driver."""
+    parts: dict[str, list] = {"summary": [], "finding": [], "skip": []}
+    for r in records.filter(F.col("target_id") == F.lit(target_id)).orderBy("part", "position").toLocalIterator():
+        parts[r.part].append(json.loads(r.text))
+    head = parts["summary"][0] if parts["summary"] else {"schemaVersion": JSON_SCHEMA, "summary": {}}
+    return json.dumps({"schemaVersion": head["schemaVersion"], "findings": parts["finding"], "skipped": parts["skip"], "summary": head["summary"]}, indent=2)
+
+
+def table_lines(findings: DataFrame) -> DataFrame:
+    """target_id, position and a line of the text report for each finding: package, version, advisory and other ids,
+    severity, fix, and whether its sources disagree."""
+    others = other_ids(F.col("advisory_id"), F.col("identifiers"))
+    ids = F.concat(F.col("advisory_id"), F.when(F.size(others) > 0, F.concat(F.lit(" ("), F.array_join(others, ", "), F.lit(")"))).otherwise(""))
+    fix = F.when(F.coalesce("fixed", F.lit("")) != "", F.col("fixed")).when(F.col("fix_state") == "wont-fix", "won't fix").otherwise("none")
+    differ = F.when(sources_disagree("ratings"), "sources disagree").otherwise("") if "ratings" in findings.columns else F.lit("")
+    line = F.rtrim(F.concat_ws("  ", F.rpad("name", 24, " "), F.rpad("version", 16, " "), ids, severity_text(F.col("band"), F.col("score")), F.concat(F.lit("fix: "), fix), differ))
+    return findings.select("target_id", F.struct("ecosystem", "name", "version", "advisory_id").alias("position"), line.alias("line"))
+
+
+def skip_notes(skips: DataFrame) -> DataFrame:
+    """What a SARIF report says of skips: target_id, rule_id, level 'note', message, and invocation (a notification for
+    a whole package) or not (a result for one check)."""
+    whole = F.coalesce("advisory_id", F.lit("")) == ""
+    text = F.when(whole, F.format_string("%s was not evaluated: %s", "package", "reason")).otherwise(F.format_string("%s was not checked for %s: %s", "package", "advisory_id", "reason"))
+    return skips.select("target_id", F.concat(F.lit("skipped-"), "cause").alias("rule_id"), F.lit("note").alias("level"), text.alias("message"), whole.alias("invocation"))
+
+
+def explain_lines(findings: DataFrame, identifier: str) -> DataFrame:
+    """explain() as text: target_id, package, why it is affected and what each rating says."""
+    f = explain(findings, identifier)
+    ratings = F.array_join(F.transform("ratings", lambda r: F.format_string("%s %s: %s", r["database"], r["advisory_id"], severity_text(r["band"], r["score"]))), "; ") if "ratings" in findings.columns else F.lit("")
+    return f.select("target_id", F.format_string("%s %s in %s", "name", "version", "ecosystem").alias("package"), F.coalesce("reason", F.lit("")).alias("why") if "reason" in findings.columns else F.lit("").alias("why"), ratings.alias("ratings"))
 
 
 def json_lines(findings: DataFrame) -> DataFrame:

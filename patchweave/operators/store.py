@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchweave.operators.incremental import last_writes
+from patchweave.operators.lifecycle import too_old
 
 SCHEMA_VERSION = 1
 
@@ -17,15 +18,51 @@ class StoreError(ValueError):
     """The store is missing, unfinished or of another version."""
 
 
+def _swap(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Writes beside the table and takes its place only when all is written."""
+    spark = df.sparkSession
+    fresh, old = f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(fresh)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at(old), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(fresh), at(path))
+    fs.delete(at(old), True)
+
+
 def write_affected(affected: DataFrame, path: str) -> None:
-    """Entries clustered by family and sorted by name, so that a lookup reads few row groups."""
+    """Entries clustered by family and sorted by name, so that a lookup reads few row groups. All or nothing."""
     family = F.substring_index("ecosystem", ":", 1)
-    affected.withColumn("eco_family", family).repartitionByRange("eco_family", "ecosystem", "name").sortWithinPartitions("ecosystem", "name").write.mode("overwrite").partitionBy("eco_family").parquet(f"{path}/affected")
+    rows = affected.withColumn("eco_family", family).repartitionByRange("eco_family", "ecosystem", "name").sortWithinPartitions("ecosystem", "name")
+    _swap(rows, f"{path}/affected", ["eco_family"])
 
 
 def write_ratings(ratings: DataFrame, path: str) -> None:
     """The last write of each (cve, source); ratings carry load_seq."""
-    last_writes(ratings, ["cve", "source"], "load_seq").write.mode("overwrite").parquet(f"{path}/ratings")
+    _swap(last_writes(ratings, ["cve", "source"], "load_seq"), f"{path}/ratings", [])
+
+
+def write_enrichment(enrichment: DataFrame, path: str) -> None:
+    """The last write of each (cve, source); enrichment carries load_seq."""
+    _swap(last_writes(enrichment, ["cve", "source"], "load_seq"), f"{path}/enrichment", [])
+
+
+def publish(spark: SparkSession, path: str, to: str) -> None:
+    """A compact copy of a finished store, without the enrichment, which is never published."""
+    tables = open_store(spark, path)
+    _swap(tables["affected"].repartitionByRange("eco_family", "ecosystem", "name").sortWithinPartitions("ecosystem", "name"), f"{to}/affected", ["eco_family"])
+    _swap(tables["ratings"], f"{to}/ratings", [])
+    _swap(tables["meta"].coalesce(1), f"{to}/meta", [])
+
+
+def status(store: dict[str, DataFrame], today: str, most_days: int = 7) -> DataFrame:
+    """A store's state by source: ratings, share of all, built_at, age in days and whether it is too old."""
+    m = store["meta"].select("built_at", F.explode("rating_counts").alias("source", "ratings"))
+    total = store["meta"].select(F.aggregate(F.map_values("rating_counts"), F.lit(0).cast("long"), lambda a, x: a + x)).first()[0]
+    built = F.try_to_date(F.substring("built_at", 1, 10))
+    return m.select("source", "ratings", (F.col("ratings") / F.lit(float(total or 1))).alias("share"), "built_at", F.date_diff(F.lit(today).cast("date"), built).alias("age_days"), too_old(built, F.lit(today), most_days).alias("too_old"))
 
 
 def write_meta(spark: SparkSession, path: str, built_at: str) -> None:

@@ -80,7 +80,7 @@ def osv_affected(records: DataFrame) -> DataFrame:
     e = e.withColumn("ranges", F.when(F.col("ecosystem").startswith("Alpine"), _repaired("ranges")).otherwise(F.col("ranges")))
     tagged = F.col("ecosystem").rlike("^(Rocky Linux|AlmaLinux)(:|$)") & F.expr("exists(ranges, r -> exists(r.events, e -> e.fixed rlike 'module[+_]el'))")
     e = e.withColumn("module_stream", F.when(tagged, _stream("summary"))).drop("summary")
-    lineage = F.col("ecosystem").rlike("^Ubuntu:(Pro|.*:(Pro|FIPS|ESM))")
+    lineage = F.col("ecosystem").startswith("Ubuntu") & ~F.col("ecosystem").rlike(V.MAINLINE_UBUNTU)
     return e.filter((F.col("name") != "") & ~lineage & ((F.size("ranges") > 0) | (F.size("versions") > 0)))
 
 

@@ -14,13 +14,17 @@ import sqlite3
 import struct
 import tomllib
 import zipfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchweave.functions import names as N
+
 #: Directories that are never read.
 PRUNED = ("node_modules", "vendor", ".git")
 MAX_ARCHIVE_DEPTH = 3
@@ -38,6 +42,13 @@ class Package:
     purl: str | None = None
 
 
+@dataclass(frozen=True)
+class Note:
+    """Something that was left out, with the reason: a row of its own in the result."""
+
+    reason: str
+
+
 class Unreadable(ValueError):
     """The file isn't what its name says, with the reason."""
 
@@ -52,7 +63,7 @@ def _json(text: str) -> dict:
     return data
 
 
-def _once(packages: Iterable[Package]) -> list[Package]:
+def _once(packages: Iterable[Package | Note]) -> list[Package | Note]:
     return list(dict.fromkeys(packages))
 
 
@@ -95,14 +106,15 @@ def yarn_lock(text: str) -> list[Package]:
     return _once(out)
 
 
-def _toml_packages(ecosystem: str, text: str, local: Callable[[dict], bool] = lambda p: False) -> list[Package]:
+def _toml_packages(ecosystem: str, text: str) -> list[Package]:
+    """Every package with a name and a version, whatever its source: a local one is installed, too."""
     try:
         data = tomllib.loads(text)
     except tomllib.TOMLDecodeError as e:
         raise Unreadable(f"not TOML: {e}") from None
     if "package" not in data:
         raise Unreadable("no [[package]] table")
-    return _once(Package(ecosystem, p["name"], p["version"]) for p in data["package"] if p.get("name") and p.get("version") and not local(p))
+    return _once(Package(ecosystem, p["name"], p["version"]) for p in data["package"] if p.get("name") and p.get("version"))
 
 
 def poetry_lock(text: str) -> list[Package]:
@@ -110,11 +122,11 @@ def poetry_lock(text: str) -> list[Package]:
 
 
 def uv_lock(text: str) -> list[Package]:
-    return _toml_packages("PyPI", text, lambda p: any(k in (p.get("source") or {}) for k in ("editable", "virtual", "directory")))
+    return _toml_packages("PyPI", text)
 
 
 def cargo_lock(text: str) -> list[Package]:
-    return _toml_packages("crates.io", text, lambda p: "source" not in p)
+    return _toml_packages("crates.io", text)
 
 
 def pipfile_lock(text: str) -> list[Package]:
@@ -126,11 +138,12 @@ def pipfile_lock(text: str) -> list[Package]:
 _PIN = re.compile(r"([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*===?\s*([^\s;,*]+)\s*(?:;.*)?")
 
 
-def requirements(text: str) -> list[Package]:
-    """Lines that pin one version; comments, options, URLs and ranges are no packages."""
+def requirements(text: str) -> list[Package | Note]:
+    """Lines that pin one version; comments and options are none, and other requirements (URLs, ranges) are noted."""
     logical = re.sub(r"\\\r?\n", " ", text).splitlines()
     lines = (re.sub(r"(^|\s)#.*", "", x).split(" --hash")[0].strip() for x in logical)
-    return _once(Package("PyPI", m[1], m[2]) for x in lines if x and x[0] != "-" and (m := _PIN.fullmatch(x)))
+    named = (x for x in lines if x and x[0] != "-")
+    return _once(Package("PyPI", m[1], m[2]) if (m := _PIN.fullmatch(x)) else Note(f"not pinned to one version: {x}") for x in named)
 
 
 def gem_lock(text: str) -> list[Package]:
@@ -140,7 +153,7 @@ def gem_lock(text: str) -> list[Package]:
         if line and not line[0].isspace():
             section = line.strip()
         elif section == "GEM" and (m := re.fullmatch(r" {4}(\S+) \(([^)]+)\)", line)):
-            out.append(Package("RubyGems", m[1], m[2].split("-")[0] if re.search(r"-(x86|java|arm|aarch|universal|mingw|mswin)", m[2]) else m[2]))
+            out.append(Package("RubyGems", m[1], m[2]))
     return _once(out)
 
 
@@ -207,12 +220,12 @@ def apk_installed(text: str) -> list[Package]:
 
 
 def dpkg_status(text: str) -> list[Package]:
-    """Installed stanzas; Source: name (version) names the source package."""
+    """Stanzas whose files may be on disk, half-installed ones too; Source: name (version) names the source package."""
     out = []
     for stanza in re.split(r"\n[ \t]*\n", text):
         f = {k.lower(): v.strip() for k, v in re.findall(r"(?m)^([!-9;-~]+):[ \t]*(.*(?:\n[ \t]+.*)*)", stanza)}
         status = f.get("status", "install ok installed").split()
-        if f.get("package") and f.get("version") and status[-1] in ("installed", "half-configured", "triggers-awaited", "triggers-pending", "unpacked"):
+        if f.get("package") and f.get("version") and status[-1] in ("installed", "half-configured", "half-installed", "triggers-awaited", "triggers-pending", "unpacked"):
             m = re.fullmatch(r"(\S+)(?:\s+\((.+)\))?", f.get("source", ""))
             out.append(Package(None, f["package"], f["version"], m[1] if m else None, m[2] if m else None))
     return out
@@ -248,8 +261,22 @@ def rpm_header(blob: bytes) -> Package | None:
     return Package(None, values["name"], evr, source[1] if source else None, source[2] if source else None, ":".join(label[:2]) if len(label) > 1 else None)
 
 
-def rpm_sqlite(data: bytes) -> list[Package]:
-    """rpmdb.sqlite: the blobs of table Packages."""
+def _rpm_packages(blobs: Iterable[bytes]) -> list[Package | Note]:
+    out: list[Package | Note] = []
+    for n, b in enumerate(blobs):
+        try:
+            p = rpm_header(b)
+        except (Unreadable, struct.error, ValueError) as e:
+            out.append(Note(f"rpm record {n}: {e}"))
+            continue
+        if p:
+            out.append(p)
+    return out
+
+
+def rpm_sqlite(data: bytes) -> list[Package | Note]:
+    """rpmdb.sqlite: the blobs of table Packages. A database in write-ahead mode whose log isn't empty is refused by
+    the caller, who sees the log (see images.py)."""
     if not data.startswith(b"SQLite format 3\0"):
         raise Unreadable("not an SQLite database")
     con = sqlite3.connect(":memory:")
@@ -260,35 +287,153 @@ def rpm_sqlite(data: bytes) -> list[Package]:
         raise Unreadable(f"rpmdb: {e}") from None
     finally:
         con.close()
-    out = []
-    for (b,) in blobs:
-        try:
-            p = rpm_header(b)
-        except (Unreadable, struct.error, ValueError):
-            continue  # one bad record
-        if p:
-            out.append(p)
+    return _rpm_packages(b for (b,) in blobs)
+
+
+def rpm_bdb(data: bytes) -> list[Package | Note]:
+    """BerkeleyDB's hash file Packages, in either byte order: values of hash pages, inline or in chains of overflow
+    pages; the key 0 holds a counter."""
+    order = next((o for o in "<>" if len(data) >= 72 and struct.unpack(o + "I", data[12:16])[0] == 0x061561), None)
+    if order is None:
+        raise Unreadable("not a BerkeleyDB hash file")
+    size, last = struct.unpack(order + "I", data[20:24])[0], struct.unpack(order + "I", data[32:36])[0]
+    if not 512 <= size <= 65_536 or (last + 1) * size > len(data):
+        raise Unreadable("BerkeleyDB pages beyond the file's end")
+
+    def page(n: int) -> bytes:
+        if not 0 < n <= last:
+            raise Unreadable(f"BerkeleyDB page {n} of {last}")
+        return data[n * size : (n + 1) * size]
+
+    def overflow(n: int, length: int) -> bytes:
+        out, seen = bytearray(), set()
+        while n and len(out) < length:
+            if n in seen:
+                raise Unreadable("BerkeleyDB overflow pages in a circle")
+            seen.add(n)
+            p = page(n)
+            out += p[26 : 26 + struct.unpack(order + "H", p[22:24])[0]]
+            n = struct.unpack(order + "I", p[16:20])[0]
+        if len(out) < length:
+            raise Unreadable("a BerkeleyDB value that ends early")
+        return bytes(out[:length])
+
+    blobs = []
+    for n in range(1, last + 1):
+        p = page(n)
+        if p[25] not in (2, 13):
+            continue
+        entries = struct.unpack(order + "H", p[20:22])[0]
+        at = struct.unpack(f"{order}{entries}H", p[26 : 26 + 2 * entries])
+        for i in range(1, entries, 2):
+            if p[at[i]] == 3:  # in overflow pages
+                start, length = struct.unpack(order + "II", p[at[i] + 4 : at[i] + 12])
+                blobs.append(overflow(start, length))
+            elif p[at[i]] == 1 and p[at[i - 1] + 1 : at[i - 2] if i >= 2 else size] != b"\0" * 4:
+                blobs.append(p[at[i] + 1 : at[i - 1]])
+    return _rpm_packages(blobs)
+
+
+def rpm_ndb(data: bytes) -> list[Package | Note]:
+    """ndb's Packages.db: slots of (package, block, blocks), each blob with its head, tail and checksum."""
+    if data[:4] != b"RpmP" or len(data) < 32:
+        raise Unreadable("not an ndb database")
+    pages = struct.unpack("<I", data[12:16])[0]
+    if not 0 < pages * 4096 <= len(data):
+        raise Unreadable("ndb slots beyond the file's end")
+    blobs, bad = [], []
+    for at in range(32, pages * 4096, 16):
+        magic, index, block, count = struct.unpack("<4sIII", data[at : at + 16])
+        if magic != b"Slot" or not block:
+            continue
+        region = data[block * 16 : (block + count) * 16]
+        head, number, _, length = struct.unpack("<4sIII", region[:16]) if len(region) >= 32 else (b"", 0, 0, 0)
+        checksum, again, tail = struct.unpack("<II4s", region[-12:]) if len(region) >= 32 else (0, 0, b"")
+        if head != b"BlbS" or tail != b"BlbE" or number != index or again != length or -(-(28 + length) // 16) != count or zlib.adler32(region[:-12]) != checksum:
+            bad.append(Note(f"ndb package {index} is damaged"))
+        else:
+            blobs.append(region[16 : 16 + length])
+    return _rpm_packages(blobs) + bad
+
+
+# ---- Go binaries ----
+
+
+def go_version(text: str) -> str | None:
+    """A toolchain's version as a semantic version: go1.22rc1 is 1.22.0-rc.1; None for a development build."""
+    m = re.fullmatch(r"(?:go)?((?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){0,2})(?:-(\S*)|(rc|beta|alpha)([0-9]+))?", text)
+    if not m:
+        return None
+    numbers = m[1].split(".")
+    before = m[2] or (f"{m[3]}.{m[4]}" if m[3] else "")
+    return ".".join(numbers + ["0"] * (3 - len(numbers))) + (f"-{before}" if before else "")
+
+
+def go_binary(data: bytes) -> list[Package | Note]:
+    """The build information of a Go program: its modules, as replaced, and the standard library. The form of
+    toolchains before 1.18, which points into the program's memory, is refused."""
+    at = data.find(b"\xff Go buildinf:")
+    while at >= 0 and at % 16:
+        at = data.find(b"\xff Go buildinf:", at + 1)
+    if at < 0:
+        raise Unreadable("no Go build information")
+    if not data[at + 15] & 2:
+        raise Unreadable("build information of a toolchain before 1.18")
+
+    def text(n: int) -> tuple[bytes, int]:
+        length = shift = 0
+        while True:
+            b = data[n]
+            length |= (b & 127) << shift
+            n, shift = n + 1, shift + 7
+            if b < 128:
+                return data[n : n + length], n + length
+
+    try:
+        toolchain, n = text(at + 32)
+        modules, _ = text(n)
+    except IndexError:
+        raise Unreadable("build information that ends early") from None
+    modules = modules[16:-16] if len(modules) >= 33 and modules[-17:-16] == b"\n" else modules
+    found: list[list[str]] = []
+    for line in modules.decode("utf-8", "replace").splitlines():
+        word, *rest = line.split("\t")
+        if word in ("mod", "dep") and rest:
+            found.append(rest)
+        elif word == "=>" and found and rest:
+            found[-1] = rest
+    out: list[Package | Note] = []
+    for path, version in ((m[0], m[1] if len(m) > 1 else "") for m in found):
+        known = version not in ("", "(devel)")
+        out.append(Package("Go", path, version, purl=f"pkg:golang/{path}@{version}") if known else Note(f"{path} has no version"))
+    std = go_version(toolchain.decode("utf-8", "replace"))
+    out.append(Package("Go", "stdlib", std, purl=f"pkg:golang/stdlib@{std}") if std else Note("the toolchain has no version"))
     return out
 
 
 # ---- SBOMs and archives ----
 
+_DISTRO_TYPES = ("rpm", "deb", "apk")
 _PURL_TYPES = {"golang": "Go", "npm": "npm", "pypi": "PyPI", "cargo": "crates.io", "gem": "RubyGems", "composer": "Packagist", "nuget": "NuGet", "maven": "Maven"}
 
 
-def from_purl(purl: str) -> Package | None:
-    """A language package by its package URL; None for other types and without a version."""
+def from_purl(purl: str, version: str = "") -> Package | None:
+    """A language package by its package URL, with the component's version where the URL has none; one of a
+    distribution as it is named, for resolved() to complete; None for other types and without a version."""
     from urllib.parse import unquote
 
     m = re.fullmatch(r"pkg:/*([^/?#]+)/([^?#]+)(?:\?[^#]*)?(?:#.*)?", purl)
-    if not m or m[1].lower() not in _PURL_TYPES:
+    if not m or m[1].lower() not in (*_PURL_TYPES, *_DISTRO_TYPES):
         return None
-    path, _, version = m[2].strip("/").rpartition("@")
+    path, _, own = m[2].strip("/").rpartition("@")
     if not path:
-        return None
+        path, own = own, ""
+    version = unquote(own) or version
+    if m[1].lower() in _DISTRO_TYPES:
+        return Package(None, unquote(path.split("/")[-1]), version, purl=purl) if version else None
     eco = _PURL_TYPES[m[1].lower()]
     name = (":" if eco == "Maven" else "/").join(unquote(x) for x in path.split("/"))
-    return Package(eco, name, unquote(version), purl=purl) if version else None
+    return Package(eco, name, version, purl=purl) if version else None
 
 
 def cyclonedx(text: str) -> list[Package]:
@@ -300,7 +445,7 @@ def cyclonedx(text: str) -> list[Package]:
     while todo:
         c = todo.pop()
         todo.extend(reversed(c.get("components") or []))
-        if c.get("type") not in ("operating-system", "file") and c.get("purl") and (p := from_purl(c["purl"])):
+        if c.get("type") not in ("operating-system", "file") and c.get("purl") and (p := from_purl(c["purl"], c.get("version") or "")):
             out.append(p)
     return out
 
@@ -311,32 +456,93 @@ def spdx(text: str) -> list[Package]:
     if not data.get("spdxVersion"):
         raise Unreadable("no SPDX document")
     roots = {r["relatedSpdxElement"] for r in data.get("relationships") or [] if r.get("relationshipType") == "DESCRIBES"} | set(data.get("documentDescribes") or [])
-    refs = [r.get("referenceLocator", "") for p in data.get("packages") or [] if p.get("SPDXID") not in roots for r in p.get("externalRefs") or [] if r.get("referenceType") == "purl"]
-    return _once(p for p in map(from_purl, refs) if p)
+    refs = [(r.get("referenceLocator", ""), p.get("versionInfo") or "") for p in data.get("packages") or [] if p.get("SPDXID") not in roots for r in p.get("externalRefs") or [] if r.get("referenceType") == "purl"]
+    return _once(p for p in (from_purl(*r) for r in refs) if p)
 
 
-def jar(data: bytes, depth: int = 0) -> list[Package]:
-    """Every pom.properties of an archive and of archives within it."""
+def jar(data: bytes, depth: int = 0) -> list[Package | Note]:
+    """Every pom.properties of an archive and of archives within it; entries over the caps, nested archives that can't
+    be read and archives without a pom.properties are noted."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile:
         raise Unreadable("not an archive") from None
     out = []
     for e in sorted(archive.infolist(), key=lambda e: e.filename):
-        if e.file_size > MAX_ENTRY_BYTES:
+        nested = re.search(r"\.(jar|war|ear)$", e.filename)
+        if (nested or e.filename.endswith("pom.properties")) and e.file_size > MAX_ENTRY_BYTES:
+            out.append(Note(f"{e.filename}: larger than {MAX_ENTRY_BYTES} bytes"))
             continue
         if re.fullmatch(r"META-INF/maven/.+/pom\.properties", e.filename):
             f = dict(line.split("=", 1) for line in archive.read(e).decode("utf-8", "replace").splitlines() if "=" in line and line[0] != "#")
             if f.get("groupId") and f.get("artifactId") and f.get("version"):
                 out.append(Package("Maven", f"{f['groupId'].strip()}:{f['artifactId'].strip()}", f["version"].strip()))
-        elif re.search(r"\.(jar|war|ear)$", e.filename) and depth < MAX_ARCHIVE_DEPTH:
+        elif nested and depth >= MAX_ARCHIVE_DEPTH:
+            out.append(Note(f"{e.filename}: nested more than {MAX_ARCHIVE_DEPTH} deep"))
+        elif nested:
             try:
                 out.extend(jar(archive.read(e), depth + 1))
-            except Unreadable:
-                continue
+            except (Unreadable, zipfile.BadZipFile, RuntimeError) as x:
+                out.append(Note(f"{e.filename}: {x}"))
+    if depth and not out:
+        out.append(Note("an archive without a pom.properties"))
     return _once(out)
 
 
+def looks_like_jar(name: str, data: bytes) -> bool:
+    """An archive by its first bytes that is named as one or has a META-INF folder."""
+    if not data.startswith(b"PK\x03\x04"):
+        return False
+    if re.search(r"\.(jar|war)$", name):
+        return True
+    try:
+        return any(n.startswith("META-INF/") for n in zipfile.ZipFile(io.BytesIO(data)).namelist())
+    except zipfile.BadZipFile:
+        return False
+
+
+def sniff(name: str, data: bytes) -> str | None:
+    """What a single file is, when nothing says so: gobinary, jar, cyclonedx or spdx; None if none of them."""
+    if b"\xff Go buildinf:" in data:
+        return "gobinary"
+    if looks_like_jar(name, data):
+        return "jar"
+    try:
+        keys = json.loads(data)
+    except (ValueError, UnicodeDecodeError):
+        return None
+    if isinstance(keys, dict):
+        return "cyclonedx" if "bomFormat" in keys else "spdx" if "spdxVersion" in keys else None
+    return None
+
+
+#: Prefixes that say what a target is.
+TARGET_PREFIXES = {"docker-archive:": "image", "oci-dir:": "image", "sbom:": "sbom", "dir:": "directory", "file:": "gobinary", "jar:": "jar"}
+
+
+def classify(targets: DataFrame) -> DataFrame:
+    """target, is_directory, content (null where it doesn't exist) with kind and path: an explicit prefix counts first,
+    then a directory, then what the content is; what doesn't exist is an image's reference, what is none of them has a
+    null kind."""
+
+    @F.pandas_udf("string")
+    def by_content(name: pd.Series, content: pd.Series) -> pd.Series:
+        kinds = {"cyclonedx": "sbom", "spdx": "sbom"}
+        return pd.Series([None if c is None else (lambda k: kinds.get(k, k))(sniff(n, c)) for n, c in zip(name, content, strict=True)], dtype=object)
+
+    kind, path = None, F.col("target")
+    for prefix, k in TARGET_PREFIXES.items():
+        has = F.col("target").startswith(prefix)
+        kind = F.when(has, k) if kind is None else kind.when(has, k)
+        if k != "image":
+            path = F.when(has, F.substr("target", F.lit(len(prefix) + 1))).otherwise(path)
+    told = targets.withColumn("told", kind)
+    unknown = F.col("told").isNull() & ~F.col("is_directory")
+    found = told.withColumn("seen", by_content("target", F.when(unknown, F.col("content"))))
+    decided = F.coalesce("told", F.when(F.col("is_directory"), "directory").when(F.col("content").isNull(), "image"), "seen")
+    return found.select("target", decided.alias("kind"), path.alias("path"))
+
+
 #: File name or suffix -> (kind, parser, whether it takes bytes).
 PARSERS: list[tuple[str, str, Callable, bool]] = [
     (r"(package-lock|npm-shrinkwrap)\.json", "npm", npm_lock, False),
@@ -353,6 +559,8 @@ PARSERS: list[tuple[str, str, Callable, bool]] = [
     (r"installed", "apk", apk_installed, False),
     (r"status", "dpkg", dpkg_status, False),
     (r"rpmdb\.sqlite", "rpm", rpm_sqlite, True),
+    (r"Packages", "rpm", rpm_bdb, True),
+    (r"Packages\.db", "rpm", rpm_ndb, True),
     (r".+\.cdx\.json|bom\.json", "cyclonedx", cyclonedx, False),
     (r".+\.spdx\.json", "spdx", spdx, False),
     (r".+\.(jar|war)", "jar", jar, True),
@@ -369,11 +577,11 @@ def parse_file(path: str, content: bytes) -> Iterator[tuple]:
         if re.fullmatch(pattern, base):
             try:
                 found = parser(content if binary else content.decode("utf-8-sig"))
-            except (Unreadable, UnicodeDecodeError, AttributeError, TypeError, KeyError) as e:
+            except (Unreadable, UnicodeDecodeError, AttributeError, TypeError, KeyError, struct.error, zipfile.BadZipFile) as e:
                 yield (path, kind, f"{type(e).__name__}: {e}", *blank)
                 return
             for p in found:
-                yield (path, kind, None, *(getattr(p, f) for f in FIELDS))
+                yield (path, kind, p.reason, *blank) if isinstance(p, Note) else (path, kind, None, *(getattr(p, f) for f in FIELDS))
             if not found:
                 yield (path, kind, "no package", *blank)
             return
@@ -395,9 +603,38 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def resolved(packages: DataFrame, document_ecosystem: str = "document_ecosystem") -> DataFrame:
+    """Rows of SCHEMA whose distribution packages (by package URL) get their ecosystem, version with epoch, source and
+    module stream; document_ecosystem: a column with the key of the distribution that the document names, null where it
+    names none. Source packages and public keys go; those that nothing places keep a null ecosystem, which no guard
+    lets pass as clean."""
+    document = F.col(document_ecosystem) if document_ecosystem in packages.columns else F.lit(None).cast("string")
+    rows = packages.withColumn("__p", N.parse_purl(F.col("purl")))
+    rows = rows.withColumn("__d", N.distro_purl(F.col("__p"), F.col("version"), document, document.isNotNull()))
+    told = F.col("__d").isNotNull()
+    pick = lambda c: F.when(told, F.coalesce(F.col(f"__d.{c}"), F.col(c)) if c != "ecosystem" else F.col("__d.ecosystem")).otherwise(F.col(c)).alias(c)
+    changed = ("ecosystem", "version", "source_name", "module_stream")
+    return rows.filter(~F.coalesce("__d.skip", F.lit(False))).select(*(pick(c) if c in changed else F.col(c) for c in packages.columns))
+
+
+def manifests(rows: DataFrame) -> DataFrame:
+    """What became of each file: path, kind, packages, notes, failed (nothing could be read), reason (its first one)."""
+    named = F.col("name").isNotNull()
+    g = rows.groupBy("path", "kind").agg(F.count_if(named).alias("packages"), F.count_if(F.col("reason").isNotNull()).alias("notes"), F.min("reason").alias("reason"))
+    return g.withColumn("failed", (F.col("packages") == 0) & (F.col("reason") != "no package"))
+
+
+#: Directories below the root that a walk looks into.
+MAX_DEPTH = 6
+
+
 def read_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """The packages of all manifests under a folder."""
+    """The packages of all manifests under a folder, to a depth of MAX_DEPTH folders; deeper manifests are rows with a
+    reason. Distribution packages of SBOMs are resolved by their URLs."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     pruned = "/(" + "|".join(map(re.escape, PRUNED)) + ")/"
     named = "/(" + "|".join(p for p, *_ in PARSERS) + r"|pnpm-lock\.yaml)$"
-    return parse_files(files.filter(F.col("path").rlike(named) & ~F.col("path").rlike(pruned)))
+    below = F.size(F.split(F.element_at(F.split("path", re.escape(root.rstrip("/"))), -1), "/")) - 2
+    wanted = files.filter(F.col("path").rlike(named) & ~F.col("path").rlike(pruned)).withColumn("depth", below)
+    deep = wanted.filter(F.col("depth") > MAX_DEPTH).select("path", F.lit(None).cast("string").alias("kind"), F.lit("deeper than the walk goes").alias("reason"), *(F.lit(None).cast("string").alias(f) for f in FIELDS))
+    return resolved(parse_files(wanted.filter(F.col("depth") <= MAX_DEPTH))).unionByName(deep)

@@ -12,7 +12,11 @@ from patchweave.sources import inventory as I
 
 
 def pairs(packages):
-    return [(p.name, p.version) for p in packages]
+    return [(p.name, p.version) for p in packages if isinstance(p, I.Package)]
+
+
+def notes(packages):
+    return [p.reason for p in packages if isinstance(p, I.Note)]
 
 
 def test_lockfiles():
@@ -22,11 +26,11 @@ def test_lockfiles():
     with pytest.raises(I.Unreadable):
         I.yarn_lock("__metadata:\n  version: 6\n")
     assert pairs(I.poetry_lock('[[package]]\nname = "a"\nversion = "1.0"\n')) == [("a", "1.0")]
-    assert pairs(I.uv_lock('[[package]]\nname = "me"\nversion = "0"\nsource = { editable = "." }\n[[package]]\nname = "b"\nversion = "2"\n')) == [("b", "2")]
-    assert pairs(I.cargo_lock('[[package]]\nname = "me"\nversion = "0"\n[[package]]\nname = "c"\nversion = "3"\nsource = "registry+x"\n')) == [("c", "3")]
+    assert pairs(I.uv_lock('[[package]]\nname = "me"\nversion = "0"\nsource = { editable = "." }\n[[package]]\nname = "b"\nversion = "2"\n')) == [("me", "0"), ("b", "2")]
+    assert pairs(I.cargo_lock('[[package]]\nname = "me"\nversion = "0"\n[[package]]\nname = "c"\nversion = "3"\nsource = "registry+x"\n')) == [("me", "0"), ("c", "3")]
     assert pairs(I.pipfile_lock(json.dumps({"default": {"a": {"version": "==1.0"}, "g": {"git": "x"}}, "develop": {"a": {"version": "==1.0"}, "r": {"version": ">=1"}}}))) == [("a", "1.0")]
     assert pairs(I.requirements("a==1.0 # c\nb[x]===2.0 ; python_version > '3'\n-r other.txt\nc>=1\nd @ https://x\ne==1.* \nf==\\\n3.0 --hash=sha256:0\n")) == [("a", "1.0"), ("b", "2.0"), ("f", "3.0")]
-    assert pairs(I.gem_lock("GEM\n  remote: x\n  specs:\n    a (1.0)\n      b (>= 1)\n    n (2.0-x86_64-linux)\n\nPATH\n  specs:\n    p (1)\n")) == [("a", "1.0"), ("n", "2.0")]
+    assert pairs(I.gem_lock("GEM\n  remote: x\n  specs:\n    a (1.0)\n      b (>= 1)\n    n (2.0-x86_64-linux)\n\nPATH\n  specs:\n    p (1)\n")) == [("a", "1.0"), ("n", "2.0-x86_64-linux")]
     assert pairs(I.composer_lock(json.dumps({"packages": [{"name": "a/b", "version": "v1.0"}], "packages-dev": [{"name": "c/d", "version": "dev-main"}]}))) == [("a/b", "v1.0")]
     assert pairs(I.nuget_lock(json.dumps({"dependencies": {"net6": {"A": {"resolved": "1.0"}}, "net7": {"A": {"resolved": "1.0"}, "P": {"type": "Project"}}}}))) == [("A", "1.0")]
 
@@ -43,6 +47,7 @@ def test_system_databases():
     assert I.os_release('ID="alpine"\n# c\nVERSION_ID=3.19.1\n') == {"ID": "alpine", "VERSION_ID": "3.19.1"}
     got = I.apk_installed("P:a\nV:1.0-r0\no:src\n\nP:b\nV:2-r1\no:b\n")
     assert [(p.name, p.version, p.source_name) for p in got] == [("a", "1.0-r0", "src"), ("b", "2-r1", None)]
+    assert pairs(I.dpkg_status("Package: h\nStatus: install ok half-installed\nVersion: 1\n")) == [("h", "1")]
     got = I.dpkg_status("Package: a\nStatus: install ok installed\nSource: s (2.0)\nVersion: 1.0-1\nDescription: x\n more\n\npackage: b\nStatus: deinstall ok config-files\nVersion: 1\n")
     assert [(p.name, p.version, p.source_name, p.source_version) for p in got] == [("a", "1.0-1", "s", "2.0")]
 
@@ -65,7 +70,8 @@ def test_rpm(tmp_path):
         con.execute("INSERT INTO Packages (blob) VALUES (?)", (b,))
     con.commit()
     con.close()
-    (p,) = I.rpm_sqlite(path.read_bytes())
+    p, bad = I.rpm_sqlite(path.read_bytes())
+    assert isinstance(bad, I.Note)
     assert (p.name, p.version, p.source_name, p.source_version, p.module_stream) == ("a", "1:1.0-2.el9", "src", "1.0-2.el9", "m:1")
     with pytest.raises(I.Unreadable):
         I.rpm_sqlite(b"x")
