@@ -63,7 +63,7 @@ def with_score(vectors: DataFrame, vector: str, table: dict[str, float], out: st
         d = d.withColumn(f"v_{k}", F.expr(_value(k)))
     v = lambda k: F.col(f"v_{k}")
     # Levels as numbers once per metric; null for a value that isn't defined.
-    d = d.withColumns({f"l_{k}": F.expr(f"case v_{k} " + " ".join(f"when '{x}' then {n}" for x, n in levels.items()) + " end") for k, levels in _LEVELS.items()})
+    d = d.withColumns({f"l_{k}": F.expr(f"case v_{k} " + " ".join(f"when '{x}' then {n / 10}D" for x, n in levels.items()) + " end") for k, levels in _LEVELS.items()})
     depth_of = lambda k: F.col(f"l_{k}")
     defined = F.col("m").isNotNull() & v("E").isin("A", "P", "U") & F.forall(F.array(*map(depth_of, _LEVELS)), lambda x: x.isNotNull())
     easy = [v("AV") == "N", v("PR") == "N", v("UI") == "N"]
@@ -95,13 +95,13 @@ def with_score(vectors: DataFrame, vector: str, table: dict[str, float], out: st
         out = None
         for digit, (depth, tops) in levels.items():
             inner = None
-            total = sum((depth_of(k) for k in metrics[1:]), depth_of(metrics[0]))
             for top in tops:
-                highest = [_LEVELS[k][t] for k, t in zip(metrics, top, strict=True)]
-                fits = depth_of(metrics[0]) >= highest[0]
-                for k, h in zip(metrics[1:], highest[1:], strict=True):
-                    fits = fits & (depth_of(k) >= h)
-                share_of = (total - sum(highest)) / depth
+                # The specification's own arithmetic, in steps of a tenth: sums of floats decide ties of rounding.
+                below = [depth_of(k) - _LEVELS[k][t] / 10 for k, t in zip(metrics, top, strict=True)]
+                fits, total = below[0] >= 0, below[0]
+                for x in below[1:]:
+                    fits, total = fits & (x >= 0), total + x
+                share_of = total / (depth * 0.1)
                 inner = F.when(fits, share_of) if inner is None else inner.when(fits, share_of)
             out = F.when(level == digit, inner) if out is None else out.when(level == digit, inner)
         return out

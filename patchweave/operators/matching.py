@@ -60,11 +60,10 @@ def lookup_names(inventory: DataFrame) -> DataFrame:
     return rows.select("*", "__n.*").drop("__n").withColumn("norm_name", N.normalize_name(F.col("ecosystem"), F.col("lookup")))
 
 
-def module_state(stream: Column, entry_stream: Column, comparer: Column, ranges: str) -> Column:
+def module_state(stream: Column, entry_stream: Column, comparer: Column, tagged: Column) -> Column:
     """'skip' where the streams rule the entry out, 'cut' where both are equal (module tails are then cut off), 'error'
-    where a module build's bound meets a package without a stream, else 'plain'."""
+    where a module build's bound (tagged) meets a package without a stream, else 'plain'."""
     s, e = F.coalesce(stream, F.lit("")), F.coalesce(entry_stream, F.lit(""))
-    tagged = F.expr(f"exists({ranges}, r -> exists(r.events, e -> concat_ws(' ', e.introduced, e.fixed, e.last_affected, e.limit) rlike 'module[+_]el'))")
     return F.when((e != "") & (e != s), "skip").when((s != "") & (e == "") & ~tagged, "skip").when((s != "") & (e == s), "cut").when((comparer == "rpm") & tagged, "error").otherwise("plain")
 
 
@@ -72,51 +71,78 @@ def cut_module(version: Column) -> Column:
     return F.regexp_replace(version, r"\.module[+_]el.*$", "")
 
 
+_TAIL = r"\.module[+_]el"
+
+
+def _keys(rows: DataFrame, versions: str) -> DataFrame:
+    """rows with __k: the keys of a column of version arrays by the ordering that the column comparer names."""
+    by_python = F.col("comparer").isin(*V.PYTHON)
+    return rows.withColumn("__k", F.when(by_python, V.python_keys("comparer", F.when(by_python, F.col(versions)))).otherwise(R.native_keys(None, versions)))
+
+
+def _keyed_names(inventory: DataFrame) -> DataFrame:
+    """A row per package and lookup name, with the key of its version, whole (vk) and without a module's tail (ck)."""
+    rows = lookup_names(inventory).withColumn("comparer", V.comparer_of("ecosystem")).withColumn("__v", F.array("compared", cut_module(F.col("compared"))))
+    keyed = _keys(rows, "__v")
+    return keyed.select("package_id", "ecosystem", "norm_name", "name_ord", "compared", "module_stream", F.get("__k", F.lit(0)).alias("vk"), F.get("__k", F.lit(1)).alias("ck"))
+
+
+def _keyed_ranges(affected: DataFrame) -> DataFrame:
+    """A row per range of an entry, and one for its list of versions, with sorted events and keys, each whole and
+    without module tails: all that depends on the advisory alone is worked out before the join."""
+    no = F.array().cast("array<string>")
+    tagged = F.expr("exists(ranges, r -> exists(r.events, e -> concat_ws(' ', e.introduced, e.fixed, e.last_affected, e.limit) rlike 'module[+_]el'))")
+    rows = affected.withColumns({"norm_name": N.normalize_name(F.col("ecosystem"), F.col("name")), "comparer": V.comparer_of("ecosystem"), "entry_stream": F.col("module_stream"), "tagged": F.coalesce(tagged, F.lit(False))})
+    blank = F.expr("named_struct('type', 'LIST', 'events', cast(null as " + R.EVENTS + "), 'fix_state', cast(null as string))")
+    some = F.size(F.coalesce("versions", no)) > 0
+    listed = F.when(some, F.array(F.struct(F.lit(LISTED).alias("pos"), blank.alias("col")))).otherwise(F.array().cast(f"array<struct<pos:int,col:struct<type:string,events:{R.EVENTS},fix_state:string>>>"))
+    numbered = F.transform(F.coalesce("ranges", F.array().cast(RANGES)), lambda r, i: F.struct(i.alias("pos"), r.alias("col")))
+    each = rows.withColumn("__r", F.explode(F.concat(numbered, listed))).select(
+        "ecosystem", "norm_name", "comparer", "database", "advisory_id", "aff_ord", "entry_stream", "tagged", F.col("__r.pos").alias("range_ord"), F.col("__r.col.type").alias("range_type"), F.col("__r.col.events").alias("events"), F.col("__r.col.fix_state").alias("fix_state"),
+        F.when(F.col("__r.pos") == LISTED, F.coalesce("versions", no)).otherwise(no).alias("versions"),
+    )
+    each = each.withColumn("__b", R.bounds("events")).withColumn("__own", F.concat("__b", "versions")).withColumn("__tails", F.exists("__own", lambda x: x.rlike(_TAIL)))
+    each = each.withColumn("__all", F.concat("__own", F.when(F.coalesce("__tails", F.lit(False)), F.transform("__own", cut_module)).otherwise(no)))
+    keyed = _keys(each, "__all").withColumns({"__n": F.size("__own"), "__m": F.size("__b")})
+    shift = "if(size(__all) > __n, __n, 0)"
+    keyed = keyed.withColumns({"__ek": F.expr("slice(__k, 1, __m)"), "lk": F.expr("slice(__k, 1 + __m, __n - __m)"), "__ekc": F.expr(f"slice(__k, 1 + {shift}, __m)"), "lkc": F.expr(f"slice(__k, 1 + {shift} + __m, __n - __m)")})
+    # The sorted events keep the bounds as they are written.
+    keyed = keyed.withColumns({"ready": R.prepared("events", "__ek"), "ready_cut": R.prepared("events", "__ekc"), "keyless": F.exists("__k", lambda k: k.isNull())})
+    return keyed.select("ecosystem", "norm_name", "comparer", "database", "advisory_id", "aff_ord", "entry_stream", "tagged", "range_ord", "range_type", "fix_state", "events", "versions", "ready", "ready_cut", "lk", "lkc", "keyless")
+
+
 def candidates(inventory: DataFrame, affected: DataFrame) -> DataFrame:
-    """Packages with the entries that bear their names."""
-    right = affected.withColumn("norm_name", N.normalize_name(F.col("ecosystem"), F.col("name"))).select("ecosystem", "norm_name", "database", "advisory_id", "aff_ord", "ranges", "versions", F.col("module_stream").alias("entry_stream"))
-    return lookup_names(inventory).join(right, ["ecosystem", "norm_name"])
+    """Packages with the ranges and lists of the entries that bear their names, keys included. Keys are worked out once
+    per package and once per entry, on either side of the join."""
+    return _keyed_names(inventory).join(_keyed_ranges(affected), ["ecosystem", "norm_name"])
 
 
 def outcomes(pairs: DataFrame) -> DataFrame:
-    """A row per (package, advisory entry, range) that isn't a miss: package_id, database, advisory_id, name_ord,
-    aff_ord, range_ord, fix_state, outcome. Distinct (comparer, version, events) could be evaluated once; versions
-    repeat, so callers deduplicate packages by (ecosystem, name, version) first."""
-    rows = pairs.withColumn("comparer", V.comparer_of("ecosystem")).withColumn("module", module_state(F.col("module_stream"), F.col("entry_stream"), F.col("comparer"), "ranges")).filter("module <> 'skip'")
+    """Of candidates() a row per range that isn't a miss: package_id, database, advisory_id, name_ord, aff_ord,
+    range_ord, fix_state, outcome."""
+    rows = pairs.withColumn("module", module_state(F.col("module_stream"), F.col("entry_stream"), F.col("comparer"), F.col("tagged"))).filter("module <> 'skip'")
     cut = F.col("module") == "cut"
-    rows = rows.withColumn("compared_as", F.when(cut, cut_module(F.col("compared"))).otherwise(F.col("compared")))
-    keep = ["package_id", "database", "advisory_id", "name_ord", "aff_ord"]
-    blank = F.expr("named_struct('type', 'LIST', 'events', cast(null as " + R.EVENTS + "), 'fix_state', cast(null as string))")
-    listed = F.when(F.size(F.coalesce("versions", F.array())) > 0, F.array(F.struct(F.lit(LISTED).alias("pos"), blank.alias("col")))).otherwise(F.array().cast(f"array<struct<pos:int,col:struct<type:string,events:{R.EVENTS},fix_state:string>>>"))
-    numbered = F.transform(F.coalesce("ranges", F.array().cast(RANGES)), lambda r, i: F.struct(i.alias("pos"), r.alias("col")))
-    each = rows.withColumn("__r", F.explode(F.concat(numbered, listed))).select("*", F.col("__r.pos").alias("range_ord"), F.col("__r.col.type").alias("range_type"), F.col("__r.col.events").alias("events"), F.col("__r.col.fix_state").alias("fix_state"))
-    bounds = F.transform("events", lambda e: F.when(cut, F.struct(*(cut_module(e[n]).alias(n) for n in ("introduced", "fixed", "last_affected", "limit")))).otherwise(e))
-    each = each.withColumn("events", bounds)
-    # All versions of a row get their keys at once: its own, the bounds, the listed ones.
-    no = F.array().cast("array<string>")
-    keyed = each.withColumn("__b", R.bounds("events"))
-    keyed = keyed.withColumn("__all", F.concat(F.array("compared_as"), "__b", F.when(F.col("range_ord") == LISTED, F.coalesce("versions", no)).otherwise(no)))
-    by_python = F.col("comparer").isin(*V.PYTHON)
-    keyed = keyed.withColumn("__k", F.when(by_python, V.python_keys("comparer", F.when(by_python, F.col("__all")))).otherwise(R.native_keys(None, "__all")))
-    # Maven's plain versions have keys; a row with any other is compared pairwise.
-    pairwise = (F.col("comparer") == "maven") & F.exists("__k", lambda k: k.isNull())
-    maven, keyed = keyed.filter(pairwise), keyed.filter(~pairwise)
-    keyed = keyed.withColumn("__vk", F.get("__k", F.lit(0))).withColumn("__ek", F.expr("slice(__k, 2, size(__b))")).withColumn("__lk", F.expr("slice(__k, 2 + size(__b), size(__k))"))
+    either = lambda whole, short: F.when(cut, F.col(short)).otherwise(F.col(whole))
+    rows = rows.withColumns({"__vk": either("vk", "ck"), "__ready": either("ready", "ready_cut"), "__lk": either("lk", "lkc"), "compared_as": F.when(cut, cut_module(F.col("compared"))).otherwise(F.col("compared"))})
+    # Maven's plain versions have keys; what has any other is compared pairwise.
+    pairwise = (F.col("comparer") == "maven") & (F.col("keyless") | F.col("__vk").isNull())
+    maven, keyed = rows.filter(pairwise), rows.filter(~pairwise)
     nulls = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     bounds_none = ("introduced", "fixed", "last_affected")
-    unread = F.struct(F.lit("error").alias("kind"), F.lit("target").alias("cause"), *nulls(*bounds_none), F.format_string("the version %s could not be read", "compared").alias("reason"))
+    error = lambda cause, reason: F.struct(F.lit("error").alias("kind"), F.lit(cause).alias("cause"), *nulls(*bounds_none), reason.alias("reason"))
+    unread = error("target", F.format_string("the version %s could not be read", "compared"))
     # Of the listed versions those that can't be read are left out and counted, unless one that can is the hit.
     unreadable = F.expr("size(filter(__lk, k -> k is null))")
-    some_unread = F.struct(F.lit("error").alias("kind"), F.lit("advisory").alias("cause"), *nulls(*bounds_none), F.format_string("%d of %d listed versions could not be read", unreadable, F.size("__lk")).alias("reason"))
+    some_unread = error("advisory", F.format_string("%d of %d listed versions could not be read", unreadable, F.size("__lk")))
     listed_hit = F.struct(F.lit("hit").alias("kind"), *nulls("cause", *bounds_none), F.format_string("%s is listed as affected", "compared").alias("reason"))
     miss = F.struct(F.lit("miss").alias("kind"), *nulls("cause", *bounds_none, "reason"))
-    a = R.evaluate(keyed, "compared_as", "events", range_type="range_type", key="__vk", event_keys="__ek")
     in_list = F.when(F.col("__vk").isNull(), unread).when(F.expr("exists(__lk, k -> k = __vk)"), listed_hit).when(unreadable > 0, some_unread).otherwise(miss)
-    a = a.withColumn("outcome", F.when(F.col("range_ord") == LISTED, in_list).otherwise(F.col("outcome")))
+    keep = ["package_id", "database", "advisory_id", "name_ord", "aff_ord", "range_ord", "fix_state", "outcome", "module"]
+    a = R.evaluate(keyed.filter(f"range_ord <> {LISTED}"), "compared_as", range_type="range_type", key="__vk", ready="__ready")
+    b = keyed.filter(f"range_ord = {LISTED}").withColumn("outcome", in_list)
     m = maven.filter(f"range_ord <> {LISTED} and range_type <> 'GIT'").withColumn("outcome", R.evaluate_maven("compared_as", "events"))
-    cols = [*keep, "range_ord", "fix_state", "outcome", "module"]
-    out = a.select(cols).unionByName(m.select(cols)).unionByName(_maven_lists(maven).select(cols))
-    tagged = F.struct(F.lit("error").alias("kind"), F.lit("advisory").alias("cause"), *(F.lit(None).cast("string").alias(n) for n in ("introduced", "fixed", "last_affected")), F.lit("a module build's bound, and the package has no stream").alias("reason"))
+    out = a.select(keep).unionByName(b.select(keep)).unionByName(m.select(keep)).unionByName(_maven_lists(maven).select(keep))
+    tagged = error("advisory", F.lit("a module build's bound, and the package has no stream"))
     return out.withColumn("outcome", F.when(F.col("module") == "error", tagged).otherwise(F.col("outcome"))).drop("module").filter("outcome.kind <> 'miss'")
 
 
@@ -140,6 +166,14 @@ def first_outcomes(found: DataFrame) -> DataFrame:
     return rows.withColumn("skip", skip).drop("o")
 
 
+def scan(inventory: DataFrame, affected: DataFrame, ecosystems: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, skipped): first_outcomes() of the packages that can be checked, and the packages that can't, with
+    skip_reason. Packages that repeat cost their repeats: give distinct ones."""
+    guarded = guard(inventory, ecosystems)
+    found = first_outcomes(outcomes(candidates(guarded.filter("skip_reason is null").drop("skip_reason"), affected)))
+    return found, guarded.filter("skip_reason is not null")
+
+
 def affected_versions(installed: DataFrame, advisories: DataFrame, comparer: str) -> DataFrame:
     """The hits alone, for one ordering and many packages: installed (name, version, any others) with each advisory
     (advisory_id, name, events) that holds the version, and fixed and last_affected, its evidence.

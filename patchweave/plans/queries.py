@@ -8,24 +8,17 @@ from pyspark.sql import functions as F
 from patchweave.functions import names as N
 from patchweave.functions import severity as S
 from patchweave.functions import versions as V
+from patchweave.operators import findings as X
+from patchweave.operators import incremental as C
+from patchweave.operators import lifecycle as T
 from patchweave.operators import matching as M
 from patchweave.operators import ranges as R
+from patchweave.operators import reporting as P
 from patchweave.plans import derive as D
-
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str, name: str | None = None):
-    """Registers a query and its twin."""
-
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        ORACLE[name or f.__name__] = sql
-        return f
-
-    return add
-
+from patchweave.plans import feed_queries  # noqa: F401  (registers its queries)
+from patchweave.plans.registry import ORACLE, QUERIES, query  # noqa: F401
+from patchweave.sources import feeds
+from patchweave.sources import oval
 
 # ---- matching, by each ordering ----
 
@@ -33,21 +26,7 @@ def query(sql: str, name: str | None = None):
 def match(spark: SparkSession, sf_dir: str, comparer: str) -> DataFrame:
     """name, version, advisory_id, installs, fixed, last_affected of every affected installed version. Versions are
     distinct before the join, so the hottest package costs its versions and not its installs."""
-    inv, adv = D.installed(spark, sf_dir, comparer), D.advisories(spark, sf_dir, comparer)
-    if comparer in V.NATIVE:
-        # Keys are computed once per version and once per advisory, and only compared after the join.
-        inv = inv.withColumn("key", V.key(comparer, "version"))
-        adv = adv.withColumn("bounds", R.bounds("events")).withColumn("keys", R.native_keys(comparer, "bounds"))
-    elif comparer in V.PYTHON:
-        kind = F.lit(comparer)
-        inv = inv.withColumn("key", F.get(V.python_keys(kind, F.array("version")), F.lit(0)))
-        adv = adv.withColumn("keys", V.python_keys(kind, R.bounds("events")))
-    if comparer != "maven":
-        # Intervals are worked out per advisory; the join itself compares columns in generated code.
-        adv = adv.select("advisory_id", "name", R.prepared("events", "keys").alias("ready")).select("advisory_id", "name", F.explode(R.intervals("ready")).alias("i"))
-        return inv.join(adv, (inv.name == adv.name) & R.inside("key", "i")).select(inv.name, "version", "advisory_id", "installs", "i.fixed", "i.last_affected")
-    out = inv.join(adv, "name").withColumn("outcome", R.evaluate_maven("version", "events"))
-    return out.filter("outcome.kind = 'hit'").select("name", "version", "advisory_id", "installs", "outcome.fixed", "outcome.last_affected")
+    return M.affected_versions(D.installed(spark, sf_dir, comparer), D.advisories(spark, sf_dir, comparer), comparer)
 
 
 for _c in D.SHAPES:
@@ -87,9 +66,8 @@ def enumerated_versions(spark, sf_dir):
     a, b = (F.col("p_size") % 4).cast("string"), (F.col("p_partkey") % 10).cast("string")
     listed = F.array_distinct(F.array(F.concat(F.lit("v"), a, F.lit("."), b, F.lit(".0")), F.concat(b, F.lit("."), a, F.lit(".0+build"))))
     adv = p.select(F.concat(F.lit("GHSA-"), "p_partkey").alias("advisory_id"), F.concat(F.lit("pkg-"), F.col("p_partkey") % 500).alias("name"), F.explode(listed).alias("listed"))
-    # Equal under the ordering, not as strings: an equi-join on keys.
-    left, right = inv.withColumn("key", V.key("semver", "version")), adv.withColumn("key", V.key("semver", "listed"))
-    return left.join(right, ["name", "key"]).select("name", "version", "advisory_id").distinct()
+    # Equal under the ordering, not as strings.
+    return M.listed_versions(inv, adv, "semver")
 
 
 @query(
@@ -194,24 +172,45 @@ def vendor_word_band(spark, sf_dir):
 
 @query(
     """
-WITH f AS (SELECT o_orderkey AS finding_id, concat('CVE-2024-', o_custkey % 300) AS cve, CASE WHEN o_totalprice > 200000 THEN 7.5 ELSE 4.0 END AS score FROM orders),
-r AS (SELECT concat('CVE-2024-', c_custkey % 200) AS cve, 'NVD' AS source, CAST(c_nationkey AS DOUBLE) / 2.5 AS score, NULL::DOUBLE AS epss, false AS kev FROM customer
-  UNION ALL SELECT concat('CVE-2024-', s_suppkey % 200), 'EPSS', NULL, CAST(s_suppkey % 10 AS DOUBLE) / 10, false FROM supplier
-  UNION ALL SELECT concat('CVE-2024-', s_suppkey % 50), 'KEV', NULL, NULL, true FROM supplier WHERE s_suppkey % 2 = 0),
-b AS (SELECT cve, max(score) AS score, max(epss) AS max_epss, bool_or(kev) AS kev, count(*) AS ratings FROM r GROUP BY cve)
-SELECT finding_id, cve, greatest(f.score, coalesce(b.score, 0)) AS score, max_epss, coalesce(kev, false) AS kev, coalesce(ratings, 0) AS ratings FROM f LEFT JOIN b USING (cve)
+WITH f AS (SELECT o_orderkey AS finding_id, concat('CVE-2024-', o_custkey % 300) AS cve, CASE WHEN o_totalprice > 200000 THEN 7.5::DOUBLE ELSE 4.0 END AS score FROM orders),
+r AS (SELECT concat('CVE-2024-', c_custkey % 200) AS cve, [9.0::DOUBLE, 7.0, 4.0, 0.1][CAST(1 + c_nationkey % 4 AS INT)] AS score, NULL::DOUBLE AS epss, false AS kev FROM customer
+  UNION ALL SELECT concat('CVE-2024-', s_suppkey % 200), NULL, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 10 AS DOUBLE) / 10 END, false FROM supplier
+  UNION ALL SELECT concat('CVE-2024-', s_suppkey % 50), NULL, NULL, true FROM supplier WHERE s_suppkey % 2 = 0),
+b AS (SELECT cve, max(score) AS score, max(epss) AS max_epss, bool_or(kev) AS kev, count(*) AS ratings, count(DISTINCT score) > 1 AS disagree FROM r GROUP BY cve)
+SELECT finding_id, greatest(f.score, coalesce(b.score, 0)) AS score, max_epss, coalesce(kev, false) AS kev, CAST(coalesce(ratings, 0) AS INT) AS ratings, coalesce(disagree, false) AS disagree FROM f LEFT JOIN b USING (cve)
 """
 )
 def rating_join(spark, sf_dir):
-    """A rating may raise a score; one without a score (EPSS, KEV) cannot. Ratings fold by CVE before the join."""
+    """A rating may raise a score; one without vectors (EPSS, KEV) cannot."""
     cve = lambda c, m: F.concat(F.lit("CVE-2024-"), (F.col(c) % m).cast("string"))
-    f = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), cve("o_custkey", 300).alias("cve"), F.when(F.col("o_totalprice") > 200000, 7.5).otherwise(4.0).alias("score"))
-    s, null = D.table(spark, sf_dir, "supplier"), F.lit(None).cast("double")
-    nvd = D.table(spark, sf_dir, "customer").select(cve("c_custkey", 200).alias("cve"), (F.col("c_nationkey").cast("double") / 2.5).alias("rated"), null.alias("epss"), F.lit(False).alias("kev"))
-    epss = s.select(cve("s_suppkey", 200).alias("cve"), null.alias("rated"), ((F.col("s_suppkey") % 10).cast("double") / 10).alias("epss"), F.lit(False).alias("kev"))
-    kev = s.filter("s_suppkey % 2 = 0").select(cve("s_suppkey", 50).alias("cve"), null.alias("rated"), null.alias("epss"), F.lit(True).alias("kev"))
-    by_cve = nvd.unionByName(epss).unionByName(kev).groupBy("cve").agg(F.max("rated").alias("rated"), F.max("epss").alias("max_epss"), F.bool_or("kev").alias("kev"), F.count(F.lit(1)).alias("ratings"))
-    return f.join(by_cve, "cve", "left").select("finding_id", "cve", F.greatest("score", F.coalesce("rated", F.lit(0.0))).alias("score"), "max_epss", F.coalesce("kev", F.lit(False)).alias("kev"), F.coalesce("ratings", F.lit(0)).alias("ratings"))
+    f = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), F.array(F.lit("GHSA-1"), cve("o_custkey", 300)).alias("identifiers"), F.when(F.col("o_totalprice") > 200000, 7.5).otherwise(4.0).alias("score"))
+    s, null = D.table(spark, sf_dir, "supplier"), F.lit(None)
+    words = F.array(*map(F.lit, ["Critical", "High", "Medium", "Low"]))
+    empty = F.array().cast("array<struct<type:string,score:string>>")
+    word = F.array(F.struct(F.lit("VENDOR_WORD").alias("type"), F.get(words, (F.col("c_nationkey") % 4).cast("int")).alias("score")))
+    row = lambda key, source, severity, epss, model, kev: [key.alias("cve"), F.lit(source).alias("source"), severity.alias("severity"), epss.cast("double").alias("epss"), model.cast("string").alias("epss_model"), F.lit(kev).alias("kev")]
+    nvd = D.table(spark, sf_dir, "customer").select(*row(cve("c_custkey", 200), "NVD", word, null, null, False))
+    epss = s.select(*row(cve("s_suppkey", 200), "EPSS", empty, (F.col("s_suppkey") % 10).cast("double") / 10, F.when(F.col("s_suppkey") % 3 > 0, "v4"), False))
+    kev = s.filter("s_suppkey % 2 = 0").select(*row(cve("s_suppkey", 50), "KEV", empty, null, null, True))
+    out = X.join_ratings(f, nvd.unionByName(epss).unionByName(kev))
+    return out.select("finding_id", "score", "max_epss", "kev", F.size("ratings").alias("ratings"), X.sources_disagree("ratings").alias("disagree"))
+
+
+@query(
+    """
+WITH e AS (SELECT DISTINCT concat('CVE-1-', s_suppkey % 40) AS cve, 'KISA' AS source, concat('t', s_suppkey % 3) AS title, '' AS summary, concat('u', s_suppkey % 2) AS url, CAST(1 AS INT) AS claims FROM supplier),
+f AS (SELECT c_custkey AS finding_id, c_custkey % 50 AS a, c_custkey % 45 AS b FROM customer),
+x AS (SELECT DISTINCT finding_id, source, title, summary, url, claims FROM f JOIN e ON e.cve = concat('CVE-1-', a) OR e.cve = concat('CVE-1-', b))
+SELECT finding_id, coalesce(string_agg(concat(source, ':', title, ':', url), ',' ORDER BY source, title, url, summary) FILTER (source IS NOT NULL), '') AS enrichment FROM f LEFT JOIN x USING (finding_id) GROUP BY 1
+"""
+)
+def enrichment_join(spark, sf_dir):
+    cve = lambda c, m: F.concat(F.lit("CVE-1-"), (F.col(c) % m).cast("string"))
+    k = F.col("s_suppkey")
+    e = D.table(spark, sf_dir, "supplier").select(cve("s_suppkey", 40).alias("cve"), F.lit("KISA").alias("source"), F.concat(F.lit("t"), (k % 3).cast("string")).alias("title"), F.lit("").alias("summary"), F.concat(F.lit("u"), (k % 2).cast("string")).alias("url"), F.lit(1).alias("claims"))
+    f = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("finding_id"), F.array(cve("c_custkey", 50), cve("c_custkey", 45), F.lit("X-1")).alias("identifiers"))
+    out = X.join_enrichment(f, e)
+    return out.select("finding_id", F.array_join(F.transform("enrichment", lambda x: F.concat_ws(":", x["source"], x["title"], x["url"])), ",").alias("enrichment"))
 
 
 @query(
@@ -229,59 +228,124 @@ def fix_state(spark, sf_dir):
 
 
 _SUMMARY_SQL = """
-WITH f AS (SELECT CAST(o_custkey % 50 AS BIGINT) AS target_id, CAST(floor(o_totalprice) AS BIGINT) % 6 AS b, o_orderstatus = 'F' AS fixable, o_orderpriority LIKE '1%' AS kev, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS epss FROM orders),
-s AS (SELECT target_id, count(*) AS findings, CAST(count_if(b = 5) AS BIGINT) AS critical, CAST(count_if(b = 4) AS BIGINT) AS high, CAST(count_if(b = 0) AS BIGINT) AS unknown, CAST(count_if(NOT fixable) AS BIGINT) AS unfixable, CAST(count_if(kev) AS BIGINT) AS kev, max(epss) AS max_epss FROM f GROUP BY 1)
+WITH f AS (SELECT CAST(o_custkey % 50 AS BIGINT) AS target_id, CAST(floor(o_totalprice) AS BIGINT) % 6 AS b, o_orderstatus AS s, o_orderpriority LIKE '1%' AS kev, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS epss FROM orders),
+g AS (SELECT target_id, count(*) AS findings, count_if(b = 5) AS critical, count_if(b = 4) AS high, count_if(b = 3) AS medium, count_if(b = 2) AS low, count_if(b = 1) AS none, count_if(b = 0) AS unknown,
+  count_if(s <> 'F') AS unfixable, count_if(s = 'P') AS wont_fix, count_if(kev) AS kev, max(epss) AS max_epss, max(CASE WHEN b > 0 THEN b - 1 END) AS worst FROM f GROUP BY 1),
+k AS (SELECT CAST(s_suppkey % 52 AS BIGINT) AS target_id, count_if(s_suppkey % 3 = 0) AS whole_skips, count_if(s_suppkey % 3 > 0) AS incomplete_checks, count_if(s_suppkey % 4 = 0) AS target_skips FROM supplier GROUP BY 1),
+t AS (SELECT CAST(c_custkey % 52 AS BIGINT) AS target_id, count(*) AS components, count(*) - count_if(c_nationkey = 0) AS cataloged, count_if(c_nationkey = 0) AS skipped_no_version, bool_and(c_custkey % 52 % 7 = 0) AS eol FROM customer GROUP BY 1),
+s AS (SELECT t.*, coalesce(findings, 0) AS findings, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(none, 0) AS none, coalesce(unknown, 0) AS unknown,
+  coalesce(unfixable, 0) AS unfixable, coalesce(wont_fix, 0) AS wont_fix, coalesce(kev, 0) AS kev, max_epss, worst, coalesce(incomplete_checks, 0) AS incomplete_checks, cataloged - coalesce(whole_skips, 0) AS evaluated,
+  greatest(0, components - (cataloged - coalesce(whole_skips, 0))) AS not_evaluated, skipped_no_version + coalesce(target_skips, 0) AS target_incomplete FROM t LEFT JOIN g USING (target_id) LEFT JOIN k USING (target_id))
 """
 
 
-@query(_SUMMARY_SQL + "SELECT * FROM s")
+def _report_inputs(spark, sf_dir):
+    """findings, skips and targets for the reports, from orders, supplier and customer."""
+    o, s = D.table(spark, sf_dir, "orders"), F.col("s_suppkey")
+    bands = F.array(*map(F.lit, ["unknown", "none", "low", "medium", "high", "critical"]))
+    status = F.col("o_orderstatus")
+    findings = o.select(
+        (F.col("o_custkey") % 50).alias("target_id"), F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), (F.col("o_orderkey") % 1000).cast("string")).alias("name"), F.lit("1.0.0").alias("version"), F.concat(F.lit("GHSA-"), F.col("o_orderkey").cast("string")).alias("advisory_id"),
+        F.get(bands, (F.floor("o_totalprice").cast("long") % 6).cast("int")).alias("band"), F.lit(5.0).alias("score"), F.when(status == "P", "wont-fix").otherwise("unknown").alias("fix_state"), F.when(status == "F", "2.0.0").otherwise("").alias("fixed"),
+        F.array(F.concat(F.lit("GHSA-"), F.col("o_orderkey").cast("string")), F.lit("CVE-1")).alias("identifiers"), F.col("o_orderpriority").startswith("1").alias("kev"), ((F.col("o_orderkey") % 100).cast("double") / 100).alias("max_epss"), F.when(F.col("o_orderkey") % 2 == 0, "a/b.lock").alias("location"),
+    )
+    skips = D.table(spark, sf_dir, "supplier").select((s % 52).alias("target_id"), F.col("s_name").alias("package"), F.when(s % 3 == 0, "").otherwise("A-1").alias("advisory_id"), F.when(s % 4 == 0, "target").otherwise("coverage").alias("cause"), F.lit("why").alias("reason"))
+    lost = F.count_if(F.col("c_nationkey") == 0)
+    targets = D.table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 52).alias("target_id")).agg(F.count(F.lit(1)).alias("components"), (F.count(F.lit(1)) - lost).alias("cataloged"), lost.alias("skipped_no_version"), F.lit(0).cast("long").alias("skipped_no_purl"), F.bool_and(F.col("c_custkey") % 52 % 7 == 0).alias("eol"))
+    return findings, skips, targets
+
+
+_SUMMARY = ["target_id", "components", "findings", "critical", "high", "medium", "low", "none", "unknown", "unfixable", "wont_fix", "kev", "max_epss", "evaluated", "not_evaluated", "incomplete_checks", "target_incomplete"]
+
+
+@query(_SUMMARY_SQL + "SELECT " + ", ".join(c if c in ("target_id", "max_epss") else f"CAST({c} AS BIGINT) AS {c}" for c in _SUMMARY) + " FROM s")
 def summary(spark, sf_dir):
-    o = D.table(spark, sf_dir, "orders")
-    band = F.floor("o_totalprice").cast("long") % 6
-    f = o.select((F.col("o_custkey") % 50).alias("target_id"), band.alias("b"), (F.col("o_orderstatus") == "F").alias("fixable"), F.col("o_orderpriority").startswith("1").alias("kev"), ((F.col("o_orderkey") % 100).cast("double") / 100).alias("epss"))
-    return f.groupBy("target_id").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("b") == 5).alias("critical"), F.count_if(F.col("b") == 4).alias("high"), F.count_if(F.col("b") == 0).alias("unknown"), F.count_if(~F.col("fixable")).alias("unfixable"), F.count_if("kev").alias("kev"), F.max("epss").alias("max_epss"))
+    return P.summarise(*_report_inputs(spark, sf_dir)).select(*_SUMMARY)
 
 
-@query(_SUMMARY_SQL + "SELECT target_id, CASE WHEN findings < 5 THEN 2 WHEN unknown > 60 THEN 1 WHEN kev > 40 THEN 1 WHEN max_epss >= 0.99 THEN 1 WHEN critical > 0 THEN 1 ELSE 0 END AS verdict FROM s")
+@query(_SUMMARY_SQL + "SELECT target_id, CASE WHEN (components > 0 AND evaluated <= 0) THEN 2 WHEN coalesce(max_epss >= 0.99, false) OR coalesce(worst >= 4, false) OR eol THEN 1 ELSE 0 END AS verdict FROM s")
 def verdict(spark, sf_dir):
-    """Exit code per target: an incomplete scan outranks findings; then the gates in their order."""
-    c = F.col
-    rule = F.when(c("findings") < 5, 2).when(c("unknown") > 60, 1).when(c("kev") > 40, 1).when(c("max_epss") >= 0.99, 1).when(c("critical") > 0, 1).otherwise(0)
-    return summary(spark, sf_dir).select("target_id", rule.alias("verdict"))
+    """Exit code per target: a scan that can't be trusted outranks findings; then the gates."""
+    gates = P.Gates(fail_on="critical", fail_on_epss=0.99, fail_on_eol=True)
+    return P.summarise(*_report_inputs(spark, sf_dir)).select("target_id", P.verdict(gates).alias("verdict"))
+
+
+@query(
+    """
+SELECT CAST(o_custkey % 50 AS BIGINT) AS target_id, concat('GHSA-', o_orderkey) AS rule_id, CASE WHEN CAST(floor(o_totalprice) AS BIGINT) % 6 >= 4 THEN 'error' WHEN CAST(floor(o_totalprice) AS BIGINT) % 6 IN (1, 2) THEN 'note' ELSE 'warning' END AS level,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'a/b.lock' ELSE concat('npm/p', o_orderkey % 1000) END AS uri, sha256(concat('npm', chr(0), 'p', o_orderkey % 1000, chr(0), '1.0.0', chr(0), 'GHSA-', o_orderkey, chr(0), CASE WHEN o_orderkey % 2 = 0 THEN 'a/b.lock' ELSE '' END)) AS fingerprint FROM orders
+"""
+)
+def sarif_results(spark, sf_dir):
+    return P.sarif_results(_report_inputs(spark, sf_dir)[0]).drop("message")
 
 
 @query(
     """
-WITH e AS (SELECT n_nationkey AS release, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE concat('20', 15 + n_nationkey % 12, '-06-01') END AS eol_from FROM nation)
-SELECT c_custkey, eol_from <> '' AS known, coalesce(TRY_CAST(eol_from AS DATE) < DATE '2024-01-01', false) AS eol FROM customer JOIN e ON c_nationkey = release
+SELECT CAST(s_suppkey % 52 AS BIGINT) AS target_id, concat('skipped-', CASE WHEN s_suppkey % 4 = 0 THEN 'target' ELSE 'coverage' END) AS rule_id, s_suppkey % 3 = 0 AS invocation,
+  CASE WHEN s_suppkey % 3 = 0 THEN concat(s_name, ' was not evaluated: why') ELSE concat(s_name, ' was not checked for A-1: why') END AS message FROM supplier
+"""
+)
+def skip_notes(spark, sf_dir):
+    return P.skip_notes(_report_inputs(spark, sf_dir)[1]).drop("level")
+
+
+@query(
+    """
+SELECT CAST(o_custkey % 50 AS BIGINT) AS target_id, concat(rpad(concat('p', o_orderkey % 1000), 24, ' '), '  ', rpad('1.0.0', 16, ' '), '  GHSA-', o_orderkey, ' (CVE-1)  ',
+  CASE CAST(floor(o_totalprice) AS BIGINT) % 6 WHEN 0 THEN 'unknown' WHEN 1 THEN 'none (5.0)' WHEN 2 THEN 'low (5.0)' WHEN 3 THEN 'medium (5.0)' WHEN 4 THEN 'high (5.0)' ELSE 'critical (5.0)' END, '  fix: ', CASE o_orderstatus WHEN 'F' THEN '2.0.0' WHEN 'P' THEN 'won''t fix' ELSE 'none' END) AS line FROM orders
+"""
+)
+def table_report(spark, sf_dir):
+    return P.table_lines(_report_inputs(spark, sf_dir)[0]).drop("position")
+
+
+@query(
+    """
+SELECT CAST(s_suppkey % 52 AS BIGINT) AS target_id, concat('{"package":{"name":"', s_name, '"},', CASE WHEN s_suppkey % 3 > 0 THEN '"advisoryId":"A-1",' ELSE '' END, '"reason":"why","cause":"', CASE WHEN s_suppkey % 4 = 0 THEN 'target' ELSE 'coverage' END, '"}') AS text FROM supplier
+UNION ALL SELECT CAST(o_custkey % 50 AS BIGINT), concat('{"package":{"name":"p', o_orderkey % 1000, '","version":"1.0.0","ecosystem":"npm"', CASE WHEN o_orderkey % 2 = 0 THEN ',"location":"a/b.lock"' ELSE '' END, '},"advisory":{"id":"GHSA-', o_orderkey, '","aliases":["CVE-1"]},"severity":"', ['unknown','none','low','medium','high','critical'][CAST(1 + CAST(floor(o_totalprice) AS BIGINT) % 6 AS INT)],
+  '","score":5.0,"evidence":{', CASE WHEN o_orderstatus = 'F' THEN '"fixed":"2.0.0"' ELSE '' END, '},"ratings":[],"enrichment":[],"unfixable":', CASE WHEN o_orderstatus = 'F' THEN 'false' ELSE 'true' END, ',"fixState":"', CASE WHEN o_orderstatus = 'P' THEN 'wont-fix' ELSE 'unknown' END, '"}') FROM orders
+"""
+)
+def json_report(spark, sf_dir):
+    findings, skips, targets = _report_inputs(spark, sf_dir)
+    return P.json_records(findings, skips, P.summarise(findings, skips, targets)).filter("part <> 'summary'").select("target_id", "text")
+
+
+@query(
+    """
+WITH e AS (SELECT n_nationkey AS release, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE concat('20', 15 + n_nationkey % 12, '-06-01') END AS eol_from, n_nationkey % 5 = 0 AS is_maintained FROM nation)
+SELECT c_custkey AS target_id, release IS NOT NULL AND d = 'debian' AS known, CASE WHEN d = 'debian' OR (d = 'sles' AND v % 5 = 0) THEN CASE WHEN d = 'sles' THEN concat(v, '.0') ELSE v::VARCHAR END WHEN d = 'sles' THEN concat(v, '.', v % 5) END AS release,
+  d = 'debian' AND coalesce(TRY_CAST(eol_from AS DATE) < DATE '2024-01-01', false) AS eol, d = 'debian' AND coalesce(is_maintained, false) AS maintained
+FROM (SELECT c_custkey, ['debian', 'sles', 'plan9'][1 + c_custkey % 3] AS d, c_nationkey + 3 AS v FROM customer) c LEFT JOIN e ON release = v
 """
 )
 def eol_status(spark, sf_dir):
     k = F.col("n_nationkey")
-    eol = D.table(spark, sf_dir, "nation").select(k.alias("release"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("20"), (15 + k % 12).cast("string"), F.lit("-06-01"))).alias("eol_from"))
-    past = F.try_to_date("eol_from", "yyyy-MM-dd") < F.lit("2024-01-01").cast("date")
-    return D.table(spark, sf_dir, "customer").join(F.broadcast(eol), F.col("c_nationkey") == F.col("release")).select("c_custkey", (F.col("eol_from") != "").alias("known"), F.coalesce(past, F.lit(False)).alias("eol"))  # nation: a fixed catalogue
+    releases = D.table(spark, sf_dir, "nation").select(F.lit("debian").alias("distro_id"), k.cast("string").alias("release"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("20"), (15 + k % 12).cast("string"), F.lit("-06-01"))).alias("eol_from"), F.lit("").alias("eoes_from"), (k % 5 == 0).alias("is_maintained"))
+    v = F.col("c_nationkey") + 3
+    distro = F.get(F.array(F.lit("debian"), F.lit("sles"), F.lit("plan9")), (F.col("c_custkey") % 3).cast("int"))
+    targets = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target_id"), distro.alias("distro_id"), F.when(distro == "sles", F.concat(v.cast("string"), F.lit("."), (v % 5).cast("string"))).otherwise(v.cast("string")).alias("version_id"), F.lit(None).cast("string").alias("pretty_name"))
+    return T.eol_status(targets, releases, "2024-01-01").select("target_id", "known", "release", "eol", "maintained")
 
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def last_write_wins(spark, sf_dir):
     """An aggregate with partial folding instead of a window: a hot key costs no sort."""
-    last = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id"))
-    return D.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(last.alias("x")).select("user_id", "event_type", "x.event_id", "x.value")
+    rows = D.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", F.struct("ts", "event_id").alias("seq"))
+    return C.last_writes(rows, ["user_id", "event_type"], "seq").drop("seq")
 
 
 @query("SELECT concat('CVE-', l_partkey % 1000) AS cve, l_orderkey * 10 + l_linenumber AS notice, CAST(l_quantity AS INT) % 5 AS claims FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey % 1000 ORDER BY CAST(l_quantity AS INT) % 5 = 0, CAST(l_quantity AS INT) % 5, l_orderkey * 10 + l_linenumber) = 1")
 def narrowest_notice(spark, sf_dir):
     rows = D.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("CVE-"), (F.col("l_partkey") % 1000).cast("string")).alias("cve"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("notice"), (F.col("l_quantity").cast("int") % 5).alias("claims"))
-    best = F.min(F.struct((F.col("claims") == 0).alias("none"), "claims", "notice"))
-    return rows.groupBy("cve").agg(best.alias("b")).select("cve", "b.notice", "b.claims")
+    return feeds.narrowest(rows)
 
 
 @query("WITH g AS (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_tax) > 1) SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.l_partkey = l.l_partkey AND g.l_suppkey = l.l_suppkey)")
 def ambiguity_drop(spark, sf_dir):
     li, key = D.table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"]
-    ambiguous = li.groupBy(*key).agg(F.count_distinct("l_tax").alias("n")).filter("n > 1")
-    return li.join(ambiguous, key, "left_anti").select("l_orderkey", "l_linenumber")
+    return oval.drop_ambiguous(li, key, "l_tax", key).select("l_orderkey", "l_linenumber")
 
 
 @query(
@@ -295,15 +359,16 @@ def seed_merge(spark, sf_dir):
     sources = F.array(*map(F.lit, ["NVD", "EPSS", "KEV", "RedHat"]))
     seed = D.table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 500).alias("cve"), F.get(sources, (F.col("c_custkey") % 4).cast("int")).alias("source")).agg(F.max("c_acctbal").alias("score"))
     fresh = D.table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 500).alias("cve"), F.lit("NVD").alias("source")).agg(F.max("s_acctbal").alias("score"))
-    from patchweave.operators.incremental import merge_seed
-
-    return merge_seed(seed, fresh, ["cve", "source"])
+    return C.merge_seed(seed, fresh, ["cve", "source"])
 
 
-@query("WITH t AS (SELECT DISTINCT o_orderpriority AS provider, date_trunc('day', o_orderdate) AS d FROM orders) SELECT provider, CAST(CAST(min(d) AS DATE) AS VARCHAR) AS data_as_of, min(d) < TIMESTAMP '1993-01-01' AS stale FROM t GROUP BY 1")
+@query("SELECT o_orderpriority AS provider, CASE WHEN o_orderpriority NOT LIKE '1%' THEN CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) END AS data_as_of, o_orderpriority LIKE '1%' OR CAST(min(o_orderdate) AS DATE) < DATE '1993-01-01' AS stale FROM orders GROUP BY 1")
 def db_age(spark, sf_dir):
-    o = D.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("provider")).agg(F.min(F.col("o_orderdate").cast("date")).alias("data_as_of"))
-    return o.select("provider", F.col("data_as_of").cast("string").alias("data_as_of"), (F.col("data_as_of") < F.lit("1993-01-01").cast("date")).alias("stale"))
+    """One load of unknown age makes the whole unknown, and so stale."""
+    day = F.when(~F.col("o_orderpriority").startswith("1") | (F.col("o_orderkey") % 7 > 0), F.col("o_orderdate").cast("date"))
+    o = D.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("provider"), day.alias("data_as_of"))
+    aged = T.data_as_of(o, ["provider"])
+    return aged.select("provider", F.col("data_as_of").cast("string").alias("data_as_of"), T.too_old(F.col("data_as_of"), F.lit("1993-01-01"), 0).alias("__old"), F.coalesce(F.col("data_as_of") < F.lit("1993-01-01").cast("date"), F.lit(True)).alias("stale")).filter("__old = stale").drop("__old")
 
 
 @query(
@@ -331,24 +396,65 @@ def name_normalize(spark, sf_dir):
 
 @query(
     """
-WITH d AS (SELECT c_custkey, ['alpine','debian','ubuntu','rhel','sles','opensuse-leap','amzn','plan9'][1 + c_custkey % 8] AS id FROM customer)
-SELECT c_custkey, CASE id WHEN 'alpine' THEN 'Alpine:v22.4' WHEN 'debian' THEN 'Debian:22' WHEN 'ubuntu' THEN 'Ubuntu:22.4.1' WHEN 'rhel' THEN 'Red Hat:22' WHEN 'sles' THEN 'SLES:22.SP4' WHEN 'opensuse-leap' THEN 'openSUSE Leap:22.4.1' WHEN 'amzn' THEN 'Amazon Linux:22' END AS ecosystem FROM d
+WITH d AS (SELECT c_custkey, ['alpine','debian','ubuntu','rhel','sles','opensuse-leap','amzn','plan9'][1 + c_custkey % 8] AS id, ['22.4.1','22.04','sid','2','16.1','15.0','15.6'][1 + c_custkey % 7] AS v FROM customer)
+SELECT c_custkey, CASE id WHEN 'alpine' THEN CASE v WHEN '22.4.1' THEN 'Alpine:v22.4' WHEN 'sid' THEN NULL WHEN '2' THEN NULL ELSE concat('Alpine:v', v) END
+  WHEN 'debian' THEN CASE WHEN v <> 'sid' THEN concat('Debian:', split_part(v, '.', 1)) END WHEN 'rhel' THEN CASE WHEN v <> 'sid' THEN concat('Red Hat:', split_part(v, '.', 1)) END
+  WHEN 'ubuntu' THEN CASE v WHEN '22.04' THEN 'Ubuntu:22.04:LTS' END WHEN 'amzn' THEN CASE v WHEN '2' THEN 'Amazon Linux:2' END
+  WHEN 'sles' THEN CASE v WHEN '22.04' THEN 'SLES:22.04' WHEN '16.1' THEN 'SLES:16.1' WHEN '15.0' THEN 'SLES:15' WHEN '15.6' THEN 'SLES:15.SP6' END
+  WHEN 'opensuse-leap' THEN CASE WHEN v IN ('22.04', '16.1', '15.0', '15.6') THEN concat('openSUSE Leap:', v) END END AS ecosystem FROM d
 """
 )
 def distro_ecosystem(spark, sf_dir):
-    ids = F.array(*map(F.lit, ["alpine", "debian", "ubuntu", "rhel", "sles", "opensuse-leap", "amzn", "plan9"]))
-    return D.table(spark, sf_dir, "customer").select("c_custkey", N.distro_ecosystem(F.get(ids, (F.col("c_custkey") % 8).cast("int")), F.lit("22.4.1")).alias("ecosystem"))
+    pick = lambda m, options: F.get(F.array(*map(F.lit, options)), (F.col("c_custkey") % m).cast("int"))
+    ids = pick(8, ["alpine", "debian", "ubuntu", "rhel", "sles", "opensuse-leap", "amzn", "plan9"])
+    return D.table(spark, sf_dir, "customer").select("c_custkey", N.distro_ecosystem(ids, pick(7, ["22.4.1", "22.04", "sid", "2", "16.1", "15.0", "15.6"])).alias("ecosystem"))
 
 
 @query("SELECT l_partkey, l_suppkey, sha256(concat(l_partkey, chr(0), l_suppkey, chr(0), min(l_shipdate::DATE))) AS fingerprint FROM lineitem GROUP BY l_partkey, l_suppkey")
 def sarif_fingerprint(spark, sf_dir):
     g = D.table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_shipdate").cast("date")).alias("d"))
-    return g.select("l_partkey", "l_suppkey", F.sha2(F.concat_ws("\0", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("d").cast("string")), 256).alias("fingerprint"))
+    return g.select("l_partkey", "l_suppkey", P.fingerprint("l_partkey", "l_suppkey", "d").alias("fingerprint"))
 
 
-@query("SELECT r_name AS family, count(DISTINCT n_name) AS ecosystems, count(c_custkey) AS packages, count(c_custkey) FILTER (c_acctbal > 0) AS covered FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+@query(
+    """
+WITH p AS (SELECT concat('Rocky Linux:', c_nationkey) AS ecosystem, c_nationkey % 3 > 0 AS covered FROM customer)
+SELECT ecosystem, count(*) AS packages, count_if(covered) AS covered FROM p GROUP BY 1
+"""
+)
 def coverage_summary(spark, sf_dir):
-    per = D.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("c_custkey").alias("packages"), F.count_if(F.col("c_acctbal") > 0).alias("covered"))
-    n = D.table(spark, sf_dir, "nation").join(F.broadcast(D.table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # a fixed catalogue
-    rows = per.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "right")
-    return rows.groupBy(F.col("r_name").alias("family")).agg(F.count_distinct("n_name").alias("ecosystems"), F.coalesce(F.sum("packages"), F.lit(0)).alias("packages"), F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"))
+    """Packages by ecosystem and how many the guard lets through."""
+    key = lambda c: F.concat(F.lit("Rocky Linux:"), F.col(c).cast("string")).alias("ecosystem")
+    inv = D.table(spark, sf_dir, "customer").select(key("c_nationkey"), F.lit("1.0-1").alias("version"), F.lit(None).cast("string").alias("module_stream"))
+    covered = D.table(spark, sf_dir, "nation").filter("n_nationkey % 3 > 0").select(key("n_nationkey"))
+    return M.guard(inv, covered).groupBy("ecosystem").agg(F.count(F.lit(1)).alias("packages"), F.count_if(F.col("skip_reason").isNull()).alias("covered"))
+
+
+_SCAN_SQL = """
+WITH i AS (SELECT DISTINCT concat_ws('/', l_partkey % 2000, l_linenumber, CAST(l_quantity AS INT), l_suppkey % 10) AS package_id, l_partkey % 4 AS e, l_partkey % 2000 AS n, l_linenumber % 5 = 4 AND l_partkey % 4 = 0 AS bad, [CAST(l_linenumber AS INT), CAST(l_quantity AS INT), CAST(l_suppkey % 10 AS INT)] AS v FROM lineitem),
+a AS (SELECT concat('A-', p_partkey) AS advisory_id, p_partkey % 4 AS e, p_partkey % 2000 AS n, p_size % 5 AS k, [CAST(p_size % 7 AS INT), CAST(p_size AS INT), 0] AS hi, [1, CAST(p_size AS INT), CAST(p_partkey % 10 AS INT)] AS listed FROM part),
+x AS (SELECT package_id, advisory_id, e, hi, k, CASE WHEN k = 0 THEN 'advisory' WHEN bad THEN 'target' WHEN v < hi THEN 'hit' ELSE 'miss' END AS o0, CASE WHEN k > 1 THEN 'miss' WHEN bad THEN 'target' WHEN v = listed THEN 'hit' ELSE 'miss' END AS o1 FROM i JOIN a USING (e, n) WHERE e < 3)
+SELECT package_id, advisory_id, CASE WHEN o0 = 'hit' THEN 0 WHEN o1 = 'hit' THEN 1 END AS hit_ord, CASE WHEN o0 = 'hit' THEN CASE e WHEN 1 THEN concat(hi[1], '.', hi[2], '-', hi[3]) ELSE concat(hi[1], '.', hi[2], '.', hi[3]) END END AS fixed,
+  CASE WHEN o0 IN ('advisory', 'target') THEN o0 WHEN o0 = 'miss' AND o1 = 'target' THEN o1 END AS skip FROM x WHERE o0 <> 'miss' OR o1 <> 'miss'
+UNION ALL SELECT package_id, '', NULL, NULL, 'the database does not cover the ecosystem' FROM i WHERE e = 3
+"""
+
+
+@query(_SCAN_SQL)
+def scan(spark, sf_dir):
+    """The whole way from packages to outcomes: guards, two names, entries with bad bounds, lists, first hits, skips."""
+    D.views(spark, sf_dir, "lineitem", "part")
+    text = lambda e, a, b, c: f"case {e} when 1 then concat({a}, '.', {b}, '-', {c}) else concat({a}, '.', {b}, '.', {c}) end"
+    eco = lambda k: f"case {k} % 4 when 0 then 'npm' when 1 then 'Debian:12' when 2 then 'PyPI' else 'Alpine:v3.99' end"
+    own = text("l_partkey % 4", "cast(l_linenumber as int)", "cast(l_quantity as int)", "l_suppkey % 10")
+    inv = spark.sql(f"""SELECT DISTINCT concat_ws('/', l_partkey % 2000, l_linenumber, cast(l_quantity as int), l_suppkey % 10) AS package_id, {eco('l_partkey')} AS ecosystem, concat(case l_partkey % 4 when 1 then 'bin-' when 2 then 'Pkg_' else 'pkg-' end, l_partkey % 2000) AS name,
+      case when l_linenumber % 5 = 4 and l_partkey % 4 = 0 then 'no version' else {own} end AS version, case when l_partkey % 4 = 1 then concat('pkg-', l_partkey % 2000) end AS source_name, cast(null as string) AS source_version, cast(null as string) AS module_stream FROM lineitem""")
+    event = lambda i, f: f"named_struct('introduced', {i}, 'fixed', {f}, 'last_affected', cast(null as string), 'limit', cast(null as string))"
+    high = f"case when p_size % 5 = 0 then 'x y' else {text('p_partkey % 4', 'p_size % 7', 'p_size', '0')} end"
+    ranges = f"array(named_struct('type', 'ECOSYSTEM', 'events', array({event(chr(39) + '0' + chr(39), 'cast(null as string)')}, {event('cast(null as string)', high)}), 'fix_state', cast(null as string)))"
+    listed = text("p_partkey % 4", "1", "p_size", "p_partkey % 10")
+    entry = lambda n, r, v, where: f"SELECT 'D' AS database, concat('A-', p_partkey) AS advisory_id, {n} AS aff_ord, {eco('p_partkey')} AS ecosystem, concat('pkg-', p_partkey % 2000) AS name, {r} AS ranges, {v} AS versions, cast(null as string) AS module_stream FROM part {where}"
+    adv = spark.sql(entry(0, ranges, "cast(array() as array<string>)", "") + " UNION ALL " + entry(1, f"cast(array() as {M.RANGES})", f"array({listed})", "WHERE p_size % 5 < 2"))
+    found, skipped = M.scan(inv, adv, spark.createDataFrame([("npm",), ("Debian:12",), ("PyPI",)], "ecosystem string"))
+    rows = found.select("package_id", "advisory_id", F.col("hit.aff_ord").alias("hit_ord"), F.col("hit.outcome.fixed").alias("fixed"), F.col("skip.outcome.cause").alias("skip"))
+    return rows.unionByName(skipped.select("package_id", F.lit("").alias("advisory_id"), F.lit(None).cast("int").alias("hit_ord"), F.lit(None).cast("string").alias("fixed"), F.col("skip_reason").alias("skip")))

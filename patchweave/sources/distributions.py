@@ -55,7 +55,7 @@ def ubuntu_states(files: DataFrame) -> DataFrame:
 
 def fixless(ranges: str):
     """Whether each of an array of ranges has no fix: an array of booleans."""
-    return F.expr(f"transform({ranges}, r -> not exists(r.events, e -> e.fixed <> ''))")
+    return F.expr(f"transform({ranges}, r -> not exists(r.events, e -> coalesce(e.fixed, '') <> ''))")
 
 
 def stamp_ubuntu(affected: DataFrame, upstream: DataFrame, states: DataFrame) -> DataFrame:
@@ -64,5 +64,5 @@ def stamp_ubuntu(affected: DataFrame, upstream: DataFrame, states: DataFrame) ->
     cve = upstream.select("advisory_id", F.get(F.filter("upstream", lambda i: i.rlike("^CVE-[0-9]{4}-[0-9]+$")), F.lit(0)).alias("cve"))
     rows = affected.join(cve, "advisory_id", "left").withColumn("release", F.regexp_extract("ecosystem", "^Ubuntu:([0-9]{2}[.][0-9]{2})(?::LTS)?$", 1))
     known = rows.join(states.withColumnRenamed("fix_state", "__state"), ["cve", "name", "release"], "left")
-    stamped = F.expr("transform(ranges, r -> if(__state is not null and not exists(r.events, e -> e.fixed <> ''), named_struct('type', r.type, 'events', r.events, 'fix_state', __state), r))")
+    stamped = F.expr("transform(ranges, r -> if(__state is not null and not exists(r.events, e -> coalesce(e.fixed, '') <> ''), named_struct('type', r.type, 'events', r.events, 'fix_state', __state), r))")
     return known.withColumn("ranges", stamped).select(*affected.columns)

@@ -135,8 +135,15 @@ def notices(spark: SparkSession, path: str) -> DataFrame:
     n = n.withColumn("text", F.concat_ws("\n", "title", "content_text")).withColumn("cves", cves)
     plain = F.trim(F.regexp_replace("content_text", r"\s+", " "))
     rows = n.select(F.explode("cves").alias("cve"), F.size("cves").alias("claims"), F.col("id").alias("notice"), "title", F.substring(plain, 1, 300).alias("summary"))
-    best = F.min(F.struct((F.col("claims") == 0).alias("none"), "claims", "notice", "title", "summary"))
-    return rows.groupBy("cve").agg(best.alias("b")).select("cve", "b.claims", "b.notice", "b.title", "b.summary")
+    return narrowest(rows)
+
+
+def narrowest(rows: DataFrame) -> DataFrame:
+    """For each cve the row that claims the fewest CVEs (none claimed is worst), then the least notice: cve, claims,
+    notice and the other columns. Folded before the shuffle."""
+    rest = [c for c in rows.columns if c not in ("cve", "claims", "notice")]
+    best = F.min(F.struct((F.col("claims") == 0).alias("none"), "claims", "notice", *rest))
+    return rows.groupBy("cve").agg(best.alias("b")).select("cve", "b.claims", "b.notice", *(f"b.{c}" for c in rest))
 
 
 _UPDATE = "_type string, id string, title string, severity string, issued struct<_date:string>, references struct<reference:array<struct<_id:string,_type:string>>>, pkglist struct<collection:struct<package:array<struct<_name:string,_epoch:string,_version:string,_release:string>>>>"

@@ -80,7 +80,7 @@ def test_module_streams(spark):
         [pkg(1, "Rocky Linux:8", "n", "1.0-1.module+el8.4.0+9", stream="n:1"), pkg(2, "Rocky Linux:8", "n", "1.0-1", stream=None), pkg(3, "Rocky Linux:8", "n", "1.0-1.module+el8", stream="n:2")],
         [aff("S", "Rocky Linux:8", "n", [el], stream="n:1"), aff("T", "Rocky Linux:8", "n", [el])],
     )
-    assert got == {(1, "S"): (("0", "1.0-2"), None), (1, "T"): (None, "advisory"), (2, "T"): (None, "advisory"), (3, "T"): (None, "advisory")}
+    assert got == {(1, "S"): (("0", "1.0-2.module+el8.5.0+1"), None), (1, "T"): (None, "advisory"), (2, "T"): (None, "advisory"), (3, "T"): (None, "advisory")}
 
 
 def test_guards(spark):
