@@ -2,49 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchweave import tables
+from patchweave.tables import drop_table, new_path, shared_dir  # noqa: F401  (used by the operators)
+
 #: A word of the contracts, in Java's and Python's dialect alike.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most ids that are ever broadcast (8 bytes each); larger sides are shuffled.
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local mode)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(spark, "_patchweave_dir", None) or tempfile.mkdtemp(prefix="patchweave-")
-        spark._patchweave_dir = where
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/patchweave/{tag}-{uuid.uuid4().hex}"
-
-
 def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet in the shared folder and reads it again, so a lost executor costs a reread only."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    bounded_batches(spark)
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._patchweave_path = path
-    return out
-
-
-def drop_table(df: DataFrame | None) -> None:
-    """Deletes a table of write_table that no plan needs any more."""
-    path = getattr(df, "_patchweave_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    """tables.write_table() in batches that bound what a worker holds."""
+    bounded_batches(df.sparkSession)
+    return tables.write_table(df, tag)
 
 
 def with_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "doc_id") -> DataFrame:

@@ -22,6 +22,7 @@ hash are broken by doc_id and digest; a null doc_id is dealt as any other; an em
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -41,8 +42,12 @@ BUCKET_BLOCKS = 4_096
 #: Slots of a shard that mixed_rows() puts into one partition.
 PART_SLOTS = 4_096
 WEIGHTS = (1.0, 2.0, 3.0)
-#: Sources are a catalogue of names: their totals are collected, and more of them than this is an error.
+#: Sources whose totals are collected and whose quotas the tree splits one by one. Of more sources, targets are found by
+#: aggregates, and the tree splits this many groups of them: the slots of a group are permuted together, so that an
+#: interval of them is a draw from its sources, too.
 MAX_SOURCES = 200_000
+#: Up to here numpy draws from the hypergeometric distribution.
+NUMPY_RANGE = 10**9
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MAX_EPOCHS) -> list[float]:
@@ -50,11 +55,13 @@ def targets(sizes: list[int], weights: list[float], most: float = MAX_EPOCHS) ->
     out = [0.0] * len(sizes)
     # Capped first are those with the least size for their weight; the others share the rest.
     order = sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i])
-    left, weight = float(sum(sizes)), math.fsum(weights)
+    left = float(sum(sizes))
+    later = list(itertools.accumulate((weights[i] for i in reversed(order)), initial=0.0))[::-1]  # weights from a place on
     for k, i in enumerate(order):
+        weight = later[k]
         if most * sizes[i] < left * weights[i] / weight:
             out[i] = float(most * sizes[i])
-            left, weight = left - out[i], math.fsum(weights[j] for j in order[k + 1 :])
+            left -= out[i]
         else:
             for j in order[k:]:
                 out[j] = left * weights[j] / weight
@@ -82,18 +89,33 @@ def split_quotas(quotas: np.ndarray, shards: int, first: int, last: int, seed: i
     yield from walk(0, shards, np.zeros_like(quotas), quotas)
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n slots drawn from good + bad are good, for any numbers of them: numpy's sampler in its range, and
+    by inversion beyond it. There the probabilities around the mode follow from their ratios; what lies further than
+    40 standard deviations out has no weight in a float."""
+    if good + bad < NUMPY_RANGE:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    spread = math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1)))
+    reach = int(40 * spread) + 50
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)  # from k to k + 1
+    steps = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    weights = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(weights, rng.random() * weights[-1], side="right").clip(0, last - first))
+
+
 def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """One multivariate hypergeometric draw, source after source; beyond the sampler's range a rounded normal one."""
+    """One multivariate hypergeometric draw, source after source."""
     out, left, pool = np.zeros_like(counts), n, int(counts.sum())
     for i, c in enumerate(map(int, counts)):
         if left <= 0:
             break
         rest = pool - c
-        if c and pool < 10**9:
-            x = int(rng.hypergeometric(c, rest, left)) if rest else min(c, left)
-        else:
-            mean = left * c / pool if pool else 0.0
-            x = round(rng.normal(mean, math.sqrt(max(0.0, mean * (1 - c / pool) * (pool - left) / max(1, pool - 1))))) if c else 0
+        x = (_hypergeometric(rng, c, rest, left) if rest else min(c, left)) if c else 0
         out[i] = min(max(x, left - rest, 0), c, left)
         left, pool = left - int(out[i]), rest
     return out
@@ -123,16 +145,19 @@ def _plan(docs: DataFrame, weights: tuple[float, ...], shard_words: int, seed: i
     spark = docs.sparkSession
     sized = write_table(_sized(docs), "op2-sized")
     blocks_of = F.ceil(F.col("size") / BLOCK_WORDS).cast("long")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.sum(blocks_of).alias("blocks")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    goal = targets([r.words for r in totals], [weights[i % len(weights)] for i in range(len(totals))]) if totals else []
-    sources = spark.createDataFrame(
-        [(i, r.source, r.words, r.blocks, t, int(t // r.words) if r.words else 0, int(round(t - (t // r.words) * r.words)) if r.words else 0) for i, (r, t) in enumerate(zip(totals, goal, strict=True))],
-        "source_no int, source string, source_size long, blocks long, target double, epochs int, rest long",
-    )
-    known = sized.join(F.broadcast(sources), sized.source.eqNullSafe(sources.source)).drop(sources.source)  # at most MAX_SOURCES rows
+    totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.sum(blocks_of).alias("blocks"))
+    held = totals.limit(MAX_SOURCES + 1).collect()
+    many = len(held) > MAX_SOURCES
+    if many:
+        sources, n_sources, goal_words = _sources_by_aggregates(write_table(totals, "op2-totals"), weights)
+    else:
+        held.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
+        goal = targets([r.words for r in held], [weights[i % len(weights)] for i in range(len(held))]) if held else []
+        sources, n_sources, goal_words = spark.createDataFrame([(i, r.source, r.words, r.blocks, t) for i, (r, t) in enumerate(zip(held, goal, strict=True))], "source_no long, source string, source_size long, blocks long, target double"), len(held), math.fsum(goal)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    sources = sources.withColumn("epochs", whole).withColumn("rest", F.rint(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    side = _source_side(sources, many)
+    known = sized.join(side, sized.source.eqNullSafe(side.source)).drop(side.source)
 
     # A row per block and epoch; the last epoch is partial.
     n_buckets = F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("blocks"), F.lit(1)) / BUCKET_BLOCKS)))).cast("long")
@@ -157,15 +182,62 @@ def _plan(docs: DataFrame, weights: tuple[float, ...], shard_words: int, seed: i
         .filter("words > 0")
     )
     taken = write_table(ranked.select("doc_id", "source_no", "digest", "size", "epoch", "block", (F.col("block") * BLOCK_WORDS).alias("from_word"), "words", "slot"), "op2-taken")
-    quotas = {r.source_no: r.n for r in taken.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The tree splits strata: a source each, or groups of sources.
+    width = -(-n_sources // MAX_SOURCES) if many else 1
+    taken = taken.withColumn("stratum", F.floor(F.col("source_no") / width).cast("int"))
+    if many:
+        taken = write_table(_permuted_together(taken, seed), "op2-strata")
+    quotas = {r.stratum: r.n for r in taken.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MAX_SOURCES
     total = sum(quotas.values())
-    shards = max(1, min(total or 1, round(int(math.fsum(goal)) / shard_words)))
-    slots = _to_shards(taken, sources, np.array([quotas.get(i, 0) for i in range(len(totals))], np.int64), shards, seed)
-    return _with_targets(sized, sources), slots, shards, total // shards + 1
+    shards = max(1, min(total or 1, round(int(goal_words) / shard_words)))
+    slots = _to_shards(taken, side, np.array([quotas.get(i, 0) for i in range(-(-n_sources // width))], np.int64), shards, seed)
+    return _with_targets(sized, side), slots, shards, total // shards + 1
+
+
+def _source_side(sources: DataFrame, many: bool) -> DataFrame:
+    """sources as a side of a join: broadcast where they are at most MAX_SOURCES rows, else shuffled (AQE splits a hot
+    source's rows)."""
+    return sources.hint("merge") if many else F.broadcast(sources)
+
+
+def _sources_by_aggregates(totals: DataFrame, weights: tuple[float, ...], most: float = MAX_EPOCHS) -> tuple[DataFrame, int, float]:
+    """(sources, how many, words of all targets) for any number of sources: numbers in their order from a range sort and
+    the counts of its partitions, targets as the lesser of most times the size and the weight's share of a level. The
+    level rises with each pass until no further source is capped."""
+    spark = totals.sparkSession
+    ordered = totals.repartitionByRange(F.col("source").isNull(), F.col("source")).sortWithinPartitions(F.col("source").isNull(), "source").withColumn("__m", F.monotonically_increasing_id())
+    ordered = write_table(ordered.select("*", F.shiftright("__m", 33).alias("__part"), F.col("__m").bitwiseAND((1 << 33) - 1).alias("__row")), "op2-ordered")
+    counts = sorted((r["__part"], r["count"]) for r in ordered.groupBy("__part").count().collect())  # a row per partition
+    before = dict(zip((p for p, _ in counts), itertools.accumulate((n for _, n in counts), initial=0), strict=False))
+    offsets = F.broadcast(spark.createDataFrame(list(before.items()), "__part long, __before long"))
+    numbered = ordered.join(offsets, "__part").withColumn("source_no", F.col("__before") + F.col("__row"))
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights)).cast("int"))
+    rows = write_table(numbered.select("source_no", "source", F.col("words").alias("source_size"), "blocks", weight.alias("weight")), "op2-numbered")
+    total, level, capped = float(rows.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:
+        over = most * F.col("source_size") < level * F.col("weight")
+        r = rows.agg(F.count_if(over).alias("n"), F.sum(F.when(over, most * F.col("source_size")).otherwise(0.0)).alias("spent"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("weight"), F.count(F.lit(1)).alias("all")).first()
+        if r.n == capped or not r.weight:
+            break
+        capped, level = r.n, (total - r.spent) / r.weight
+    goal = F.least(most * F.col("source_size"), level * F.col("weight")).cast("double")
+    return rows.select("source_no", "source", "source_size", "blocks", goal.alias("target")), sum(n for _, n in counts), total
+
+
+def _permuted_together(taken: DataFrame, seed: int) -> DataFrame:
+    """taken with slots numbered anew within each stratum, in the order of a hash over all its sources' slots."""
+    sizes = taken.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    buckets = F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / BUCKET_BLOCKS)))).cast("long")
+    rows = taken.join(F.broadcast(sizes), "stratum").withColumn("h", _hash(F.lit(seed), "source_no", "slot")).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 8), buckets))  # at most MAX_SOURCES strata
+    counted = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("held"))
+    before = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = counted.select("stratum", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("n_before"))
+    rank = Window.partitionBy("stratum", "bucket").orderBy("h", "source_no", "slot")
+    return rows.join(base, ["stratum", "bucket"]).withColumn("slot", F.col("n_before") + F.row_number().over(rank) - 1).select(taken.columns)
 
 
-def _with_targets(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    s = F.broadcast(sources.select(F.col("source").alias("__source"), "source_size", "target"))  # at most MAX_SOURCES rows
+def _with_targets(sized: DataFrame, side: DataFrame) -> DataFrame:
+    s = side.select(F.col("source").alias("__source"), "source_size", "target")
     return sized.join(s, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
@@ -182,26 +254,26 @@ def _to_shards(taken: DataFrame, sources: DataFrame, quotas: np.ndarray, shards:
                 continue
             for shard, starts, counts in split_quotas(shared.value, shards, min(ids), max(ids) + 1, seed):
                 at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), shard, np.int64)), pa.array(starts[at]), pa.array(starts[at] + counts[at])], names=["source_no", "shard", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), shard, np.int64)), pa.array(starts[at]), pa.array(starts[at] + counts[at])], names=["stratum", "shard", "low", "high"])
 
-    held = spark.range(0, shards, 1, max(1, min(shards // 64, 10_000))).mapInArrow(intervals, "source_no int, shard long, low long, high long")
+    held = spark.range(0, shards, 1, max(1, min(shards // 64, 10_000))).mapInArrow(intervals, "stratum int, shard long, low long, high long")
     # Which interval a slot lies in: intervals are cut at multiples of step, and within such a stretch the last interval
     # that starts at or before the slot is carried on.
     stretch = lambda c: F.floor(F.col(c) / step).cast("long")
     marks = held.withColumn("stretch", F.explode(F.sequence(stretch("low"), F.floor((F.col("high") - 1) / step).cast("long")))).select(
-        "source_no", "stretch", F.greatest("low", F.col("stretch") * step).alias("slot"), F.lit(0).alias("is_slot"), F.col("shard").alias("mark")
+        "stratum", "stretch", F.greatest("low", F.col("stretch") * step).alias("slot"), F.lit(0).alias("is_slot"), F.col("shard").alias("mark")
     )
     slots = taken.withColumn("stretch", stretch("slot")).withColumn("is_slot", F.lit(1)).withColumn("mark", F.lit(None).cast("long"))
-    carried = Window.partitionBy("source_no", "stretch").orderBy("slot", "is_slot")
+    carried = Window.partitionBy("stratum", "stretch").orderBy("slot", "is_slot")
     placed = slots.unionByName(marks, allowMissingColumns=True).withColumn("shard", F.last("mark", True).over(carried)).filter("is_slot = 1").drop("is_slot", "mark", "stretch")
     # The place: buckets are stretches of the hash by which a shard is sorted.
     bits = max(1, math.ceil(math.log2(per_shard / BUCKET_BLOCKS)))
-    placed = write_table(placed.withColumn("h", _hash(F.lit(seed), "shard", "source_no", "slot")).withColumn("bucket", F.shiftright("h", 64 - bits)), "op2-placed")
+    placed = write_table(placed.withColumn("h", _hash(F.lit(seed), "shard", "stratum", "slot")).withColumn("bucket", F.shiftright("h", 64 - bits)), "op2-placed")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
-    rank = Window.partitionBy("shard", "bucket").orderBy("h", "source_no", "slot")
+    rank = Window.partitionBy("shard", "bucket").orderBy("h", "stratum", "slot")
     placed = placed.join(base, ["shard", "bucket"]).withColumn("position", F.col("n_before") + F.row_number().over(rank) - 1)
-    names = F.broadcast(sources.select("source_no", "source"))
+    names = sources.select("source_no", "source")
     return placed.join(names, "source_no").select("doc_id", "source", "digest", "size", "epoch", "block", "from_word", "words", "shard", "position")
 
 

@@ -27,6 +27,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ from patchweave.llm.common import MAX_BROADCAST_IDS, new_path, write_table
 V1_FIELDS = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
 V2_FIELDS = ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"]
 ARCHIVE_BYTES = 4 << 20
-RECORDS_PER_FILE = 2_000
+#: What a WARC file holds at most: records, and bytes before compression (a larger record has a file of its own).
+RECORDS_PER_FILE, FILE_BYTES = 2_000, 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURED = "20200101000000"
 
@@ -207,8 +209,10 @@ def write_warc(records: DataFrame, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches(((warc_record(r),) for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()), pa.schema([("record", pa.binary())]))
 
+    largest = records.agg(F.max("payload_bytes")).first()[0] or 0
+    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (largest + 2_000)))
     lines = records.filter("record_type <> 'error'").drop("payload_sha256", "archive", "offset").mapInArrow(run, "record binary")
-    lines.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -262,11 +266,11 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
     """pages as ARC archives, version 1 and 2 in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, held, size = 0, [], 0
+        n, held, size, part = 0, [], 0, TaskContext.get().partitionId()
         schema = pa.schema([("archive", pa.string()), ("content", pa.binary())])
 
         def archive() -> pa.RecordBatch:
-            name = f"{hashlib.sha1(repr([(u, len(b)) for u, _, b in held]).encode()).hexdigest()[:12]}-{n}.arc"
+            name = f"{hashlib.sha1(repr([(u, len(b)) for u, _, b in held]).encode()).hexdigest()[:12]}-{part}-{n}.arc"
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([write_arc(name, 1 + n % 2, held)], pa.binary())], schema=schema)
 
         for b in batches:

@@ -142,6 +142,37 @@ def test_mixing_puts_out_what_was_dealt(spark, monkeypatch):
     assert [r.doc_id for r in mixing.mixed_rows(docs, shard_words=15_000).collect()] == want
 
 
+def test_draws_beyond_numpy(monkeypatch):
+    """By inversion the draws have the distribution of numpy's, and hold at sizes that numpy refuses."""
+    rng = np.random.default_rng(4)
+    plain = Counter(int(rng.hypergeometric(30, 50, 20)) for _ in range(20_000))
+    monkeypatch.setattr(mixing, "NUMPY_RANGE", 0)
+    other = Counter(mixing._hypergeometric(rng, 30, 50, 20) for _ in range(20_000))
+    assert all(abs(plain[k] - other[k]) < 6 * math.sqrt(plain[k] + 10) for k in range(21))
+    assert [mixing._hypergeometric(rng, g, b, n) for g, b, n in ((5, 0, 3), (0, 5, 3), (5, 5, 10), (1, 10**12, 0))] == [3, 0, 5, 0]
+    x = [mixing._hypergeometric(rng, 4 * 10**9, 6 * 10**9, 5 * 10**9) for _ in range(40)]
+    assert abs(np.mean(x) - 2 * 10**9) < 6 * 24_495 / math.sqrt(40) and 12_000 < np.std(x) < 50_000
+
+
+def test_more_sources_than_the_cap(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.choice([3, 40, 3_000]))), rng.choice([None, "", "b", "a", "é", "zz", "c", "d", "e"])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "BUCKET_BLOCKS", 16)
+    few = {r.doc_id: (r.size, r.source_size, r.target) for r in mixing.report(docs, shard_words=20_000).collect()}
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 4)
+    many = mixing.report(docs, shard_words=20_000).collect()
+    assert {r.doc_id: (r.size, r.source_size) for r in many} == {k: v[:2] for k, v in few.items()}
+    assert all(r.target == pytest.approx(few[r.doc_id][2]) and r.taken <= 3 * r.size for r in many)
+    source = {i: s for i, _, s in rows}
+    for s in set(source.values()):
+        assert abs(sum(r.taken for r in many if source[r.doc_id] == s) - next(r.target for r in many if source[r.doc_id] == s)) <= 1
+    _, slots = mixing.plan(docs, shard_words=20_000)
+    places = [(r.shard, r.position) for r in slots.collect()]
+    assert len(set(places)) == len(places) and len({p[0] for p in places}) > 2
+    assert sorted(places) == [(s, p) for s in sorted({p[0] for p in places}) for p in range(sum(1 for q in places if q[0] == s))]
+
+
 def test_mixing_tells_texts_apart_that_share_id_and_size(spark):
     texts = ["one two three", "four five six", "seven eight nine", "one two three", "b c", "d e"]
     docs = documents(spark, [(None if len(t) > 3 else 4, t, "a") for t in texts])
@@ -216,6 +247,13 @@ def test_pages(spark, tmp_path):
     assert warc.op5_arc_to_warc(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4_000)
+    spark.createDataFrame([(i, f"http://x/{i}", "y" * (5_000 if i == 3 else 10)) for i in range(6)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = warc.op5_arc_to_warc(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in rows) == [(i, 5_000 if i == 3 else 10, "response" if i in (0, 3) else "revisit") for i in range(6)]
+
+
 # ---- 8 ----
 
 
