@@ -3,8 +3,12 @@
 toxicity (documents it rejects go) -> exact dedup -> MinHash near-dedup (one document of each group stays) -> mixing
 sources to target weights (texts as often and as far as the mix takes them) -> packing into sequences.
 
-All stages but the last return the columns of documents. Nulls, empty tables, ties and repeated rows are handled as
-the operators state.
+All stages but the last return the columns of documents, further columns included. Defined results: a null text is an
+empty one; it is never toxic, all empty texts are one text for exact dedup (the row with the largest doc_id stays), and
+of an empty text the mix takes nothing, so it ends there. Rows without doc_id pass each stage, decided by their text:
+of equal texts one row stays, a row with an id before one without. A null source is a source of its own. Rows that
+repeat are one row after exact dedup; ties are broken by doc_id, then by a digest of the text. An empty table gives an
+empty result. Texts are whole at every stage, however long; only the mix cuts them, to the words that it takes.
 """
 
 from __future__ import annotations
