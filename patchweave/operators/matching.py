@@ -108,7 +108,10 @@ def _keyed_ranges(affected: DataFrame) -> DataFrame:
     keyed = keyed.withColumns({"__ek": F.expr("slice(__k, 1, __m)"), "lk": F.expr("slice(__k, 1 + __m, __n - __m)"), "__ekc": F.expr(f"slice(__k, 1 + {shift}, __m)"), "lkc": F.expr(f"slice(__k, 1 + {shift} + __m, __n - __m)")})
     # The sorted events keep the bounds as they are written.
     keyed = keyed.withColumns({"ready": R.prepared("events", "__ek"), "ready_cut": R.prepared("events", "__ekc"), "keyless": F.exists("__k", lambda k: k.isNull())})
-    return keyed.select("ecosystem", "norm_name", "comparer", "database", "advisory_id", "aff_ord", "entry_stream", "tagged", "range_ord", "range_type", "fix_state", "events", "versions", "ready", "ready_cut", "lk", "lkc", "keyless")
+    # What needs more than a look at intervals: unreadable or missing bounds, and branches, which have no order.
+    odd = F.col("keyless") | F.expr("not exists(ready, e -> e.rank < 2)") | F.exists("__k", lambda k: k.startswith(V.BRANCH))
+    keyed = keyed.withColumns({"spans": R.intervals("ready"), "spans_cut": R.intervals("ready_cut"), "odd": (F.col("range_ord") != LISTED) & F.coalesce(odd, F.lit(True))})
+    return keyed.select("ecosystem", "norm_name", "comparer", "database", "advisory_id", "aff_ord", "entry_stream", "tagged", "range_ord", "range_type", "fix_state", "events", "versions", "ready", "ready_cut", "spans", "spans_cut", "odd", "lk", "lkc", "keyless")
 
 
 def candidates(inventory: DataFrame, affected: DataFrame) -> DataFrame:
@@ -123,7 +126,12 @@ def outcomes(pairs: DataFrame) -> DataFrame:
     rows = pairs.withColumn("module", module_state(F.col("module_stream"), F.col("entry_stream"), F.col("comparer"), F.col("tagged"))).filter("module <> 'skip'")
     cut = F.col("module") == "cut"
     either = lambda whole, short: F.when(cut, F.col(short)).otherwise(F.col(whole))
-    rows = rows.withColumns({"__vk": either("vk", "ck"), "__ready": either("ready", "ready_cut"), "__lk": either("lk", "lkc"), "compared_as": F.when(cut, cut_module(F.col("compared"))).otherwise(F.col("compared"))})
+    rows = rows.withColumns({"__vk": either("vk", "ck"), "__ready": either("ready", "ready_cut"), "__lk": either("lk", "lkc"), "__spans": either("spans", "spans_cut"), "compared_as": F.when(cut, cut_module(F.col("compared"))).otherwise(F.col("compared"))})
+    # Most pairs are misses that a look at intervals or keys can tell; the rest is evaluated in full.
+    hit = F.expr("exists(__spans, i -> (i.low is null or __vk >= i.low) and (i.high is null or __vk < i.high or (i.closed and __vk = i.high)))")
+    listed = F.col("keyless") | F.expr("exists(__lk, k -> k = __vk)")
+    open_ended = F.col("odd") | F.col("__vk").isNull() | F.col("__vk").startswith(V.BRANCH) | (F.col("module") == "error")
+    rows = rows.filter(F.coalesce(open_ended | F.when(F.col("range_ord") == LISTED, listed).otherwise(hit), F.lit(True)))
     # Maven's plain versions have keys; what has any other is compared pairwise.
     pairwise = (F.col("comparer") == "maven") & (F.col("keyless") | F.col("__vk").isNull())
     maven, keyed = rows.filter(pairwise), rows.filter(~pairwise)
