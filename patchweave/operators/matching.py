@@ -16,6 +16,7 @@ from patchweave.functions import names as N
 from patchweave.functions import versions as V
 from patchweave.operators import ranges as R
 from patchweave.operators.components import components
+from patchweave.tables import write_table
 
 RANGES = f"array<struct<type:string,events:{R.EVENTS},fix_state:string>>"
 #: range_ord of the list of single versions, which comes after all ranges.
@@ -132,6 +133,8 @@ def outcomes(pairs: DataFrame) -> DataFrame:
     listed = F.col("keyless") | F.expr("exists(__lk, k -> k = __vk)")
     open_ended = F.col("odd") | F.col("__vk").isNull() | F.col("__vk").startswith(V.BRANCH) | (F.col("module") == "error")
     rows = rows.filter(F.coalesce(open_ended | F.when(F.col("range_ord") == LISTED, listed).otherwise(hit), F.lit(True)))
+    # Written once, as four ways read it: by now little more than hits and errors.
+    rows = write_table(rows.drop("vk", "ck", "ready", "ready_cut", "spans", "spans_cut", "__spans", "lk", "lkc", "odd"), "match-rows")
     # Maven's plain versions have keys; what has any other is compared pairwise.
     pairwise = (F.col("comparer") == "maven") & (F.col("keyless") | F.col("__vk").isNull())
     maven, keyed = rows.filter(pairwise), rows.filter(~pairwise)
