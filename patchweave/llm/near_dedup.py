@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from patchweave.llm.common import documents, drop_table, with_ids, write_table
+from patchweave.operators.hot_keys import join_counted
 
 SHINGLE = 5
 BANDS, ROWS = 64, 7
@@ -216,19 +217,23 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, sets: DataFrame
 
 
 def components(links: DataFrame, tag: str = "op6-stars") -> DataFrame:
-    """(node, root) for each node of links (a, b) that isn't the smallest of its component, by alternating large-star and small-star."""
+    """(node, root) for each node of links (a, b) that isn't the smallest of its component, by alternating large-star and small-star.
+
+    A node of many edges, such as a component's centre, is broadcast with its least neighbour; its edges stay where they are."""
     state = lambda t: t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).collect()[0]
     edges = write_table(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
     before = state(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
-        small = small.select("u", "v").union(small.select("w", "v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both.filter("v > u"), least, "u", "n", 2 * before[0])
+        large = write_table(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), tag)
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_counted(large, lowest, "u", "n", before[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.union(lowest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         done = write_table(small, tag)
         drop_table(edges)
+        drop_table(large)
         after, edges = state(done), done
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -4,6 +4,7 @@ import random
 import re
 
 from patchweave.llm import near_dedup as N
+from patchweave.operators import hot_keys
 
 
 def plain_sets(text):
@@ -84,3 +85,15 @@ def test_rows_without_id_are_kept_by_their_sets(spark):
     kept = N.keep_rows(df)
     assert kept.columns == df.columns
     assert sorted(r.component_id for r in kept.collect()) == [2, 3, 4, 4, 5, 6, 8]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(hot_keys, "LEAST_HOT", 10)
+    rng = random.Random(9)
+    links = [(rng.randrange(100), rng.randrange(100)) for _ in range(40)] + [(1_000 + k, 1_000) for k in range(60)] + [(1_000 + k, 2_000 + k) for k in range(20)] + [(3_001 + k, 3_000 + k) for k in range(15)]
+    root = {n: n for e in links for n in e}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: r for n, r in root.items() if n != r}
