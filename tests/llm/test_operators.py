@@ -72,6 +72,21 @@ def test_targets():
         assert mixing.targets(sizes, weights) == pytest.approx(plain_targets(sizes, weights))
 
 
+def test_clashing_columns_of_mixing_and_packing(spark):
+    """Columns of the given table that are named like results change nothing."""
+    docs = documents(spark, ODD)
+    more = docs
+    for c in ("size", "target", "taken", "shard", "position", "words", "start", "ids", "sequence_id", "offset", "length", "doc_tokens"):
+        more = more.withColumn(c, F.lit("x"))
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(mixing.report(more)) == plain(mixing.report(docs))
+    mixed = mixing.mixed_rows(more)
+    assert mixed.columns == more.columns and {r.size for r in mixed.collect()} == {"x"}
+    assert sorted((str(r.doc_id), r.text) for r in mixed.collect()) == sorted((str(r.doc_id), r.text) for r in mixing.mixed_rows(docs).collect())
+    tokens = lambda df: Counter((r.doc_id, r.doc_tokens) for r in packing.pack(df).collect())
+    assert tokens(more) == tokens(docs)
+
+
 def test_splitting_tree_is_exact_and_disjoint():
     quotas = np.array([7, 0, 1000, 35, 10**6], np.int64)
     parts = list(mixing.split_quotas(quotas, 13, 0, 13))

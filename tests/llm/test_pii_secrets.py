@@ -109,3 +109,14 @@ def test_empty_tables(spark, docs, tmp_path):
     where = write(spark, docs.filter("false"), tmp_path)
     assert pii.op3_pii(spark, where).count() == 0
     assert secrets.op7_secret_scan(spark, where).count() == 0
+
+
+def test_clashing_columns(spark, docs, tmp_path):
+    some = docs.filter("doc_id >= 10000 or doc_id is null")
+    more = some
+    for c in ("spans", "base_sha256", "kind", "score", "n_email", "n_hex", "start", "end"):
+        more = more.selectExpr("*", f"5 AS `{c}`")
+    rows = lambda df: sorted(map(str, df.collect()))
+    plain, wide = write(spark, some, tmp_path / "plain"), write(spark, more, tmp_path / "wide")
+    assert rows(pii.op3_pii(spark, wide)) == rows(pii.op3_pii(spark, plain))
+    assert rows(secrets.op7_secret_scan(spark, wide)) == rows(secrets.op7_secret_scan(spark, plain))

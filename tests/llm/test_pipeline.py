@@ -64,3 +64,20 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").filter("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_on_awkward_rows(spark, tmp_path):
+    """Nulls, ties, repeated rows and clashing columns: what is left of each text is what the docstring says."""
+    long, tied = "word " * 3_000, "one two three four five six seven eight"
+    rows = [(1, None, "a"), (2, "", None), (3, " \t", "b"), (4, tied, "a"), (5, tied, "a"), (5, tied, "a"), (6, tied.upper(), None), (7, long, "b"), (None, "left alone here", "a"), (None, tied, "a"), (9, "é \U0001f600", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS n_shingles", "2 AS set_key", "3 AS taken", "4 AS start", "5 AS keep_id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.STAGES[2][1](spark, corpus_pipeline.STAGES[1][1](spark, corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)), str(tmp_path)), str(tmp_path))
+    assert kept.columns == docs.columns
+    # Equal texts leave the largest id; " \t" and "" are different texts without words.
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([2, 3, 6, 7, None, 9])
+    # Where the mix takes nothing a document ends; the rest is packed whole or repeated, never lost.
+    taken = {r.doc_id for r in mixing.report(kept).collect() if r.taken}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == taken and not taken & {2, 3}
