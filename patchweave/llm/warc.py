@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchweave.llm.common import MAX_BROADCAST_IDS, new_path, write_table
+from patchweave.operators.hot_keys import join_counted
 
 V1_FIELDS = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
 V2_FIELDS = ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"]
@@ -171,9 +172,9 @@ def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Adds refers_to (a key) and makes revisits of responses that repeat a payload. records: a written table."""
     responses = records.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes))
     # Equal payloads fold before the shuffle; keys and digests only are compared.
-    first = responses.groupBy("payload_sha256", "payload_bytes").agg(F.min("record_key").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    first = responses.groupBy("payload_sha256", "payload_bytes").agg(F.min("record_key").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null")
     slim = responses.select("payload_sha256", "payload_bytes", "record_key")
-    revisits = slim.join(first, ["payload_sha256", "payload_bytes"]).filter(~F.col("record_key").eqNullSafe(F.col("refers_to")))
+    revisits = join_counted(slim, first, ["payload_sha256", "payload_bytes"], "n", slim.count()).filter(~F.col("record_key").eqNullSafe(F.col("refers_to")))
     revisits = write_table(revisits.select(F.col("record_key").alias("__key"), F.col("payload_sha256").alias("__sha"), "refers_to").distinct(), "op5-revisits")
     if revisits.count() <= MAX_BROADCAST_IDS // 8:
         revisits = F.broadcast(revisits)

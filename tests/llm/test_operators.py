@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchweave.llm import chat, exact_dedup, mixing, packing, topk_search, toxicity, warc
+from patchweave.operators import hot_keys
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -250,7 +251,9 @@ def test_arc_versions_and_broken_archives(spark):
     assert len(list(warc._read(gzip.compress(body + b"\r\n\r\n" + body)))) == 2
 
 
-def test_pages(spark, tmp_path):
+@pytest.mark.parametrize("least_hot", [1, 100])
+def test_pages(spark, tmp_path, monkeypatch, least_hot):
+    monkeypatch.setattr(hot_keys, "LEAST_HOT", least_hot)
     rows = [(5, "u", "same"), (3, "u", "same"), (9, None, None), (8, "v", ""), (1, "w w", "\r\n\r\nWARC/1.1\r\n"), (4, "x", "é" * 50_000), (None, "y", "same"), (None, "y", "alone"), (6, "z", "t"), (6, "z", "t")]
     spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_key", F.lit(1)).write.parquet(f"{tmp_path}/pages.parquet")
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op5_arc_to_warc(spark, str(tmp_path)).collect())
