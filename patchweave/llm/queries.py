@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchweave.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, secrets, topk_search, toxicity, warc
+from patchweave.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, secrets, substring_dedup, topk_search, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk_search": topk_search.op8_topk_search,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
 }
 
 ORACLE = {
@@ -22,4 +23,5 @@ ORACLE = {
     "op8_topk_search": topk_search.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
+    "op11_substring_dedup": substring_dedup.OP11_SQL,
 }
