@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchweave.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, secrets, substring_dedup, topk_search, toxicity, warc
+from patchweave.llm import chat, exact_dedup, hard_negatives, mixing, near_dedup, packing, pii, runs, secrets, substring_dedup, topk_search, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat.op10_chat_format,
     "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_runs": runs.op12_runs,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE = {
@@ -24,4 +26,5 @@ ORACLE = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
     "op11_substring_dedup": substring_dedup.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
