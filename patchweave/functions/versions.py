@@ -5,6 +5,9 @@ Six orderings are SQL expressions, so ranges compare inside generated code; two
 Arrow batches. Maven's order depends on both sides: versions of numbers and at most one qualifier have a SQL key, and
 others are compared pairwise.
 
+Versions come from images and lockfiles that nobody vouches for, and may be of any length: patterns repeat groups
+possessively, so that matching neither recurses nor tries again, and Maven's nesting is walked in loops.
+
 Keys are strings compared by bytes. A number is the length of its length, its length, and its digits without leading
 zeros, so it may have any length. "!" ends a list or a word, as it sorts below every character that a word may have.
 """
@@ -131,7 +134,7 @@ def rpm_key(v: str) -> str:
     return f"case when {v} rlike {_q(_RPM)} and not {v} rlike '-\\\\z' and {epoch} is not null then concat(lpad(cast({epoch} as string), 19, '0'), {_rpm_part(_group(v, _RPM, 2))}, {_rpm_part(_group(v, _RPM, 3))}) end"
 
 
-_APK = r"^([0-9]+)((?:\.[0-9]+)*)([a-z]?)([0-9]*)((?:_(?:alpha|beta|pre|rc|cvs|svn|git|hg|p)[0-9]*)*)(~[0-9a-f]+)?(-r[0-9]+)?\z"
+_APK = r"^([0-9]+)((?:\.[0-9]+)*+)([a-z]?)([0-9]*)((?:_(?:alpha|beta|pre|rc|cvs|svn|git|hg|p)[0-9]*)*+)(~[0-9a-f]+)?(-r[0-9]+)?\z"
 #: Suffixes in ascending order, those below the plain version and those above it.
 _APK_BELOW, _APK_ABOVE = ("alpha", "beta", "pre", "rc"), ("cvs", "svn", "git", "hg", "p")
 
@@ -148,8 +151,8 @@ def apk_key(v: str) -> str:
     return f"case when {v} rlike {_q(_APK)} and not ({g(3)} = '' and {g(4)} <> '') then concat('8', {_num(g(1))}, {dotted}, {letter}, {suffixes}, {ends}) end"
 
 
-_LABEL = r"(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)"
-_NUGET = rf"^([0-9]+(?:\.[0-9]+){{0,3}})(?:-(?:({_LABEL}(?:\.{_LABEL})*)|(?=\+.)))?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?\z"
+_LABEL = r"(?:(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)(?![0-9A-Za-z-]))"
+_NUGET = rf"^([0-9]+(?:\.[0-9]+){{0,3}})(?:-(?:({_LABEL}(?:\.{_LABEL})*+)|(?=\+.)))?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*+)?\z"
 
 
 def nuget_key(v: str) -> str:
@@ -206,7 +209,7 @@ BRANCH = "dev-"
 #: Composer's stability words, how they are written out, and its form of versions that are dates.
 _COMPOSER_WORDS = {"stable": "", "dev": "dev", "a": "alpha", "alpha": "alpha", "b": "beta", "beta": "beta", "rc": "RC", "p": "patch", "pl": "patch", "patch": "patch"}
 _COMPOSER_DATE = re.compile(r"[0-9]{4}(?:[.:-]?[0-9]{2}){1,6}(?:[.:-]?[0-9]{1,3}){0,2}")
-_COMPOSER_RANK = {"dev": "0", "alpha": "1", "beta": "2", "RC": "3", "patch": "6"}
+_COMPOSER_RANK = {"stable": "/", "dev": "0", "alpha": "1", "beta": "2", "RC": "3", "patch": "6"}
 
 
 def _composer_numbers(head: str) -> str | None:
@@ -229,14 +232,15 @@ def _composer_release(s: str) -> str | None:
     word, count = tail[:split].lower(), tail[split:]
     if word and (word == "dev" or word not in _COMPOSER_WORDS):
         return None
-    if not re.fullmatch(r"(?:[.-]?[0-9]+)*", count, re.A) or (count and not word):
+    if not re.fullmatch(r"(?:[.-]?[0-9]++)*+", count, re.A) or (count and not word):
         return None
     if head[-1:] in (".", "_", "-"):
         head = head[:-1]
     numbers = _composer_numbers(head)
     if numbers is None:
         return None
-    label = _COMPOSER_WORDS.get(word, "")
+    # The word is left out as it is written in small letters only; in others it is one that lies below all the rest.
+    label = "stable" if word == "stable" and tail[:split] != word else _COMPOSER_WORDS.get(word, "")
     return numbers + (f"-{label}{count.lstrip('.-')}" if label else "") + ("-dev" if dev else "")
 
 
@@ -289,7 +293,7 @@ _MAVEN_SHORT = {"a": "alpha", "b": "beta", "m": "milestone"}
 _MAVEN_ORDER = {q: i for i, q in enumerate(["alpha", "beta", "milestone", "rc", "snapshot", "", "sp"])}
 
 
-_MAVEN_PLAIN = r"^([0-9]{1,9}(?:[.][0-9]{1,9})*)(?:[.-]?([a-z]+)([0-9]{0,9}))?\z"
+_MAVEN_PLAIN = r"^([0-9]{1,9}(?:[.][0-9]{1,9})*+)(?:[.-]?([a-z]+)([0-9]{0,9}))?\z"
 
 
 def maven_key(v: str) -> str:
@@ -298,7 +302,9 @@ def maven_key(v: str) -> str:
     short = " ".join(f"when '{a}' then '{b}'" for a, b in _MAVEN_SHORT.items())
     alias = " ".join(f"when '{a}' then '{b}'" for a, b in _MAVEN_ALIAS.items())
     rank = " ".join(f"when '{q}' then '{i}'" for q, i in _MAVEN_ORDER.items())
-    numbers = _let("regexp_replace(g[1], '(?:(?:^|[.])0+)+\\\\z', '')", "r", f"case when r = '' then '' else array_join(transform(split(r, '[.]'), i -> concat('9', {_num('i')})), '') end")
+    # Numbers at the end that are 0 go: all zeros and points at the end, but for zeros that belong to the number before.
+    cut = _let("trim(TRAILING '.0' FROM g[1])", "t", "case when t = '' then '' else concat(t, regexp_extract(substring(g[1], length(t) + 1), '^0*', 0)) end")
+    numbers = _let(cut, "r", f"case when r = '' then '' else array_join(transform(split(r, '[.]'), i -> concat('9', {_num('i')})), '') end")
     named = _let(f"case when g[3] <> '' then case g[2] {short} else g[2] end else g[2] end", "w", f"case w {alias} else w end")
     number = _let("regexp_replace(g[3], '^0+', '')", "n", f"case when n = '' then '0' else concat('1', {_num('n')}) end")
     order = f"case q {rank} else concat('7', q, '!') end"
@@ -310,8 +316,12 @@ def maven_key(v: str) -> str:
 NATIVE: dict[str, Callable[[str], str]] = {"semver": semver_key, "pep440": pep440_key, "deb": deb_key, "rpm": rpm_key, "apk": apk_key, "nuget": nuget_key, "maven": maven_key}
 
 
-@functools.lru_cache(maxsize=50_000)
 def maven_tree(v: str) -> tuple | None:
+    """The tree of a version, kept for short ones only."""
+    return _kept_tree(v) if len(v) <= MAX_LENGTH else _maven_tree(v)
+
+
+def _maven_tree(v: str) -> tuple | None:
     """Nested tuples of numbers (digit strings), qualifiers ("q", name) and lists; None if blank."""
     if not v.strip():
         return None
@@ -353,16 +363,17 @@ def maven_tree(v: str) -> tuple | None:
                 deeper()
             after = "q"
 
-    def freeze(items: list) -> tuple:
-        out = [freeze(x) if isinstance(x, list) else x for x in items]
-        for i in range(len(out) - 1, -1, -1):  # trailing nulls go, also before a list
-            if _maven_null(out[i]):
-                del out[i]
-            elif not _maven_list(out[i]):
-                break
-        return tuple(out)
+    # A list has at most one list in it, its last item: chain holds them all, and they close from within.
+    inner: tuple = ()
+    for level in reversed(chain):
+        items = [x for x in level if not isinstance(x, list)]
+        while items and _maven_null(items[-1]):  # trailing nulls go, also before a list
+            items.pop()
+        inner = (*items, inner) if inner else tuple(items)
+    return inner
 
-    return freeze(root)
+
+_kept_tree = functools.lru_cache(maxsize=50_000)(_maven_tree)
 
 
 def _maven_list(x) -> bool:
@@ -381,8 +392,22 @@ def _sign(a, b) -> int:
     return (a > b) - (a < b)
 
 
+def _maven_alone(a: tuple) -> int:
+    """A list against nothing: the first item that isn't neutral decides, however deep it lies."""
+    while a:
+        inner: tuple = ()
+        for x in a:
+            if _maven_list(x):
+                inner = x
+            elif c := _maven_items(x, None):
+                return c
+        a = inner
+    return 0
+
+
 def _maven_items(a, b) -> int:
-    """Numbers above lists above qualifiers; an absent item stands for the neutral one of the other's kind."""
+    """Numbers above lists above qualifiers; an absent item stands for the neutral one of the other's kind. Not for two
+    lists."""
     if a is None:
         return 0 if b is None else -_maven_items(b, None)
     if isinstance(a, str):
@@ -393,21 +418,25 @@ def _maven_items(a, b) -> int:
             return _sign(rank(a), rank(b))
         return 1
     if _maven_list(a):
-        if b is None:
-            return next((c for c in (_maven_items(x, None) for x in a) if c), 0)
-        if isinstance(b, str):
-            return -1
-        return _maven_lists(a, b) if _maven_list(b) else 1
+        return _maven_alone(a) if b is None else -1 if isinstance(b, str) else 1
     if b is None:
         return _sign(_maven_qualifier(a[1]), _maven_qualifier(""))
     return _sign(_maven_qualifier(a[1]), _maven_qualifier(b[1])) if isinstance(b, tuple) and not _maven_list(b) else -1
 
 
 def _maven_lists(a: tuple, b: tuple) -> int:
-    for i in range(max(len(a), len(b))):
-        if c := _maven_items(a[i] if i < len(a) else None, b[i] if i < len(b) else None):
-            return c
-    return 0
+    """Item by item; lists stand last, so two of them at one place are what is left to compare."""
+    while True:
+        deeper = None
+        for i in range(max(len(a), len(b))):
+            x, y = a[i] if i < len(a) else None, b[i] if i < len(b) else None
+            if x is not None and y is not None and _maven_list(x) and _maven_list(y):
+                deeper = x, y
+            elif c := _maven_items(x, y):
+                return c
+        if deeper is None:
+            return 0
+        a, b = deeper
 
 
 def maven_compare(a: str, b: str) -> int | None:

@@ -32,17 +32,47 @@ def _by_finding(findings: DataFrame) -> DataFrame:
     return findings.select("finding_id", F.explode(F.array_distinct(F.filter("identifiers", lambda i: i.startswith("CVE-")))).alias("cve"))
 
 
+def _opinions(ratings: str) -> Column:
+    return F.filter(ratings, lambda r: ~F.coalesce(r["no_opinion"], F.lit(False)))
+
+
+def rated_cves(ratings: DataFrame) -> DataFrame:
+    """What all ratings of a CVE say together, folded once per CVE: rs (all of them, by database and id), raised (the
+    highest score), epss (the highest with a model), listed (any KEV), bands (of those with an opinion) and n."""
+    r, opinion = F.col("rating"), ~F.coalesce(F.col("rating.no_opinion"), F.lit(False))
+    return rated(ratings).groupBy("cve").agg(
+        F.sort_array(F.collect_list(r)).alias("rs"), F.max(F.when(opinion, F.col("rating.score"))).alias("raised"), F.max(F.when(F.coalesce("rating.epss_model", F.lit("")) != "", F.col("rating.epss"))).alias("epss"),
+        F.max(F.coalesce("rating.kev", F.lit(False))).alias("listed"), F.collect_set(F.when(opinion, F.col("rating.band"))).alias("bands"), F.count(F.lit(1)).alias("n"),
+    )
+
+
 def join_ratings(findings: DataFrame, ratings: DataFrame) -> DataFrame:
-    """findings with ratings (their own, if any, and those of their CVEs, by database and id), score and band (raised
-    by a rating that is higher, never lowered), max_epss (of ratings with a model) and kev. A CVE's ratings are as many
-    as its sources; they are gathered once per CVE, and once per finding."""
-    per = rated(ratings).groupBy("cve").agg(F.collect_list("rating").alias("rs"))
-    joined = _by_finding(findings).join(per, "cve").groupBy("finding_id").agg(F.flatten(F.collect_list("rs")).alias("__rs"))
-    own = F.coalesce("ratings", F.array().cast(f"array<{RATING}>")) if "ratings" in findings.columns else F.array().cast(f"array<{RATING}>")
-    f = findings.join(joined, "finding_id", "left").withColumn("ratings", sort_ratings(F.concat(own, F.coalesce("__rs", F.array().cast(f"array<{RATING}>"))))).drop("__rs")
-    raised = F.array_max(F.transform(F.filter("ratings", lambda r: ~F.coalesce(r["no_opinion"], F.lit(False))), lambda r: r["score"]))
-    f = f.withColumn("score", F.greatest("score", raised))
-    return f.withColumns({"band": S.band_of(F.col("score")), "max_epss": max_epss("ratings"), "kev": F.exists("ratings", lambda r: F.coalesce(r["kev"], F.lit(False)))})
+    """findings with ratings (their own, if any, and those of their CVEs, by database and id), n_ratings, score and band
+    (raised by a rating that is higher, never lowered), max_epss (of ratings with a model), kev and disagree (two ratings
+    that have an opinion give different bands).
+
+    Ratings are folded once per CVE, and a finding takes a CVE's summary as it is: only findings with several CVEs merge
+    some. Where the column ratings isn't used, no list of ratings leaves the fold, however many a CVE has."""
+    none = F.array().cast(f"array<{RATING}>")
+    per = rated_cves(ratings)
+    f = findings.withColumn("__cves", F.coalesce(F.array_distinct(F.filter("identifiers", lambda i: i.startswith("CVE-"))), F.array().cast("array<string>")))
+    summary = ["rs", "raised", "epss", "listed", "bands", "n"]
+    one = f.filter(F.size("__cves") <= 1).withColumn("cve", F.get("__cves", F.lit(0))).join(per, "cve", "left").drop("cve")
+    several = f.filter(F.size("__cves") > 1)
+    merged = several.select("finding_id", F.explode("__cves").alias("cve")).join(per, "cve").groupBy("finding_id").agg(
+        F.sort_array(F.flatten(F.collect_list("rs"))).alias("rs"), F.max("raised").alias("raised"), F.max("epss").alias("epss"), F.max("listed").alias("listed"), F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands"), F.sum("n").alias("n"),
+    )
+    j = one.unionByName(several.join(merged, "finding_id", "left")).drop("__cves")
+    joined = {"ratings": F.coalesce("rs", none), "__bands": F.coalesce("bands", F.array().cast("array<string>")), "n_ratings": F.coalesce("n", F.lit(0)).cast("int"), "__raised": F.col("raised"), "max_epss": F.col("epss"), "kev": F.coalesce("listed", F.lit(False))}
+    if "ratings" in findings.columns:
+        own, opinions = F.coalesce("__own", none), _opinions("__own")
+        j = j.withColumn("__own", F.col("ratings").cast(f"array<{RATING}>"))
+        joined = {
+            "ratings": F.sort_array(F.concat(own, F.coalesce("rs", none))), "__bands": F.array_distinct(F.concat(joined["__bands"], F.coalesce(F.transform(opinions, lambda r: r["band"]), F.array().cast("array<string>")))),
+            "n_ratings": (joined["n_ratings"] + F.size(own)).cast("int"), "__raised": F.greatest("raised", F.array_max(F.transform(opinions, lambda r: r["score"]))), "max_epss": F.greatest("epss", max_epss("__own")), "kev": joined["kev"] | F.coalesce(F.exists("__own", lambda r: F.coalesce(r["kev"], F.lit(False))), F.lit(False)),
+        }
+    j = j.withColumns(joined).withColumn("score", F.greatest("score", "__raised"))
+    return j.withColumns({"band": S.band_of(F.col("score")), "disagree": F.size("__bands") > 1}).drop("__bands", "__raised", "__own", *summary)
 
 
 def join_enrichment(findings: DataFrame, enrichment: DataFrame) -> DataFrame:
@@ -55,9 +85,8 @@ def join_enrichment(findings: DataFrame, enrichment: DataFrame) -> DataFrame:
 
 
 def sort_ratings(ratings: Column) -> Column:
-    """By database and id; the rest breaks ties, so that the order doesn't depend on arrival."""
-    keyed = F.transform(ratings, lambda r: F.struct(r["database"].alias("a"), r["advisory_id"].alias("b"), F.to_json(r).alias("c"), r.alias("r")))
-    return F.transform(F.array_sort(keyed), lambda k: k["r"])
+    """By database and id; the other fields break ties, so that the order doesn't depend on arrival."""
+    return F.sort_array(ratings)
 
 
 def max_epss(ratings: str) -> Column:
@@ -67,7 +96,7 @@ def max_epss(ratings: str) -> Column:
 
 def sources_disagree(ratings: str) -> Column:
     """Whether two ratings that have an opinion give different bands."""
-    bands = F.transform(F.filter(ratings, lambda r: ~F.coalesce(r["no_opinion"], F.lit(False))), lambda r: r["band"])
+    bands = F.transform(_opinions(ratings), lambda r: r["band"])
     return F.size(F.array_distinct(bands)) > 1
 
 

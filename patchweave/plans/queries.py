@@ -193,7 +193,7 @@ def rating_join(spark, sf_dir):
     epss = s.select(*row(cve("s_suppkey", 200), "EPSS", empty, (F.col("s_suppkey") % 10).cast("double") / 10, F.when(F.col("s_suppkey") % 3 > 0, "v4"), False))
     kev = s.filter("s_suppkey % 2 = 0").select(*row(cve("s_suppkey", 50), "KEV", empty, null, null, True))
     out = X.join_ratings(f, nvd.unionByName(epss).unionByName(kev))
-    return out.select("finding_id", "score", "max_epss", "kev", F.size("ratings").alias("ratings"), X.sources_disagree("ratings").alias("disagree"))
+    return out.select("finding_id", "score", "max_epss", "kev", F.col("n_ratings").alias("ratings"), "disagree")
 
 
 @query(

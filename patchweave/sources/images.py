@@ -53,14 +53,19 @@ def _map_rows(df: DataFrame, schema: str, each) -> DataFrame:
 
 
 def archive_layers(archives: DataFrame) -> DataFrame:
-    """blobs of docker-save archives (image_id, content): the layers that manifest.json lists."""
+    """blobs of docker-save archives (image_id, content): the layers that manifest.json lists. An archive or a layer
+    that can't be read is a layer without content, with the reason as its digest."""
 
     def each(row: dict) -> Iterator[tuple]:
-        with tarfile.open(fileobj=io.BytesIO(row["content"])) as t:
-            members = {_clean(m.name): m for m in t}
-            manifest = json.load(t.extractfile(members["manifest.json"]))
-            for n, name in enumerate(manifest[0]["Layers"]):
-                yield row["image_id"], n, name, t.extractfile(members[_clean(name)]).read()
+        n = 0
+        try:
+            with tarfile.open(fileobj=io.BytesIO(row["content"])) as t:
+                members = {_clean(m.name): m for m in t}
+                manifest = json.load(t.extractfile(members["manifest.json"]))
+                for n, name in enumerate(manifest[0]["Layers"]):
+                    yield row["image_id"], n, name, t.extractfile(members[_clean(name)]).read()
+        except V.READ_ERRORS as e:
+            yield row["image_id"], n, V.why(e), None
 
     return _map_rows(archives.select("image_id", "content"), "image_id string, layer int, digest string, content binary", each)
 
@@ -92,15 +97,23 @@ def layout_layers(files: DataFrame, architecture: str = "amd64") -> DataFrame:
 
 
 def entries(blobs: DataFrame) -> DataFrame:
-    """image_id, layer, digest, path, kind ('file', 'dir', 'link'), target (of a link) of everything in the layers."""
+    """image_id, layer, digest, path, kind ('file', 'dir', 'link'), target (of a link) of everything in the layers. A
+    layer that can't be read, or not to its end, has a row of kind 'broken' with the reason as target."""
 
     def each(row: dict) -> Iterator[tuple]:
-        with tarfile.open(fileobj=io.BytesIO(row["content"])) as t:
-            for m in t:
-                path = _clean(m.name)
-                if path:
-                    target = m.linkname if m.issym() else "/" + m.linkname if m.islnk() else None
-                    yield row["image_id"], row["layer"], row["digest"], path, "link" if target is not None else "dir" if m.isdir() else "file", target
+        head = row["image_id"], row["layer"], row["digest"]
+        if row["content"] is None:
+            yield (*head, "", "broken", row["digest"])
+            return
+        try:
+            with tarfile.open(fileobj=io.BytesIO(row["content"])) as t:
+                for m in t:
+                    path = _clean(m.name)
+                    if path:
+                        target = m.linkname if m.issym() else "/" + m.linkname if m.islnk() else None
+                        yield (*head, path, "link" if target is not None else "dir" if m.isdir() else "file", target)
+        except V.READ_ERRORS as e:
+            yield (*head, "", "broken", V.why(e))
 
     return _map_rows(blobs, "image_id string, layer int, digest string, path string, kind string, target string", each)
 
@@ -133,13 +146,15 @@ def contents(blobs: DataFrame, places: DataFrame) -> DataFrame:
     per = places.groupBy("image_id", "layer").agg(F.collect_set("path").alias("paths"))  # the wanted files of one layer
 
     def each(row: dict) -> Iterator[tuple]:
-        want = set(row["paths"])
-        with tarfile.open(fileobj=io.BytesIO(row["content"])) as t:
-            found = {}
-            for m in t:
-                path = _clean(m.name)
-                if path in want and m.isfile():
-                    found[path] = t.extractfile(m).read()
+        want, found = set(row["paths"]), {}
+        try:
+            with tarfile.open(fileobj=io.BytesIO(row["content"])) as t:
+                for m in t:
+                    path = _clean(m.name)
+                    if path in want and m.isfile():
+                        found[path] = t.extractfile(m).read()
+        except V.READ_ERRORS:
+            pass  # entries() has told what is broken
         for path, content in found.items():
             yield row["image_id"], row["layer"], path, content
 
@@ -156,8 +171,10 @@ def os_ecosystem(text: str = "content") -> Column:
 def databases(blobs: DataFrame) -> DataFrame:
     """image_id, kind, rank, path, digest, content of the files that tell an image's packages: os-release (rank null),
     and the first database in order of preference; a database of single stanzas has a row for each. The log of an
-    SQLite database comes along as kind 'wal'."""
-    shown = write_table(L.visible(entries(blobs)), "image-entries")
+    SQLite database comes along as kind 'wal', a layer that can't be read as kind 'broken', its content the reason."""
+    every = write_table(entries(blobs), "image-entries")
+    broken = every.filter("kind = 'broken'").select("image_id", "layer", "path", "digest", "kind", F.lit(None).cast("int").alias("rank"), "path", F.col("target").cast("binary").alias("content"))
+    shown = write_table(L.visible(every.filter("kind <> 'broken'")), "image-shown")
     order = [(i, kind, path) for i, (kind, path) in enumerate(DATABASES)]
     rules = [(None, "os-release", OS_RELEASE), *order, *((i, "wal", p + "-wal") for i, k, p in order if k == "rpm-sqlite")]
     rule = F.array(*(F.struct(F.lit(r).cast("int").alias("rank"), F.lit(k).alias("kind"), F.lit(p).alias("wanted")) for r, k, p in rules if not p.endswith("/status.d")))
@@ -168,12 +185,13 @@ def databases(blobs: DataFrame) -> DataFrame:
     found = write_table(follow(shown, asked.select("image_id", "wanted").distinct()).join(asked, ["image_id", "wanted"]), "image-found")
     best = found.filter("kind <> 'wal'").groupBy("image_id").agg(F.min("rank").alias("rank"))
     kept = found.join(best, ["image_id", "rank"], "left_semi").unionByName(found.filter("rank is null"))
-    return contents(blobs, kept.select("image_id", "layer", "path", "digest", "kind", "rank", "wanted"))
+    out = contents(blobs, kept.select("image_id", "layer", "path", "digest", "kind", "rank", "wanted"))
+    return out.unionByName(broken.toDF("image_id", "layer", "path", "digest", "kind", "rank", "wanted", "content"))
 
 
 def catalog(blobs: DataFrame) -> DataFrame:
     """The packages of images: rows of inventory.SCHEMA (path is the database's) with image_id and digest. An image
-    without any database, or one whose database can't be read, is a row with a reason."""
+    without any database, or one whose database or a layer can't be read, has a row with a reason."""
     files = write_table(databases(blobs), "image-files")
     system = files.filter("kind = 'os-release'").select("image_id", os_ecosystem().alias("os")).select("image_id", "os.*").dropDuplicates(["image_id"])
     logs = files.filter("kind = 'wal' and length(content) > 0").select("image_id").distinct().withColumn("logged", F.lit(True))
@@ -188,8 +206,8 @@ def catalog(blobs: DataFrame) -> DataFrame:
         try:
             data = row["content"] or b""
             found = _READERS[row["kind"]](data if row["kind"].startswith("rpm") else data.decode("utf-8", "replace"))
-        except (V.Unreadable, ValueError, IndexError) as e:
-            yield (*head, f"{type(e).__name__}: {e}", *blank)
+        except V.READ_ERRORS as e:
+            yield (*head, V.why(e), *blank)
             return
         for p in found:
             yield (*head, p.reason, *blank) if isinstance(p, V.Note) else (*head, None, *(getattr(p, f) for f in fields))
@@ -199,7 +217,8 @@ def catalog(blobs: DataFrame) -> DataFrame:
     none = blobs.select("image_id").distinct().join(rows.filter("name is not null").select("image_id").distinct(), "image_id", "left_anti").join(system, "image_id", "left")
     why = F.when(F.col("id").isin(*RPM_FAMILIES), F.format_string("it calls itself %s, but has no rpm database", "id")).otherwise("no package database")
     nothing = none.select("image_id", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("path"), F.lit("image").alias("kind"), why.alias("reason"), *(F.lit(None).cast("string").alias(f) for f in fields))
-    return rows.unionByName(nothing)
+    lost = files.filter("kind = 'broken'").select("image_id", "digest", F.lit(None).cast("string").alias("path"), F.lit("layer").alias("kind"), F.col("content").cast("string").alias("reason"), *(F.lit(None).cast("string").alias(f) for f in fields))
+    return rows.unionByName(nothing).unionByName(lost)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ import json
 import re
 import sqlite3
 import struct
+import tarfile
 import tomllib
 import zipfile
 import zlib
@@ -53,10 +54,19 @@ class Unreadable(ValueError):
     """The file isn't what its name says, with the reason."""
 
 
+#: What readers raise on files that are damaged, encrypted, packed in unknown ways, nested without end or made to do
+#: harm. RuntimeError holds unknown methods and endless recursion, ValueError what isn't text, JSON or a number.
+READ_ERRORS = (ValueError, ArithmeticError, AttributeError, TypeError, LookupError, RuntimeError, EOFError, MemoryError, OSError, struct.error, zlib.error, zipfile.BadZipFile, tarfile.TarError, sqlite3.Error)
+
+
+def why(e: BaseException) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
 def _json(text: str) -> dict:
     try:
         data = json.loads(text)
-    except ValueError as e:
+    except (ValueError, RecursionError) as e:
         raise Unreadable(f"not JSON: {e}") from None
     if not isinstance(data, dict):
         raise Unreadable("not a JSON object")
@@ -465,7 +475,7 @@ def jar(data: bytes, depth: int = 0) -> list[Package | Note]:
     be read and archives without a pom.properties are noted."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile:
+    except READ_ERRORS:
         raise Unreadable("not an archive") from None
     out = []
     for e in sorted(archive.infolist(), key=lambda e: e.filename):
@@ -474,7 +484,12 @@ def jar(data: bytes, depth: int = 0) -> list[Package | Note]:
             out.append(Note(f"{e.filename}: larger than {MAX_ENTRY_BYTES} bytes"))
             continue
         if re.fullmatch(r"META-INF/maven/.+/pom\.properties", e.filename):
-            f = dict(line.split("=", 1) for line in archive.read(e).decode("utf-8", "replace").splitlines() if "=" in line and line[0] != "#")
+            try:
+                text = archive.read(e).decode("utf-8", "replace")
+            except READ_ERRORS as x:
+                out.append(Note(f"{e.filename}: {why(x)}"))
+                continue
+            f = dict(line.split("=", 1) for line in text.splitlines() if "=" in line and line[0] != "#")
             if f.get("groupId") and f.get("artifactId") and f.get("version"):
                 out.append(Package("Maven", f"{f['groupId'].strip()}:{f['artifactId'].strip()}", f["version"].strip()))
         elif nested and depth >= MAX_ARCHIVE_DEPTH:
@@ -482,7 +497,7 @@ def jar(data: bytes, depth: int = 0) -> list[Package | Note]:
         elif nested:
             try:
                 out.extend(jar(archive.read(e), depth + 1))
-            except (Unreadable, zipfile.BadZipFile, RuntimeError) as x:
+            except READ_ERRORS as x:
                 out.append(Note(f"{e.filename}: {x}"))
     if depth and not out:
         out.append(Note("an archive without a pom.properties"))
@@ -497,7 +512,7 @@ def looks_like_jar(name: str, data: bytes) -> bool:
         return True
     try:
         return any(n.startswith("META-INF/") for n in zipfile.ZipFile(io.BytesIO(data)).namelist())
-    except zipfile.BadZipFile:
+    except READ_ERRORS:
         return False
 
 
@@ -509,7 +524,7 @@ def sniff(name: str, data: bytes) -> str | None:
         return "jar"
     try:
         keys = json.loads(data)
-    except (ValueError, UnicodeDecodeError):
+    except (ValueError, RecursionError):
         return None
     if isinstance(keys, dict):
         return "cyclonedx" if "bomFormat" in keys else "spdx" if "spdxVersion" in keys else None
@@ -577,8 +592,8 @@ def parse_file(path: str, content: bytes) -> Iterator[tuple]:
         if re.fullmatch(pattern, base):
             try:
                 found = parser(content if binary else content.decode("utf-8-sig"))
-            except (Unreadable, UnicodeDecodeError, AttributeError, TypeError, KeyError, struct.error, zipfile.BadZipFile) as e:
-                yield (path, kind, f"{type(e).__name__}: {e}", *blank)
+            except READ_ERRORS as e:
+                yield (path, kind, why(e), *blank)
                 return
             for p in found:
                 yield (path, kind, p.reason, *blank) if isinstance(p, Note) else (path, kind, None, *(getattr(p, f) for f in FIELDS))

@@ -165,3 +165,19 @@ def test_classify(spark):
     rows = [("dir:/x", False, None), ("/folder", True, None), ("nginx:1", False, None), ("prog", False, b"..\xff Go buildinf:.."), ("a.bin", False, jar.getvalue()), ("s.json", False, b'{"bomFormat": "CycloneDX"}'), ("t.json", False, b'{"spdxVersion": "2.3"}'), ("u", False, b"?"), ("sbom:x", False, None), ("oci-dir:/i", False, None)]
     got = {r.target: (r.kind, r.path) for r in V.classify(spark.createDataFrame(rows, "target string, is_directory boolean, content binary")).collect()}
     assert got == {"dir:/x": ("directory", "/x"), "/folder": ("directory", "/folder"), "nginx:1": ("image", "nginx:1"), "prog": ("gobinary", "prog"), "a.bin": ("jar", "a.bin"), "s.json": ("sbom", "s.json"), "t.json": ("sbom", "t.json"), "u": (None, "u"), "sbom:x": ("sbom", "x"), "oci-dir:/i": ("image", "oci-dir:/i")}
+
+
+def test_broken_layers_and_archives_are_rows_with_a_reason(spark):
+    """One broken layer doesn't fail the others' images, and its own never looks clean."""
+    good = layer(("etc/os-release", "ID=alpine\nVERSION_ID=3.19.1\n"), ("lib/apk/db/installed", "P:musl\nV:1.2-r0\n\n"))
+    packed = gzip.compress(good)
+    rows = [("a", 0, "d", good), ("b", 0, "d", good), ("b", 1, "e", b"no archive"), ("c", 0, "d", packed[: len(packed) // 2]), ("d", 0, "why", None)]
+    blobs = spark.createDataFrame([(i, n, d, c if c is None else bytearray(c)) for i, n, d, c in rows], "image_id string, layer int, digest string, content binary")
+    got = {}
+    for r in G.catalog(blobs).collect():
+        got.setdefault(r.image_id, []).append((r.name, r.kind, r.reason))
+    assert got["a"] == [("musl", "apk", None)]
+    assert {k for _, k, _ in got["b"]} == {"apk", "layer"} and any(n == "musl" for n, _, _ in got["b"])
+    assert any(k == "layer" and why for _, k, why in got["c"]) and ("layer", "why") in {(k, why) for _, k, why in got["d"]}
+    archives = spark.createDataFrame([("x", bytearray(b"junk")), ("y", bytearray(layer(("manifest.json", "[" * 100_000))))], "image_id string, content binary")
+    assert {(r.image_id, r.layer, r.content, bool(r.digest)) for r in G.archive_layers(archives).collect()} == {("x", 0, None, True), ("y", 0, None, True)}

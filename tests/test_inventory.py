@@ -100,3 +100,36 @@ def test_reader(spark, tmp_path):
         (tmp_path / name).write_text(body)
     got = {(r.kind, r.ecosystem, r.name, r.version, r.reason is None) for r in I.read_inventory(spark, str(tmp_path)).collect()}
     assert got == {("gomod", "Go", "a", "v1.0.0", True), ("yarn", None, None, None, False), ("requirements", "PyPI", "a", "1", True), ("pnpm", None, None, None, False)}
+
+
+def _zip(damage=None, encrypted=False, method=None):
+    """A jar with one pom.properties; its headers or data are then changed."""
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("META-INF/maven/g/a/pom.properties", "groupId=g\nartifactId=a\nversion=1\n" * 50)
+    data = bytearray(buf.getvalue())
+    for at, flag, kind in ((0, 6, 8), (data.index(b"PK\x01\x02"), 8, 10)):
+        if encrypted:
+            data[at + flag] |= 1
+        if method is not None:
+            data[at + kind : at + kind + 2] = method.to_bytes(2, "little")
+    if damage is not None:
+        at = data.index(b"pom.properties") + len(b"pom.properties")
+        data[at : at + 8] = damage
+    return bytes(data)
+
+
+HOSTILE = {
+    "encrypted.jar": _zip(encrypted=True), "unknown.jar": _zip(method=77), "damaged.jar": _zip(damage=b"\xff" * 8), "cut.jar": _zip()[:-30], "none.jar": b"PK\x03\x04",
+    "package-lock.json": b"[" * 200_000, "bom.json": b'{"a":' * 200_000, "x.spdx.json": b"\xff\xfe", "poetry.lock": b"a = " + b"[" * 50_000, "uv.lock": b"\x00", "Cargo.lock": b"package = 3", "composer.lock": b'{"packages": 7}',
+    "packages.lock.json": b'{"dependencies": [1]}', "Pipfile.lock": b"null", "rpmdb.sqlite": b"SQLite format 3\0" + b"\xff" * 4000, "Packages": b"\x00" * 600, "Packages.db": b"RpmP" + b"\xff" * 5000, "go.mod": b"require (\n", "yarn.lock": b"\"a@1\":\n  version",
+}
+
+
+def test_hostile_files_are_rows_with_a_reason(spark):
+    files = spark.createDataFrame([("/x/" + n, bytearray(b)) for n, b in HOSTILE.items()], "path string, content binary")
+    got = {}
+    for r in I.parse_files(files).collect():
+        got.setdefault(r.path[3:], []).append(r.reason)
+    assert set(got) == set(HOSTILE) and all(any(reasons) for reasons in got.values()), got
+    assert I.sniff("a", b'{"a":' * 200_000) is None and not I.looks_like_jar("a", b"PK\x03\x04zz")

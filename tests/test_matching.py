@@ -1,7 +1,9 @@
 """The matcher's rules, one by one."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from patchweave.operators import findings as X
 from patchweave.operators import matching as M
 
 INV = "package_id long, ecosystem string, name string, version string, source_name string, source_version string, module_stream string"
@@ -98,3 +100,34 @@ def test_groups_do_not_depend_on_order(spark, order):
     got = {(r.package_id, r.advisory_id): (r.group_no, r.winner) for r in M.group_advisories(df).collect()}
     assert len({got[1, k][0] for k in ("GHSA-1", "PYSEC-2", "OSV-3")}) == 1 and got[1, "OSV-4"][0] != got[1, "OSV-3"][0]
     assert [k for k, v in got.items() if v[1]] and {k for k, v in got.items() if v[1]} == {(1, "OSV-3"), (1, "OSV-4"), (2, "A-1")}
+
+
+RATINGS = "cve string, source string, severity array<struct<type:string,score:string>>, epss double, epss_model string, kev boolean"
+
+
+def test_ratings_of_several_sources(spark):
+    word = lambda w: [("VENDOR_WORD", w)]
+    ratings = spark.createDataFrame(
+        [("CVE-1", "NVD", word("High"), None, None, None), ("CVE-1", "EPSS", [], 0.5, "v", None), ("CVE-1", "old", [], 0.9, "", None), ("CVE-2", "KEV", [], None, None, True), ("CVE-2", "RH", word("Low"), None, None, False), ("CVE-3", "RH", word("Critical"), None, None, False)], RATINGS
+    )
+    own = "array<struct<database:string,advisory_id:string,band:string,score:double,epss:double,epss_model:string,kev:boolean,no_opinion:boolean>>"
+    rows = [(1, ["GHSA-1", "CVE-1"], 5.0), (2, ["CVE-1", "CVE-2", "CVE-1"], None), (3, ["CVE-9"], 4.0), (4, None, None), (5, ["CVE-3", "CVE-9"], 9.9)]
+    f = spark.createDataFrame(rows, "finding_id long, identifiers array<string>, score double")
+    got = {r.finding_id: r for r in X.join_ratings(f, ratings).collect()}
+    assert [(got[i].score, got[i].band, got[i].max_epss, got[i].kev, got[i].n_ratings, got[i].disagree) for i in range(1, 6)] == [
+        (7.0, "high", 0.5, False, 3, False), (7.0, "high", 0.5, True, 5, True), (4.0, "medium", None, False, 0, False), (None, "unknown", None, False, 0, False), (9.9, "critical", None, False, 1, False)]
+    assert [r.database for r in got[2].ratings] == ["EPSS", "NVD", "old", "KEV", "RH"] or [r.database for r in got[2].ratings] == sorted(r.database for r in got[2].ratings)
+    mine = f.filter("finding_id = 3").withColumn("ratings", F.array(F.struct(F.lit("RH").alias("database"), F.lit("A").alias("advisory_id"), F.lit("high").alias("band"), F.lit(8.0).alias("score"), F.lit(None).cast("string").alias("fixed"), F.lit(None).cast("string").alias("fix_state"), F.lit(False).alias("no_opinion"), F.lit(0.1).alias("epss"), F.lit(0.1).alias("epss_percentile"), F.lit("v").alias("epss_model"), F.lit(True).alias("kev"), F.lit(None).cast("date").alias("kev_date_added"), F.lit(None).cast("boolean").alias("kev_ransomware"), F.lit("u").alias("url"))))
+    r = X.join_ratings(mine, ratings).first()
+    assert (r.score, r.max_epss, r.kev, r.n_ratings, r.disagree, len(r.ratings)) == (8.0, 0.1, True, 1, False, 1) and own
+
+
+def test_a_cve_with_very_many_ratings(spark):
+    """The fold comes before the join: no list of ratings reaches the findings that don't ask for it."""
+    n = spark.range(100_000)
+    ratings = n.select(F.lit("CVE-1").alias("cve"), F.col("id").cast("string").alias("source"), F.array(F.struct(F.lit("VENDOR_WORD").alias("type"), F.when(F.col("id") % 2 == 0, "Low").otherwise("High").alias("score"))).alias("severity"))
+    f = spark.range(50_000).select(F.col("id").alias("finding_id"), F.array(F.lit("CVE-1")).alias("identifiers"), F.lit(1.0).alias("score"))
+    out = X.join_ratings(f, ratings).select("finding_id", "score", "disagree", "n_ratings")
+    assert out.agg(F.count("*"), F.min("score"), F.min("n_ratings"), F.bool_and("disagree")).first() == (50_000, 7.0, 100_000, True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(rating" not in plan and "collect_list(rs" not in plan

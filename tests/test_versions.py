@@ -68,3 +68,38 @@ def test_order(spark, comparer):
 def test_composer_branches():
     assert V.composer_key("dev-main") == V.composer_key("DEV-main") == "dev-main"
     assert V.composer_key("master") == "dev-master"
+
+
+LONG = {
+    "semver": ["1." * 500_000 + "0", "1.0.0-" + "a." * 499_000 + "a"],
+    "pep440": ["1" + ".1" * 499_000, "1.0+" + "a." * 499_000 + "b"],
+    "apk": ["1" + ".1" * 499_000, "1" + "_p" * 499_000, "1.0" + ".0" * 499_000 + "_"],
+    "deb": ["1" + ".1" * 499_000, "1" + "-1" * 499_000, "1" + "a1" * 499_000],
+    "rpm": ["1" + ".1" * 499_000, "1" + "-1" * 499_000, "1" + "~" * 999_000],
+    "nuget": ["1.0.0-" + "a." * 499_000 + "a", "1.0.0+" + "a." * 499_000 + "a", "1.0.0-" + "1." * 499_000],
+    "maven": ["1" + ".1" * 499_000, "1" + ".0" * 499_000, "1" + ".0" * 499_000 + ".1", "1" + "-a1" * 300_000],
+    "gem": ["1" + ".0" * 499_000 + ".a", "1" + "-" * 999_000],
+    "composer": ["1.0-beta" + "1" * 999_000 + "~", "1.0-beta" + ".1" * 499_000],
+}
+
+
+@pytest.mark.parametrize("comparer", sorted(LONG))
+def test_versions_of_a_million_characters(spark, comparer):
+    """A key or null, in little time and without deep recursion."""
+    for text in LONG[comparer]:
+        if comparer in V.PYTHON:
+            V.PYTHON[comparer](text)
+        else:
+            spark.createDataFrame([(text,)], "v string").select(V.key(comparer, "v").alias("k")).collect()
+    if comparer == "maven":
+        deep = "1" + "-1" * 300_000
+        assert V.maven_compare(deep, deep + "-1") == -1 and V.maven_compare(deep, deep) == 0 and V.maven_compare("1", deep) == -1
+        assert V.maven_compare("1" + "-0" * 100_000, "1") == 0
+
+
+def test_trailing_zeros_and_capital_words(spark):
+    rows = ["1.0.100.0.00", "1.0.100", "1.0.10", "0.0", "0", "10.0", "1.0.0.1"]
+    keys = {r.v: r.k for r in spark.createDataFrame([(r,) for r in rows], "v string").select("v", V.key("maven", "v").alias("k")).collect()}
+    assert keys["1.0.100.0.00"] == keys["1.0.100"] > keys["1.0.10"] > keys["1.0.0.1"] > keys["0"] == keys["0.0"] and keys["10.0"] > keys["1.0.100"]
+    below = V.composer_key("1.0.0-STABLE")
+    assert below < V.composer_key("1.0.0-dev") < V.composer_key("1.0.0-stable") == V.composer_key("1.0.0")
