@@ -38,6 +38,9 @@ from patchweave.llm.common import WORD, documents, write_table
 BLOCK_WORDS = 1_024
 MAX_EPOCHS = 3
 SHARD_WORDS = 20_000_000
+#: Output shards at least, whatever the size (with fewer slots, as many as there are), so that shards can be read apart
+#: and each one is a draw.
+LEAST_SHARDS = 64
 BUCKET_BLOCKS = 4_096
 #: Slots of a shard that mixed_rows() puts into one partition.
 PART_SLOTS = 4_096
@@ -189,7 +192,7 @@ def _plan(docs: DataFrame, weights: tuple[float, ...], shard_words: int, seed: i
         taken = write_table(_permuted_together(taken, seed), "op2-strata")
     quotas = {r.stratum: r.n for r in taken.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MAX_SOURCES
     total = sum(quotas.values())
-    shards = max(1, min(total or 1, round(int(goal_words) / shard_words)))
+    shards = max(1, min(total, max(LEAST_SHARDS, round(int(goal_words) / shard_words))))
     slots = _to_shards(taken, side, np.array([quotas.get(i, 0) for i in range(-(-n_sources // width))], np.int64), shards, seed)
     return _with_targets(sized, side), slots, shards, total // shards + 1
 

@@ -189,6 +189,25 @@ def test_more_sources_than_the_cap(spark, monkeypatch):
     assert sorted(places) == [(s, p) for s in sorted({p[0] for p in places}) for p in range(sum(1 for q in places if q[0] == s))]
 
 
+def test_mixing_draws_at_the_given_scale(spark):
+    """With the production parameters: shards of nearly equal size, whose sources are near their shares, as drawn."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    _, slots = mixing.plan(docs)
+    got = slots.groupBy("shard", "source").count().collect()
+    per, of = Counter(), Counter()
+    for r in got:
+        per[r.shard] += r["count"]
+        of[r.source] += r["count"]
+    assert len(per) == mixing.LEAST_SHARDS and max(per.values()) - min(per.values()) <= 1
+    n, most = sum(per.values()), max(of, key=of.get)
+    drawn = [r["count"] for r in got if r.source == most]
+    spread, share = np.var(drawn), of[most] / n
+    k = n / len(per)
+    assert 0.4 < spread / (k * share * (1 - share)) < 2.5  # a hypergeometric draw's, not an even deal's
+    shards = [r.n_shards for r in mixing.report(docs).collect()]
+    assert max(shards) > 1
+
+
 def test_mixing_tells_texts_apart_that_share_id_and_size(spark):
     texts = ["one two three", "four five six", "seven eight nine", "one two three", "b c", "d e"]
     docs = documents(spark, [(None if len(t) > 3 else 4, t, "a") for t in texts])
