@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,8 +139,9 @@ class _Chunk:
 
     def add(self, key, key2, doc: int, pos) -> Iterator[pa.RecordBatch]:
         if len(pos):
-            self.parts.append((key, key2, np.full(len(pos), doc, np.int64), pos.astype(np.int32)))
-            self.held += len(pos)
+            once = np.unique(key, return_index=True)[1]  # what repeats within the document is settled by its hash
+            self.parts.append((key[once], key2[once], np.full(len(once), doc, np.int64), pos[once].astype(np.int32)))
+            self.held += len(once)
         if self.held >= MAX_ROWS:
             yield from self.flush()
 
@@ -225,14 +227,22 @@ def _stretch(key: np.ndarray, pos: int, span: int) -> int:
     return int(key[pos : pos + span].view(np.int64)[0]) if span == 1 else int(np.uint64(xxhash.xxh3_64_intdigest(key[pos : pos + span].tobytes())).view(np.int64))
 
 
-def _links(x: list[dict], h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(pos, span, m, mpos) of links that are this text's, sorted: their hash is found where they say. So rows that
-    share a doc_id don't take each other's."""
-    key = rolling(h, length, BASES[0])
-    own = [y for y in x if y["pos"] + y["span"] <= len(key) and _stretch(key, y["pos"], y["span"]) == y["key"]]
-    own.sort(key=lambda y: (y["pos"], y["span"]))
-    cols = ((y["pos"], y["span"], 0 if y["m"] is None else y["m"], -1 if y["mpos"] is None else y["mpos"]) for y in own)
-    return tuple(np.array(list(cols), np.int64).reshape(-1, 4).T)
+def _each(links: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
+    """The links of each document as arrays; mpos is -1 where a link leads nowhere."""
+    flat, at = links.values, links.offsets.to_numpy()
+    cols = {n: pc.fill_null(flat.field(n), -1 if n == "mpos" else 0).to_numpy(zero_copy_only=False) for n in ("pos", "span", "key", "m", "mpos")}
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield {n: c[a:b] for n, c in cols.items()}
+
+
+def _shared(x: dict[str, np.ndarray], pos: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pos, m, mpos) of the anchors, given by position and hash, that links name. A link stands for all anchors of its
+    hash, and leads somewhere for the one that it was made of; so rows that share a doc_id don't take each other's."""
+    known, first = np.unique(x["key"], return_index=True)
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    mine = known[at] == key
+    pos, of = pos[mine], first[at[mine]]
+    return pos, x["m"][of], np.where(x["pos"][of] == pos, x["mpos"][of], -1)
 
 
 def _windows(cover: Cover):
@@ -242,13 +252,14 @@ def _windows(cover: Cover):
         hashes, chunk = _Hashes(), _Chunk()
         for b in batches:
             ids, texts, links = _columns(b, "doc_id", "text", "links")
-            for i, t, x in zip(ids.to_pylist(), texts, links, strict=True):
+            for i, t, x in zip(ids.to_pylist(), texts, _each(links), strict=True):
                 h = hashes.of(words(t.as_py()))
-                pos, _, m, mpos = _links(x.as_py(), h, cover.anchor)
-                if not len(pos) or len(h) < cover.window:
+                if len(h) < cover.window:
+                    continue
+                p = cover.positions(len(h))
+                pos, m, mpos = _shared(x, p, rolling(h, cover.anchor, BASES[0])[p].view(np.int64))
+                if not len(pos):
                     continue
-                once = np.r_[True, pos[1:] != pos[:-1]]  # rows that share a doc_id and a passage
-                pos, m, mpos = pos[once], m[once], mpos[once]
                 at, linked = cover.order(pos), mpos >= 0
                 goes_on = (at[1:] == at[:-1] + 1) & linked[1:] & linked[:-1] & (m[1:] == m[:-1]) & (mpos[1:] - pos[1:] == mpos[:-1] - pos[:-1])
                 start = np.flatnonzero(np.r_[True, ~goes_on])
@@ -286,15 +297,21 @@ def _strip(cover: Cover):
             ids, texts = _columns(b, "doc_id", "text")
             links = _columns(b, "links")[0] if "links" in b.schema.names else None
             count, gone, kept = [], [], []
-            for j, t in enumerate(texts):
-                w = words(t.as_py())
+            each = iter(()) if links is None else _each(links)
+            for t in texts:
+                w, x = words(t.as_py()), next(each, None)
                 count.append(len(w))
                 gone.append(0)
-                if links is not None:
-                    pos, span, _, _ = _links(links[j].as_py(), hashes.of(w), cover.window)
+                if x is not None and len(w) >= cover.window:
+                    key = rolling(hashes.of(w), cover.window, BASES[0])
                     edge = np.zeros(len(w) + 1, np.int64)
-                    np.add.at(edge, pos, 1)
-                    np.add.at(edge, pos + span - 1 + cover.window, -1)
+                    pos = np.flatnonzero(np.isin(key.view(np.int64), x["key"][x["span"] == 1]))
+                    edge[pos] += 1
+                    edge[pos + cover.window] -= 1
+                    for a, n, k in zip(*(x[c][x["span"] > 1].tolist() for c in ("pos", "span", "key")), strict=True):
+                        if a + n <= len(key) and _stretch(key, a, n) == k:
+                            edge[a] += 1
+                            edge[a + n - 1 + cover.window] -= 1
                     stays = np.cumsum(edge[:-1]) == 0
                     gone[-1] = len(w) - int(stays.sum())
                     w = [w[k] for k in np.flatnonzero(stays)]
