@@ -3,8 +3,10 @@
 inventory: package_id, ecosystem, name, version, source_name, source_version, module_stream (all but the first string).
 affected: database, advisory_id, aff_ord, ecosystem, name, ranges, versions, module_stream, an entry per row.
 
-Everything is one equi-join on (ecosystem, normalised name) and expressions; AQE splits hot names. Outcomes are data:
-a hit, a miss or an error with its cause, so that what could not be checked never looks clean.
+Packages and ranges meet in a sweep over key ranges (operators/sweep.py), listed versions in an equi-join on keys, and
+ranges that can't be read in one on names, as they concern every version; what needs both sides at once (versions
+without a key, module streams, branches) is compared pair by pair. Outcomes are data: a hit, a miss or an error with
+its cause, so that what could not be checked never looks clean.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from patchweave.functions import names as N
 from patchweave.functions import versions as V
 from patchweave.operators import ranges as R
 from patchweave.operators.components import components
+from patchweave.operators.sweep import interval_join
 from patchweave.tables import write_table
 
 RANGES = f"array<struct<type:string,events:{R.EVENTS},fix_state:string>>"
@@ -76,16 +79,19 @@ _TAIL = r"\.module[+_]el"
 
 
 def _keys(rows: DataFrame, versions: str) -> DataFrame:
-    """rows with __k: the keys of a column of version arrays by the ordering that the column comparer names."""
-    by_python = F.col("comparer").isin(*V.PYTHON)
-    return rows.withColumn("__k", F.when(by_python, V.python_keys("comparer", F.when(by_python, F.col(versions)))).otherwise(R.native_keys(None, versions)))
+    """rows with __k: the keys of a column of version arrays by the ordering that the column comparer names. Only rows
+    of the orderings that need it go through Python."""
+    by_python = F.coalesce(F.col("comparer").isin(*V.PYTHON), F.lit(False))
+    native = rows.filter(~by_python).withColumn("__k", R.native_keys(None, versions))
+    return native.unionByName(rows.filter(by_python).withColumn("__k", V.python_keys("comparer", versions)))
 
 
 def _keyed_names(inventory: DataFrame) -> DataFrame:
     """A row per package and lookup name, with the key of its version, whole (vk) and without a module's tail (ck)."""
-    rows = lookup_names(inventory).withColumn("comparer", V.comparer_of("ecosystem")).withColumn("__v", F.array("compared", cut_module(F.col("compared"))))
+    own = F.col("compared")
+    rows = lookup_names(inventory).withColumn("comparer", V.comparer_of("ecosystem")).withColumn("__v", F.when(own.rlike(_TAIL), F.array(own, cut_module(own))).otherwise(F.array(own)))
     keyed = _keys(rows, "__v")
-    return keyed.select("package_id", "ecosystem", "norm_name", "name_ord", "compared", "module_stream", F.get("__k", F.lit(0)).alias("vk"), F.get("__k", F.lit(1)).alias("ck"))
+    return keyed.select("package_id", "ecosystem", "norm_name", "name_ord", "compared", "module_stream", F.get("__k", F.lit(0)).alias("vk"), F.get("__k", F.size("__v") - 1).alias("ck"))
 
 
 def _keyed_ranges(affected: DataFrame) -> DataFrame:
@@ -111,14 +117,71 @@ def _keyed_ranges(affected: DataFrame) -> DataFrame:
     keyed = keyed.withColumns({"ready": R.prepared("events", "__ek"), "ready_cut": R.prepared("events", "__ekc"), "keyless": F.exists("__k", lambda k: k.isNull())})
     # What needs more than a look at intervals: unreadable or missing bounds, and branches, which have no order.
     odd = F.col("keyless") | F.expr("not exists(ready, e -> e.rank < 2)") | F.exists("__k", lambda k: k.startswith(V.BRANCH))
-    keyed = keyed.withColumns({"spans": R.intervals("ready"), "spans_cut": R.intervals("ready_cut"), "odd": (F.col("range_ord") != LISTED) & F.coalesce(odd, F.lit(True))})
-    return keyed.select("ecosystem", "norm_name", "comparer", "database", "advisory_id", "aff_ord", "entry_stream", "tagged", "range_ord", "range_type", "fix_state", "events", "versions", "ready", "ready_cut", "spans", "spans_cut", "odd", "lk", "lkc", "keyless")
+    # What can't be read at all is an error for every version; a bound of Maven's can be, with or without a key.
+    bad = F.expr("get(transform(filter(ready, e -> e.rank = 1 and e.key is null), e -> e.bound), 0)")
+    empty = F.when(F.expr("not exists(ready, e -> e.rank < 2)"), R.NO_EVENTS)
+    dead = F.when((F.col("range_ord") != LISTED) & (F.coalesce("range_type", F.lit("")) != "GIT"), F.coalesce(empty, F.when((F.col("comparer") != "maven") & bad.isNotNull(), F.format_string(R.BAD_BOUND, bad))))
+    keyed = keyed.withColumns({"spans": R.intervals("ready"), "spans_cut": R.intervals("ready_cut"), "odd": (F.col("range_ord") != LISTED) & F.coalesce(odd, F.lit(True)), "dead": dead})
+    return keyed.select("ecosystem", "norm_name", "comparer", "database", "advisory_id", "aff_ord", "entry_stream", "tagged", "range_ord", "range_type", "fix_state", "events", "versions", "ready", "ready_cut", "spans", "spans_cut", "odd", "dead", "lk", "lkc", "keyless")
 
 
 def candidates(inventory: DataFrame, affected: DataFrame) -> DataFrame:
     """Packages with the ranges and lists of the entries that bear their names, keys included. Keys are worked out once
     per package and once per entry, on either side of the join."""
-    return _keyed_names(inventory).join(_keyed_ranges(affected), ["ecosystem", "norm_name"])
+    return _keyed_names(inventory).join(_keyed_ranges(affected), _NAME)
+
+
+_NAME = ["ecosystem", "norm_name"]
+_FOUND = ["package_id", "database", "advisory_id", "name_ord", "aff_ord", "range_ord", "fix_state", "outcome"]
+_EVIDENCE = ("introduced", "fixed", "last_affected")
+
+
+def _nulls(*names: str) -> list[Column]:
+    return [F.lit(None).cast("string").alias(n) for n in names]
+
+
+def _error(cause: str, reason: Column) -> Column:
+    return F.struct(F.lit("error").alias("kind"), F.lit(cause).alias("cause"), *_nulls(*_EVIDENCE), reason.alias("reason"))
+
+
+def _listed_hit(compared: str) -> Column:
+    return F.struct(F.lit("hit").alias("kind"), *_nulls("cause", *_EVIDENCE), F.format_string("%s is listed as affected", compared).alias("reason"))
+
+
+def found(inventory: DataFrame, affected: DataFrame) -> DataFrame:
+    """What outcomes() gives for all candidates(), without making them: a row per range that isn't a miss."""
+    return found_keyed(write_table(_keyed_names(inventory), "match-names"), write_table(_keyed_ranges(affected), "match-ranges"))
+
+
+def found_keyed(names: DataFrame, ranges: DataFrame) -> DataFrame:
+    """found() for written tables of _keyed_names() and _keyed_ranges()."""
+    no_stream = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    sound = F.coalesce(~F.col("vk").startswith(V.BRANCH), F.lit(False)) & no_stream("module_stream")
+    plain, special = names.filter(sound), names.filter(~sound)
+    free = no_stream("entry_stream") & ~F.col("tagged")
+    listed = F.col("range_ord") == LISTED
+    in_sweep = free & ~listed & ~F.col("odd") & (F.coalesce("range_type", F.lit("")) != "GIT")
+    in_lists = free & listed & ~F.coalesce("keyless", F.lit(True))
+    dead = free & F.col("dead").isNotNull()
+
+    # Ranges: swept.
+    by = F.concat_ws("\0", *_NAME).alias("by")
+    points = plain.select("package_id", "name_ord", "compared", by, F.col("vk").alias("key"))
+    spans = ranges.filter(in_sweep).select("database", "advisory_id", "aff_ord", "range_ord", "fix_state", by, F.explode("spans").alias("x"))
+    spans = spans.select("*", *(f"x.{c}" for c in ("low", "high", "closed", *_EVIDENCE))).drop("x")
+    held = interval_join(points, spans, "by", written=True)
+    hit = F.struct(F.lit("hit").alias("kind"), *_nulls("cause"), *_EVIDENCE, R.hit_reason("compared", "introduced", "fixed", "last_affected").alias("reason"))
+    swept = held.withColumn("outcome", hit).select(_FOUND)
+    # Lists: equal keys.
+    lists = ranges.filter(in_lists).select(*_NAME, "database", "advisory_id", "aff_ord", "range_ord", "fix_state", F.explode(F.array_distinct("lk")).alias("vk"))
+    equal = plain.join(lists, [*_NAME, "vk"]).withColumn("outcome", _listed_hit("compared")).select(_FOUND)
+    # What can't be read: all packages of the name that no stream sets apart.
+    broken = ranges.filter(dead).select(*_NAME, "database", "advisory_id", "aff_ord", "range_ord", "fix_state", "dead")
+    unread = names.filter(no_stream("module_stream")).join(broken, _NAME).withColumn("outcome", _error("advisory", F.col("dead"))).select(_FOUND)
+    # The rest, pair by pair.
+    left = ranges.filter(~(in_sweep | in_lists | dead))
+    pairs = plain.join(left, _NAME).unionByName(special.join(ranges.filter(~dead), _NAME)).unionByName(special.filter(~no_stream("module_stream")).join(ranges.filter(dead), _NAME))
+    return swept.unionByName(equal).unionByName(unread).unionByName(outcomes(pairs).select(_FOUND))
 
 
 def outcomes(pairs: DataFrame) -> DataFrame:
@@ -138,22 +201,19 @@ def outcomes(pairs: DataFrame) -> DataFrame:
     # Maven's plain versions have keys; what has any other is compared pairwise.
     pairwise = (F.col("comparer") == "maven") & (F.col("keyless") | F.col("__vk").isNull())
     maven, keyed = rows.filter(pairwise), rows.filter(~pairwise)
-    nulls = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
-    bounds_none = ("introduced", "fixed", "last_affected")
-    error = lambda cause, reason: F.struct(F.lit("error").alias("kind"), F.lit(cause).alias("cause"), *nulls(*bounds_none), reason.alias("reason"))
-    unread = error("target", F.format_string("the version %s could not be read", "compared"))
+    unread = _error("target", F.format_string("the version %s could not be read", "compared"))
     # Of the listed versions those that can't be read are left out and counted, unless one that can is the hit.
     unreadable = F.expr("size(filter(__lk, k -> k is null))")
-    some_unread = error("advisory", F.format_string("%d of %d listed versions could not be read", unreadable, F.size("__lk")))
-    listed_hit = F.struct(F.lit("hit").alias("kind"), *nulls("cause", *bounds_none), F.format_string("%s is listed as affected", "compared").alias("reason"))
-    miss = F.struct(F.lit("miss").alias("kind"), *nulls("cause", *bounds_none, "reason"))
+    some_unread = _error("advisory", F.format_string("%d of %d listed versions could not be read", unreadable, F.size("__lk")))
+    listed_hit = _listed_hit("compared")
+    miss = F.struct(F.lit("miss").alias("kind"), *_nulls("cause", *_EVIDENCE, "reason"))
     in_list = F.when(F.col("__vk").isNull(), unread).when(F.expr("exists(__lk, k -> k = __vk)"), listed_hit).when(unreadable > 0, some_unread).otherwise(miss)
-    keep = ["package_id", "database", "advisory_id", "name_ord", "aff_ord", "range_ord", "fix_state", "outcome", "module"]
+    keep = [*_FOUND, "module"]
     a = R.evaluate(keyed.filter(f"range_ord <> {LISTED}"), "compared_as", range_type="range_type", key="__vk", ready="__ready")
     b = keyed.filter(f"range_ord = {LISTED}").withColumn("outcome", in_list)
     m = maven.filter(f"range_ord <> {LISTED} and range_type <> 'GIT'").withColumn("outcome", R.evaluate_maven("compared_as", "events"))
     out = a.select(keep).unionByName(b.select(keep)).unionByName(m.select(keep)).unionByName(_maven_lists(maven).select(keep))
-    tagged = error("advisory", F.lit("a module build's bound, and the package has no stream"))
+    tagged = _error("advisory", F.lit("a module build's bound, and the package has no stream"))
     return out.withColumn("outcome", F.when(F.col("module") == "error", tagged).otherwise(F.col("outcome"))).drop("module").filter("outcome.kind <> 'miss'")
 
 
@@ -161,7 +221,7 @@ def _maven_lists(rows: DataFrame) -> DataFrame:
     """Listed versions of Maven entries, compared pairwise."""
     one = rows.filter(f"range_ord = {LISTED}").withColumn("__one", F.explode("versions"))
     same = one.filter(V.maven_compare_udf("compared_as", "__one") == 0)
-    hit = F.struct(F.lit("hit").alias("kind"), *(F.lit(None).cast("string").alias(n) for n in ("cause", "introduced", "fixed", "last_affected")), F.format_string("%s is listed as affected", "compared").alias("reason"))
+    hit = _listed_hit("compared")
     return same.drop("__one").dropDuplicates(["package_id", "database", "advisory_id", "name_ord", "aff_ord"]).withColumn("outcome", hit)
 
 
@@ -181,33 +241,30 @@ def scan(inventory: DataFrame, affected: DataFrame, ecosystems: DataFrame) -> tu
     """(found, skipped): first_outcomes() of the packages that can be checked, and the packages that can't, with
     skip_reason. Packages that repeat cost their repeats: give distinct ones."""
     guarded = guard(inventory, ecosystems)
-    found = first_outcomes(outcomes(candidates(guarded.filter("skip_reason is null").drop("skip_reason"), affected)))
-    return found, guarded.filter("skip_reason is not null")
+    return first_outcomes(found(guarded.filter("skip_reason is null").drop("skip_reason"), affected)), guarded.filter("skip_reason is not null")
 
 
 def affected_versions(installed: DataFrame, advisories: DataFrame, comparer: str) -> DataFrame:
     """The hits alone, for one ordering and many packages: installed (name, version, any others) with each advisory
     (advisory_id, name, events) that holds the version, and fixed and last_affected, its evidence.
 
-    Keys are worked out once per version, intervals once per advisory, and the join compares columns in generated code.
-    Versions and bounds of Maven that have no key are compared pairwise, apart."""
-    cols = [F.col(f"i.{c}").alias(c) for c in installed.columns]
-    if comparer in V.PYTHON:
-        kind = F.lit(comparer)
-        inv = installed.withColumn("key", F.get(V.python_keys(kind, F.array("version")), F.lit(0)))
-        adv = advisories.withColumn("keys", V.python_keys(kind, R.bounds("events")))
-    else:
-        inv = installed.withColumn("key", V.key(comparer, "version"))
-        adv = advisories.withColumn("bounds", R.bounds("events")).withColumn("keys", R.native_keys(comparer, "bounds"))
+    Keys are worked out once per version, intervals once per advisory, and they meet in a sweep. Versions and bounds of
+    Maven that have no key are compared pairwise, apart."""
+    key = F.get(V.python_keys(F.lit(comparer), F.array("version")), F.lit(0)) if comparer in V.PYTHON else V.key(comparer, "version")
+    inv = write_table(installed.withColumn("__key", key), "match-installed")
+    adv = advisories.withColumn("bounds", R.bounds("events"))
+    adv = adv.withColumn("keys", V.python_keys(F.lit(comparer), F.col("bounds")) if comparer in V.PYTHON else R.native_keys(comparer, "bounds")).drop("bounds")
     plain = F.forall("keys", lambda k: k.isNotNull())
     keyed = adv.filter(plain) if comparer == "maven" else adv
-    ready = keyed.select("advisory_id", "name", R.prepared("events", "keys").alias("ready")).select("advisory_id", "name", F.explode(R.intervals("ready")).alias("x"))
-    left = (inv.filter("key is not null") if comparer == "maven" else inv).alias("i")
-    hits = left.join(ready.alias("a"), (F.col("i.name") == F.col("a.name")) & R.inside("i.key", "a.x")).select(*cols, "a.advisory_id", "a.x.fixed", "a.x.last_affected")
+    spans = keyed.select("advisory_id", "name", R.prepared("events", "keys").alias("ready")).select("advisory_id", "name", F.explode(R.intervals("ready")).alias("x"))
+    spans = spans.select("advisory_id", "name", "x.low", "x.high", "x.closed", "x.fixed", "x.last_affected")
+    cols = [*installed.columns, "advisory_id", "fixed", "last_affected"]
+    hits = interval_join(inv.filter("__key is not null"), spans, "name", "__key", written=True).select(cols)
     if comparer != "maven":
-        return hits
-    odd, others = inv.filter("key is null"), adv.filter(~plain)
-    pairs = odd.alias("i").join(adv.alias("a"), "name").unionByName(inv.filter("key is not null").alias("i").join(others.alias("a"), "name"))
+        # A version without a key is inside only where no bound has to be compared with it.
+        return hits.unionByName(inv.filter("__key is null").join(spans.filter("low is null and high is null"), "name").select(cols))
+    odd, others = inv.filter("__key is null"), adv.filter(~plain)
+    pairs = odd.join(adv, "name").unionByName(inv.filter("__key is not null").join(others, "name"))
     walked = pairs.select(*installed.columns, "advisory_id", R.evaluate_maven("version", "events").alias("o")).filter("o.kind = 'hit'")
     return hits.unionByName(walked.select(*installed.columns, "advisory_id", "o.fixed", "o.last_affected"))
 

@@ -16,6 +16,8 @@ from patchweave.functions import versions as V
 
 EVENTS = "array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>"
 ANY_EARLIER = "any earlier version"
+NO_EVENTS = "the range has no introduced, fixed or last_affected event"
+BAD_BOUND = "the range bound %s could not be read"
 
 
 _BOUND = "coalesce(nullif(e.introduced, ''), nullif(e.fixed, ''), nullif(e.last_affected, ''))"
@@ -46,6 +48,17 @@ def prepared(events: str, event_keys: str) -> Column:
     return F.expr(_events_sql(f"`{events}`", f"`{event_keys}`"))
 
 
+def hit_reason(version: str, introduced: Column | str, fixed: Column | str, last_affected: Column | str) -> Column:
+    """Why a version is affected, in words."""
+    bound, fix, last = (F.col(c) if isinstance(c, str) else c for c in (introduced, fixed, last_affected))
+    low = F.when(bound == "0", ANY_EARLIER).otherwise(bound)
+    return (
+        F.when(fix.isNotNull(), F.format_string("%s is at or above %s and below the fix %s", version, low, fix))
+        .when(last.isNotNull(), F.format_string("%s is at or above %s and at or below %s", version, low, last))
+        .otherwise(F.format_string("%s is at or above %s, with no fixed version recorded", version, low))
+    )
+
+
 def evaluate(rows: DataFrame, version: str, events: str | None = None, comparer: str | None = None, range_type: str | None = None, key: str | None = None, event_keys: str | None = None, ready: str | None = None, out: str = "outcome") -> DataFrame:
     """Adds out: struct(kind 'hit' | 'miss' | 'error', cause, introduced, fixed, last_affected, reason).
 
@@ -73,12 +86,7 @@ def evaluate(rows: DataFrame, version: str, events: str | None = None, comparer:
     none = F.lit(None).cast("string")
     hit = F.col("__last.kind") == "introduced"
     fixed, last = (F.when(F.col("__next.kind") == x, F.col("__next.bound")) for x in ("fixed", "last_affected"))
-    low = F.when(F.col("__last.bound") == "0", ANY_EARLIER).otherwise(F.col("__last.bound"))
-    reason = (
-        F.when(fixed.isNotNull(), F.format_string("%s is at or above %s and below the fix %s", version, low, fixed))
-        .when(last.isNotNull(), F.format_string("%s is at or above %s and at or below %s", version, low, last))
-        .otherwise(F.format_string("%s is at or above %s, with no fixed version recorded", version, low))
-    )
+    reason = hit_reason(version, F.col("__last.bound"), fixed, last)
 
     def outcome(kind: str, cause: Column = none, why: Column = none, **bounds: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), cause.alias("cause"), *(bounds.get(b, none).alias(b) for b in ("introduced", "fixed", "last_affected")), why.alias("reason"))
@@ -86,8 +94,8 @@ def evaluate(rows: DataFrame, version: str, events: str | None = None, comparer:
     empty = F.expr("not exists(__e, e -> e.rank < 2)")
     result = (
         F.when(git, outcome("miss"))
-        .when(empty, outcome("error", F.lit("advisory"), F.lit("the range has no introduced, fixed or last_affected event")))
-        .when(F.col("__bad").isNotNull(), outcome("error", F.lit("advisory"), F.format_string("the range bound %s could not be read", F.col("__bad"))))
+        .when(empty, outcome("error", F.lit("advisory"), F.lit(NO_EVENTS)))
+        .when(F.col("__bad").isNotNull(), outcome("error", F.lit("advisory"), F.format_string(BAD_BOUND, F.col("__bad"))))
         .when(compared | F.coalesce(unordered, F.lit(False)), outcome("error", F.lit("target"), F.format_string("the version %s could not be read", version)))
         .when(hit, outcome("hit", why=reason, introduced=F.col("__last.bound"), fixed=fixed, last_affected=last))
         .otherwise(outcome("miss"))
@@ -137,10 +145,10 @@ def walk(v: str, events: list[dict], compare) -> tuple:
     read = [(next((k for k in kinds if e.get(k)), None), next((e[k] for k in kinds if e.get(k)), None)) for e in events]
     bounds = [(k, b) for k, b in read if k]
     if not bounds:
-        return ("error", "advisory", None, None, None, "the range has no introduced, fixed or last_affected event")
+        return ("error", "advisory", None, None, None, NO_EVENTS)
     for _, b in bounds:
         if b != "0" and compare(b, b) is None:
-            return ("error", "advisory", None, None, None, f"the range bound {b} could not be read")
+            return ("error", "advisory", None, None, None, BAD_BOUND % b)
     order = sorted(bounds, key=functools.cmp_to_key(lambda x, y: (x[1] != "0") - (y[1] != "0") or (0 if x[1] == "0" else compare(x[1], y[1]) or 0)))
     last = None
     for n, (k, b) in enumerate(order):

@@ -24,7 +24,10 @@ def pkg(i, eco, name, version, source=None, source_version=None, stream=None):
 
 def run(spark, inventory, affected):
     inv, a = spark.createDataFrame(inventory, INV), spark.createDataFrame(affected, AFF)
-    rows = M.first_outcomes(M.outcomes(M.candidates(inv, a))).collect()
+    each = lambda df: sorted(map(repr, df.select("package_id", "database", "advisory_id", "name_ord", "aff_ord", "range_ord", "fix_state", "outcome").collect()))
+    swept, paired = M.found(inv, a), M.outcomes(M.candidates(inv, a))
+    assert each(swept) == each(paired)  # the sweep gives what all pairs give
+    rows = M.first_outcomes(swept).collect()
     return {(r.package_id, r.advisory_id): (r.hit and (r.hit.outcome.introduced, r.hit.outcome.fixed), r.skip and r.skip.outcome.cause) for r in rows}
 
 
