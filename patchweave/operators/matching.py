@@ -19,7 +19,7 @@ from patchweave.functions import versions as V
 from patchweave.operators import ranges as R
 from patchweave.operators.components import components
 from patchweave.operators.sweep import interval_join
-from patchweave.tables import write_table
+from patchweave.tables import drop_table, write_table
 
 RANGES = f"array<struct<type:string,events:{R.EVENTS},fix_state:string>>"
 #: range_ord of the list of single versions, which comes after all ranges.
@@ -31,7 +31,7 @@ _ORACLE_LINE = r"(?i)\.ksplice[0-9]+\.|_fips$"
 SMALL = 100_000
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """df, broadcast only where it is counted to be small."""
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
@@ -51,7 +51,7 @@ def skip_reason(coverage: Column) -> Column:
 
 def guard(inventory: DataFrame, ecosystems: DataFrame) -> DataFrame:
     """inventory with skip_reason; ecosystems: the covered ones."""
-    known = _small(ecosystems.select(F.col("ecosystem").alias("__covered")).distinct())
+    known = small(ecosystems.select(F.col("ecosystem").alias("__covered")).distinct())
     joined = inventory.join(known, inventory.ecosystem == F.col("__covered"), "left")
     return joined.withColumn("skip_reason", skip_reason(F.col("__covered").isNotNull())).drop("__covered")
 
