@@ -14,6 +14,8 @@ from patchweave.functions import names as N
 from patchweave.functions import versions as V
 from patchweave.operators import matching as M
 from patchweave.operators import ranges as R
+from patchweave.operators.telemetry import Drops, drop
+from patchweave.sources import archives
 
 #: Databases whose "related" ids name the same vulnerability.
 DISTRO_AUTHORED = ("ALPINE", "DEBIAN", "UBUNTU", "RLSA", "ALSA", "ALBA", "ALEA", "CGA")
@@ -39,12 +41,29 @@ def _some(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def osv_records(spark: SparkSession, path: str) -> DataFrame:
+def osv_records(spark: SparkSession, path: str, drops: Drops | None = None) -> DataFrame:
+    """OSV records of a folder of JSON files, as counted_records() gives them."""
+    return counted_records(spark.read.schema(_OSV).json(path, multiLine=True), drops)
+
+
+def osv_archive(spark: SparkSession, path: str, drops: Drops | None = None) -> tuple[DataFrame, DataFrame]:
+    """(OSV records of zip or tar archives, of any size; path, member and reason of what in them can't be read)."""
+    good, bad = archives.documents(archives.read_archive(spark, path, r".+[.]json"), _OSV)
+    return counted_records(good.drop("path", "member"), drops), bad
+
+
+def same_family(ecosystem: Column, wanted: str) -> Column:
+    """Whether an entry belongs to a feed that is read for one ecosystem: its own, with or without a release after a
+    colon. Chainguard's packages are built from Wolfi's, so its feed takes both."""
+    family = F.split_part(ecosystem, F.lit(":"), F.lit(1))
+    return family.isin("Chainguard", "Wolfi") if wanted == "Chainguard" else family == wanted.split(":")[0]
+
+
+def counted_records(raw: DataFrame, drops: Drops | None = None) -> DataFrame:
     """OSV records that count: not withdrawn, no malware, no plain errata; modified as a timestamp, related ids only of
     distributions' own records; those without a vector are rated by the word that leads their summary."""
-    r = spark.read.schema(_OSV).json(path, multiLine=True)
     database = N.database_of(F.col("id"))
-    r = r.filter("id is not null and coalesce(withdrawn, '') = ''").filter(~database.isin("MAL", "ALBA", "ALEA"))
+    r = drop(raw, drops, "records", {"no id": F.col("id").isNull(), "withdrawn": F.coalesce("withdrawn", F.lit("")) != "", "malware": database == "MAL", "errata": database.isin("ALBA", "ALEA")})
     none, unrated = F.array().cast("array<string>"), F.array().cast("array<struct<type:string,score:string>>")
     word = F.regexp_extract(F.coalesce("summary", F.lit("")), _WORD, 1)
     by_word = F.when(database.isin(*DISTRO_AUTHORED) & (word != ""), F.array(F.struct(F.lit("VENDOR_WORD").alias("type"), word.alias("score")))).otherwise(unrated)
@@ -70,8 +89,8 @@ def _stream(summary: str) -> Column:
     return F.when(F.size(named) == 1, F.get(named, F.lit(0)))
 
 
-def osv_affected(records: DataFrame) -> DataFrame:
-    """An entry per affected package: Packagist mirrors fold into Packagist, Ubuntu's lineage keys and GIT ranges go;
+def osv_affected(records: DataFrame, drops: Drops | None = None, wanted: str | None = None) -> DataFrame:
+    """An entry per affected package, of one ecosystem's family if wanted names one: Packagist mirrors fold into Packagist, Ubuntu's lineage keys and GIT ranges go;
     Rocky's and AlmaLinux's entries fixed by a module build have the stream that the summary names."""
     e = records.select("database", "advisory_id", "summary", F.posexplode("affected").alias("aff_ord", "a"))
     eco = F.regexp_replace("a.package.ecosystem", "^Packagist:.+", "Packagist")
@@ -81,7 +100,8 @@ def osv_affected(records: DataFrame) -> DataFrame:
     tagged = F.col("ecosystem").rlike("^(Rocky Linux|AlmaLinux)(:|$)") & F.expr("exists(ranges, r -> exists(r.events, e -> e.fixed rlike 'module[+_]el'))")
     e = e.withColumn("module_stream", F.when(tagged, _stream("summary"))).drop("summary")
     lineage = F.col("ecosystem").startswith("Ubuntu") & ~F.col("ecosystem").rlike(V.MAINLINE_UBUNTU)
-    return e.filter((F.col("name") != "") & ~lineage & ((F.size("ranges") > 0) | (F.size("versions") > 0)))
+    other = {} if wanted is None else {"another ecosystem": ~F.coalesce(same_family(F.col("ecosystem"), wanted), F.lit(False))}
+    return drop(e, drops, "entries", {"no name": F.coalesce("name", F.lit("")) == "", **other, "a line of its own": F.coalesce(lineage, F.lit(True)), "no range and no version": (F.size("ranges") == 0) & (F.size("versions") == 0)})
 
 
 _NVD_METRIC = "array<struct<cvssData:struct<vectorString:string>>>"
@@ -149,10 +169,11 @@ def narrowest(rows: DataFrame) -> DataFrame:
 _UPDATE = "_type string, id string, title string, severity string, issued struct<_date:string>, references struct<reference:array<struct<_id:string,_type:string>>>, pkglist struct<collection:struct<package:array<struct<_name:string,_epoch:string,_version:string,_release:string>>>>"
 
 
-def updateinfo_affected(spark: SparkSession, path: str, ecosystem: str) -> DataFrame:
+def updateinfo_affected(spark: SparkSession, path: str, ecosystem: str, drops: Drops | None = None) -> DataFrame:
     """updateinfo XML: security updates, each package's first build as the fix. Columns of affected entries, and cves
     and the vendor's word."""
-    u = spark.read.format("xml").option("rowTag", "update").schema(_UPDATE).load(path).filter("_type = 'security' and id is not null")
+    u = spark.read.format("xml").option("rowTag", "update").schema(_UPDATE).load(path)
+    u = drop(u, drops, "updates", {"no id": F.col("id").isNull(), "no security update": F.coalesce("_type", F.lit("")) != "security"})
     first = F.expr("filter(pkglist.collection.package, (p, i) -> array_position(transform(pkglist.collection.package, q -> q._name), p._name) = i + 1)")
     cves = F.array_distinct(F.transform(F.filter(F.coalesce("references.reference", F.array().cast("array<struct<_id:string,_type:string>>")), lambda r: r["_type"] == "cve"), lambda r: r["_id"]))
     e = u.select(N.database_of(F.col("id")).alias("database"), F.col("id").alias("advisory_id"), F.initcap("severity").alias("word"), cves.alias("cves"), F.posexplode(first).alias("aff_ord", "p"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from patchweave.functions import names as N
 from patchweave.operators import layers as L
+from patchweave.sources import archives
 from patchweave.sources import inventory as V
 from patchweave.tables import write_table
 
@@ -221,11 +222,21 @@ def catalog(blobs: DataFrame) -> DataFrame:
     return rows.unionByName(nothing).unionByName(lost)
 
 
+_SAVED = "array<struct<Layers:array<string>>>"
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """blobs of the docker-save archives of a folder; an archive is one row, so of 2 GB at most: unpack larger ones to
-    a layout, whose layers are rows."""
-    files = spark.read.format("binaryFile").load(path)
-    return archive_layers(files.select(F.col("path").alias("image_id"), "content"))
+    """blobs of the docker-save archives that a path names. Their members are rows, so that an archive may be of any
+    size and only a layer has to fit into a row. What can't be read is a layer without content, with the reason as its
+    digest."""
+    members = archives.read_archive(spark, path)
+    told = members.filter("reason is not null").select(F.col("path").alias("image_id"), F.lit(0).alias("layer"), F.col("reason").alias("digest"), F.lit(None).cast("binary").alias("content"))
+    listed = members.filter("member in ('manifest.json', './manifest.json') and reason is null").select("path", F.from_json(F.col("content").cast("string"), _SAVED).alias("m"))
+    layers = listed.select("path", F.posexplode(F.get("m", F.lit(0))["Layers"]).alias("layer", "digest"))
+    found = layers.join(members.filter("reason is null").select("path", F.regexp_replace("member", "^[.]/", "").alias("digest"), "content"), ["path", "digest"], "left")
+    named = F.when(F.col("content").isNull(), F.concat(F.lit("no layer "), "digest")).otherwise(F.col("digest"))
+    none = members.filter("reason is null").select("path").distinct().join(layers.select("path").distinct(), "path", "left_anti").select(F.col("path").alias("image_id"), F.lit(0).alias("layer"), F.lit("no manifest.json that lists layers").alias("digest"), F.lit(None).cast("binary").alias("content"))
+    return found.select(F.col("path").alias("image_id"), "layer", named.alias("digest"), "content").unionByName(told).unionByName(none)
 
 
 def read_layouts(spark: SparkSession, root: str, architecture: str = "amd64") -> DataFrame:
