@@ -77,10 +77,16 @@ def falls_in_time(changes: DataFrame) -> DataFrame:
     return j.groupBy("feed").agg(F.bool_and(F.col("next").isNull() | (F.col("next") <= F.col("changed"))).alias("ordered"))
 
 
+def narrowest_window(sources: DataFrame) -> DataFrame:
+    """One row: since, the latest start of what rating sources cover (source, since, since_known), which limits them all;
+    sources without a start cover everything and limit nothing. since_known: whether all of them record theirs."""
+    return sources.agg(F.max("since").alias("since"), F.coalesce(F.bool_and(F.coalesce("since_known", F.lit(False))), F.lit(True)).alias("since_known"))
+
+
 def narrowest_rating(ratings: DataFrame) -> DataFrame:
     """source, ratings, cves and the latest start (since) of what its loads cover: what can be said of the source at
-    least; a load without a known start makes it null."""
-    return ratings.groupBy("source").agg(F.count(F.lit(1)).alias("ratings"), F.count_distinct("cve").alias("cves"), F.when(F.bool_and(F.col("since").isNotNull()), F.max("since")).alias("since"))
+    least; loads without a start cover all there was."""
+    return ratings.groupBy("source").agg(F.count(F.lit(1)).alias("ratings"), F.count_distinct("cve").alias("cves"), F.max("since").alias("since"))
 
 
 def stage_shares(stages: DataFrame) -> DataFrame:
@@ -91,7 +97,7 @@ def stage_shares(stages: DataFrame) -> DataFrame:
 
 
 def release_order(release: Column) -> Column:
-    """A key that sorts releases by number: v3.9 before v3.10, and those that are no numbers first."""
+    """A key that sorts releases by number: v3.9 before v3.10, and those that are no numbers after them, as text."""
     parts = F.regexp_extract(release, r"^v?([0-9]+)(?:[.]([0-9]+))?$", 0) != ""
     number = lambda i: F.coalesce(F.regexp_extract(release, r"^v?([0-9]+)(?:[.]([0-9]+))?$", i).try_cast("int"), F.lit(0))
-    return F.struct(parts.alias("numbered"), F.when(parts, number(1)).otherwise(0).alias("major"), F.when(parts, number(2)).otherwise(0).alias("minor"), release.alias("text"))
+    return F.struct((~parts).alias("text_only"), F.when(parts, number(1)).otherwise(0).alias("major"), F.when(parts, number(2)).otherwise(0).alias("minor"), F.when(parts, "").otherwise(release).alias("text"))

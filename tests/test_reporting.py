@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from patchweave.operators import matching as M
 from patchweave.operators import ranges as R
@@ -95,3 +96,34 @@ def test_stream(spark, tmp_path):
     put("2.json", ("D", "A", "2024-01-03T00:00:00Z", "two"), ("D", "B", "2024-01-01T00:00:00Z", "b"))
     assert run() == {("A", "two"), ("B", "b")}
     assert all(len(list(b.glob("v=*"))) == 1 for b in (tmp_path / "table").glob("bucket=*"))
+
+
+def test_builds_of_a_store(spark, tmp_path):
+    """A reader sees one build, whole; older ones stay until they are cleared away."""
+    path = str(tmp_path / "store")
+    affected = lambda *names: spark.createDataFrame([("D", "X", i, "npm", n, [], ["1"], None) for i, n in enumerate(names)], f"database string, advisory_id string, aff_ord int, ecosystem string, name string, ranges {M.RANGES}, versions array<string>, module_stream string")
+    ratings = lambda n: spark.createDataFrame([(f"CVE-{i}", "NVD", 1.0, 1) for i in range(n)], "cve string, source string, score double, load_seq int")
+    window = lambda since, known=True: spark.createDataFrame([("NVD", since, known)], "source string, since string, since_known boolean").withColumn("since", F.col("since").cast("timestamp"))
+    T.write_affected(affected("a", "b"), path)
+    with pytest.raises(T.StoreError, match="no ratings"):
+        T.write_meta(spark, path, "2024-01-01")
+    T.write_ratings(ratings(3), path)
+    assert T.write_meta(spark, path, "2024-01-01", window("2024-01-01")) == 1
+    old = T.open_store(spark, path)
+    T.write_affected(affected("a", "c", "d"), path)
+    assert T.open_store(spark, path)["affected"].count() == 2  # not closed yet
+    T.write_keyed(affected("a", "c", "d"), path, 4)
+    assert T.write_meta(spark, path, "2024-01-02", window("2024-01-05")) == 2 and T.builds(spark, path) == [1, 2]
+    new = T.open_store(spark, path)
+    assert old["affected"].count() == 2 and new["affected"].count() == 3 and new["ratings"].count() == 3
+    assert {(r.key, r.change) for r in T.diff(old, new).collect()} == {("D/X/1", "changed"), ("D/X/2", "added")}
+    assert T.guard_publish(old["meta"], new["meta"]) == ["the published one covers from 2024-01-01 and this one only from 2024-01-05"]
+    assert T.guard_publish(new["meta"], old["meta"]) == []
+    assert T.publish(spark, path, str(tmp_path / "public")) == 1 and "enrichment" not in T.open_store(spark, str(tmp_path / "public"))
+    assert T.vacuum(spark, path) >= 2 and T.builds(spark, path) == [2] and T.open_store(spark, path)["affected"].count() == 3
+    names = spark.createDataFrame([(1, "npm", "a")], "package_id long, ecosystem string, norm_name string")
+    plan = names.hint("merge").join(T.read_keyed(spark, path), ["ecosystem", "norm_name"])
+    assert plan.count() == 1
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in text  # the names move, the store doesn't
+    assert T.open_store(spark, path, seed=True) and pytest.raises(T.StoreError, T.open_store, spark, str(tmp_path))
