@@ -11,7 +11,7 @@ its cause, so that what could not be checked never looks clean.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchweave.functions import names as N
@@ -79,19 +79,33 @@ _TAIL = r"\.module[+_]el"
 
 
 def _keys(rows: DataFrame, versions: str) -> DataFrame:
-    """rows with __k: the keys of a column of version arrays by the ordering that the column comparer names. Only rows
-    of the orderings that need it go through Python."""
-    by_python = F.coalesce(F.col("comparer").isin(*V.PYTHON), F.lit(False))
-    native = rows.filter(~by_python).withColumn("__k", R.native_keys(None, versions))
-    return native.unionByName(rows.filter(by_python).withColumn("__k", V.python_keys("comparer", versions)))
+    """rows with __k: the keys of a column of version arrays by the ordering that the column comparer names."""
+    by_python = F.col("comparer").isin(*V.PYTHON)
+    return rows.withColumn("__k", F.when(by_python, V.python_keys("comparer", F.when(by_python, F.col(versions)))).otherwise(R.native_keys(None, versions)))
+
+
+def key_table(rows: DataFrame, versions: Column) -> DataFrame | None:
+    """comparer, v, k: a key for each distinct version of rows (comparer, and an array of versions), to be broadcast; None
+    where there are more than SMALL of them. Installed versions repeat: of many packages few versions are different."""
+    each = rows.select("comparer", F.explode(versions).alias("v")).filter("comparer is not null and v is not null").distinct()
+    held = write_table(each.limit(SMALL + 1), "match-versions")
+    if held.count() > SMALL:
+        return None
+    return F.broadcast(_keys(held.withColumn("__v", F.array("v")), "__v").select("comparer", "v", F.get("__k", F.lit(0)).alias("k")))
 
 
 def _keyed_names(inventory: DataFrame) -> DataFrame:
     """A row per package and lookup name, with the key of its version, whole (vk) and without a module's tail (ck)."""
     own = F.col("compared")
-    rows = lookup_names(inventory).withColumn("comparer", V.comparer_of("ecosystem")).withColumn("__v", F.when(own.rlike(_TAIL), F.array(own, cut_module(own))).otherwise(F.array(own)))
-    keyed = _keys(rows, "__v")
-    return keyed.select("package_id", "ecosystem", "norm_name", "name_ord", "compared", "module_stream", F.get("__k", F.lit(0)).alias("vk"), F.get("__k", F.size("__v") - 1).alias("ck"))
+    tailed, both = own.rlike(_TAIL), F.when(own.rlike(_TAIL), F.array(own, cut_module(own))).otherwise(F.array(own))
+    rows = lookup_names(inventory).withColumn("comparer", V.comparer_of("ecosystem"))
+    table = key_table(rows, both)
+    if table is None:
+        keyed = _keys(rows.withColumn("__v", both), "__v").withColumns({"vk": F.get("__k", F.lit(0)), "ck": F.get("__k", F.size("__v") - 1)})
+    else:
+        whole = rows.join(table.select("comparer", F.col("v").alias("compared"), F.col("k").alias("vk")), ["comparer", "compared"], "left").withColumn("__cut", F.when(tailed, cut_module(own)))
+        keyed = whole.join(table.select("comparer", F.col("v").alias("__cut"), F.col("k").alias("__ck")), ["comparer", "__cut"], "left").withColumn("ck", F.when(F.col("__cut").isNotNull(), F.col("__ck")).otherwise(F.col("vk")))
+    return keyed.select("package_id", "ecosystem", "norm_name", "name_ord", "compared", "module_stream", "vk", "ck")
 
 
 def _keyed_ranges(affected: DataFrame) -> DataFrame:
@@ -227,14 +241,15 @@ def _maven_lists(rows: DataFrame) -> DataFrame:
 
 def first_outcomes(found: DataFrame) -> DataFrame:
     """A row per (package, advisory): hit (its first one by name, entry and range) and skip (the first error before it).
-    The first outcome of an entry decides it."""
-    entry = F.struct("name_ord", "aff_ord", "range_ord", "fix_state", "outcome")
-    rows = found.groupBy("package_id", "database", "advisory_id").agg(F.array_sort(F.collect_list(entry)).alias("o"))  # the entries of one advisory
-    decided = rows.withColumn("o", F.expr("filter(o, (x, i) -> i = 0 or o[i - 1].name_ord <> x.name_ord or o[i - 1].aff_ord <> x.aff_ord)"))
-    hit = F.expr("get(filter(o, x -> x.outcome.kind = 'hit'), 0)")
-    rows = decided.withColumn("hit", hit)
-    skip = F.expr("get(filter(o, x -> x.outcome.kind = 'error' and (hit is null or struct(x.name_ord, x.aff_ord) < struct(hit.name_ord, hit.aff_ord))), 0)")
-    return rows.withColumn("skip", skip).drop("o")
+    The first outcome of an entry decides it. One shuffle and one sort: the aggregates use the window's order."""
+    key, entry = ["package_id", "database", "advisory_id"], ["name_ord", "aff_ord"]
+    order = Window.partitionBy(*key).orderBy(*entry, "range_ord")
+    before = F.lag(F.struct(*entry)).over(order)
+    decided = found.withColumn("__before", before).filter(~F.col("__before").eqNullSafe(F.struct(*entry)))
+    row = F.struct(*entry, "range_ord", "fix_state", "outcome")
+    first = decided.groupBy(*key).agg(F.min(F.when(F.col("outcome.kind") == "hit", row)).alias("hit"), F.min(F.when(F.col("outcome.kind") == "error", row)).alias("skip"))
+    at = lambda c: F.struct(*(F.col(f"{c}.{x}") for x in entry))
+    return first.withColumn("skip", F.when(F.col("hit").isNull() | (at("skip") < at("hit")), F.col("skip")))
 
 
 def scan(inventory: DataFrame, affected: DataFrame, ecosystems: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +266,9 @@ def affected_versions(installed: DataFrame, advisories: DataFrame, comparer: str
     Keys are worked out once per version, intervals once per advisory, and they meet in a sweep. Versions and bounds of
     Maven that have no key are compared pairwise, apart."""
     key = F.get(V.python_keys(F.lit(comparer), F.array("version")), F.lit(0)) if comparer in V.PYTHON else V.key(comparer, "version")
-    inv = write_table(installed.withColumn("__key", key), "match-installed")
+    table = key_table(installed.select(F.lit(comparer).alias("comparer"), "version"), F.array("version"))
+    inv = installed.withColumn("__key", key) if table is None else installed.join(table.select(F.col("v").alias("version"), F.col("k").alias("__key")), "version", "left")
+    inv = write_table(inv, "match-installed")
     adv = advisories.withColumn("bounds", R.bounds("events"))
     adv = adv.withColumn("keys", V.python_keys(F.lit(comparer), F.col("bounds")) if comparer in V.PYTHON else R.native_keys(comparer, "bounds")).drop("bounds")
     plain = F.forall("keys", lambda k: k.isNotNull())
