@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from patchweave.operators import lifecycle as L
 from patchweave.operators import matching as M
+from patchweave.operators import report_files as W
+from patchweave.operators import reporting as P
 from patchweave.operators import store as S
 from patchweave.plans import derive as D
+from patchweave.plans.inputs import report_inputs as _report_inputs
 from patchweave.plans.registry import query
 from patchweave.tables import new_path
 
@@ -90,3 +93,21 @@ def rating_windows(spark, sf_dir):
     day = F.when((F.col("o_orderkey") % 3 > 0) & ~F.col("o_orderpriority").startswith("5"), F.col("o_orderdate").cast("date"))
     rows = D.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("cve"), day.alias("since"))
     return L.narrowest_rating(rows).withColumn("since", F.col("since").cast("string"))
+
+
+@query(
+    """
+WITH f AS (SELECT CAST(o_custkey % 50 AS BIGINT) AS target_id, count(*) AS n, max(concat('GHSA-', o_orderkey)) AS last_id FROM orders GROUP BY 1), k AS (SELECT CAST(s_suppkey % 52 AS BIGINT) AS target_id, count(*) AS n FROM supplier GROUP BY 1),
+t AS (SELECT DISTINCT CAST(c_custkey % 52 AS BIGINT) AS target_id FROM customer)
+SELECT t.target_id, coalesce(f.n, 0) AS findings, coalesce(k.n, 0) AS skipped, greatest(coalesce(f.n, 0) - 1, 0) + greatest(coalesce(k.n, 0) - 1, 0) AS commas, last_id, 3::BIGINT AS framing FROM t LEFT JOIN f USING (target_id) LEFT JOIN k USING (target_id)
+"""
+)
+def report_files(spark, sf_dir):
+    """JSON reports written by the executors and read again line by line."""
+    path = new_path(spark, "reports")
+    findings, skips, targets = _report_inputs(spark, sf_dir)
+    W.write_reports(W.json_lines_of(findings, skips, P.summarise(findings, skips, targets)), path)
+    line = F.regexp_replace("line", "^,", "")
+    rows = W.read_lines(spark, path).select(F.col("target_id").cast("long"), F.col("line").startswith(",").alias("comma"), F.from_json(line, "advisory struct<id:string>, package struct<name:string>, cause string, matchedName string").alias("j"), (F.col("line").startswith("{\"schemaVersion\"") | F.col("line").startswith("]")).alias("frame"))
+    found, left = F.col("j.matchedName").isNotNull() & ~F.col("frame"), F.col("j.cause").isNotNull() & ~F.col("frame")
+    return rows.groupBy("target_id").agg(F.count_if(found).alias("findings"), F.count_if(left).alias("skipped"), F.count_if("comma").alias("commas"), F.max(F.when(found, F.col("j.advisory.id"))).alias("last_id"), F.count_if("frame").alias("framing"))

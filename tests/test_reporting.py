@@ -1,12 +1,15 @@
 """Summaries, gates, reports, the store and the stream of advisories."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from patchweave.operators import matching as M
+from patchweave.operators import findings as X
 from patchweave.operators import ranges as R
+from patchweave.operators import report_files as W
 from patchweave.operators import reporting as P
 from patchweave.operators import store as T
 from patchweave.streaming import advisories as A
@@ -127,3 +130,40 @@ def test_builds_of_a_store(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in text  # the names move, the store doesn't
     assert T.open_store(spark, path, seed=True) and pytest.raises(T.StoreError, T.open_store, spark, str(tmp_path))
+
+
+def _documents(spark, lines, path):
+    """The written reports, put together by target."""
+    W.write_reports(lines, path)
+    out = {}
+    for d in sorted(Path(path).glob("target_id=*")):
+        out[int(d.name[10:])] = "".join(f.read_text() for f in sorted(d.glob("part-*")))
+    return out
+
+
+def test_report_files(spark, tmp_path):
+    """Documents of several files each, by the fields that readers know."""
+    rating = ("ALPINE", "CVE-1", "critical", 9.8, "3.1.4-r6", None, False, None, None, None, None, None, None, None)
+    more = "purl string, source_name string, source_version string, layer_digest string, matched_name string, summary string, upstream array<string>, range_type string, introduced string, last_affected string, reason string"
+    full = (*finding(1, "CVE-1", "critical", 9.8, fixed="3.1.4-r6", name="libssl3", location="lib/apk/db/installed"), "pkg:apk/x", "openssl", "3.1.4-r5", "sha256:abc", "openssl", "heap overflow", ["U-1"], "ECOSYSTEM", "0", None, "why")
+    rows = [full, *((*finding(1, f"A-{i}", "unknown", None, "unknown", ""), *(None,) * 11) for i in range(30)), (*finding(2), *(None,) * 11), (*finding(2), *(None,) * 11)]
+    f = spark.createDataFrame(rows, f"{FINDINGS}, {more}")
+    f = f.join(spark.createDataFrame([("CVE-1", [rating])], f"advisory_id string, ratings array<{X.RATING}>"), "advisory_id", "left")
+    s = spark.createDataFrame([(1, "p", "", "coverage", "r"), (1, "q", "A-9", "target", 'say "x"'), (3, "q", "", "target", "r")], SKIPS)
+    t = spark.createDataFrame([(1, 40, 32, 0, 0, False), (2, 2, 2, 0, 0, True), (3, 1, 1, 0, 0, None), (4, 0, 0, 0, 0, None)], TARGETS)
+    total = P.summarise(f, s, t)
+    eol = spark.createDataFrame([(2, "debian", "12", True, True, False)], "target_id long, distro_id string, release string, known boolean, eol boolean, maintained boolean")
+    docs = {k: json.loads(v) for k, v in _documents(spark, W.json_lines_of(f, s, total, eol), str(tmp_path / "json")).items()}
+    assert set(docs) == {1, 2, 3, 4} and [len(docs[i]["findings"]) for i in (1, 2, 3, 4)] == [31, 2, 0, 0] and docs[4]["skipped"] == [] and docs[2]["eol"]["eol"] is True and "eol" not in docs[1]
+    one = next(x for x in docs[1]["findings"] if x["advisory"]["id"] == "CVE-1")
+    assert one == {
+        "package": {"name": "libssl3", "version": "1", "ecosystem": "npm", "purl": "pkg:apk/x", "source": {"name": "openssl", "version": "3.1.4-r5"}, "locations": [{"path": "lib/apk/db/installed", "layerDigest": "sha256:abc"}]}, "matchedName": "openssl",
+        "advisory": {"id": "CVE-1", "upstream": ["U-1"], "summary": "heap overflow"}, "severity": "critical", "score": 9.8,
+        "evidence": {"rangeType": "ECOSYSTEM", "introduced": "0", "fixed": "3.1.4-r6", "reason": "why"}, "ratings": [{"database": "ALPINE", "advisoryId": "CVE-1", "severity": "critical", "score": 9.8, "fixed": "3.1.4-r6", "url": "", "fixState": "fixed"}], "unfixable": False, "fixState": "fixed", "enrichment": [],
+    }
+    assert list(docs[1]) == ["schemaVersion", "findings", "skipped", "summary"] and docs[1]["skipped"][1] == {"package": {"name": "q"}, "advisoryId": "A-9", "reason": 'say "x"', "cause": "target"}
+    sarif = {k: json.loads(v)["runs"][0] for k, v in _documents(spark, W.sarif_lines_of(f, s, total), str(tmp_path / "sarif")).items()}
+    assert len(sarif[1]["results"]) == 32 and len(sarif[1]["invocations"][0]["toolExecutionNotifications"]) == 1 and sarif[3]["invocations"][0]["executionSuccessful"] is False and sarif[4]["results"] == []
+    assert {r["id"] for r in sarif[1]["tool"]["driver"]["rules"]} >= {"CVE-1", "skipped-target", "skipped-coverage"}
+    text = _documents(spark, W.table_lines_of(f, s, total), str(tmp_path / "text"))
+    assert W.NOT_CLEAN in text[3] and "no findings; 0 of 0" in text[4] and "31 findings: 1 critical, 30 unknown" in text[1] and "end of life" in text[2] and text[1].index("CVE-1") < text[1].index("31 findings") < text[1].index("was not checked")
