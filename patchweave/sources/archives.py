@@ -12,13 +12,14 @@ Columns: path (of the archive), member, size, content, reason. A member that can
 maxMemberBytes, has a reason and no content; an archive that can't be read is one row with a reason and no member. A zip's
 sizes are what its directory says; a member that unpacks to more is cut off and has a reason.
 
-Paths may have wildcards. Local ones are opened as files, others through pyarrow's file systems.
+Paths may name folders or have wildcards (local ones). Local files are opened as files, others through pyarrow's file systems.
 """
 
 from __future__ import annotations
 
 import glob
 import io
+import os
 import re
 import struct
 import tarfile
@@ -76,11 +77,18 @@ def opened(path: str) -> io.IOBase:
 
 
 def expanded(path: str) -> list[str]:
-    """The files that a path names; one that names none is kept, so that its absence is told."""
+    """The files that a path names, or that the folders hold which it names; one that names none is kept, so that its
+    absence is told."""
     if "://" in path and not path.startswith("file://"):
-        return [path]
+        fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+        if fs.get_file_info(inner).type != pyarrow.fs.FileType.Directory:
+            return [path]
+        base = path.rstrip("/")
+        return sorted(f"{base}/{i.base_name}" for i in fs.get_file_info(pyarrow.fs.FileSelector(inner)) if i.is_file)
     local = path.removeprefix("file://").removeprefix("file:")
-    return sorted(glob.glob(local)) or [local]
+    found = sorted(glob.glob(local)) or [local]
+    within = lambda p: sorted(e.path for e in os.scandir(p) if e.is_file() and e.name[0] not in "._")
+    return [f for p in found for f in (within(p) if os.path.isdir(p) else [p])]
 
 
 def plan(path: str, wanted: re.Pattern | None, partition_bytes: int) -> list[Part]:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import io
 import json
 import re
-import sqlite3
 import struct
 import tarfile
 import tomllib
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchweave.functions import names as N
+from patchweave.sources import sqlite_pages
 
 #: Directories that are never read.
 PRUNED = ("node_modules", "vendor", ".git")
@@ -56,7 +56,7 @@ class Unreadable(ValueError):
 
 #: What readers raise on files that are damaged, encrypted, packed in unknown ways, nested without end or made to do
 #: harm. RuntimeError holds unknown methods and endless recursion, ValueError what isn't text, JSON or a number.
-READ_ERRORS = (ValueError, ArithmeticError, AttributeError, TypeError, LookupError, RuntimeError, EOFError, MemoryError, OSError, struct.error, zlib.error, zipfile.BadZipFile, tarfile.TarError, sqlite3.Error)
+READ_ERRORS = (ValueError, ArithmeticError, AttributeError, TypeError, LookupError, RuntimeError, EOFError, MemoryError, OSError, struct.error, zlib.error, zipfile.BadZipFile, tarfile.TarError)
 
 
 def why(e: BaseException) -> str:
@@ -285,19 +285,13 @@ def _rpm_packages(blobs: Iterable[bytes]) -> list[Package | Note]:
 
 
 def rpm_sqlite(data: bytes) -> list[Package | Note]:
-    """rpmdb.sqlite: the blobs of table Packages. A database in write-ahead mode whose log isn't empty is refused by
-    the caller, who sees the log (see images.py)."""
-    if not data.startswith(b"SQLite format 3\0"):
-        raise Unreadable("not an SQLite database")
-    con = sqlite3.connect(":memory:")
+    """rpmdb.sqlite: the blobs of table Packages, from the file's pages. A database in write-ahead mode whose log isn't
+    empty is refused by the caller, who sees the log (see images.py)."""
     try:
-        con.deserialize(data)
-        blobs = con.execute("SELECT blob FROM Packages").fetchall()
-    except sqlite3.Error as e:
+        blobs = sqlite_pages.table_column(data, "Packages", "blob")
+    except sqlite_pages.Damaged as e:
         raise Unreadable(f"rpmdb: {e}") from None
-    finally:
-        con.close()
-    return _rpm_packages(b for (b,) in blobs)
+    return _rpm_packages(b if isinstance(b, bytes) else b"" for b in blobs)
 
 
 def rpm_bdb(data: bytes) -> list[Package | Note]:
