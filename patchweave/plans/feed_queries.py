@@ -261,8 +261,10 @@ def stage_shares(spark, sf_dir):
 
 @query("SELECT concat('GHSA-', p_partkey) AS advisory_id, concat('pkg-', p_partkey % 50) AS name FROM part WHERE p_partkey % 50 = 7 AND p_partkey % 3 = 0")
 def store_lookup(spark, sf_dir):
-    """Entries written to a store, swapped in, and read by package."""
+    """Entries written to a store, closed as a build, and read by package."""
     D.views(spark, sf_dir, "part")
     path = new_path(spark, "store")
     K.write_affected(spark.sql("SELECT 'GHSA' AS database, concat('GHSA-', p_partkey) AS advisory_id, 0 AS aff_ord, case p_partkey % 3 when 0 then 'npm' else 'Debian:12' end AS ecosystem, concat('pkg-', p_partkey % 50) AS name FROM part"), path)
-    return K.lookup(spark.read.parquet(f"{path}/affected"), "npm", "pkg-7").select("advisory_id", "name")
+    K.write_ratings(D.table(spark, sf_dir, "customer").select(F.concat(F.lit("CVE-"), F.col("c_custkey").cast("string")).alias("cve"), F.lit("NVD").alias("source"), F.lit(1).alias("load_seq")), path)
+    K.write_meta(spark, path, "2024-01-01")
+    return K.lookup(K.open_store(spark, path)["affected"], "npm", "pkg-7").select("advisory_id", "name")

@@ -15,7 +15,7 @@ from patchweave.operators import matching as M
 from patchweave.operators import ranges as R
 from patchweave.operators import reporting as P
 from patchweave.plans import derive as D
-from patchweave.plans import delta_queries, feed_queries, sql_queries, store_queries  # noqa: F401  (register their queries)
+from patchweave.plans import delta_queries, feed_queries, reader_queries, sql_queries, store_queries  # noqa: F401  (register their queries)
 from patchweave.plans.inputs import report_inputs as _report_inputs
 from patchweave.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from patchweave.sources import feeds
