@@ -74,3 +74,12 @@ def test_catalogues_and_updates(spark, tmp_path):
     xml = '<updates><update type="security"><id>ALAS-1</id><severity>medium</severity><references><reference type="cve" id="CVE-1"/><reference type="x" id="y"/></references><pkglist><collection><package name="a" epoch="1" version="2" release="3"/><package name="a" epoch="0" version="9" release="9"/><package name="b" epoch="0" version="1" release="1"/></collection></pkglist></update><update type="bugfix"><id>ALAS-2</id></update></updates>'
     rows = S.updateinfo_affected(spark, put(tmp_path, "u.xml", xml), "Amazon Linux:2").orderBy("name").collect()
     assert [(r.name, r.ranges[0].events[1].fixed, r.cves, r.word) for r in rows] == [("a", "1:2-3", ["CVE-1"], "Medium"), ("b", "1-1", ["CVE-1"], "Medium")]
+
+
+def test_ubuntu_tracker_lines(spark):
+    from patchweave.sources import distributions as U
+
+    text = "Candidate: CVE-2024-1\r\nPublicDate: x\nfocal_bash: needed\njammy_bash: ignored (end of: life)\nnoble_bash:\nnoble_b ad: needed\nwarty_bash: needed\nfocal_-x: needed\nfocal_zsh: released (1.0-1)\nnoble_fish: deferred (2024-01-01) more\nxenial_lib+c.d-1: pending\nfocal_bash: DNE\n jammy_zsh: needed\n"
+    files = spark.createDataFrame([("a", text), ("b", "Candidate: CVE-24-1\nfocal_x: needed\n"), ("c", "Candidate: CVE-2024-1\nxenial_lib+c.d-1: ignored\n"), ("d", None)], "path string, value string")
+    got = {(r.cve, r.name, r.release): r.fix_state for r in U.ubuntu_states(files).collect()}
+    assert got == {("CVE-2024-1", "bash", "20.04"): None, ("CVE-2024-1", "bash", "22.04"): "wont-fix", ("CVE-2024-1", "zsh", "20.04"): None, ("CVE-2024-1", "lib+c.d-1", "16.04"): "wont-fix"}
