@@ -80,21 +80,21 @@ def _once(packages: Iterable[Package | Note]) -> list[Package | Note]:
 # ---- lockfiles ----
 
 
-def npm_lock(text: str) -> list[Package]:
-    """package-lock.json and npm-shrinkwrap.json: the packages map of versions 2 and 3, else nested dependencies."""
+def npm_lock(text: str) -> list[Package | Note]:
+    """package-lock.json and npm-shrinkwrap.json: the packages map of versions 2 and 3, else nested dependencies. What
+    has no version is noted; links are what they point to, which has an entry of its own."""
     data = _json(text)
-    out = []
+    out: list[Package | Note] = []
     if isinstance(data.get("packages"), dict):
         for path, p in sorted(data["packages"].items()):
             name = p.get("name") if "node_modules/" not in path else path.rsplit("node_modules/", 1)[1]
-            if path and not p.get("link") and name and p.get("version"):
-                out.append(Package("npm", name, p["version"]))
+            if path and not p.get("link") and name:
+                out.append(Package("npm", name, p["version"]) if p.get("version") else Note(f"no version: {name}"))
         return _once(out)
     todo = [data.get("dependencies") or {}]
     while todo:
         for name, p in sorted(todo.pop().items()):
-            if p.get("version"):
-                out.append(Package("npm", name, p["version"]))
+            out.append(Package("npm", name, p["version"]) if p.get("version") else Note(f"no version: {name}"))
             if isinstance(p.get("dependencies"), dict):
                 todo.append(p["dependencies"])
     return _once(out)
@@ -167,10 +167,11 @@ def gem_lock(text: str) -> list[Package]:
     return _once(out)
 
 
-def composer_lock(text: str) -> list[Package]:
+def composer_lock(text: str) -> list[Package | Note]:
+    """Packages of both sections; a branch has no version that could be compared and is noted."""
     data = _json(text)
-    rows = [p for part in ("packages", "packages-dev") for p in data.get(part) or []]
-    return _once(Package("Packagist", p["name"], p["version"]) for p in rows if p.get("name") and p.get("version") and not p["version"].startswith("dev-"))
+    rows = [p for part in ("packages", "packages-dev") for p in data.get(part) or [] if p.get("name") and p.get("version")]
+    return _once(Note(f"a branch, no version: {p['name']} {p['version']}") if p["version"].startswith("dev-") else Package("Packagist", p["name"], p["version"]) for p in rows)
 
 
 def nuget_lock(text: str) -> list[Package]:

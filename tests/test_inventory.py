@@ -133,3 +133,9 @@ def test_hostile_files_are_rows_with_a_reason(spark):
         got.setdefault(r.path[3:], []).append(r.reason)
     assert set(got) == set(HOSTILE) and all(any(reasons) for reasons in got.values()), got
     assert I.sniff("a", b'{"a":' * 200_000) is None and not I.looks_like_jar("a", b"PK\x03\x04zz")
+
+
+def test_what_has_no_version_is_noted():
+    assert notes(I.composer_lock(json.dumps({"packages": [{"name": "v/a", "version": "dev-main"}, {"name": "v/b", "version": "1.0"}]}))) == ["a branch, no version: v/a dev-main"]
+    assert notes(I.npm_lock(json.dumps({"packages": {"": {}, "node_modules/a": {}, "node_modules/l": {"link": True}}}))) == ["no version: a"]
+    assert notes(I.npm_lock(json.dumps({"dependencies": {"c": {}}}))) == ["no version: c"]
