@@ -53,6 +53,82 @@ for _k in _LOCKS:
     query(_lock_sql(_k), f"read_{_k}")(lambda spark, sf_dir, k=_k: _read(spark, sf_dir, k).filter("reason is null").select("path", "kind", "ecosystem", "name", "version"))
 
 
+#: A distribution of each document: ID, VERSION_ID, PRETTY_NAME, and its key (null: none that advisories are keyed by).
+_SYSTEMS = [("alpine", "3.19.1", "Alpine Linux v3.19", "Alpine:v3.19"), ("rhel", "9.4", "Red Hat Enterprise Linux 9.4", "Red Hat:9"), ("ubuntu", "22.04", "Ubuntu 22.04.4 LTS", "Ubuntu:22.04:LTS"), ("debian", "12", "Debian GNU/Linux 12", "Debian:12"), ("plan9", "4", "Plan 9", None), (None, None, None, None)]
+_DOCUMENTS = f"""
+WITH s AS (SELECT * FROM (VALUES {", ".join(str((i, *x)).replace("None", "CAST(NULL AS STRING)") for i, x in enumerate(_SYSTEMS))}) AS t(d, id, version, pretty, key)),
+p AS (SELECT p_partkey % 60 AS f, p_partkey % 6 AS d, CAST(floor(p_partkey / 6) AS BIGINT) % 9 AS c, p_partkey AS k, p_size AS z FROM part)
+"""
+
+
+def _sbom_parts(spark, sf_dir: str) -> DataFrame:
+    """Parts dealt to documents (f) of six distributions (d), and to nine kinds of components (c)."""
+    D.views(spark, sf_dir, "part")
+    return spark.sql(f"{_DOCUMENTS} SELECT p.*, id, s.version AS os_version, pretty FROM p JOIN s USING (d)")
+
+
+def _cyclonedx_files(spark, sf_dir: str) -> DataFrame:
+    """CycloneDX documents whose system is the last component, as inventory tools write them."""
+    property_ = lambda name, value: f"""'{{"name":"syft:{name}","value":"', {value}, '"}}'"""
+    component = f"""concat('{{"type":"', case when c = 8 then 'file' else 'library' end, '","name":"n', k, '","version":"', case when c = 7 then '' else concat('0.', z) end, '"',
+  case c when 0 then concat(',"purl":"pkg:apk/alpine/n', k, '@1.', z, '-r0?arch=x86_64"') when 1 then concat(',"purl":"pkg:rpm/redhat/n', k, '@1.', z, '-1.el9?arch=x86_64&epoch=2&upstream=src', k, '-1.', z, '-1.el9.src.rpm"')
+    when 2 then concat(',"purl":"pkg:deb/debian/n', k, '@1.', z, '-1?arch=amd64&distro=debian-11"') when 3 then concat(',"purl":"pkg:npm/%40s/n', k, '"') when 4 then ',"purl":"pkg:rpm/redhat/gpg-pubkey@1-1"' when 5 then '' when 6 then concat(',"purl":"pkg:swift/n', k, '@1"')
+    when 7 then concat(',"purl":"pkg:npm/n', k, '"') else concat(',"purl":"pkg:npm/n', k, '@1"') end,
+  ',"properties":[', {property_("location:0:path", "'/db/', k")}, ',', {property_("metadata:originPackage", "'origin', k")}, ',', {property_("metadata:modularityLabel", "'mod:', z, ':8030:abc'")}, ']}}')"""
+    system = f"""case when id is null then '' else concat(',{{"type":"operating-system","name":"x","version":"0","properties":[', {property_("distro:id", "id")}, ',', {property_("distro:versionID", "os_version")}, ',', {property_("distro:prettyName", "pretty")}, ']}}') end"""
+    rows = _sbom_parts(spark, sf_dir).withColumn("t", F.expr(component)).withColumn("s", F.expr(system))
+    # Odd parts lie within the component of an even one.
+    files = rows.groupBy("f").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") % 12 < 6, F.col("t")))), ",").alias("top"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") % 12 >= 6, F.col("t")))), ",").alias("deep"), F.max("s").alias("s"))
+    text = F.concat(F.lit('{"bomFormat":"CycloneDX","specVersion":"1.5","components":[{"type":"file","name":"holder","components":['), F.col("deep"), F.lit("]}"), F.when(F.col("top") != "", F.concat(F.lit(","), F.col("top"))).otherwise(""), F.col("s"), F.lit("]}"))
+    return files.select(F.format_string("/x/%d/bom.json", F.col("f")).alias("path"), text.cast("binary").alias("content"))
+
+
+@query(
+    f"""
+{_DOCUMENTS.replace("STRING", "VARCHAR")}
+SELECT concat('/x/', f, '/bom.json') AS path, CASE WHEN c = 3 THEN 'npm' WHEN id IS NOT NULL THEN key WHEN c = 2 THEN 'Debian:11' END AS ecosystem, CASE WHEN c = 3 THEN concat('@s/n', k) ELSE concat('n', k) END AS name,
+  CASE c WHEN 0 THEN concat('1.', z, '-r0') WHEN 1 THEN concat('2:1.', z, '-1.el9') WHEN 2 THEN concat('1.', z, '-1') ELSE concat('0.', z) END AS version, CASE c WHEN 0 THEN concat('origin', k) WHEN 1 THEN concat('src', k) END AS source_name,
+  CASE WHEN c = 1 THEN concat('mod:', z) END AS module_stream, concat('/db/', k) AS location, id AS distro FROM p JOIN s USING (d) WHERE c < 4
+"""
+)
+def sbom_packages(spark, sf_dir):
+    """Packages of CycloneDX documents, placed by the distribution that the document names."""
+    rows = inventory.resolved(inventory.parse_files(_cyclonedx_files(spark, sf_dir)))
+    return rows.filter("name is not null").select("path", "ecosystem", "name", "version", "source_name", "module_stream", "location", "distro")
+
+
+@query(
+    """
+WITH p AS (SELECT p_partkey % 60 AS f, CAST(floor(p_partkey / 6) AS BIGINT) % 9 AS c FROM part)
+SELECT concat('/x/', f, '/bom.json') AS path, count(*) FILTER (c < 8) AS components, count(*) FILTER (c < 4) AS cataloged, count(*) FILTER (c = 5) AS no_purl, count(*) FILTER (c = 7) AS no_version, count(*) FILTER (c IN (4, 6)) AS unsupported FROM p GROUP BY f HAVING count(*) FILTER (c < 8) > 0
+"""
+)
+def sbom_components(spark, sf_dir):
+    """What became of every component of those documents."""
+    return inventory.components(inventory.resolved(inventory.parse_files(_cyclonedx_files(spark, sf_dir)))).filter("components > 0")
+
+
+@query(
+    """
+WITH p AS (SELECT p_partkey % 60 AS f, p_partkey AS k, p_size AS z, p_partkey % 5 AS c FROM part), r AS (SELECT *, unnest([8, 9]) AS rel FROM p WHERE c = 0)
+SELECT concat('/x/', f, '/x.spdx.json') AS path, NULL AS reason, concat('Red Hat:', rel) AS ecosystem, concat('n', k) AS name, concat('1.', z) AS version, concat('mod:', z) AS module_stream FROM r
+UNION ALL SELECT concat('/x/', f, '/x.spdx.json'), CASE c WHEN 2 THEN 'a component without a version' WHEN 3 THEN 'a component without a package URL' WHEN 4 THEN 'a source package or a public key' END, CASE WHEN c = 1 THEN 'PyPI' END, CASE WHEN c = 1 THEN concat('n', k) END, CASE WHEN c = 1 THEN concat('1.', z) END, NULL FROM p WHERE c > 0
+"""
+)
+def sbom_spdx(spark, sf_dir):
+    """SPDX documents: Red Hat's packages name a URL for each repository, repeated URLs count once, only a URL tells a
+    version, the described package is left out."""
+    D.views(spark, sf_dir, "part")
+    ref = lambda url: f"""'{{"referenceCategory":"PACKAGE-MANAGER","referenceType":"purl","referenceLocator":"', {url}, '"}}'"""
+    red = lambda rel: ref(f"concat('pkg:rpm/redhat/n', k, '@1.', z, '?arch=x86_64&repository_id=rhel-{rel}-for-x&rpmmod=mod:', z, ':8030:abc')")
+    refs = f"""case c when 0 then concat({red(8)}, ',', {red(9)}, ',', {red(9)}) when 1 then concat({ref("concat('pkg:pypi/n', k, '@1.', z)")}, ',', {ref("concat('pkg:pypi/n', k, '@1.', z, '?x=y')")}) when 2 then concat({ref("concat('pkg:pypi/n', k)")}) when 3 then '' else concat({ref("concat('pkg:rpm/redhat/n', k, '@1?arch=src')")}) end"""
+    rows = spark.sql(f"""SELECT f, concat('{{"SPDXID":"SPDXRef-', k, '","name":"n","versionInfo":"9","externalRefs":[', {refs}, ']}}') AS t FROM (SELECT p_partkey % 60 AS f, p_partkey AS k, p_size AS z, p_partkey % 5 AS c FROM part)""")
+    root = '{"SPDXID":"SPDXRef-root","externalRefs":[{"referenceType":"purl","referenceLocator":"pkg:npm/root@1"}]}'
+    text = F.concat(F.lit(f'{{"spdxVersion":"SPDX-2.3","SPDXID":"SPDXRef-DOCUMENT","packages":[{root},'), F.array_join("t", ","), F.lit('],"relationships":[{"spdxElementId":"SPDXRef-DOCUMENT","relationshipType":"DESCRIBES","relatedSpdxElement":"SPDXRef-root"}]}'))
+    files = rows.groupBy("f").agg(F.array_sort(F.collect_list("t")).alias("t")).select(F.format_string("/x/%d/x.spdx.json", F.col("f")).alias("path"), text.cast("binary").alias("content"))
+    return inventory.resolved(inventory.parse_files(files)).select("path", "reason", "ecosystem", "name", "version", "module_stream")
+
+
 def _feed(spark, rows: DataFrame, tag: str) -> str:
     """Writes rows (k, text) as a file each."""
     path = new_path(spark, tag)

@@ -16,7 +16,8 @@ import tomllib
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -41,6 +42,11 @@ class Package:
     source_version: str | None = None
     module_stream: str | None = None
     purl: str | None = None
+    location: str | None = None
+    layer: str | None = None
+    distro: str | None = None
+    distro_version: str | None = None
+    distro_name: str | None = None
 
 
 @dataclass(frozen=True)
@@ -422,47 +428,113 @@ _DISTRO_TYPES = ("rpm", "deb", "apk")
 _PURL_TYPES = {"golang": "Go", "npm": "npm", "pypi": "PyPI", "cargo": "crates.io", "gem": "RubyGems", "composer": "Packagist", "nuget": "NuGet", "maven": "Maven"}
 
 
-def from_purl(purl: str, version: str = "") -> Package | None:
-    """A language package by its package URL, with the component's version where the URL has none; one of a
-    distribution as it is named, for resolved() to complete; None for other types and without a version."""
-    from urllib.parse import unquote
+#: Properties in which an inventory tool writes what package URLs don't hold.
+_PROPERTIES = {"location": "syft:location:0:path", "layer": "syft:location:0:layerID", "origin": "syft:metadata:originPackage", "label": "syft:metadata:modularityLabel", "distro": "syft:distro:id", "distro_version": "syft:distro:versionID", "distro_name": "syft:distro:prettyName"}
+#: Why a component of an SBOM gives no package.
+NO_PURL, NO_VERSION, OTHER_TYPE, NO_INSTALL = "a component without a package URL", "a component without a version", "a component of another ecosystem", "a source package or a public key"
+
 
+def from_purl(purl: str, version: str = "") -> Package | Note:
+    """A language package by its package URL, with the component's version where the URL has none; one of a
+    distribution as it is named, for resolved() to complete; a note for what is no package URL, other types and those
+    without a version."""
     m = re.fullmatch(r"pkg:/*([^/?#]+)/([^?#]+)(?:\?[^#]*)?(?:#.*)?", purl)
-    if not m or m[1].lower() not in (*_PURL_TYPES, *_DISTRO_TYPES):
-        return None
+    if not m:
+        return Note(NO_PURL)
+    kind = m[1].lower()
+    if kind not in (*_PURL_TYPES, *_DISTRO_TYPES):
+        return Note(OTHER_TYPE)
     path, _, own = m[2].strip("/").rpartition("@")
     if not path:
         path, own = own, ""
     version = unquote(own) or version
-    if m[1].lower() in _DISTRO_TYPES:
-        return Package(None, unquote(path.split("/")[-1]), version, purl=purl) if version else None
-    eco = _PURL_TYPES[m[1].lower()]
-    name = (":" if eco == "Maven" else "/").join(unquote(x) for x in path.split("/"))
-    return Package(eco, name, version, purl=purl) if version else None
-
-
-def cyclonedx(text: str) -> list[Package]:
-    """Components at any depth; operating systems and files are no packages."""
+    if not version:
+        return Note(NO_VERSION)
+    parts = [unquote(x) for x in path.split("/")]
+    if kind in _DISTRO_TYPES:
+        return Package(None, parts[-1], version, purl=purl, location="sbom")
+    return Package(_PURL_TYPES[kind], (":" if kind == "maven" else "/").join(parts), version, purl=purl, location="sbom")
+
+
+def _properties(component: dict) -> dict[str, str]:
+    """The first value of each property of a component, by the short names of _PROPERTIES; empty ones don't count."""
+    told: dict[str, str] = {}
+    for p in component.get("properties") or []:
+        told.setdefault(p.get("name"), p.get("value"))
+    return {k: told[name] for k, name in _PROPERTIES.items() if told.get(name)}
+
+
+def _document_distro(components: list[dict]) -> dict[str, str | None]:
+    """The distribution of a document, from its first component at the top that is an operating system; the component's
+    own name and version stand in for missing properties. Empty where there is none or it has no name."""
+    system = next((c for c in components if c.get("type") == "operating-system"), None)
+    if system is None:
+        return {}
+    told = _properties(system)
+    name = told.get("distro") or system.get("name")
+    return {"distro": name, "distro_version": told.get("distro_version") or system.get("version"), "distro_name": told.get("distro_name")} if name else {}
+
+
+def cyclonedx(text: str) -> list[Package | Note]:
+    """Components at any depth, each a package or a note; operating systems and files are neither. Packages carry the
+    document's distribution wherever it stands in the text, where they lie and their layer; Alpine's source package and
+    Red Hat's module stream come from properties."""
     data = _json(text)
     if data.get("bomFormat") != "CycloneDX":
         raise Unreadable("no CycloneDX document")
-    out, todo = [], list(reversed(data.get("components") or []))
+    top = data.get("components") or []
+    distro = _document_distro(top)
+    out: list[Package | Note] = []
+    todo = list(reversed(top))
     while todo:
         c = todo.pop()
         todo.extend(reversed(c.get("components") or []))
-        if c.get("type") not in ("operating-system", "file") and c.get("purl") and (p := from_purl(c["purl"], c.get("version") or "")):
-            out.append(p)
+        if c.get("type") in ("operating-system", "file"):
+            continue
+        p = from_purl(c.get("purl") or "", c.get("version") or "")
+        if isinstance(p, Package):
+            told = _properties(c)
+            own = {k: told[k] for k in ("location", "layer") if k in told}
+            kind = p.purl[4:].lstrip("/").split("/")[0].lower()
+            if kind == "apk" and told.get("origin"):
+                own["source_name"] = told["origin"]
+            elif kind == "rpm" and told.get("label"):
+                name, _, rest = told["label"].partition(":")
+                stream, _, rest = rest.partition(":")
+                if name and stream and ":" in rest:
+                    own["module_stream"] = f"{name}:{stream}"
+            p = replace(p, **own, **distro)
+        out.append(p)
     return out
 
 
-def spdx(text: str) -> list[Package]:
-    """Packages by their purl references; the one that the document describes is left out."""
+#: Releases of SPDX that are read.
+SPDX_VERSIONS = ("SPDX-2.2", "SPDX-2.3")
+
+
+def spdx(text: str) -> list[Package | Note]:
+    """Packages by their purl references, each once; the one that the document describes is left out. A package of
+    which no reference gives anything is a note. Only a package URL tells a version."""
     data = _json(text)
-    if not data.get("spdxVersion"):
-        raise Unreadable("no SPDX document")
-    roots = {r["relatedSpdxElement"] for r in data.get("relationships") or [] if r.get("relationshipType") == "DESCRIBES"} | set(data.get("documentDescribes") or [])
-    refs = [(r.get("referenceLocator", ""), p.get("versionInfo") or "") for p in data.get("packages") or [] if p.get("SPDXID") not in roots for r in p.get("externalRefs") or [] if r.get("referenceType") == "purl"]
-    return _once(p for p in (from_purl(*r) for r in refs) if p)
+    if data.get("spdxVersion") not in SPDX_VERSIONS:
+        raise Unreadable(f"no SPDX document of a release that is read: {data.get('spdxVersion')}")
+    own = data.get("SPDXID") or ""
+    root = next((r.get("relatedSpdxElement") for r in data.get("relationships") or [] if r.get("relationshipType") == "DESCRIBES" and (r.get("spdxElementId") or "") == own), None)
+    out: list[Package | Note] = []
+    for p in data.get("packages") or []:
+        if root and p.get("SPDXID") == root:
+            continue
+        found = [from_purl(r.get("referenceLocator") or "") for r in p.get("externalRefs") or [] if r.get("referenceType") == "purl"]
+        packages = [f for f in found if isinstance(f, Package)]
+        # A language package is told by name and version; a distribution's URL also by its qualifiers.
+        out.extend({(f.ecosystem, f.name, f.version, None if f.ecosystem else f.purl): f for f in packages}.values() if packages else _worst(found))
+    return out
+
+
+def _worst(notes: list[Note]) -> list[Note]:
+    """What to say of a package whose references give nothing: a missing version first, then another ecosystem."""
+    reasons = {n.reason for n in notes}
+    return [Note(next((r for r in (NO_VERSION, OTHER_TYPE) if r in reasons), NO_PURL))]
 
 
 def jar(data: bytes, depth: int = 0) -> list[Package | Note]:
@@ -575,7 +647,7 @@ PARSERS: list[tuple[str, str, Callable, bool]] = [
     (r".+\.spdx\.json", "spdx", spdx, False),
     (r".+\.(jar|war)", "jar", jar, True),
 ]
-FIELDS = ("ecosystem", "name", "version", "source_name", "source_version", "module_stream", "purl")
+FIELDS = ("ecosystem", "name", "version", "source_name", "source_version", "module_stream", "purl", "location", "layer", "distro", "distro_version", "distro_name")
 SCHEMA = "path string, kind string, reason string, " + ", ".join(f"{f} string" for f in FIELDS)
 
 
@@ -615,16 +687,37 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 def resolved(packages: DataFrame, document_ecosystem: str = "document_ecosystem") -> DataFrame:
     """Rows of SCHEMA whose distribution packages (by package URL) get their ecosystem, version with epoch, source and
-    module stream; document_ecosystem: a column with the key of the distribution that the document names, null where it
-    names none. Source packages and public keys go; those that nothing places keep a null ecosystem, which no guard
-    lets pass as clean."""
-    document = F.col(document_ecosystem) if document_ecosystem in packages.columns else F.lit(None).cast("string")
+    module stream. The distribution that the document names places them, even if advisories have no key for it; a
+    column document_ecosystem that isn't null counts before it. What the document tells of a source or a stream counts
+    before the URL. Source packages and public keys become rows with a reason; packages that nothing places keep a null
+    ecosystem, which no guard lets pass as clean."""
+    given = F.col(document_ecosystem) if document_ecosystem in packages.columns else F.lit(None).cast("string")
+    told = N.distro_ecosystem(F.col("distro"), F.col("distro_version"), F.col("distro_name"))
+    document, named = F.coalesce(given, told), given.isNotNull() | F.col("distro").isNotNull()
     rows = packages.withColumn("__p", N.parse_purl(F.col("purl")))
-    rows = rows.withColumn("__d", N.distro_purl(F.col("__p"), F.col("version"), document, document.isNotNull()))
-    told = F.col("__d").isNotNull()
-    pick = lambda c: F.when(told, F.coalesce(F.col(f"__d.{c}"), F.col(c)) if c != "ecosystem" else F.col("__d.ecosystem")).otherwise(F.col(c)).alias(c)
-    changed = ("ecosystem", "version", "source_name", "module_stream")
-    return rows.filter(~F.coalesce("__d.skip", F.lit(False))).select(*(pick(c) if c in changed else F.col(c) for c in packages.columns))
+    rows = rows.withColumn("__d", N.distro_purl(F.col("__p"), F.col("version"), document, named))
+    placed, out = F.col("__d").isNotNull(), F.coalesce("__d.skip", F.lit(False))
+    value = {
+        "ecosystem": F.when(placed, F.col("__d.ecosystem")).otherwise(F.col("ecosystem")),
+        "version": F.coalesce("__d.version", "version"),
+        "source_name": F.coalesce("source_name", "__d.source_name"),
+        "module_stream": F.coalesce("module_stream", "__d.module_stream"),
+    }
+    blank = lambda c: F.when(~out, value.get(c, F.col(c))).alias(c)
+    return rows.select(*(F.when(out, NO_INSTALL).otherwise(F.col("reason")).alias(c) if c == "reason" else blank(c) if c in FIELDS else F.col(c) for c in packages.columns))
+
+
+def components(rows: DataFrame) -> DataFrame:
+    """What became of each SBOM's components, by resolved rows: path, components, cataloged, no_purl, no_version,
+    unsupported. Every component counts once, but for SPDX packages that name several. Documents that can't be read
+    count none."""
+    has = F.col("name").isNotNull()
+    is_ = lambda *r: F.col("reason").isin(*r)
+    one = has | is_(NO_PURL, NO_VERSION, OTHER_TYPE, NO_INSTALL)
+    return rows.filter("kind in ('cyclonedx', 'spdx')").groupBy("path").agg(
+        F.count_if(one).alias("components"), F.count_if(has).alias("cataloged"), F.count_if(is_(NO_PURL)).alias("no_purl"),
+        F.count_if(is_(NO_VERSION)).alias("no_version"), F.count_if(is_(OTHER_TYPE, NO_INSTALL)).alias("unsupported"),
+    )
 
 
 def manifests(rows: DataFrame) -> DataFrame:

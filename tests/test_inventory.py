@@ -94,6 +94,35 @@ def test_sboms_and_jars():
     assert pairs(I.jar(make_jar({"META-INF/maven/g/o/pom.properties": "#c\ngroupId=g\nartifactId=o\nversion=1\n", "lib/i.jar": inner, "lib/bad.jar": "x"}))) == [("g:o", "1"), ("g:i", "2")]
 
 
+def test_what_sboms_leave_out_is_noted():
+    parts = [{"purl": "pkg:npm/a"}, {"name": "b"}, {"purl": "npm/c@1"}, {"purl": "pkg:swift/d@1"}, {"purl": "pkg:npm/e", "version": "2"}, {"type": "operating-system"}]
+    found = I.cyclonedx(json.dumps({"bomFormat": "CycloneDX", "components": parts}))
+    assert notes(found) == [I.NO_VERSION, I.NO_PURL, I.NO_PURL, I.OTHER_TYPE] and pairs([p for p in found if not isinstance(p, I.Note)]) == [("e", "2")]
+    refs = lambda *urls: {"versionInfo": "9", "externalRefs": [{"referenceType": "purl", "referenceLocator": u} for u in urls]}
+    doc = {"spdxVersion": "SPDX-2.2", "packages": [refs(), refs("x"), refs("pkg:npm/a", "pkg:swift/d@1"), refs("pkg:swift/d@1", "x"), refs("pkg:npm/b", "pkg:npm/c@1")]}
+    found = I.spdx(json.dumps(doc))
+    assert notes(found) == [I.NO_PURL, I.NO_PURL, I.NO_VERSION, I.OTHER_TYPE] and pairs(found[-1:]) == [("c", "1")]
+    with pytest.raises(I.Unreadable):
+        I.spdx('{"spdxVersion": "SPDX-3.0"}')
+
+
+def test_an_sbom_s_distribution_places_its_packages(spark):
+    system = lambda *ps, **own: {"type": "operating-system", "properties": [{"name": "syft:distro:" + k, "value": v} for k, v in ps], **own}
+    deb = {"purl": "pkg:deb/x/p@1?distro=debian-11", "properties": [{"name": "syft:location:0:layerID", "value": "sha256:l"}, {"name": None}]}
+    documents = {
+        "named": [deb, system(("id", "debian"), ("versionID", "12"))],
+        "own": [deb, system(name="debian", version="10")],
+        "unknown": [deb, system(("id", "plan9"))],
+        "nameless": [deb, system()],
+        "first": [system(), deb, system(("id", "debian"), ("versionID", "12"))],
+        "deep": [{"type": "file", "components": [system(("id", "debian"), ("versionID", "12"))]}, deb],
+    }
+    files = spark.createDataFrame([(f"/{k}/bom.json", bytearray(json.dumps({"bomFormat": "CycloneDX", "components": c}).encode())) for k, c in documents.items()], "path string, content binary")
+    rows = {r.path.split("/")[1]: r for r in I.resolved(I.parse_files(files)).collect()}
+    assert {k: r.ecosystem for k, r in rows.items()} == {"named": "Debian:12", "own": "Debian:10", "unknown": None, "nameless": "Debian:11", "first": "Debian:11", "deep": "Debian:11"}
+    assert {r.layer for r in rows.values()} == {"sha256:l"} and {r.location for r in rows.values()} == {"sbom"}
+
+
 def test_reader(spark, tmp_path):
     for name, body in {"x/go.mod": "require a v1.0.0\n", "y/yarn.lock": "__metadata:\n", "node_modules/z/go.mod": "require n v1\n", "z/requirements-dev.txt": "a==1\n", "q/pnpm-lock.yaml": "x", "other.txt": "x"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
