@@ -8,7 +8,8 @@ for system, user, assistant and any other role. The parser is deterministic and
 control string has to be the closing one. A turn is first rendered as it is and parsed again; if that does not give
 back the same role and text, control strings and backslashes in it are escaped and it is tried again.
 
-Turns are handled as a stream sorted by conversation, so memory is bound by one turn, not by one conversation.
+Turns are rendered and checked where they lie; then a conversation's turns are a sorted stream in one task, which its
+digests need, so memory is bound by one turn, not by one conversation.
 
 Defined results: a null text or role counts as empty; rows whose conv_id is null form one conversation; ties of turn
 are ordered by role, then text; a null turn comes first; repeated rows are turns of their own; an empty table gives
@@ -59,39 +60,60 @@ def render(role: str, text: str) -> tuple[str, int]:
     return head + text + TURN_CLOSE, len(head)
 
 
-def parse(chunks: Iterable[str]) -> Iterator[tuple[str, str]]:
-    """The (role, text) turns of a formatted conversation that comes in chunks of any length."""
-    buffer, at, expect, role = "", 0, None, None
-    longest = max(map(len, CONTROLS))
-    for chunk in chunks:
-        buffer += chunk
-        while True:
-            m = _CONTROL.search(buffer, at)
-            if not m:
-                at = max(0, len(buffer) - longest + 1) if expect else 0
-                break
-            if expect is None:
-                if m.start():
-                    raise GrammarError(f"text between turns at {m.start()}")
+class Parser:
+    """Reads turns from a formatted conversation that comes in chunks of any length, each character once."""
+
+    def __init__(self) -> None:
+        self.held: list[str] = []  # pieces of an open text that hold no control string
+        self.buffer = ""
+        self.expect = self.role = None
+
+    def feed(self, chunk: str) -> Iterator[tuple[str, str]]:
+        """The (role, text) turns that end in this chunk; GrammarError as soon as no text could follow that parses."""
+        buffer, at = self.buffer + chunk, 0
+        for m in _CONTROL.finditer(buffer):
+            if self.expect is None:
+                if m.start() > at:
+                    raise GrammarError(f"text between turns: {buffer[at : at + 40]!r}")
                 if m[0] in _ROLE_OF:
-                    role = _ROLE_OF[m[0]]
-                    expect = CLOSE[role]
+                    self.role = _ROLE_OF[m[0]]
+                    self.expect = CLOSE[self.role]
                 elif m[0] == ROLE_OPEN:
-                    expect = ROLE_CLOSE
+                    self.expect = ROLE_CLOSE
                 else:
                     raise GrammarError(f"a turn can't start with {m[0]}")
-            elif m[0] != expect:
-                raise GrammarError(f"{m[0]} where {expect} is due")
+            elif m[0] != self.expect:
+                raise GrammarError(f"{m[0]} where {self.expect} is due")
             else:
-                inner = unescape(buffer[: m.start()])
-                if expect == ROLE_CLOSE:
-                    role, expect = inner, TURN_CLOSE
+                inner = unescape("".join([*self.held, buffer[at : m.start()]]))
+                self.held = []
+                if self.expect == ROLE_CLOSE:
+                    self.role, self.expect = inner, TURN_CLOSE
                 else:
-                    yield role, inner
-                    role = expect = None
-            buffer, at = buffer[m.end() :], 0
-    if expect is not None or buffer:
-        raise GrammarError("an unfinished turn at the end")
+                    yield self.role, inner
+                    self.role = self.expect = None
+            at = m.end()
+        if self.expect is None:
+            self.buffer = buffer[at:]
+            if self.buffer and not any(c.startswith(self.buffer) for c in CONTROLS):
+                raise GrammarError(f"text between turns: {self.buffer[:40]!r}")
+        else:
+            # A control string may have begun at the end.
+            cut = max(at, len(buffer) - max(map(len, CONTROLS)) + 1)
+            self.held.append(buffer[at:cut])
+            self.buffer = buffer[cut:]
+
+    def close(self) -> None:
+        if self.expect is not None or self.buffer:
+            raise GrammarError("an unfinished turn at the end")
+
+
+def parse(chunks: Iterable[str]) -> Iterator[tuple[str, str]]:
+    """The (role, text) turns of a formatted conversation that comes in chunks of any length."""
+    parser = Parser()
+    for chunk in chunks:
+        yield from parser.feed(chunk)
+    parser.close()
 
 
 def round_trip(role: str, text: str) -> tuple[str, int, int, bool]:
@@ -107,24 +129,42 @@ def round_trip(role: str, text: str) -> tuple[str, int, int, bool]:
     raise GrammarError(f"no rendering of {text[:80]!r} parses back")
 
 
+_UNITS = "conv_id long, turn long, role string, formatted string, escaped boolean, text_start long, text_end long"
+_UNIT_SCHEMA = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("escaped", pa.bool_()), ("text_start", pa.int64()), ("text_end", pa.int64())])
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("formatted", pa.string()), ("escaped", pa.bool_()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+    """Renders each turn, wherever it lies."""
+    for b in batches:
+        done = [round_trip(r, t) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        unit, start, end, escaped = zip(*done, strict=True) if done else ((),) * 4
+        columns = [b.column("conv_id"), b.column("turn"), b.column("role"), pa.array(unit, pa.string()), pa.array(escaped, pa.bool_()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, schema=_UNIT_SCHEMA)
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds positions to sorted turns; other columns pass as they are."""
     conv, position = object(), 0
     for b in batches:
-        rows = []
-        for c, role, text in zip(*(b.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
-            if c != conv:
-                conv, position = c, 0
-            unit, start, end, escaped = round_trip(role or "", text or "")
-            rows.append((c, position, unit, escaped, *((start, end) if role == "assistant" else (None, None))))
-            position += 1
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+        places = []
+        for c in b.column("conv_id").to_pylist():
+            conv, position = (c, position + 1) if c == conv else (c, 0)
+            places.append(position)
+        yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(places, pa.int64()), *(b.column(n) for n in ("formatted", "escaped", "loss_start", "loss_end"))], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """A row per turn: conv_id, position, formatted (the conversation's text is their concatenation), escaped, and the loss span in code points within formatted (null where the turn bears no loss)."""
-    rows = conversations.select(F.col("conv_id").cast("long"), "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(_format, SEGMENTS)
+    """A row per turn: conv_id, position, formatted (the conversation's text is their concatenation), escaped, and the
+    loss span in code points within formatted (null where the turn bears no loss). Turns are rendered and parsed again
+    where they lie; a conversation meets in one task only to be put in order."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    units = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), empty("role"), empty("text")).mapInArrow(_format, _UNITS)
+    # Only ties of turn and role look at the text.
+    text = F.expr("substring(formatted, cast(text_start + 1 as int), cast(text_end - text_start as int))")
+    text = F.when(F.col("escaped"), F.regexp_replace(text, r"(?s)\\(.)", "$1")).otherwise(text)
+    said = F.col("role") == "assistant"
+    rows = units.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", text)
+    return rows.select("conv_id", "formatted", "escaped", F.when(said, F.col("text_start")).alias("loss_start"), F.when(said, F.col("text_end")).alias("loss_end")).mapInArrow(_number, SEGMENTS)
 
 
 class _Reader:
@@ -133,7 +173,7 @@ class _Reader:
     def __init__(self) -> None:
         self.chars = self.turns = self.loss = 0
         self.all, self.masked = hashlib.sha256(), hashlib.sha256()
-        self.pending = ""
+        self.parser = Parser()
 
     def feed(self, chunk: str, start: int | None, end: int | None) -> None:
         """start and end: the chunk's loss span; what it holds is read from the text, whatever the role."""
@@ -142,19 +182,12 @@ class _Reader:
             said = unescape(chunk[start:end])
             self.loss += len(said)
             self.masked.update(said.encode())
-        self.pending += chunk
-        try:
-            turns = list(parse([self.pending]))
-        except GrammarError:
-            return
-        for role, text in turns:
+        for role, text in self.parser.feed(chunk):
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
-        self.pending = ""
 
     def row(self, conv: int | None) -> tuple:
-        if self.pending:
-            raise GrammarError(f"conversation {conv} does not parse")
+        self.parser.close()
         return conv, self.turns, self.all.hexdigest(), self.loss, self.masked.hexdigest(), self.chars
 
 

@@ -396,6 +396,28 @@ def test_chat_tables(spark, tmp_path):
     assert got[-7].loss_sha256 == sha("</s>[INST] ok [/INST]") and math.isclose(got[-7].n_turns, 2)
 
 
+def test_chat_ties_of_turn_are_ordered_by_role_and_text(spark, tmp_path):
+    """One conversation holds most rows; empty and null roles and texts tie, and escaping doesn't change the order."""
+    rng = random.Random(5)
+    texts = [None, "", "<s>", "<s", "<", "[INST]", "[INSTx", "\\", "a\\b", "é", "z" * 5_000]
+    rows = [(rng.choice([7] * 8 + [None, 8]), rng.choice([None, 0, 1, 2]), rng.choice([None, "", "user", "assistant", "tool"]), rng.choice(texts)) for _ in range(3_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op10_chat_format(spark, str(tmp_path)).collect()}
+    for conv in (7, 8, None):
+        turns = sorted((-1 if t is None else t, (r or "").encode(), (x or "").encode()) for c, t, r, x in rows if c == conv)
+        assert got[conv].n_turns == len(turns)
+        assert got[conv].turns_sha256 == hashlib.sha256(b"".join(r + b"\n" + x + b"\n" for _, r, x in turns)).hexdigest()
+        assert got[conv].loss_sha256 == hashlib.sha256(b"".join(x for _, r, x in turns if r == b"assistant")).hexdigest()
+
+
+def test_chat_parser_reads_each_character_once():
+    parser, text = chat.Parser(), "x" * 20_000
+    turns = [t for c in "[INST]" + text + "[/INST]" for t in parser.feed(c)]
+    assert turns == [("user", text)] and not parser.held
+    with pytest.raises(chat.GrammarError):
+        list(parser.feed("y"))
+
+
 def test_chat_loss_is_read_under_the_mask(spark):
     text = "</s>\\ yes"
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
