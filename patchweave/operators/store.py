@@ -80,6 +80,12 @@ def _pending(spark: SparkSession, path: str) -> dict[str, dict]:
     return {n.split("~")[1]: json.loads(_get(spark, f"{path}/pending/{n}")) for n in names if n.endswith(".json")}
 
 
+def forget_pending(spark: SparkSession, path: str) -> None:
+    """No later build takes up what an unfinished one wrote; vacuum() deletes it."""
+    p, fs = _fs(spark, f"{path}/pending")
+    fs.delete(p, True)
+
+
 def _announce(spark: SparkSession, path: str, table: str, about: dict) -> None:
     p, fs = _fs(spark, f"{path}/pending")
     n = len(fs.listStatus(p)) if fs.exists(p) else 0
@@ -134,6 +140,16 @@ def write_provenance(provenance: DataFrame, path: str) -> None:
     _write(provenance.coalesce(1), path, "provenance")
 
 
+def write_sources(sources: DataFrame, path: str) -> None:
+    """What each source of a build gave (build.SOURCES)."""
+    _write(sources.coalesce(1), path, "sources")
+
+
+def pending_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table that was written since the last manifest."""
+    return spark.read.parquet(_pending(spark, path)[table]["path"])
+
+
 def write_keyed(affected: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """The entries' ranges with their keys, in buckets of (ecosystem, name)."""
     spark, at, name = affected.sparkSession, f"{path}/data/keyed-{uuid.uuid4().hex}", f"keyed_{uuid.uuid4().hex}"
@@ -155,7 +171,10 @@ def write_meta(spark: SparkSession, path: str, built_at: str, windows: DataFrame
     """Closes the build and returns its number. windows (source, since, since_known): from when on each rating source is
     covered; null since with since_known: from the beginning."""
     known = builds(spark, path)
-    tables = {**(manifest(spark, path)["tables"] if known else {}), **_pending(spark, path)}
+    tables, pending = manifest(spark, path)["tables"] if known else {}, _pending(spark, path)
+    if "affected" in pending:
+        tables.pop("keyed", None)  # the ranges of other entries
+    tables = {**tables, **pending}
     lacking = {"affected", "ratings"} - set(tables)
     if lacking:
         raise StoreError(f"no {' and no '.join(sorted(lacking))} were written")
@@ -168,8 +187,7 @@ def write_meta(spark: SparkSession, path: str, built_at: str, windows: DataFrame
     spark.createDataFrame(row, META).coalesce(1).write.parquet(at)
     number = (known[-1] if known else 0) + 1
     _put(spark, f"{path}/manifest-{number:08d}.json", json.dumps({"build": number, "schema": SCHEMA_VERSION, "tables": {**tables, "meta": {"path": at}}}))
-    p, fs = _fs(spark, f"{path}/pending")
-    fs.delete(p, True)
+    forget_pending(spark, path)
     return number
 
 

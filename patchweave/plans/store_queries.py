@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from patchweave.operators import build as B
 from patchweave.operators import lifecycle as L
 from patchweave.operators import matching as M
 from patchweave.operators import report_files as W
@@ -111,3 +112,46 @@ def report_files(spark, sf_dir):
     rows = W.read_lines(spark, path).select(F.col("target_id").cast("long"), F.col("line").startswith(",").alias("comma"), F.from_json(line, "advisory struct<id:string>, package struct<name:string>, cause string, matchedName string").alias("j"), (F.col("line").startswith("{\"schemaVersion\"") | F.col("line").startswith("]")).alias("frame"))
     found, left = F.col("j.matchedName").isNotNull() & ~F.col("frame"), F.col("j.cause").isNotNull() & ~F.col("frame")
     return rows.groupBy("target_id").agg(F.count_if(found).alias("findings"), F.count_if(left).alias("skipped"), F.count_if("comma").alias("commas"), F.max(F.when(found, F.col("j.advisory.id"))).alias("last_id"), F.count_if("frame").alias("framing"))
+
+
+@query(
+    """
+WITH a AS (SELECT 'GHSA' AS source, concat('A-', p_partkey) AS id FROM part WHERE p_partkey % 3 < 2 UNION ALL SELECT 'mirror', concat('A-', p_partkey) FROM part WHERE p_partkey % 5 = 0),
+last AS (SELECT id, max(source) AS source FROM a GROUP BY id),
+fresh AS (SELECT concat('CVE-2024-', c_custkey) AS cve, CASE WHEN c_custkey % 3 = 0 THEN 'EPSS' ELSE 'NVD' END AS source FROM customer WHERE c_custkey % 2 = 0),
+seed AS (SELECT concat('CVE-2024-', c_custkey) AS cve, ['EPSS', 'NVD', 'Vendor'][1 + c_custkey % 3] AS source FROM customer),
+r AS (SELECT * FROM fresh UNION SELECT * FROM seed WHERE source <> 'EPSS')
+SELECT 'advisories' AS kind, source, count(*) AS records, NULL AS since, false AS gap, false AS failed FROM last GROUP BY source
+UNION ALL SELECT 'ratings', source, count(*), CASE source WHEN 'NVD' THEN '2023-06-01' WHEN 'Vendor' THEN '2022-01-01' END, source = 'NVD', false FROM r GROUP BY source
+UNION ALL SELECT 'enrichment', 'notices', count(*), NULL, false, false FROM supplier
+UNION ALL SELECT 'enrichment', 'offline', 0, NULL, false, true
+"""
+)
+def build_sources(spark, sf_dir):
+    """A build of two providers, two annotators and two sources of enrichment on a seed: what each source gave."""
+    from datetime import datetime
+
+    part, customer, supplier = (D.table(spark, sf_dir, t) for t in ("part", "customer", "supplier"))
+    null, k = F.lit(None).cast("string"), F.col("p_partkey")
+
+    def entries(which):
+        ids = part.filter(which).select(F.lit("A").alias("database"), F.concat(F.lit("A-"), k.cast("string")).alias("advisory_id"), F.lit(0).alias("aff_ord"), F.lit("npm").alias("ecosystem"), F.col("p_name").alias("name"))
+        return ids.select("*", F.array().cast(M.RANGES).alias("ranges"), F.array(F.lit("1.0.0")).alias("versions"), null.alias("module_stream"))
+
+    def ratings(which):
+        return customer.filter(which).select(F.concat(F.lit("CVE-2024-"), F.col("c_custkey").cast("string")).alias("cve"), F.col("c_acctbal").alias("score"))
+
+    def broken(spark):
+        raise OSError("no such host")
+
+    source, path, seed, c = B.Source, new_path(spark, "store"), new_path(spark, "seed"), F.col("c_custkey")
+    first = [source("GHSA", B.ADVISORIES, lambda s: entries(k == 1)), source("EPSS", B.RATINGS, lambda s: ratings(c % 3 == 0)), source("NVD", B.RATINGS, lambda s: ratings(c % 3 == 1), since=datetime(2023, 6, 1)), source("Vendor", B.RATINGS, lambda s: ratings(c % 3 == 2), since=datetime(2022, 1, 1))]
+    B.build(spark, seed, first, "2024-01-01")
+    notices = supplier.select(F.concat(F.lit("CVE-2024-"), F.col("s_suppkey").cast("string")).alias("cve"), F.col("s_name").alias("title"))
+    sources = [
+        source("GHSA", B.ADVISORIES, lambda s: entries(k % 3 < 2)), source("mirror", B.ADVISORIES, lambda s: entries(k % 5 == 0)), source("EPSS", B.RATINGS, lambda s: ratings((c % 2 == 0) & (c % 3 == 0))),
+        source("NVD", B.RATINGS, lambda s: ratings((c % 2 == 0) & (c % 3 != 0)), since=datetime(2023, 1, 1), until=datetime(2023, 2, 1)), source("notices", B.ENRICHMENT, lambda s: notices), source("offline", B.ENRICHMENT, broken),
+    ]
+    B.build(spark, path, sources, "2024-02-01", seed=seed)
+    out = S.open_store(spark, path)["sources"]
+    return out.select("kind", "source", "records", F.col("since").cast("date").cast("string").alias("since"), "gap", F.col("error").isNotNull().alias("failed"))
