@@ -37,8 +37,10 @@ from patchweave.operators.hot_keys import join_counted
 V1_FIELDS = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
 V2_FIELDS = ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"]
 ARCHIVE_BYTES = 4 << 20
-#: What a WARC file holds at most: records, and bytes before compression (a larger record has a file of its own).
-RECORDS_PER_FILE, FILE_BYTES = 2_000, 256 << 20
+#: What a WARC file holds at most, in bytes before compression (a larger record has a file of its own), and how many
+#: bytes of records are handed to the writer at a time.
+FILE_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
+RECORD_END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURED = "20200101000000"
 
@@ -205,13 +207,25 @@ def warc_record(r: dict) -> bytes:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes the records, errors left out, as gzipped WARC files under path."""
+    """Writes the records, errors left out, as gzipped WARC files under path. Records go to the writer in chunks of
+    CHUNK_BYTES, a larger one by itself, so that one large record makes files of a chunk, not of a record."""
+    schema = pa.schema([("record", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(((warc_record(r),) for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()), pa.schema([("record", pa.binary())]))
+        held, size = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                record = warc_record(b.slice(i, 1).to_pylist()[0])
+                if held and size + len(record) > CHUNK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([RECORD_END.join(held)], pa.binary())], schema=schema)
+                    held, size = [], 0
+                held.append(record)
+                size += len(record)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([RECORD_END.join(held)], pa.binary())], schema=schema)
 
     largest = records.agg(F.max("payload_bytes")).first()[0] or 0
-    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (largest + 2_000)))
+    per_file = max(1, FILE_BYTES // max(CHUNK_BYTES, largest + 2_000))
     lines = records.filter("record_type <> 'error'").drop("payload_sha256", "archive", "offset").mapInArrow(run, "record binary")
     lines.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 

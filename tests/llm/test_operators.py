@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -284,6 +285,19 @@ def test_pages(spark, tmp_path, monkeypatch, least_hot):
     assert warc.op5_arc_to_warc(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_one_large_record_does_not_make_a_file_of_each(spark, tmp_path, monkeypatch):
+    """FILE_BYTES is a constant of the driver, CHUNK_BYTES of the tasks: 4 MB. The large page is one file, the others fill chunks."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 5 << 20)
+    rows = spark.range(0, 3_000, 1, 1).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "CASE WHEN id = 1500 THEN repeat('big ', 1500000) ELSE concat(id, repeat(' y', 2000)) END AS html")
+    records = warc.arc_to_records(warc.pages_to_arc(rows))
+    path = f"{tmp_path}/warc"
+    warc.write_warc(records.withColumn("refers_to", F.lit(None).cast("long")), path)
+    files = list(Path(path).glob("part-*"))
+    assert 4 <= len(files) <= 8, len(files)
+    got = warc.read_warc(spark, path).filter("record_type = 'response'").agg(F.count_distinct("record_key"), F.sum("payload_bytes"), F.min(F.col("intact").cast("int"))).first()
+    assert tuple(got) == (3_000, sum(len(f"{i}") + 4_000 for i in range(3_000) if i != 1_500) + 6_000_000, 1)
+
+
 def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 4_000)
     spark.createDataFrame([(i, f"http://x/{i}", "y" * (5_000 if i == 3 else 10)) for i in range(6)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
