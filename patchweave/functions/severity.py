@@ -61,8 +61,15 @@ def band_rank(band: Column) -> Column:
     return F.when(band.isin(*BANDS), F.array_position(F.array(*map(F.lit, BANDS)), band) - 1)
 
 
+def threshold_rank(threshold: str) -> int:
+    """Position of a band that a user names, in either case; unknown is none to measure against."""
+    if threshold.lower() not in BANDS:
+        raise ValueError(f"no severity band: {threshold!r}; one of {', '.join(BANDS)} is")
+    return BANDS.index(threshold.lower())
+
+
 def at_or_above(band: Column, threshold: str) -> Column:
-    return F.coalesce(band_rank(band) >= BANDS.index(threshold), F.lit(False))
+    return F.coalesce(band_rank(band) >= threshold_rank(threshold), F.lit(False))
 
 
 def highest(scores: Column) -> Column:

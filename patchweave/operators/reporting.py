@@ -65,7 +65,7 @@ def verdict(g: Gates) -> Column:
         F.lit(g.fail_on_kev) & (c("kev") > 0),
         F.lit(g.fail_on_eol) & F.coalesce("eol", no),
         F.coalesce(c("max_epss") >= g.fail_on_epss, no) if g.fail_on_epss is not None else no,
-        F.coalesce(c("worst") >= S.BANDS.index(g.fail_on), no) if g.fail_on else no,
+        F.coalesce(c("worst") >= S.threshold_rank(g.fail_on), no) if g.fail_on else no,
     ]
     one = no
     for x in gates:

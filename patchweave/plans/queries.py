@@ -255,6 +255,19 @@ def verdict(spark, sf_dir):
     return P.summarise(*_report_inputs(spark, sf_dir)).select("target_id", P.verdict(gates).alias("verdict"))
 
 
+#: Each gate alone, with what closes it in SQL over a summary row, and the code that it gives.
+_GATES = {
+    "fail_on": ("HIGH", "coalesce(worst >= 3, false)", 1), "fail_on_epss": (0.5, "coalesce(max_epss >= 0.5, false)", 1), "fail_on_kev": (True, "kev > 0", 1), "fail_on_unknown": (True, "unknown > 0", 1), "fail_on_unfixable": (True, "unfixable > 0", 1),
+    "fail_on_wont_fix": (True, "wont_fix > 0", 1), "fail_on_eol": (True, "eol", 1), "fail_on_incomplete": (True, "(not_evaluated > 0 OR incomplete_checks > 0)", 2), "fail_on_incomplete_target": (True, "target_incomplete > 0", 2),
+}
+
+
+@query(_SUMMARY_SQL + "SELECT target_id, " + ", ".join(f"CASE WHEN components > 0 AND evaluated <= 0 THEN 2 WHEN {sql} THEN {code} ELSE 0 END AS {gate}" for gate, (_, sql, code) in _GATES.items()) + " FROM s")
+def gate_rules(spark, sf_dir):
+    """Exit code per target with each gate alone; the summary is worked out once."""
+    return P.summarise(*_report_inputs(spark, sf_dir)).select("target_id", *(P.verdict(P.Gates(**{gate: value})).alias(gate) for gate, (value, *_) in _GATES.items()))
+
+
 @query(
     """
 SELECT CAST(o_custkey % 50 AS BIGINT) AS target_id, concat('GHSA-', o_orderkey) AS rule_id, CASE WHEN CAST(floor(o_totalprice) AS BIGINT) % 6 >= 4 THEN 'error' WHEN CAST(floor(o_totalprice) AS BIGINT) % 6 IN (1, 2) THEN 'note' ELSE 'warning' END AS level,

@@ -720,6 +720,11 @@ def components(rows: DataFrame) -> DataFrame:
     )
 
 
+def ordered_packages(packages: DataFrame) -> DataFrame:
+    """Packages by ecosystem, name, version and where they lie, nulls first, sorted over ranges of keys."""
+    return packages.orderBy("ecosystem", "name", "version", F.coalesce("location", "path"))
+
+
 def manifests(rows: DataFrame) -> DataFrame:
     """What became of each file: path, kind, packages, notes, failed (nothing could be read), reason (its first one)."""
     named = F.col("name").isNotNull()

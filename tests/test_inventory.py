@@ -168,3 +168,9 @@ def test_what_has_no_version_is_noted():
     assert notes(I.composer_lock(json.dumps({"packages": [{"name": "v/a", "version": "dev-main"}, {"name": "v/b", "version": "1.0"}]}))) == ["a branch, no version: v/a dev-main"]
     assert notes(I.npm_lock(json.dumps({"packages": {"": {}, "node_modules/a": {}, "node_modules/l": {"link": True}}}))) == ["no version: a"]
     assert notes(I.npm_lock(json.dumps({"dependencies": {"c": {}}}))) == ["no version: c"]
+
+
+def test_order_of_packages(spark):
+    rows = [("npm", "b", "1", "/x", None), ("npm", "a", "2", "/x", None), ("npm", "a", "10", "/y", None), ("npm", "a", "10", "/z", "/a"), ("Go", "z", "1", "/x", None), (None, "z", "1", "/x", None)]
+    packages = spark.createDataFrame(rows, "ecosystem string, name string, version string, path string, location string").repartition(5)
+    assert [(r.ecosystem, r["name"], r.version, r.path) for r in I.ordered_packages(packages).collect()] == [(None, "z", "1", "/x"), ("Go", "z", "1", "/x"), ("npm", "a", "10", "/z"), ("npm", "a", "10", "/y"), ("npm", "a", "2", "/x"), ("npm", "b", "1", "/x")]

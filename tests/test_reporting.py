@@ -167,3 +167,12 @@ def test_report_files(spark, tmp_path):
     assert {r["id"] for r in sarif[1]["tool"]["driver"]["rules"]} >= {"CVE-1", "skipped-target", "skipped-coverage"}
     text = _documents(spark, W.table_lines_of(f, s, total), str(tmp_path / "text"))
     assert W.NOT_CLEAN in text[3] and "no findings; 0 of 0" in text[4] and "31 findings: 1 critical, 30 unknown" in text[1] and "end of life" in text[2] and text[1].index("CVE-1") < text[1].index("31 findings") < text[1].index("was not checked")
+
+
+def test_thresholds_in_either_case():
+    from patchweave.functions import severity
+
+    assert severity.threshold_rank("High") == severity.threshold_rank("high") == 3
+    for wrong in ("unknown", "urgent", ""):
+        with pytest.raises(ValueError):
+            severity.threshold_rank(wrong)

@@ -103,3 +103,9 @@ def test_trailing_zeros_and_capital_words(spark):
     assert keys["1.0.100.0.00"] == keys["1.0.100"] > keys["1.0.10"] > keys["1.0.0.1"] > keys["0"] == keys["0.0"] and keys["10.0"] > keys["1.0.100"]
     below = V.composer_key("1.0.0-STABLE")
     assert below < V.composer_key("1.0.0-dev") < V.composer_key("1.0.0-stable") == V.composer_key("1.0.0")
+
+
+def test_mavens_order_has_a_circle():
+    """Why unusual Maven versions are compared pair by pair: 1 < 1-x < 1-0-a1 < 1, so that they have neither keys nor ranks."""
+    circle = ["1", "1-x", "1-0-a1", "1"]
+    assert [V.maven_compare(a, b) for a, b in zip(circle, circle[1:])] == [-1, -1, -1]
