@@ -38,12 +38,12 @@ TOKENIZER = "word_bpe_49k.json"
 #: Texts that are tokenised together.
 BATCH = 64
 #: Slots of the chunk table at most, a power of two; 22 bytes each. It starts anew when it is two thirds full.
-_SLOTS = 1 << 21
+_SLOTS = 1 << 19
 #: Ids that are held for chunks at most, 4 bytes each.
-_POOL = 1 << 23
+_POOL = 1 << 21
 _LONGEST_CACHED = 48
 #: Pre-tokens of one call of the tokenizer; bytes that are hashed at a time.
-_PER_CALL, _BLOCK = 4_000, 1 << 18
+_PER_CALL, _BLOCK = 4_000, 1 << 16
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 

@@ -44,7 +44,8 @@ MIN_LOG_ODDS, MIN_SHARE = 2.0, 0.02
 #: A gram in that many distinct words of a text is a feature of its own, for each of these numbers.
 LEVELS = (1, 2, 3, 5)
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE = 500_000
+#: Words whose features a task remembers; workers keep the memory for the stages that follow.
+_CACHE = 100_000
 
 
 def word_features(word: str) -> list[int]:
