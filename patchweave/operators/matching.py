@@ -11,6 +11,8 @@ its cause, so that what could not be checked never looks clean.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from patchweave.functions import names as N
 from patchweave.functions import versions as V
 from patchweave.operators import ranges as R
 from patchweave.operators.components import components
-from patchweave.operators.sweep import interval_join
+from patchweave.operators.sweep import first_intervals, interval_join
 from patchweave.tables import drop_table, write_table
 
 RANGES = f"array<struct<type:string,events:{R.EVENTS},fix_state:string>>"
@@ -95,7 +97,8 @@ def key_table(rows: DataFrame, versions: Column) -> DataFrame | None:
 
 
 def _keyed_names(inventory: DataFrame) -> DataFrame:
-    """A row per package and lookup name, with the key of its version, whole (vk) and without a module's tail (ck)."""
+    """A row per package and lookup name, with the key of its version, whole (vk) and without a module's tail (ck);
+    lookups: how many names it is looked up by, 0 where they are two that read alike."""
     own = F.col("compared")
     tailed, both = own.rlike(_TAIL), F.when(own.rlike(_TAIL), F.array(own, cut_module(own))).otherwise(F.array(own))
     rows = lookup_names(inventory).withColumn("comparer", V.comparer_of("ecosystem"))
@@ -105,7 +108,9 @@ def _keyed_names(inventory: DataFrame) -> DataFrame:
     else:
         whole = rows.join(table.select("comparer", F.col("v").alias("compared"), F.col("k").alias("vk")), ["comparer", "compared"], "left").withColumn("__cut", F.when(tailed, cut_module(own)))
         keyed = whole.join(table.select("comparer", F.col("v").alias("__cut"), F.col("k").alias("__ck")), ["comparer", "__cut"], "left").withColumn("ck", F.when(F.col("__cut").isNotNull(), F.col("__ck")).otherwise(F.col("vk")))
-    return keyed.select("package_id", "ecosystem", "norm_name", "name_ord", "compared", "module_stream", "vk", "ck")
+    source, own = N.normalize_name(F.col("ecosystem"), F.col("source_name")), N.normalize_name(F.col("ecosystem"), F.col("name"))
+    lookups = F.when(F.coalesce(F.col("source_name"), F.lit("")).isin("") | (F.col("source_name") == F.col("name")), 1).when(source == own, 0).otherwise(2)
+    return keyed.select("package_id", "ecosystem", "norm_name", "name_ord", "compared", "module_stream", "vk", "ck", lookups.alias("lookups"))
 
 
 def _keyed_ranges(affected: DataFrame) -> DataFrame:
@@ -130,7 +135,9 @@ def _keyed_ranges(affected: DataFrame) -> DataFrame:
     # The sorted events keep the bounds as they are written.
     keyed = keyed.withColumns({"ready": R.prepared("events", "__ek"), "ready_cut": R.prepared("events", "__ekc"), "keyless": F.exists("__k", lambda k: k.isNull())})
     # What needs more than a look at intervals: unreadable or missing bounds, and branches, which have no order.
-    odd = F.col("keyless") | F.expr("not exists(ready, e -> e.rank < 2)") | F.exists("__k", lambda k: k.startswith(V.BRANCH))
+    # A start from "0" and a limit are no versions, so they need no key.
+    unread = F.expr("exists(concat(ready, ready_cut), e -> e.rank = 1 and e.key is null or e.rank = 0 and e.kind <> 'introduced' and e.zero is null)")
+    odd = unread | F.expr("not exists(ready, e -> e.rank < 2)") | F.exists("__k", lambda k: F.coalesce(k, F.lit("")).startswith(V.BRANCH))
     # What can't be read at all is an error for every version; a bound of Maven's can be, with or without a key.
     bad = F.expr("get(transform(filter(ready, e -> e.rank = 1 and e.key is null), e -> e.bound), 0)")
     empty = F.when(F.expr("not exists(ready, e -> e.rank < 2)"), R.NO_EVENTS)
@@ -167,16 +174,26 @@ def found(inventory: DataFrame, affected: DataFrame) -> DataFrame:
     return found_keyed(write_table(_keyed_names(inventory), "match-names"), write_table(_keyed_ranges(affected), "match-ranges"))
 
 
+def _no_stream(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")) == ""
+
+
+def _sound() -> Column:
+    """Names whose version has a key with an order, and no stream."""
+    return F.coalesce(~F.col("vk").startswith(V.BRANCH), F.lit(False)) & _no_stream("module_stream")
+
+
+def _ways() -> tuple[Column, Column, Column, Column]:
+    """Of ranges: whether they are swept, are lists of keys, can't be read at all, never hit."""
+    free, listed, git = _no_stream("entry_stream") & ~F.col("tagged"), F.col("range_ord") == LISTED, F.coalesce("range_type", F.lit("")) == "GIT"
+    return free & ~listed & ~F.col("odd") & ~git, free & listed & ~F.coalesce("keyless", F.lit(True)), free & F.col("dead").isNotNull(), free & ~listed & git
+
+
 def found_keyed(names: DataFrame, ranges: DataFrame) -> DataFrame:
     """found() for written tables of _keyed_names() and _keyed_ranges()."""
-    no_stream = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    sound = F.coalesce(~F.col("vk").startswith(V.BRANCH), F.lit(False)) & no_stream("module_stream")
+    sound = _sound()
     plain, special = names.filter(sound), names.filter(~sound)
-    free = no_stream("entry_stream") & ~F.col("tagged")
-    listed = F.col("range_ord") == LISTED
-    in_sweep = free & ~listed & ~F.col("odd") & (F.coalesce("range_type", F.lit("")) != "GIT")
-    in_lists = free & listed & ~F.coalesce("keyless", F.lit(True))
-    dead = free & F.col("dead").isNotNull()
+    in_sweep, in_lists, dead, _ = _ways()
 
     # Ranges: swept.
     by = F.concat_ws("\0", *_NAME).alias("by")
@@ -191,13 +208,99 @@ def found_keyed(names: DataFrame, ranges: DataFrame) -> DataFrame:
     equal = plain.join(lists, [*_NAME, "vk"]).withColumn("outcome", _listed_hit("compared")).select(_FOUND)
     # What can't be read: all packages of the name that no stream sets apart.
     broken = ranges.filter(dead).select(*_NAME, "database", "advisory_id", "aff_ord", "range_ord", "fix_state", "dead")
-    unread = names.filter(no_stream("module_stream")).join(broken, _NAME).withColumn("outcome", _error("advisory", F.col("dead"))).select(_FOUND)
+    unread = names.filter(_no_stream("module_stream")).join(broken, _NAME).withColumn("outcome", _error("advisory", F.col("dead"))).select(_FOUND)
     # The rest, pair by pair.
     left = ranges.filter(~(in_sweep | in_lists | dead))
-    pairs = plain.join(left, _NAME).unionByName(special.join(ranges.filter(~dead), _NAME)).unionByName(special.filter(~no_stream("module_stream")).join(ranges.filter(dead), _NAME))
+    pairs = plain.join(left, _NAME).unionByName(special.join(ranges.filter(~dead), _NAME)).unionByName(special.filter(~_no_stream("module_stream")).join(ranges.filter(dead), _NAME))
     return swept.unionByName(equal).unionByName(unread).unionByName(outcomes(pairs).select(_FOUND))
 
 
+#: Above "", which stands for a version without a key, and below all keys.
+_LEAST = "\x01"
+_INTERVAL = "struct<low:string,high:string,closed:boolean,cause:string,introduced:string,fixed:string,last_affected:string,before:string,after:string>"
+
+
+def _intervals(keyless: bool) -> Column:
+    """All that a range of _ways() says, as intervals of keys: hits without a cause, errors with one, and their reason in
+    words before and after the version (null after: without it). keyless: also what it says of versions without a key,
+    which is an error where a bound or a listed version would have to be compared with them."""
+    in_sweep, in_lists, dead, _ = _ways()
+    text = lambda c: F.lit(c).cast("string")
+    none = text(None)
+
+    def one(low: Column, high: Column, closed: Column | bool, cause: Column, introduced: Column, fixed: Column, last: Column, before: Column, after: Column) -> Column:
+        return F.struct(low, high, closed if isinstance(closed, Column) else F.lit(closed), cause, introduced, fixed, last, before, after).cast(_INTERVAL)
+
+    words = lambda low, fix, last: R.hit_reason(text(""), low, fix, last)
+    spans = F.transform("spans", lambda x: one(F.coalesce(x["low"], text(_LEAST)), x["high"], x["closed"], none, x["introduced"], x["fixed"], x["last_affected"], text(""), words(x["introduced"], x["fixed"], x["last_affected"])))
+    keys = F.transform(F.array_distinct("lk"), lambda k: one(k, k, True, none, none, none, none, text(""), F.format_string("%s is listed as affected", text(""))))
+    whole = F.array(one(none, none, False, text("advisory"), none, none, none, F.col("dead"), none))
+    unread = one(text(""), text(""), True, text("target"), none, none, none, text("the version "), text(" could not be read"))
+    start = one(text(""), text(""), True, none, text("0"), none, none, text(""), words(text("0"), none, none))
+    compared = F.expr("exists(ready, e -> e.kind <> 'limit' and not (e.kind = 'introduced' and e.rank = 0))")
+    if keyless:
+        spans, keys = F.concat(spans, F.array(F.when(compared, unread).otherwise(start))), F.concat(keys, F.array(unread))
+    return F.when(dead, whole).when(in_lists, keys).when(in_sweep, spans)
+
+
+def first_found(inventory: DataFrame, affected: DataFrame) -> DataFrame:
+    """What first_outcomes() gives for found()."""
+    parts = int(inventory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = _keyed_ranges(affected.repartition(parts))  # a small file is one partition, and its keys take long
+    return first_found_keyed(write_table(_keyed_names(inventory), "match-names"), write_table(ranges, "match-ranges"))
+
+
+def first_found_keyed(names: DataFrame, ranges: DataFrame) -> DataFrame:
+    """first_found() for written tables of _keyed_names() and _keyed_ranges().
+
+    A package meets an advisory under one name nearly always, and then all that decides about the two lies in one key
+    range of the sweep: no pair is shuffled. Pairs under several names, packages that repeat and all that is compared
+    pair by pair go the way of found() and first_outcomes()."""
+    advisory, by = ["database", "advisory_id"], F.concat(F.col("ecosystem"), F.lit("\0"), F.col("norm_name"))
+    again = write_table(names.filter("name_ord = 0").groupBy(F.xxhash64("package_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id"), "match-again")
+    if again.limit(1).count():
+        names = names.withColumn("__id", F.xxhash64("package_id")).join(small(again.withColumn("__again", F.lit(True))), "__id", "left").drop("__id")
+    else:
+        names = names.withColumn("__again", F.lit(None).cast("boolean"))
+    keyless = F.col("vk").isNull() & _no_stream("module_stream") & (V.comparer_of("ecosystem") != "maven")
+    plain = F.coalesce((_sound() | keyless) & (F.col("lookups") > 0) & F.col("__again").isNull(), F.lit(False))
+    names = names.withColumn("__way", F.when(~plain, 0).otherwise(F.col("lookups"))).drop("__again")
+    n = names.agg(F.count_if(F.col("__way") == 0).alias("hard"), F.count_if(F.col("__way") == 2).alias("two"), F.count_if((F.col("__way") > 0) & F.col("vk").isNull()).alias("keyless")).first()
+
+    easy = functools.reduce(lambda x, y: x | y, _ways()) & functools.reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in advisory))
+    per = ranges.groupBy(*advisory, *_NAME).agg(F.bool_and(F.coalesce(easy, F.lit(False))).alias("__easy")).withColumn("__names", F.count(F.lit(1)).over(Window.partitionBy(*advisory)))
+    other = write_table(per.filter("not __easy or __names > 1"), "match-other")
+    m = other.agg(F.count_if(~F.col("__easy")).alias("hard"), F.count_if("__easy").alias("several")).first()
+    if m.hard + m.several:
+        on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*advisory, *_NAME)]
+        ranges = ranges.alias("a").join(small(other).alias("b"), on, "left").select("a.*", F.coalesce("b.__easy", F.lit(True)).alias("__easy"), (F.coalesce("b.__names", F.lit(1)) > 1).alias("__several"))
+    else:
+        ranges = ranges.withColumns({"__easy": F.lit(True), "__several": F.lit(False)})
+
+    # Packages of two names lie apart: with an advisory of several names they may meet it twice.
+    points = names.filter("__way > 0").select("package_id", "name_ord", "compared", F.concat(by, F.when(F.col("__way") == 2, "\0").otherwise("")).alias("by"), F.coalesce("vk", F.lit("")).alias("key"))
+    ends = F.array(F.lit(""), F.when(~F.col("__several"), "\0")) if n.two else F.array(F.lit(""))
+    spans = ranges.filter("__easy").select(*advisory, "aff_ord", "range_ord", "fix_state", by.alias("__by"), ends.alias("__ends"), F.explode(_intervals(n.keyless > 0)).alias("x"))
+    spans = spans.withColumn("by", F.explode(F.array_compact("__ends"))).withColumn("by", F.concat("__by", "by")).join(small(points.select("by").distinct()), "by", "left_semi")
+    spans = spans.select("by", "x.low", "x.high", "x.closed", F.concat_ws("\0", *advisory).alias("group"), F.col("aff_ord").alias("entry"), F.col("range_ord").alias("place"), F.col("x.cause").isNotNull().alias("error"), *advisory, "fix_state", *(f"x.{c}" for c in ("cause", *_EVIDENCE, "before", "after")))
+    runs = first_intervals(points, spans, "by", ["package_id", "name_ord", "compared"])
+    each = runs.select("hit", "skip", F.explode("points").alias("p"))
+
+    def outcome(c: str, kind: str) -> Column:
+        of = lambda x: F.col(f"{c}.{x}")
+        reason = F.when(of("after").isNull(), of("before")).otherwise(F.concat(of("before"), F.col("p.compared"), of("after")))
+        said = F.struct(F.lit(kind).alias("kind"), of("cause").alias("cause"), *(of(x).alias(x) for x in _EVIDENCE), reason.alias("reason"))
+        return F.when(F.col(c).isNotNull(), F.struct(F.col("p.name_ord").alias("name_ord"), of("entry").alias("aff_ord"), of("place").alias("range_ord"), of("fix_state").alias("fix_state"), said.alias("outcome"))).alias(c)
+
+    out = each.select("p.package_id", *(F.coalesce(f"hit.{c}", f"skip.{c}").alias(c) for c in advisory), outcome("hit", "hit"), outcome("skip", "error"))
+    # The rest.
+    way = lambda i: names.filter(f"__way = {i}").drop("__way")
+    flags = ("__easy", "__several")
+    ways = [(n.hard, 0, "true"), (m.hard, 1, "not __easy"), (n.two and m.hard + m.several, 2, "not __easy or __several")]
+    rest = [found_keyed(way(i), ranges.filter(which).drop(*flags)) for some, i, which in ways if some]
+    return out.unionByName(first_outcomes(functools.reduce(DataFrame.unionByName, rest))) if rest else out
+
+
 def outcomes(pairs: DataFrame) -> DataFrame:
     """Of candidates() a row per range that isn't a miss: package_id, database, advisory_id, name_ord, aff_ord,
     range_ord, fix_state, outcome."""
@@ -255,8 +358,8 @@ def first_outcomes(found: DataFrame) -> DataFrame:
 def scan(inventory: DataFrame, affected: DataFrame, ecosystems: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found, skipped): first_outcomes() of the packages that can be checked, and the packages that can't, with
     skip_reason. Packages that repeat cost their repeats: give distinct ones."""
-    guarded = guard(inventory, ecosystems)
-    return first_outcomes(found(guarded.filter("skip_reason is null").drop("skip_reason"), affected)), guarded.filter("skip_reason is not null")
+    guarded = write_table(guard(inventory, ecosystems), "match-guarded")  # read three times
+    return first_found(guarded.filter("skip_reason is null").drop("skip_reason"), affected), guarded.filter("skip_reason is not null")
 
 
 def affected_versions(installed: DataFrame, advisories: DataFrame, comparer: str) -> DataFrame:
