@@ -49,7 +49,7 @@ def register(spark: SparkSession) -> list[str]:
         "severity_band(score DOUBLE) RETURNS STRING": _text(spark, S.band_of, score="double"),
         "native_version_key(comparer STRING, version STRING) RETURNS STRING": V.native_key("comparer", "version"),
         "version_key(ecosystem STRING, version STRING) RETURNS STRING": "native_version_key(comparer_of(ecosystem), version)",
-        "version_compare(ecosystem STRING, a STRING, b STRING) RETURNS INT": "CASE WHEN version_key(ecosystem, a) < version_key(ecosystem, b) THEN -1 WHEN version_key(ecosystem, a) > version_key(ecosystem, b) THEN 1 WHEN version_key(ecosystem, a) = version_key(ecosystem, b) THEN 0 END",
+        "version_compare(ecosystem STRING, a STRING, b STRING) RETURNS INT": "CAST(version_key(ecosystem, a) > version_key(ecosystem, b) AS INT) - CAST(version_key(ecosystem, a) < version_key(ecosystem, b) AS INT)",  # both keys stand twice, and outside of branches: each is worked out once
         "version_affected(key STRING, low STRING, high STRING, closed BOOLEAN) RETURNS BOOLEAN": "(low IS NULL OR key >= low) AND (high IS NULL OR key < high OR (closed AND key = high))",
     }
     for head, body in bodies.items():

@@ -72,6 +72,7 @@ _PRE = r"(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)"
 _SEMVER = rf"^v?([0-9]+\.[0-9]+\.[0-9]+)(?:-({_PRE}(?:\.{_PRE})*))?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?\z"
 _SEMVER_SHORT = r"^v?(?!0\z)((?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*))?)\z"
 _SEMVER_ANY = f"(?:{_SEMVER}|{_SEMVER_SHORT})"
+_SEMVER_PLAIN = r"^[0-9]{1,9}\.[0-9]{1,9}\.[0-9]{1,9}\z"
 
 
 def semver_key(v: str) -> str:
@@ -79,7 +80,11 @@ def semver_key(v: str) -> str:
     numbers = ", ".join(_num(f"coalesce(get(p, {i}), '0')") for i in range(3))
     ids = f"array_join(transform(split(g[2], '[.]'), i -> case when i rlike '^[0-9]+\\\\z' then concat('1', {_num('i')}) else concat('2', i, '!') end), '')"
     key = _let(parts, "p", f"concat({numbers}, case when g[2] = '' then '~' else concat({ids}, '!') end)")
-    return f"case when length({v}) <= {MAX_LENGTH} then {_let(_groups(v, _SEMVER_ANY, 3), 'g', f'case when g is not null then {key} end')} end"
+    # Three short numbers are what most versions are: their key needs neither lambdas nor groups.
+    places = (f"substring_index({v}, '.', 1)", f"substring_index(substring_index({v}, '.', 2), '.', -1)", f"substring_index({v}, '.', -1)")
+    digits = [f"trim(LEADING '0' FROM {x})" for x in places]
+    plain = "concat(" + ", ".join(f"'1', length({d}), {d}" for d in digits) + ", '~')"
+    return f"case when {v} rlike {_q(_SEMVER_PLAIN)} then {plain} when length({v}) <= {MAX_LENGTH} then {_let(_groups(v, _SEMVER_ANY, 3), 'g', f'case when g is not null then {key} end')} end"
 
 
 #: Fixed value: the grammar of PEP 440.
